@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafsieve.llm.exact_dedup import exact_dedup
+from leafsieve.llm.packing import pack
 from leafsieve.llm.pii import find_pii
+from leafsieve.llm.quality import annotate_quality
 from leafsieve.runtime import load
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a vocabulary file of the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"))
 
@@ -29,7 +38,20 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup, "op6_pii": op6_pii}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotate_quality(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality.*")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(load(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep_ids=False).drop("ids")
+
+
+QUERIES = {
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_pii": op6_pii,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_packing": op9_packing,
+}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
