@@ -10,6 +10,7 @@ from leafsieve.llm.exact_dedup import exact_dedup
 from leafsieve.llm.packing import pack
 from leafsieve.llm.pii import find_pii
 from leafsieve.llm.quality import annotate_quality
+from leafsieve.llm.simhash import simhash_dedup
 from leafsieve.runtime import load
 
 
@@ -39,6 +40,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate_quality(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality.*")
 
@@ -57,6 +63,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pii": op6_pii,
+    "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_chat_format": op10_chat_format,
