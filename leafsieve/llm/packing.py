@@ -11,6 +11,7 @@ padding.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
@@ -51,17 +52,43 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = WordCache(self._words)
+        self.marks: dict[bytes, bytes] = {m: self._word(m) for m in (b".", b",")}
+
+    def _word(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def _words(self, words: list[bytes]) -> list[bytes]:
-        encode = self.tokenizer.encode
-        return [np.array(encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words]
+        out, young, old = [], self.cache.young, self.cache.old
+        for word in words:
+            # After an ASCII letter or digit, a last dot or comma is a token of its own.
+            mark = self.marks.get(word[-1:])
+            if mark and word[-2:-1].isalnum():
+                stem = word[:-1]
+                ids = young.get(stem) or old.get(stem)
+                if ids is None:
+                    ids = self._word(stem)
+                out.append(ids + mark)
+            else:
+                out.append(self._word(word))
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        known = self.cache.values(w for words in split for w in words)
+        # The tokenizer lowers the case, so ASCII may be lowered here; but its special tokens are told by case.
+        split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
+        known = self.cache.values(split)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for a worker, with what it knows of words from earlier tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class Packer:
     """Open windows of one partition. Pieces are (doc_id, start, bytes of ids, doc_tokens)."""
 
@@ -123,13 +150,13 @@ def _pack_partition(path: str, window: int, slots: int, sliver: int, keep_ids: b
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder, packer, number = Encoder(path), Packer(window, slots, sliver), part << 32
+        encode, packer, number = encoder(path).encode, Packer(window, slots, sliver), part << 32
         end = np.array([END], dtype="<u4").tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for first, held in slices(batch.column(1).to_pylist()):
                 done = []
-                for k, data in enumerate(encoder.encode(held)):
+                for k, data in enumerate(encode(held)):
                     for pieces in packer.add(ids[first + k], data + end):
                         done.append((number, pieces))
                         number += 1

@@ -9,7 +9,7 @@ import numpy as np
 #: Bytes of text that a worker handles at once; longer texts are handled alone.
 SLICE_BYTES = 1 << 20
 #: Entries of one generation of a WordCache.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 #: [\x20\x09-\x0D] as a table over bytes.
 BLANK = np.zeros(256, dtype=bool)
@@ -42,9 +42,9 @@ class WordCache:
         self.young: dict = {}
         self.old: dict = {}
 
-    def values(self, words: Iterable) -> dict:
-        """A mapping that has every one of ``words``; good until the next call."""
-        need = set(words)
+    def values(self, lists: Iterable[list]) -> dict:
+        """A mapping that has every word of ``lists``; good until the next call."""
+        need = set().union(*lists)
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
