@@ -11,6 +11,7 @@ from leafsieve.llm.packing import pack
 from leafsieve.llm.pii import find_pii
 from leafsieve.llm.quality import annotate_quality
 from leafsieve.llm.simhash import simhash_dedup
+from leafsieve.llm.suffix_dedup import remove_repeats
 from leafsieve.runtime import load
 
 
@@ -21,6 +22,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(load(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pii": op6_pii,
     "op7_simhash": op7_simhash,
