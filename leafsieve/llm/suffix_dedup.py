@@ -376,7 +376,7 @@ def _heavy(anchors: DataFrame) -> DataFrame:
     sketches = (
         anchors.groupBy((F.spark_partition_id() % SKETCHES).alias("k"))
         .agg(F.expr(f"approx_top_k_accumulate(h, {COUNTERS})").alias("s"))
-        .groupBy(F.lit(0))  # without rows there is then no sketch
+        .groupBy(F.lit("all"))  # without rows there is then no sketch
         .agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {COUNTERS}), {HEAVY})").alias("top"))
     )
     return sketches.select(F.explode("top").alias("x")).where(f"x.count >= {HEAVY // 4}").select(F.col("x.item").alias("h"))
