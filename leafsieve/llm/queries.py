@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafsieve.llm.chat_format import CONTROLS, CLOSE, LEARN, OPEN, ROLE, STOP, digest_chats, format_chats
 from leafsieve.llm.exact_dedup import exact_dedup
+from leafsieve.llm.language_id import fit, held_out, identify
 from leafsieve.llm.packing import pack
 from leafsieve.llm.pii import find_pii
 from leafsieve.llm.quality import annotate_quality
@@ -22,6 +23,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the labelled rows that are not held out; every text is then predicted."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
+    model = fit(docs.where("not held_out"))
+    found = identify(docs.select("doc_id", "text", "held_out"), model)
+    return found.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(load(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
 
@@ -66,6 +75,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pii": op6_pii,
