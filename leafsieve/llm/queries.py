@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from leafsieve.llm.chat_format import CONTROLS, CLOSE, LEARN, OPEN, ROLE, STOP, digest_chats, format_chats
 from leafsieve.llm.exact_dedup import exact_dedup
 from leafsieve.llm.language_id import fit, held_out, identify
+from leafsieve.llm.merge_dropout import digest_pieces
 from leafsieve.llm.packing import pack
 from leafsieve.llm.pii import find_pii
 from leafsieve.llm.quality import annotate_quality
 from leafsieve.llm.simhash import simhash_dedup
 from leafsieve.llm.suffix_dedup import remove_repeats
+from leafsieve.llm.token_counts import count_tokens
 from leafsieve.runtime import load
 
 
@@ -35,6 +37,17 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(load(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
 
 
+def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids under one seed, as digests, and whether they decode to the text."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest_pieces(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "tokens.*")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"))
 
@@ -77,6 +90,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_merge_dropout": op3_merge_dropout,
+    "op4_token_counts": op4_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pii": op6_pii,
     "op7_simhash": op7_simhash,
