@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafsieve.functions.hashing import band_keys, bands, hamming, ordered
 from leafsieve.operators.components import connected_components
+from leafsieve.runtime import materialize
 
 #: Share of all pairs beyond which bands compare too much, and fingerprints in a block instead.
 MOST_CANDIDATES, BLOCK = 0.2, 4096
+#: Parts of the buckets of a band.
+PARTS = 64
+#: Links, after counting, up to which components are found in a task (16 MB).
+FEW_LINKS = 1 << 20
 
 
 def candidate_share(threshold: int) -> float:
@@ -17,14 +24,12 @@ def candidate_share(threshold: int) -> float:
     return sum(2.0**-width for _, width in bands(threshold))
 
 
-def _banded(left: DataFrame, right: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.select("*", F.explode(band_keys(F.col(df.columns[0]), threshold)).alias("k")).select(*df.columns, "k.band", "k.key")
+def _keyed(df: DataFrame, threshold: int) -> DataFrame:
+    """A row per band of a frame whose first column is the fingerprint."""
+    return df.select("*", F.explode(band_keys(F.col(df.columns[0]), threshold)).alias("k")).select(*df.columns, "k.band", "k.key")
 
-    return keyed(left), keyed(right)
 
-
-def _blocked(left: DataFrame, right: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+def _blocks(left: DataFrame, right: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     """Each row of the left meets each of the right in one of blocks * blocks keys of bounded size."""
     blocks = max(1, -(-rows // BLOCK))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
@@ -37,8 +42,55 @@ def _blocked(left: DataFrame, right: DataFrame, rows: int) -> tuple[DataFrame, D
 
 def _meet(left: DataFrame, right: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     if candidate_share(threshold) <= MOST_CANDIDATES:
-        return _banded(left, right, threshold)
-    return _blocked(left, right, max(left.count(), right.count()))
+        return _keyed(left, threshold), _keyed(right, threshold)
+    return _blocks(left, right, max(left.count(), right.count()))
+
+
+def _deal(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with the part that compares a row: some of the buckets of a band, or of a large bucket two blocks."""
+    large = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > 4 * BLOCK)
+    large = materialize(large, "large")
+    plain = keyed.withColumns({"part": F.pmod("key", F.lit(PARTS)), "side": F.lit(-1)})
+    if large.isEmpty():
+        return plain
+    plain = plain.join(large, ["band", "key"], "left_anti")
+    split = keyed.join(large, ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    split = split.withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
+    # Hashes of blocks are put apart from the parts of small buckets.
+    split = split.withColumns({"part": F.shiftright(pair, 1).bitwiseOR(F.lit(1 << 20)), "side": side})
+    return plain.unionByName(split.select(*plain.columns))
+
+
+def _compare(threshold: int):
+    """Compares the fingerprints of some buckets of one band, each pair in the first band in which it agrees."""
+    cuts = bands(threshold)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        band = key[0].as_py()
+        keys, h = table.column("key").to_numpy(), table.column("a").to_numpy().view(np.uint64)
+        side = table.column("side").to_numpy()
+        order = np.argsort(keys, kind="stable")
+        keys, h, side = keys[order], h[order], side[order]
+        found, shift, live = [], 1, np.arange(len(h))
+        while True:  # each place against the one ``shift`` further on, while that is in the same bucket
+            live = live[live + shift < len(h)]
+            live = live[keys[live] == keys[live + shift]]
+            if not len(live):
+                break
+            other = h[live] ^ h[live + shift]
+            # Two blocks of a large bucket are compared with one another only; elsewhere the side is -1.
+            near = np.flatnonzero((np.bitwise_count(other) <= threshold) & ((side[live] < 0) | (side[live] != side[live + shift])))
+            for offset, width in cuts[:band]:
+                near = near[((other[near] >> np.uint64(offset)) & np.uint64((1 << width) - 1)) != 0]
+            found.append(np.stack((h[live[near]], h[live[near] + shift])))
+            shift += 1
+        x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.uint64)
+        a, b = np.minimum(x, y), np.maximum(x, y)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64), "distance": np.bitwise_count(a ^ b).astype(np.int32)})
+
+    return run
 
 
 def similar_pairs(hashes: DataFrame, threshold: int, banded: bool | None = None) -> DataFrame:
@@ -47,14 +99,15 @@ def similar_pairs(hashes: DataFrame, threshold: int, banded: bool | None = None)
     Exact either way: ``banded`` compares fingerprints that share a band, otherwise blocks are
     compared with one another, each pair of blocks in a task.
     """
-    a, b = hashes.toDF("a"), hashes.toDF("b")
     if banded is None:
-        left, right = _meet(a, b, threshold)
-    else:
-        left, right = _banded(a, b, threshold) if banded else _blocked(a, b, hashes.count())
+        banded = candidate_share(threshold) <= MOST_CANDIDATES
+    a = hashes.toDF("a")
+    if banded:
+        return _deal(_keyed(a, threshold)).groupBy("band", "part").applyInArrow(_compare(threshold), "a long, b long, distance int")
+    left, right = _blocks(a, hashes.toDF("b"), hashes.count())
     near = hamming(F.col("a"), F.col("b")) <= threshold
     pairs = left.join(right, ["band", "key"]).where(near & (ordered(F.col("a")) < ordered(F.col("b"))))
-    return pairs.select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance")).distinct()
+    return pairs.select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
 def near_any(hashes: DataFrame, targets: DataFrame, threshold: int) -> DataFrame:
@@ -73,6 +126,6 @@ def clusters(hashes: DataFrame, threshold: int) -> DataFrame:
         return hashes.select("dhash", F.col("dhash").alias("root"))
     pairs = similar_pairs(hashes, threshold)
     # Components take the least of signed labels, so labels are shifted into unsigned order.
-    labels = connected_components(pairs.select(ordered(F.col("a")).alias("a"), ordered(F.col("b")).alias("b")))
+    labels = connected_components(pairs.select(ordered(F.col("a")).alias("a"), ordered(F.col("b")).alias("b")), in_one_task=FEW_LINKS)
     labels = labels.select(ordered(F.col("node")).alias("dhash"), ordered(F.col("component")).alias("found"))
     return hashes.join(labels, "dhash", "left").select("dhash", F.coalesce("found", "dhash").alias("root"))

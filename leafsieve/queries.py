@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafsieve.functions import hashing, text
 from leafsieve.operators import books, groups, history, incremental, memory, pages, removal, similarity
 from leafsieve.options import GroupingOptions
-from leafsieve.runtime import load
+from leafsieve.runtime import load, materialize
 from leafsieve.sources import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,7 +113,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = adapters.doc_pages(spark, sf_dir)
+    # Fingerprints are found once, as in a scan, and read again by each step.
+    found = materialize(adapters.doc_pages(spark, sf_dir), "pages")
     return found, adapters.archives_of(found)
 
 
@@ -211,7 +212,7 @@ def similar_pairs(spark, sf_dir):
 
 @query("similar_pairs_banded", _pairs_sql(DOCS, 3))
 def similar_pairs_banded(spark, sf_dir):
-    return _hex_pairs(similarity.similar_pairs(adapters.doc_pages(spark, sf_dir).select("dhash").distinct(), 3, banded=True))
+    return _hex_pairs(similarity.similar_pairs(materialize(adapters.doc_pages(spark, sf_dir).select("dhash").distinct(), "hashes"), 3, banded=True))
 
 
 def _clusters_sql(threshold: int) -> str:
@@ -220,7 +221,7 @@ def _clusters_sql(threshold: int) -> str:
 
 @query("clusters", _clusters_sql(6))
 def clusters(spark, sf_dir):
-    found = similarity.clusters(adapters.doc_pages(spark, sf_dir).select("dhash"), 6)
+    found = similarity.clusters(materialize(adapters.doc_pages(spark, sf_dir).select("dhash").distinct(), "hashes"), 6)
     return found.select(hashing.hex16(F.col("dhash")).alias("dhash"), hashing.hex16(F.col("root")).alias("root"))
 
 
