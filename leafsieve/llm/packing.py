@@ -29,7 +29,7 @@ OPEN = 64
 #: A gap of fewer tokens than this is padded, not filled with a sliver of a document.
 SLIVER = 8
 #: Partitions whose open windows are merged in one task: at most MERGE * OPEN windows.
-MERGE = 64
+MERGE = 16
 #: The id that ends a document.
 END = 1
 
