@@ -54,7 +54,7 @@ KINDS = (
     Kind(
         "ip",
         "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++",
-        "[0-9]\\.[0-9]", "not exists(split(h, '[.]'), p -> not rlike(p, '^0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$'))",
+        "[0-9]\\.[0-9]", "not exists(split(h, '[.]'), p -> not rlike(p, '^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$'))",
         0.6, 0.3, "(?i)\\bip\\b|address|host|server|login",
     ),
     Kind(

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from tests.llm.fixtures import small, table
 
 from leafsieve.llm.pii import find_pii, redact
@@ -33,7 +35,7 @@ def brute(text):
 CASES = [
     None, "", "a@b.c_d@e.f and x@y.zz.", "ip 1.2.3.4.5.6.7.8 300.1.1.1 001.2.3.255 1.1.1.1", "4111 1111 1111 1111, 4111-1111-1111-1112",
     "é𝄞 +1 (743) 555-3824 and +44 20 7946 0958 +1(((((", "@@@ a@b a@b. .@x.y-z", "5" * 40, "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9",
-    "+12345678901 +1.2.3.4", "IBAN GB82 WEST 1234 5698 7654 32 and GB83 WEST 1234 5698 7654 32", "my ssn 123-45-6789, code 123-45-6789",
+    "+12345678901 +1.2.3.4", "0.0.0.0 10.0.0.1 00.000.0.256 000.00.0255.1 1.2.3.0", "a..b@c.d- x%+-@y.z é@é.fr 1@2.3,4@5.6", "IBAN GB82 WEST 1234 5698 7654 32 and GB83 WEST 1234 5698 7654 32", "my ssn 123-45-6789, code 123-45-6789",
 ]
 
 
@@ -44,6 +46,13 @@ def test_base_spans_equal_brute_force(spark):
         assert [s for s in got[i] if s[1] < 4] == brute(t), t
 
 
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet=st.sampled_from("0123459. -()+@a.b_%é\n"), max_size=120), min_size=40, max_size=40))
+def test_random_base_spans(spark, texts):
+    got = {r.doc_id: [(s.start, s["rank"], s.stop, s.kind) for s in r.pii if s["rank"] < 4] for r in find_pii(table(spark, texts)).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+
+
 def test_query_equals_brute_force(spark):
     texts = {r.doc_id: r.text for r in small(spark).collect()}
     rows = op6_pii(spark, "/root/testdata/sf0.001").collect()
@@ -56,8 +65,8 @@ def test_query_equals_brute_force(spark):
 
 def test_method_adds_validated_spans(spark):
     rows = {r.doc_id: r.pii for r in find_pii(table(spark, CASES)).collect()}
-    assert [(s.kind, s.start) for s in rows[10] if s["rank"] >= 4] == [("iban", 5)]
-    assert [(s.kind, s.start) for s in rows[11] if s["rank"] >= 4] == [("ssn", 7)]
+    assert [(s.kind, s.start) for s in rows[12] if s["rank"] >= 4] == [("iban", 5)]
+    assert [(s.kind, s.start) for s in rows[13] if s["rank"] >= 4] == [("ssn", 7)]
 
 
 def test_long_runs_are_linear(spark):
