@@ -70,12 +70,43 @@ def renumber(image: Column, removed: Column) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """The numbers of a version without trailing zeros, for comparison."""
-    numbers = F.transform(F.regexp_extract_all(version, F.lit("([0-9]+)"), F.lit(1)), lambda p: p.cast("long"))
+    """The numbers that a version begins with, without trailing zeros; a leading v and a suffix don't count."""
+    start = F.regexp_extract(F.trim(version), r"^v?([0-9]+(?:\.[0-9]+)*)", 1)
+    numbers = F.transform(F.regexp_extract_all(start, F.lit("([0-9]+)"), F.lit(1)), lambda p: p.cast("long"))
     last = F.array_max(F.transform(numbers, lambda n, i: F.when(n != 0, i + 1).otherwise(0)))
     return F.slice(numbers, F.lit(1), F.coalesce(last, F.lit(0)))
 
 
+def is_newer(version: Column, than: Column) -> Column:
+    """Whether a version comes after another; false if either has no number."""
+    has = lambda v: F.trim(v).rlike("^v?[0-9]")
+    return has(version) & has(than) & (version_key(version) > version_key(than))
+
+
+def duration(seconds: Column) -> Column:
+    """1 s to 59 s, minutes up to an hour, then hours."""
+    return (
+        F.when(seconds < 60, F.concat(F.greatest(F.lit(1), F.bround(seconds).cast("int")).cast("string"), F.lit(" s")))
+        .when(seconds < 3600, F.concat(F.bround(seconds / 60).cast("int").cast("string"), F.lit(" min")))
+        .otherwise(F.format_string("%.1f h", F.bround(seconds / 3600, 1)))
+    )
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """A path below ``root``, for showing; another stays as it is."""
+    top = root.rstrip("/") + "/"
+    return F.when(path.startswith(top), F.substr(path, F.lit(len(top) + 1))).otherwise(path)
+
+
+def describe_group(pages: Column, books: Column) -> Column:
+    return F.concat(pages.cast("string"), F.lit(" copies in "), books.cast("string"), F.lit(" book(s)"))
+
+
+def describe_pair(smaller: Column, larger: Column, overlap: Column) -> Column:
+    name = file_part(smaller)
+    return F.concat(name, F.lit(" and "), file_part(larger), F.lit(" share "), percent(overlap), F.lit(" of "), name, F.lit("'s pages"))
+
+
 def backup_name(name: Column) -> Column:
     """Whether a file may be a backup that a removal run has made."""
     return name.rlike(r"(?i)^.+\.(cbz|zip|cbr|rar|cb7|7z)\.bak(\.[0-9]+)?$")

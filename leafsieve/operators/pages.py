@@ -49,7 +49,7 @@ def matches_globs(path: Column, globs: list[str]) -> Column:
 def disposition(path: Column, excluded: Column) -> Column:
     """What a survey does with a file that it walks to."""
     return (
-        F.when(excluded, "excluded").when(is_archive_name(path), "found").when(F.lower(path).endswith(".pdf"), "pdf")
+        F.when(excluded, "excluded").when(is_archive_name(path), "found").when(F.lower(path).rlike(r"[^./]\.pdf$"), "pdf")
         .when(is_archive_name(path, walked=False), "not_walked").otherwise("other")
     )
 

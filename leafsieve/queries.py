@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafsieve.functions import hashing, text
-from leafsieve.operators import books, groups, history, incremental, memory, pages, removal, similarity
+from leafsieve.operators import books, decisions, groups, history, incremental, memory, pages, removal, similarity
 from leafsieve.options import GroupingOptions
+from leafsieve.plans import reports
 from leafsieve.runtime import load, materialize
 from leafsieve.sources import adapters
 
@@ -784,6 +785,83 @@ def carry_decisions(spark, sf_dir):
     return incremental.carry_decisions(prior, made.members)
 
 
+# --- decisions -------------------------------------------------------------------------------------------
+
+
+def _positions(spark, sf_dir):
+    found = _decided(_line_groups(spark, sf_dir).groups)
+    return groups.sort_position(found).join(found, "gid")
+
+
+_POSITIONS = f"{GROUPS}, p as (select *, row_number() over (order by {_ORDERS['rank']}, gid) - 1 as position, {DECISION_SQL} as decision from groups)"
+
+
+@query("set_decisions", f"{GROUPS} select gid, case when kind = 'exact' and archive_count > 2 then 'defer' else {DECISION_SQL} end as decision from groups")
+def set_decisions(spark, sf_dir):
+    found = _decided(_line_groups(spark, sf_dir).groups)
+    return decisions.set_decision(found, found.where("kind = 'exact' and archive_count > 2"), "defer").select("gid", "decision")
+
+
+@query("mark_safe", f"{KNOWN_GROUPS} select gid, case when {DECISION_SQL} = 'undecided' and (known or (kind = 'exact' and archive_count >= 3 and len({WARNINGS}) = 0)) then 'delete' else {DECISION_SQL} end as decision from groups")
+def mark_safe(spark, sf_dir):
+    return decisions.mark_safe(_decided(_known_groups(spark, sf_dir).groups), 3).select("gid", "decision")
+
+
+@query("mark_known", f"{KNOWN_GROUPS} select gid, case when {DECISION_SQL} = 'undecided' and known then 'delete' else {DECISION_SQL} end as decision from groups")
+def mark_known(spark, sf_dir):
+    return decisions.mark_known(_decided(_known_groups(spark, sf_dir).groups)).select("gid", "decision")
+
+
+@query("next_undecided", f"{_POSITIONS} select gid, position from p where decision = 'undecided' order by position < 5, position limit 1")
+def next_undecided(spark, sf_dir):
+    return decisions.next_undecided(_positions(spark, sf_dir), 5)
+
+
+@query("next_warning", f"{_POSITIONS} select gid, position from p where len({WARNINGS}) > 0 order by position < 1000000, position limit 1")
+def next_warning(spark, sf_dir):
+    return decisions.next_warning(_positions(spark, sf_dir), 1_000_000)
+
+
+@query("session", f"""{GROUPS} select gid, {DECISION_SQL} as decision, count(*) filter (archive like '%0.cbz') as kept, count(*) as pages from members group by gid
+    having {DECISION_SQL} <> 'undecided' or count(*) filter (archive like '%0.cbz') > 0""")
+def session(spark, sf_dir):
+    made = _line_groups(spark, sf_dir)
+    kept = made.members.where(F.col("archive").endswith("0.cbz"))
+    saved = decisions.session(_decided(made.groups), made.members, kept)
+    return saved.select("gid", "decision", F.size("kept").cast("long").alias("kept"), F.size("pages").cast("long").alias("pages"))
+
+
+@query("spared_bytes", f"{GROUPS} select gid, coalesce(sum(size) filter (archive not like '%0.cbz'), 0)::bigint as recoverable_bytes from members group by gid")
+def spared_bytes(spark, sf_dir):
+    made = _line_groups(spark, sf_dir)
+    kept = made.members.where(F.col("archive").endswith("0.cbz"))
+    return groups.with_kept(made.groups, made.members, kept).select("gid", "recoverable_bytes")
+
+
+@query("describe_groups", f"{GROUPS} select gid, page_count || ' copies in ' || archive_count || ' book(s)' as described from groups")
+def describe_groups(spark, sf_dir):
+    return _line_groups(spark, sf_dir).groups.select("gid", text.describe_group(F.col("page_count"), F.col("archive_count")).alias("described"))
+
+
+@query("describe_pairs", f"""with p as ({ORACLE_SQL["duplicate_books"]})
+    select regexp_replace(smaller, '^.*/', '') || ' and ' || regexp_replace(larger, '^.*/', '') || ' share ' || round_even(100 * overlap, 0)::int || '% of '
+        || regexp_replace(smaller, '^.*/', '') || chr(39) || 's pages' as described from p""")
+def describe_pairs(spark, sf_dir):
+    pairs = books.duplicate_books(*_lines(spark, sf_dir))
+    return pairs.select(text.describe_pair(F.col("smaller"), F.col("larger"), F.col("overlap")).alias("described"))
+
+
+@query("scan_report")
+def scan_report(spark, sf_dir):
+    made = _line_groups(spark, sf_dir)
+    return reports.group_documents(made.groups, made.members)
+
+
+@query("duplicate_report")
+def duplicate_report(spark, sf_dir):
+    return reports.pair_documents(books.duplicate_books(*_lines(spark, sf_dir)))
+
+
 # --- names, order and formats -----------------------------------------------------------------------------
 
 
@@ -845,7 +923,28 @@ def renumber_pages(spark, sf_dir):
 @query("version_cmp", "select p_partkey, p_partkey % 7 > 3 or (p_partkey % 7 = 3 and p_size > 10) as newer from part")
 def version_cmp(spark, sf_dir):
     own = F.concat(F.lit("v"), (F.col("p_partkey") % 7).cast("string"), F.lit("."), F.col("p_size").cast("string"), F.lit(".0"))
-    return load(spark, sf_dir, "part").select("p_partkey", (text.version_key(own) > text.version_key(F.lit("3.10"))).alias("newer"))
+    return load(spark, sf_dir, "part").select("p_partkey", text.is_newer(own, F.lit("3.10-beta.2")).alias("newer"))
+
+
+@query("duration", """select p_partkey, case when v < 60 then greatest(1, round_even(v, 0)::int) || ' s' when v < 3600 then round_even(v / 60, 0)::int || ' min' else printf('%.1f h', round_even(v / 3600, 1)) end as shown
+    from (select p_partkey, p_partkey * p_size * 0.5::double as v from part)""")
+def duration(spark, sf_dir):
+    return load(spark, sf_dir, "part").select("p_partkey", text.duration(F.col("p_partkey") * F.col("p_size") * F.lit(0.5)).alias("shown"))
+
+
+@query("display_path", f"with {LINES} select archive, regexp_replace(archive, '^lib/shelf3/', '') as shown from archives")
+def display_path(spark, sf_dir):
+    _, books_ = _lines(spark, sf_dir)
+    return books_.select("archive", text.relative_path(F.col("archive"), "lib/shelf3/").alias("shown"))
+
+
+@query("survey", """select case when url like '%9' then 'excluded' else case page_id % 5 when 0 then 'found' when 1 then 'pdf' when 2 then 'not_walked' when 3 then 'other' else 'found' end end as disposition,
+    count(*) as files from pages group by 1""")
+def survey(spark, sf_dir):
+    """Names of all kinds, below the addresses of pages."""
+    suffix = F.expr("case page_id % 5 when 0 then 'f.cbz' when 1 then 'f.PDF' when 2 then 'f.rar' when 3 then '/._x.cbz' else 'f.CB7' end")
+    found = load(spark, sf_dir, "pages").select("url", F.concat("url", suffix).alias("path"))
+    return found.groupBy(pages.disposition(F.col("path"), pages.matches_globs(F.col("url"), ["*9"])).alias("disposition")).agg(F.count("*").alias("files"))
 
 
 @query("detect_kind", "select doc_id, case doc_id % 6 when 0 then 'zip' when 1 then 'rar' when 2 then '7z' when 3 then 'rar' when 4 then 'unknown' else 'zip' end as kind from documents")
