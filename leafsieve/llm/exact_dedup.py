@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafsieve.operators.heavy import heavy_hitters
 from leafsieve.runtime import materialize
 
 #: Most digests that the sketch may name; bounds the broadcast side (about 100 bytes each).
@@ -32,12 +33,6 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def heavy_digests(table: DataFrame) -> DataFrame:
-    """At most ``HEAVY`` digests, among them every one with more than rows/HEAVY rows."""
-    top = table.select(F.expr(f"approx_top_k(digest, {HEAVY}, {COUNTERS})").alias("top"))
-    return top.select(F.explode("top").alias("x")).where("x.count > 1").select(F.col("x.item").alias("digest"))
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -51,7 +46,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Ids may be null, and a smaller one wins: order by (points, has id, -id).
     best = F.max(F.struct("points", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("back")))
     winners = materialize(
-        table.join(F.broadcast(heavy_digests(table)), "digest", "left_semi")
+        table.join(F.broadcast(heavy_hitters(table, "digest", HEAVY, COUNTERS)), "digest", "left_semi")
         .groupBy("digest")
         .agg(best.alias("best"), F.count("*").alias("group_size")),
         "winners",

@@ -33,14 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafsieve.llm.textwork import slices
+from leafsieve.operators.heavy import heavy_hitters
 from leafsieve.runtime import materialize, release
 
 #: Bytes of the strings that are looked for, of the q-grams that can be anchors, and of initial buckets.
 LENGTH, GRAM, FIRST = 100, 32, 8
 #: Most anchors that are named as frequent (bounds the broadcast), and counters of the sketch.
 HEAVY, COUNTERS = 4096, 16384
-#: Groups of the sketch's first level.
-SKETCHES = 64
+#: Rows from which an anchor can count as frequent.
+LEAST = 1024
 #: Windows in a slice of a frequent anchor.
 SLICE = 8
 #: Bytes that are sorted together, unless one key has more; bytes that are scanned at once.
@@ -371,17 +372,6 @@ def _remove(keep_bytes: bool):
     return run
 
 
-def _heavy(anchors: DataFrame) -> DataFrame:
-    """At most HEAVY anchors, among them every one with more than about rows/HEAVY rows."""
-    sketches = (
-        anchors.groupBy((F.spark_partition_id() % SKETCHES).alias("k"))
-        .agg(F.expr(f"approx_top_k_accumulate(h, {COUNTERS})").alias("s"))
-        .groupBy(F.lit("all"))  # without rows there is then no sketch
-        .agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {COUNTERS}), {HEAVY})").alias("top"))
-    )
-    return sketches.select(F.explode("top").alias("x")).where(f"x.count >= {HEAVY // 4}").select(F.col("x.item").alias("h"))
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay).
 
@@ -395,7 +385,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
     anchors = materialize(source.mapInArrow(_anchors, _ANCHORS_DDL), "anchors")
     unsettled = anchors.where("h is not null")
-    heavy = materialize(_heavy(unsettled), "heavy")
+    heavy = materialize(heavy_hitters(unsettled, "h", HEAVY, COUNTERS, LEAST), "heavy")
     light = unsettled.join(F.broadcast(heavy), "h", "left_anti").select(*_ANCHORS.names)
     light = light.repartition("h").sortWithinPartitions("h", "c", "doc", "at").mapInArrow(_settle, _FATES_DDL)
     sliced = unsettled.join(F.broadcast(heavy), "h").select("doc", "at", "n", "lead", "h", F.lit(SLICED).cast("byte").alias("fate"))
