@@ -107,7 +107,7 @@ class _SurveyReader(DataSourceReader):
 
     def read(self, partition: _Tops) -> Iterator[tuple]:
         recursive = self.options.get("recursive", "true").lower() != "false"
-        yield from walk(partition.paths, recursive, self.options.get("exclude", "").split("\n"))
+        yield from walk(partition.paths if partition else [], recursive, self.options.get("exclude", "").split("\n"))
 
 
 def survey(spark: SparkSession, paths: list[str], recursive: bool = True, exclude: list[str] = ()) -> DataFrame:
@@ -231,7 +231,7 @@ class _ArchiveReader(DataSourceReader):
         return [_Books(i, p) for i, p in enumerate(parts) if p]
 
     def read(self, partition: _Books) -> Iterator[tuple]:
-        for path in partition.paths:
+        for path in partition.paths if partition else ():  # no archive at all: one empty partition
             try:
                 entries = zip_entries(path) if sniff(path) == "zip" else unpacked_entries(path)
                 for name, size, data, error in entries:
