@@ -22,6 +22,11 @@ def invalidate(table: DataFrame, gone: DataFrame) -> DataFrame:
     return table.join(gone.select("archive"), "archive", "left_anti")
 
 
+def put(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """``table`` with the rows of the archives in ``rows`` in place of its own."""
+    return invalidate(table, rows.select("archive").distinct()).unionByName(rows)
+
+
 def stale_errors(pages: DataFrame, codecs: str) -> DataFrame:
     """Pages that could not be decoded, by other decoders than the present ones."""
     return pages.where((F.coalesce("error", F.lit("")) != "") & (F.col("codecs").isNull() | (F.col("codecs") != codecs)))

@@ -5,24 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafsieve.functions.imaging import digest_pages
-from leafsieve.operators.incremental import cache_misses
+from leafsieve.functions.imaging import codec_fingerprint, digest_pages
+from leafsieve.operators.incremental import adopt_moved, cache_misses, stale_errors
 from leafsieve.operators.pages import read_metadata
 from leafsieve.runtime import materialize
 from leafsieve.sources.archives import archive_entries, metadata_entries, page_entries, survey
 
-PAGES = "archive string, name string, index int, size bigint, width int, height int, content_sha string, dhash bigint, flat boolean, error string"
+PAGES = (
+    "archive string, name string, index int, size bigint, width int, height int, content_sha string, dhash bigint, flat boolean, error string, codecs string"
+)
 BOOKS = "archive string, size bigint, mtime_ns bigint, page_count int, error string, series string, number string, title string"
 
 
 def scan(spark: SparkSession, paths: list[str], cached: tuple[DataFrame, DataFrame] | None = None, exclude: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(archives, pages) of the books under some paths; those of ``cached`` whose size and time stand are not read."""
+    """(archives, pages) of the books under some paths.
+
+    Of ``cached``, books whose size and time stand are not read again, unless a page of theirs failed with
+    other decoders than the present ones; nor is a book that is exactly one cached book under another path.
+    """
+    codecs = codec_fingerprint()
     files = materialize(survey(spark, paths, exclude=exclude).where("disposition = 'found'").drop("disposition"), "files")
     old_books, old_pages = cached or (spark.createDataFrame([], BOOKS), spark.createDataFrame([], PAGES))
-    todo = materialize(cache_misses(files, old_books), "todo")
+    stale = stale_errors(old_pages, codecs).select("archive").distinct()
+    good = old_books.join(stale, "archive", "left_anti")
+    misses = materialize(cache_misses(files, good), "misses")
+    moved = materialize(adopt_moved(misses, good), "moved")
+    todo = materialize(misses.join(moved.select("archive"), "archive", "left_anti"), "todo")
     # Paths are what a source is told to read; they are listed, not their contents.
     entries = materialize(archive_entries(spark, [r.archive for r in todo.select("archive").orderBy("archive").toLocalIterator()]), "entries")
-    new_pages = materialize(digest_pages(page_entries(entries)), "pages")
+    new_pages = materialize(digest_pages(page_entries(entries)).withColumn("codecs", F.lit(codecs)), "pages")
     meta = read_metadata(metadata_entries(entries), "xml").select("archive", "series", "number", "title")
     errors = entries.where("name is null").groupBy("archive").agg(F.first("error").alias("error"))
     counts = new_pages.groupBy("archive").agg(F.count("*").cast("int").alias("page_count"))
@@ -30,7 +41,12 @@ def scan(spark: SparkSession, paths: list[str], cached: tuple[DataFrame, DataFra
         "archive", "size", "mtime_ns", F.coalesce("page_count", F.lit(0)).alias("page_count"), "error",
         *(F.coalesce(c, F.lit("")).alias(c) for c in ("series", "number", "title")),
     )
-    same = files.join(todo.select("archive"), "archive", "left_anti").select("archive")
-    books = old_books.join(same, "archive", "left_semi").select(*new_books.columns).unionByName(new_books)
-    pages = old_pages.join(same, "archive", "left_semi").select(*new_pages.columns).unionByName(new_pages)
+    # What stands as it was, under the path where it is now.
+    same = files.join(misses.select("archive"), "archive", "left_anti").select("archive", F.col("archive").alias("old")).unionByName(moved)
+
+    def known(table: DataFrame) -> DataFrame:
+        return table.withColumnRenamed("archive", "old").join(same, "old").drop("old")
+
+    books = known(old_books).select(*new_books.columns).unionByName(new_books)
+    pages = known(old_pages).select(*new_pages.columns).unionByName(new_pages)
     return materialize(books, "books"), materialize(pages, "pages")

@@ -6,8 +6,10 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leafsieve.functions import comicinfo, imaging
+from leafsieve.operators import incremental
 from leafsieve.operators.groups import build_groups
 from leafsieve.operators.removal import build_plans, pages_to_remove
 from leafsieve.options import GroupingOptions, check_run, matching_preset
@@ -133,6 +135,17 @@ def test_scan_group_plan_apply_restore(spark, library, tmp_path):
     # A second scan reads the changed books only.
     again_books, again_pages = scan(spark, [str(library)], cached=(books, pages))
     assert again_pages.where("archive like '%book%'").count() == 12
+    # A book that has moved is not read again, and one with pages of other decoders is.
+    (library / "sub").mkdir()
+    os.rename(library / "book2.cbz", library / "sub" / "book2.cbz")
+    marked = again_pages.withColumn("dhash", F.lit(7).cast("long"))
+    bad = F.col("archive").endswith("book1.cbz") & (F.col("index") == 0)
+    marked = marked.withColumns({"error": F.when(bad, "old decoder").otherwise(F.col("error")), "codecs": F.when(bad, "other").otherwise(F.col("codecs"))})
+    third_books, third_pages = scan(spark, [str(library)], cached=(again_books, marked))
+    got = {r.archive.removeprefix(f"{library}/"): r.n for r in third_pages.groupBy("archive").agg(F.count_if(F.col("dhash") == 7).alias("n")).collect()}
+    assert got == {"book0.cbz": 4, "book1.cbz": 0, "sub/book2.cbz": 4} and third_books.count() == 4
+    put = incremental.put(third_pages, third_pages.where("archive like '%book0.cbz'").withColumn("size", F.lit(1).cast("long")))
+    assert put.count() == 12 and put.where("size = 1").count() == 4
     item = next(r.asDict() for r in done.collect() if r.archive.endswith("book1.cbz"))
     assert apply.restore(item, "can be restored") is None and (library / "book1.cbz").read_bytes() == before["book1.cbz"]
 
@@ -179,8 +192,6 @@ def test_names_agree(spark):
 
     names = ["a10.jpg", "a9.jpg", "A09.jpg", "10.jpg", "9.jpg", "b", "a", ".x.jpg", "d/.jpg", "d\\p.PNG", "x/", "__MACOSX/a.jpg", "Thumbs.db", "p1²3.webp", "007.jpg", "7.jpg", "1" * 60 + ".gif"]
     frame = spark.createDataFrame([(n,) for n in names], "name string")
-    from pyspark.sql import functions as F
-
     assert {r.name for r in frame.where(is_page_name(F.col("name"))).collect()} == {n for n in names if apply.is_page(n)}
     got = [r.name for r in frame.orderBy(natural_key(F.col("name")), "name").collect()]
     assert got == sorted(names, key=lambda n: (apply.natural(n), n))
