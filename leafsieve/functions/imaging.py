@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafsieve.runtime import ship
+
 #: Columns of the grid that is compared, less one, and the deviation below which a picture is flat. Fixed values.
 GRID, FLAT_DEVIATION = 8, 6.0
 #: Grey levels by which a pixel must differ to count as changed.
@@ -215,6 +217,7 @@ def _digest(contents: pa.Array) -> pa.Array:
 
 def digest_pages(entries: DataFrame) -> DataFrame:
     """The table of pages of entries (archive, name, index, size, content, error); a page that can't be decoded has an error, no digest and fingerprint 0."""
+    ship(entries.sparkSession)
     made = F.arrow_udf(_digest, "struct<width: int, height: int, dhash: bigint, flat: boolean, error: string>")
     out = entries.withColumn("made", made("content"))
     error = F.coalesce("error", "made.error")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafsieve.functions.hashing import band_keys, bands, hamming, ordered
 from leafsieve.operators.components import connected_components
-from leafsieve.runtime import materialize
+from leafsieve.runtime import materialize, ship
 
 #: Share of all pairs beyond which bands compare too much, and fingerprints in a block instead.
 MOST_CANDIDATES, BLOCK = 0.2, 4096
@@ -99,6 +99,7 @@ def similar_pairs(hashes: DataFrame, threshold: int, banded: bool | None = None)
     Exact either way: ``banded`` compares fingerprints that share a band, otherwise blocks are
     compared with one another, each pair of blocks in a task.
     """
+    ship(hashes.sparkSession)
     if banded is None:
         banded = candidate_share(threshold) <= MOST_CANDIDATES
     a = hashes.toDF("a")

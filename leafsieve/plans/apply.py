@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from leafsieve.functions import comicinfo
 from leafsieve.operators.pages import IMAGE_SUFFIXES, NO_PAGES, TEMP_PREFIX
-from leafsieve.runtime import materialize
+from leafsieve.runtime import materialize, ship
 from leafsieve.sources.archives import sniff, unpacked_entries
 
 PENDING = ".pending"
@@ -295,6 +295,7 @@ def apply_removals(plans: DataFrame, policy: Policy, journal: str, tasks: int =
 
     Few tasks work at once, since disks are the limit. Under an output folder, folders below ``root`` are mirrored.
     """
+    ship(plans.sparkSession)
     os.makedirs(journal, exist_ok=True)
     work = plans.select("archive", "removed").repartition(tasks, "archive")
     return materialize(work.mapInPandas(partial(_carry_out_batch, policy=policy, journal=journal, root=root), RESULTS), "results")

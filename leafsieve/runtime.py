@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,25 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for an application; they need not have it on their path."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="leafsieve-"), "leafsieve-package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in sorted(os.walk(top)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                out.write(full, os.path.relpath(full, os.path.dirname(top)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the table read back.
 
@@ -34,6 +55,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     files go when the application ends, or earlier with :func:`release`.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/leafsieve-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     fs, where = _file_system(spark, path)
@@ -53,4 +75,5 @@ def release(df: DataFrame) -> None:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

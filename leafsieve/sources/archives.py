@@ -18,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from leafsieve.operators.pages import ARCHIVE_SUFFIXES, TEMP_PREFIX, WALKED_SUFFIXES, is_page_name, reading_order
+from leafsieve.runtime import ship
 
 FILES = "archive string, size bigint, mtime_ns bigint, disposition string"
 ENTRIES = "archive string, name string, size bigint, content binary, error string"
@@ -112,6 +113,7 @@ class _SurveyReader(DataSourceReader):
 
 def survey(spark: SparkSession, paths: list[str], recursive: bool = True, exclude: list[str] = ()) -> DataFrame:
     """(archive, size, mtime_ns, disposition) of the files under some paths, each once, in order."""
+    ship(spark)
     spark.dataSource.register(SurveySource)
     reader = spark.read.format("leafsieve-survey").option("recursive", str(recursive)).option("exclude", "\n".join(exclude))
     found = reader.option("path", "\n".join(paths)).load()
@@ -242,6 +244,7 @@ class _ArchiveReader(DataSourceReader):
 
 def archive_entries(spark: SparkSession, paths: list[str], batch_bytes: int = 32 << 20) -> DataFrame:
     """(archive, name, size, content, error) of all entries."""
+    ship(spark)
     spark.dataSource.register(ArchiveSource)
     return spark.read.format("leafsieve-archives").option("paths", "\n".join(paths)).option("bytes", batch_bytes).load()
 
@@ -261,6 +264,7 @@ def zip_entries_of(files: DataFrame) -> DataFrame:
                     rows.append((path, None, 0, None, f"{type(failure).__name__}: {failure}"))
                 yield pd.DataFrame(rows, columns=["archive", "name", "size", "content", "error"])
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, ENTRIES)
 
 
