@@ -156,13 +156,13 @@ def build_groups_t0(spark, sf_dir):
     return _summary(_line_groups(spark, sf_dir).groups)
 
 
-@query("collect_pages", f"with {LINES}, {collected()} select archive, name, index, dhash, page_count from collected")
+@query("collect_pages", f"with {LINES}, {collected()} select archive, name, index::int as index, dhash, page_count::int as page_count from collected")
 def collect_pages(spark, sf_dir):
     out = groups.collect_pages(*_lines(spark, sf_dir), GroupingOptions())
     return out.select("archive", "name", "index", hashing.hex16(F.col("dhash")).alias("dhash"), "page_count")
 
 
-@query("near_edge", f"with {LINES} select archive, index, index < 3 or index >= page_count - 3 as near from page_facts join archives using (archive)")
+@query("near_edge", f"with {LINES} select archive, index::int as index, index < 3 or index >= page_count - 3 as near from page_facts join archives using (archive)")
 def near_edge(spark, sf_dir):
     found, books_ = _lines(spark, sf_dir)
     return found.join(books_.select("archive", "page_count"), "archive").select("archive", "index", text.near_edge(F.col("index"), F.col("page_count"), 3).alias("near"))
