@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafsieve.runtime import ship
+
 #: Marks of the template: a turn is OPEN role ROLE content CLOSE, and the assistant's, which
 #: alone lie under the loss mask, LEARN role ROLE content STOP.
 OPEN, CLOSE, LEARN, STOP, ROLE, PART, ENDPART = "[INST]", "[/INST]", "<s>", "</s>", "[ROLE]", "[PART]", "[/PART]"
@@ -127,6 +129,7 @@ def format_chats(
     ``loss_spans`` are the assistant's contents in ``formatted``, in code points. An
     empty table gives no row; further columns are ignored.
     """
+    ship(turns.sparkSession)
     visit = F.arrow_udf(_visit_parts if typed else _visit_text, _TURN_DDL)
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"),

@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafsieve.llm.textwork import tidy
+from leafsieve.runtime import ship
+
 #: Code points of labelled text that a language's automaton is built of, and the most of one text.
 SAMPLE, EACH = 24_000, 600
 #: Code points that are parsed in step; a phrase does not cross from one stretch to the next.
@@ -201,6 +204,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
     learned. Texts are read whole. Equal texts get equal answers, an empty table stays empty, and other
     columns stay as they are; one named ``out_col`` is replaced.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:
@@ -215,6 +219,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
             langs += found
             scores += score.tolist()
             at = stop
+        tidy()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], fields=list(_RESULT))
 
     return docs.withColumn(out_col, F.arrow_udf(run, "struct<lang: string, score: double>")(F.col(text_col)))

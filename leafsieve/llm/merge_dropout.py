@@ -20,8 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafsieve.llm.textwork import CACHE_WORDS, WordCache
+from leafsieve.llm.textwork import CACHE_WORDS, WordCache, tidy
 from leafsieve.llm.vocabulary import Vocabulary, load_vocabulary, units
+from leafsieve.runtime import ship
 
 DROPOUT, VARIANTS = 0.1, 4
 #: Units with more letters than this get an agenda of their own.
@@ -266,8 +267,10 @@ def encode_pieces(
         names, held, out = doc_ids.to_pylist(), texts.to_pylist(), []
         for k in range(0, len(held), 256):
             out += encoder(model_path, dropout, seed, variants).encode(held[k : k + 256], names[k : k + 256])
+        tidy()
         return pa.array(out, pa.binary())
 
+    ship(docs.sparkSession)
     return docs.withColumn(out_col, F.arrow_udf(run, "binary")(F.col(id_col), F.col(text_col)))
 
 
@@ -278,6 +281,7 @@ def decode_pieces(encoded: DataFrame, model_path: str, ids_col: str = "ids", out
         decode = encoder(model_path, 0.0, 0, 1).decode
         return pa.array([None if x is None else decode(x).decode("utf-8") for x in ids.to_pylist()], pa.string())
 
+    ship(encoded.sparkSession)
     return encoded.withColumn(out_col, F.arrow_udf(run, "string")(F.col(ids_col)))
 
 
@@ -293,8 +297,10 @@ def digest_pieces(docs: DataFrame, model_path: str, dropout: float = DROPOUT, se
             for text, ids in zip(held[k : k + 256], code.encode(held[k : k + 256], names[k : k + 256]), strict=True):
                 back = code.decode(ids)
                 out.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back).hexdigest(), back == (text or "").encode("utf-8", "surrogatepass")))
+        tidy()
         cols = list(zip(*out, strict=True)) or [[]] * len(_DIGEST)
         return pa.StructArray.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, _DIGEST, strict=True)], fields=list(_DIGEST))
 
+    ship(docs.sparkSession)
     made = F.arrow_udf(run, "struct<n_ids: bigint, ids_crc32: bigint, decoded_sha256: string, lossless: boolean>")
     return docs.select("doc_id", made("doc_id", "text").alias("made")).select("doc_id", "made.*")

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafsieve.llm.textwork import WordCache, slices
-from leafsieve.runtime import materialize
+from leafsieve.llm.textwork import WordCache, slices, tidy
+from leafsieve.runtime import materialize, ship
 
 WINDOW = 2048
 #: Open windows of a partition.
@@ -161,6 +161,7 @@ def _pack_partition(path: str, window: int, slots: int, sliver: int, keep_ids: b
                         done.append((number, pieces))
                         number += 1
                 yield _rows(done, None, keep_ids)
+            tidy()
         yield _rows(((number + k, pieces) for k, pieces in enumerate(packer.rest())), part, keep_ids)
 
     return run
@@ -215,6 +216,7 @@ def pack(
     come, an empty table gives no piece, further columns are ignored, and the ids of
     documents may be null. Only open windows, at most ``slots`` a partition, are shuffled.
     """
+    ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     packed = source.mapInArrow(_pack_partition(tokenizer_path, window, slots, sliver, keep_ids), _DDL)
     packed = materialize(packed, "packed")

@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafsieve.llm.textwork import BLANK, slices
+from leafsieve.llm.textwork import BLANK, slices, tidy
+from leafsieve.runtime import ship
 
 #: Share of code points in repeated n-grams beyond which a document goes, by n.
 MOST_COVERED = {5: 0.50, 7: 0.45, 10: 0.40}
@@ -149,6 +150,7 @@ def measure(texts: list[bytes]) -> pd.DataFrame:
 
 def _measure_batch(texts: pa.Array) -> pa.Array:
     parts = [measure(held) for _, held in slices(texts.to_pylist())]
+    tidy()
     frame = pd.concat(parts) if parts else pd.DataFrame({k: [] for k in FIELDS})
     return pa.StructArray.from_arrays([pa.array(frame[k], type=t) for k, t in FIELDS.items()], names=list(FIELDS))
 
@@ -159,6 +161,7 @@ def annotate_quality(docs: DataFrame, text_col: str = "text", out_col: str = "qu
     A null or empty text has no words, so it fails. Other columns stay as they are; one
     named ``out_col`` is replaced. Repeated rows are judged alike, an empty table stays empty.
     """
+    ship(docs.sparkSession)
     judge = F.arrow_udf(_measure_batch, SCHEMA)
     return docs.withColumn(out_col, judge(F.col(text_col)))
 

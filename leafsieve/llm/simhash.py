@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafsieve.llm.textwork import slices
+from leafsieve.llm.textwork import slices, tidy
 from leafsieve.operators.components import connected_components
-from leafsieve.runtime import materialize
+from leafsieve.runtime import materialize, ship
 
 #: Fingerprints link at so many differing bits or fewer.
 RADIUS = 4
@@ -58,11 +58,13 @@ def fingerprint(data: bytes, words: int = WORDS) -> int:
 
 def _fingerprints(texts: pa.Array) -> pa.Array:
     found = [fingerprint(data) for _, held in slices(texts.to_pylist()) for data in held]
+    tidy()
     return pa.array(np.array(found, dtype=np.uint64).view(np.int64), type=pa.int64())
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fp") -> DataFrame:
     """``docs`` with the fingerprint as a signed long; a null text has fingerprint 0, as an empty one."""
+    ship(docs.sparkSession)
     return docs.withColumn(out_col, F.arrow_udf(_fingerprints, "long")(F.col(text_col)))
 
 

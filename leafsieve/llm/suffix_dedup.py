@@ -32,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafsieve.llm.textwork import slices
+from leafsieve.llm.textwork import slices, tidy
 from leafsieve.operators.heavy import heavy_hitters
-from leafsieve.runtime import materialize, release
+from leafsieve.runtime import materialize, release, ship
 
 #: Bytes of the strings that are looked for, of the q-grams that can be anchors, and of initial buckets.
 LENGTH, GRAM, FIRST = 100, 32, 8
@@ -139,6 +139,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).to_numpy()
         for first, held in slices(batch.column(1).to_pylist()):
             yield _scan(ids[first : first + len(held)], held)
+        tidy()
 
 
 #: What becomes of a run: settled, cut out whole, cut out in slices.
@@ -241,6 +242,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield out.flush()
             if out.size > BATCH or len(out.rows) > 200_000:
                 yield out.flush()
+        tidy()
     yield out.flush()
 
 
@@ -260,6 +262,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if whole:
                 yield from _equal_windows(table.slice(0, whole))
                 held = [table.slice(whole)]
+                tidy()
                 size = held[0].column("payload").nbytes
     if held:
         yield from _equal_windows(pa.concat_tables(held))
@@ -382,6 +385,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with the same result; where texts differ under an id, what is found in either is removed from both. An
     empty table gives no rows; further columns are ignored.
     """
+    ship(docs.sparkSession)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
     anchors = materialize(source.mapInArrow(_anchors, _ANCHORS_DDL), "anchors")
     unsettled = anchors.where("h is not null")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of text that a worker handles at once; longer texts are handled alone.
 SLICE_BYTES = 1 << 20
 #: Entries of one generation of a WordCache.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 
 #: [\x20\x09-\x0D] as a table over bytes.
 BLANK = np.zeros(256, dtype=bool)
@@ -30,6 +32,14 @@ def slices(texts: Sequence[str | None], limit: int = SLICE_BYTES) -> Iterator[tu
         yield first, held
 
 
+def tidy() -> None:
+    """Give back memory that the allocators of Arrow and C hold but do not use; workers live on and share a machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class WordCache:
     """What is known of a word, for words that come again; two generations bound the memory.
 

@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafsieve.llm.textwork import WordCache
-from leafsieve.llm.vocabulary import SPACE, load_vocabulary, units
+from leafsieve.llm.textwork import WordCache, tidy
+from leafsieve.llm.vocabulary import SPACE, load_vocabulary, unigram_scores, units
+from leafsieve.runtime import ship
 
 #: What the tokenizer takes off the lowest score for an unknown letter, in 64ths.
 UNKNOWN_PENALTY = 640
@@ -70,13 +71,11 @@ class Counter:
         return np.array([s & ((1 << 40) - 1) for s in sums], dtype=np.int64), np.array([-(s >> 40) / 64 for s in sums])
 
 
-_counters: dict[tuple, Counter] = {}
+_counters: dict[str, Counter] = {}
 
 
-def counter(path: str, scores=None) -> Counter:
+def counter(path: str) -> Counter:
     """One counter for a worker, with what it knows of words from earlier tasks."""
-    from leafsieve.llm.vocabulary import unigram_scores
-
     if path not in _counters:
         vocabulary = load_vocabulary(path)
         _counters[path] = Counter(vocabulary.pieces, unigram_scores(vocabulary.scores), vocabulary.prefix)
@@ -98,6 +97,8 @@ def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", out_c
         held = texts.to_pylist()
         parts = [counter(model_path).count(held[k : k + 256]) for k in range(0, len(held), 256)]
         n, score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=np.int64), np.zeros(0))
+        tidy()
         return pa.StructArray.from_arrays([pa.array(n), pa.array(score)], fields=list(_RESULT))
 
+    ship(docs.sparkSession)
     return docs.withColumn(out_col, F.arrow_udf(run, "struct<n_tokens: bigint, score: double>")(F.col(text_col)))
