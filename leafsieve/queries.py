@@ -911,7 +911,7 @@ def human_bytes(spark, sf_dir):
 @query("safe_part", r"""select doc_id, case when s = '' then 'page' else s end as part from (select doc_id, trim(regexp_replace(regexp_replace(substr(source || '/. a:b' || text[1:20], 1), '^.*/', ''), '[<>:"/|?*\\\x00-\x1f]', '_', 'g'), ' .') as s from documents)""")
 def safe_part(spark, sf_dir):
     raw = F.concat("source", F.lit("/. a:b"), F.substring("text", 1, 20))
-    return load(spark, sf_dir, "documents").where(~F.col("text").rlike("^.{0,20}[/\\\\]")).select("doc_id", text.safe_part(raw).alias("part"))
+    return load(spark, sf_dir, "documents").select("doc_id", text.safe_part(raw).alias("part"))
 
 
 @query("renumber_pages", "select doc_id, (doc_id % 20 - (case when doc_id % 20 > 3 then 1 else 0 end) - (case when doc_id % 20 > 4 then 1 else 0 end))::int as image from documents where doc_id % 20 not in (3, 4) union all select doc_id, null from documents where doc_id % 20 in (3, 4)")
