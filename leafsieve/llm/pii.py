@@ -2,8 +2,8 @@
 
 Everything is a column expression over one row, so nothing is shuffled and no Python runs.
 For each kind the text is split at the pattern; the lengths of the pieces and of the hits
-give the offsets in code points, and the piece before a hit is its context. Possessive
-quantifiers and a look-behind keep the patterns linear on long runs; they accept the same
+give the offsets in code points, and the text just before a hit, earlier hits included, is
+its context. Possessive quantifiers and a look-behind keep the patterns linear on long runs; they accept the same
 spans as the plain forms.
 """
 
@@ -90,6 +90,8 @@ KINDS = (
 ACCEPT = 0.5
 #: Code points before a hit in which a context word counts.
 CONTEXT = 48
+#: For kinds that are not of the base: after an earlier hit, this names a number of another sort, and the context begins behind that hit.
+OTHER = "(?i)\\bcode\\b"
 _SPANS = "array<struct<start:bigint,rank:int,stop:bigint,kind:string,score:double>>"
 
 
@@ -100,7 +102,9 @@ def _quoted(text: str) -> str:
 def _spans_sql(text: str, kind: Kind, rank: int) -> str:
     """SQL for the valid hits of one kind, in order; only texts that hold what the kind needs are scanned."""
     pattern = _quoted(kind.pattern)
-    score = f"round({kind.prior}D + if(rlike(right(x.p, {CONTEXT}), {_quoted(kind.words)}), {kind.bonus}D, 0D), 2)"
+    # The context may begin before the piece, in earlier hits and pieces; acc.before carries their end.
+    before = "acc.before" if kind.base else f"if(rlike(x.p, {_quoted(OTHER)}), '', acc.before)"
+    score = f"round({kind.prior}D + if(rlike(right(concat({before}, x.p), {CONTEXT}), {_quoted(kind.words)}), {kind.bonus}D, 0D), 2)"
     valid = f"element_at(transform(array(x.h), h -> {kind.valid}), 1)" + ("" if kind.base else f" and {score} >= {ACCEPT}D")
     span = (
         f"named_struct('start', acc.at + char_length(x.p), 'rank', {rank}, 'stop', acc.at + char_length(x.p) + char_length(x.h),"
@@ -108,9 +112,10 @@ def _spans_sql(text: str, kind: Kind, rank: int) -> str:
     )
     return f"""if(rlike({text}, {_quoted(kind.needs)}), aggregate(
         zip_with(regexp_extract_all({text}, {pattern}, 0), split({text}, {pattern}, -1), (h, p) -> named_struct('h', h, 'p', p)),
-        named_struct('at', 0L, 'spans', cast(array() as {_SPANS})),
+        named_struct('at', 0L, 'before', '', 'spans', cast(array() as {_SPANS})),
         (acc, x) -> if(x.h is null, acc, named_struct(
             'at', acc.at + char_length(x.p) + char_length(x.h),
+            'before', right(concat({before}, x.p, x.h), {CONTEXT}),
             'spans', if({valid}, concat(acc.spans, array({span})), acc.spans))),
         acc -> acc.spans), cast(array() as {_SPANS}))"""
 
