@@ -1,11 +1,12 @@
 """Encoding by merges with seeded dropout, and decoding.
 
 A unit starts as letters; candidate merges wait in an agenda by rank, the leftmost of equals
-first. Each candidate is skipped when a keyed hash of the seed, the unit, the place and the
-piece falls below the dropout, so one seed always gives one segmentation, another seed another,
-and any of them decodes to the same text. Texts fall into a few variants by a hash of
-their id, so a word is segmented differently in different texts and can still be remembered.
-The agendas of many units are worked off in step with array operations.
+first. Each candidate is skipped when a keyed hash of the seed, the id of the text, the place of
+the unit in the text, the place in the unit and the piece falls below the dropout, so one seed
+always gives one segmentation, another seed another, and any of them decodes to the same text.
+What a unit becomes depends on which of its candidates are skipped and on nothing else: all
+candidates of a unit are drawn at once, and units whose skipped candidates were met before are
+remembered. The agendas of the others are worked off in step with array operations.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,11 @@ from leafsieve.llm.textwork import CACHE_WORDS, WordCache, tidy
 from leafsieve.llm.vocabulary import Vocabulary, load_vocabulary, units
 from leafsieve.runtime import ship
 
-DROPOUT, VARIANTS = 0.1, 4
+DROPOUT = 0.1
+#: Units whose candidates are remembered, and outcomes of a unit and its skipped candidates in a generation.
+KNOWN_UNITS, KNOWN_OUTCOMES = 150_000, 250_000
+#: Units that are drawn at once, how often a unit is among them to be remembered, and the most candidates it may have for that (bits of a mask).
+DRAWN, OFTEN, MASK = 1 << 16, 3, 64
 #: Units with more letters than this get an agenda of their own.
 IN_STEP = 64
 _NONE = np.int64(1 << 40)
@@ -112,13 +118,22 @@ def _dropped(key: np.ndarray, start: np.ndarray, piece: np.ndarray, limit: int)
     return h < np.uint64(limit)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well-mixed 64 bits of each number."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class DropoutEncoder:
-    """Encodes texts with one seed, dropout and number of variants."""
+    """Encodes texts with one seed and dropout; each unit of each text is drawn anew, or, if ``variants`` is given, texts share that many draws of a word."""
 
-    def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = 0, variants: int = VARIANTS):
+    def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = 0, variants: int | None = None):
         self.merges, self.prefix = Merges(vocabulary), vocabulary.prefix
-        self.limit, self.seed, self.variants = int(dropout * 2**64) if dropout < 1 else 2**64 - 1, seed, max(variants, 1)
-        self.caches = [WordCache(lambda words, v=v: self.encode_units(words, v), limit=CACHE_WORDS // self.variants) for v in range(self.variants)]
+        self.limit, self.seed, self.variants = int(dropout * 2**64) if dropout < 1 else 2**64 - 1, seed, variants and max(variants, 1)
+        self.caches = [WordCache(lambda words, v=v: self.encode_units(words, v), limit=CACHE_WORDS // self.variants) for v in range(self.variants or 0)]
+        self._forget()
         strings = {i: p.encode() for p, i in vocabulary.pieces.items()} | {i: bytes([b]) for b, i in enumerate(vocabulary.bytes_)}
         self.strings = [strings.get(i, b"") for i in range(len(vocabulary.scores))]
 
@@ -130,8 +145,12 @@ class DropoutEncoder:
         return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), mixed) for w in words], dtype=np.uint64)
 
     def encode_units(self, words: list[str], variant: int) -> list[bytes]:
+        return self.encode_keyed(words, self.keys(words, variant))
+
+    def encode_keyed(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of each word, its candidates drawn by its key."""
         out: list[bytes] = [b""] * len(words)
-        keys, sizes = self.keys(words, variant), np.array([len(w) for w in words])
+        sizes = np.array([len(w) for w in words])
         low = 0
         for high in (4, 8, 12, 20, 36, IN_STEP):
             chosen = np.flatnonzero((sizes > low) & (sizes <= high))
@@ -196,8 +215,8 @@ class DropoutEncoder:
             for i, (ok, n, stop) in enumerate(zip(plain.tolist(), ends.tolist(), stops.tolist(), strict=True))
         ]
 
-    def agenda(self, word: str, key: np.uint64) -> np.ndarray:
-        """The symbols of one unit, by an agenda of its own; as those of the units in step."""
+    def agenda(self, word: str, key: np.uint64, met: dict | None = None) -> np.ndarray:
+        """The symbols of one unit, by an agenda of its own; as those of the units in step. With ``met`` nothing is skipped, and candidates go into it."""
         symbol = self.merges.symbols(word).tolist()
         after, before = list(range(1, len(symbol) + 1)), list(range(-1, len(symbol) - 1))
         alive, heap = [True] * len(symbol), []
@@ -206,7 +225,9 @@ class DropoutEncoder:
         def propose(i: int) -> None:
             j = after[i] if i >= 0 else len(symbol)
             made = self.merges.pairs.get(symbol[i] << 32 | symbol[j]) if 0 <= i and j < len(symbol) else None
-            if made is not None and not _dropped(keyed, np.array([i]), np.array([made]), self.limit)[0]:
+            if made is not None and met is not None:
+                met[i, made] = None
+            if made is not None and (met is not None or not _dropped(keyed, np.array([i]), np.array([made]), self.limit)[0]):
                 heapq.heappush(heap, (int(self.merges.rank[made]), i, symbol[i], symbol[j], made))
 
         for i in range(len(symbol)):
@@ -226,6 +247,8 @@ class DropoutEncoder:
     def encode(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes]:
         """Ids (little-endian, 32 bits) of each text; null as empty."""
         split = [units(t, self.prefix) if t else [] for t in texts]
+        if self.variants is None:
+            return self._drawn_texts(split, doc_ids)
         variants = [self.variant(i) for i in doc_ids]
         out: list[bytes] = [b""] * len(texts)
         for v in set(variants):
@@ -235,6 +258,111 @@ class DropoutEncoder:
                 out[k] = b"".join(map(known.__getitem__, split[k]))
         return out
 
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.plain: list[bytes] = []
+        #: By unit: its first candidate in ``drawn``, their number, and the mask of those that are met if none is skipped.
+        self.first, self.count = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.met, self.drawn, self.used = np.zeros(1024, dtype=np.uint64), np.zeros(1024, dtype=np.uint64), 0
+        self.young: dict[tuple[int, int], bytes] = {}
+        self.old: dict[tuple[int, int], bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        """Candidates of units that are new: every piece in a unit is one. Units with too many of them have the index -1."""
+        pieces, longest = self.merges.pieces, max(map(len, self.merges.pieces), default=0)
+        for word in words:
+            n, met = len(word), {}
+            self.index[word] = -1
+            if n > IN_STEP:
+                continue
+            found = [(i, pieces[word[i:j]]) for i in range(n - 1) for j in range(i + 2, min(n, i + longest) + 1) if word[i:j] in pieces]
+            if len(found) > MASK:
+                continue
+            symbols = self.agenda(word, np.uint64(0), met)
+            order = [*met, *(c for c in found if c not in met)]
+            k, size = len(self.plain), len(order)
+            if k == len(self.first):
+                self.first, self.count, self.met = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count, self.met))
+            if self.used + size > len(self.drawn):
+                self.drawn = np.concatenate((self.drawn, np.zeros_like(self.drawn)))
+            self.first[k], self.count[k], self.met[k] = self.used, size, (1 << len(met)) - 1
+            if size:
+                pair = np.array(order, dtype=np.uint64)
+                with np.errstate(over="ignore"):
+                    self.drawn[self.used : self.used + size] = (pair[:, 0] * _K2) ^ (pair[:, 1] * _K3)
+            self.used += size
+            self.index[word] = k
+            self.plain.append(self.merges.ids(symbols))
+
+    def unit_keys(self, doc_id: int | None, n: int) -> np.ndarray:
+        """The keys of the first ``n`` units of a text."""
+        with np.errstate(over="ignore"):
+            return _mixed(np.uint64(xxhash.xxh3_64_intdigest(f"{self.seed}:{doc_id}")) + np.arange(1, n + 1, dtype=np.uint64) * _K1)
+
+    def _masks(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which candidates of each known unit are skipped; 0 too if none is that would be met without the others."""
+        count = self.count[at]
+        owner = np.repeat(np.arange(len(at)), count)
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        none = np.zeros(len(owner), dtype=np.uint64)
+        hit = np.flatnonzero(_dropped(keys[owner] ^ self.drawn[np.repeat(self.first[at], count) + inside], none, none, self.limit))
+        out = np.zeros(len(at), dtype=np.uint64)
+        if len(hit):
+            who, bits = owner[hit], np.uint64(1) << inside[hit].astype(np.uint64)
+            begin = np.flatnonzero(np.diff(who, prepend=-1))
+            out[who[begin]] = np.bitwise_or.reduceat(bits, begin)
+        return np.where(out & self.met[at], out, np.uint64(0))
+
+    def _drawn(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """As encode_keyed, with what is known."""
+        often = [w for w, n in Counter(words).items() if n >= OFTEN]
+        new = [w for w in often if w not in self.index]
+        if new:
+            if len(self.index) + len(new) > KNOWN_UNITS:
+                self._forget()
+                new = often
+            self._learn(new)
+        if len(self.young) > KNOWN_OUTCOMES:
+            self.old, self.young = self.young, {}
+        get = self.index.get
+        at = np.array([get(w, -1) for w in words], dtype=np.int64)
+        plain = self.plain
+        out = [plain[k] if k >= 0 else b"" for k in at.tolist()]
+        known = np.flatnonzero(at >= 0)
+        masks = self._masks(at[known], keys[known])
+        skipped = np.flatnonzero(masks)
+        places = known[skipped]
+        young, old, missing, waiting = self.young, self.old, {}, []
+        for i, name in zip(places.tolist(), zip(at[places].tolist(), masks[skipped].tolist(), strict=True), strict=True):
+            ids = young.get(name)
+            if ids is None:
+                ids = old.get(name)
+                if ids is None:
+                    missing.setdefault(name, i)
+                    waiting.append((i, name))
+                    continue
+                young[name] = ids
+            out[i] = ids
+        alone = np.flatnonzero(at < 0).tolist()
+        todo = [*missing.values(), *alone]
+        if todo:
+            made = self.encode_keyed([words[i] for i in todo], keys[todo])
+            young.update(zip(missing, made, strict=False))
+            for i, name in waiting:
+                out[i] = young[name]
+            for i, ids in zip(alone, made[len(missing) :], strict=True):
+                out[i] = ids
+        return out
+
+    def _drawn_texts(self, split: list[list[str]], doc_ids: list[int | None]) -> list[bytes]:
+        words = [w for s in split for w in s]
+        keys = np.concatenate([self.unit_keys(d, len(s)) for d, s in zip(doc_ids, split, strict=True)]) if split else np.zeros(0, dtype=np.uint64)
+        ids: list[bytes] = []
+        for k in range(0, len(words), DRAWN):
+            ids += self._drawn(words[k : k + DRAWN], keys[k : k + DRAWN])
+        stops = np.cumsum([len(s) for s in split]).tolist()
+        return [b"".join(ids[stop - len(s) : stop]) for s, stop in zip(split, stops, strict=True)]
+
     def decode(self, ids: bytes) -> bytes:
         """The text, in UTF-8, that the ids stand for."""
         joined = b"".join(map(self.strings.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -244,7 +372,7 @@ class DropoutEncoder:
 _encoders: dict[tuple, DropoutEncoder] = {}
 
 
-def encoder(path: str, dropout: float, seed: int, variants: int) -> DropoutEncoder:
+def encoder(path: str, dropout: float, seed: int, variants: int | None) -> DropoutEncoder:
     """One encoder for a worker, with what it knows of words from earlier tasks."""
     key = path, dropout, seed, variants
     if key not in _encoders:
@@ -254,13 +382,13 @@ def encoder(path: str, dropout: float, seed: int, variants: int) -> DropoutEncod
 
 def encode_pieces(
     docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids",
-    dropout: float = DROPOUT, seed: int = 0, variants: int = VARIANTS,
+    dropout: float = DROPOUT, seed: int = 0, variants: int | None = None,
 ) -> DataFrame:
     """``docs`` with the ids (little-endian, 32 bits, binary) of a segmentation under ``seed``.
 
     Any segmentation decodes to the text, byte for byte. A literal U+2581 goes as bytes, so that it does not come
     back as a space. A null or empty text has no ids; a null id is a key like any other; rows with equal ids and
-    texts get equal ids. Other columns stay; one named ``out_col`` is replaced. With a dropout of 0 this is the tokenizer's own segmentation.
+    texts get equal ids. With ``variants``, texts share that many segmentations of a word. Other columns stay; one named ``out_col`` is replaced. With a dropout of 0 this is the tokenizer's own segmentation.
     """
 
     def run(doc_ids: pa.Array, texts: pa.Array) -> pa.Array:
@@ -288,7 +416,7 @@ def decode_pieces(encoded: DataFrame, model_path: str, ids_col: str = "ids", out
 _DIGEST = pa.struct([("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("lossless", pa.bool_())])
 
 
-def digest_pieces(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: int = 0, variants: int = VARIANTS) -> DataFrame:
+def digest_pieces(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: int = 0, variants: int | None = None) -> DataFrame:
     """doc_id, the number and CRC-32 of the ids of its text, the SHA-256 of what they decode to, and whether that is the text; ids stay in the worker."""
 
     def run(doc_ids: pa.Array, texts: pa.Array) -> pa.Array:
