@@ -24,6 +24,10 @@ GRID, FLAT_DEVIATION = 8, 6.0
 CHANGED = 16
 
 
+#: First column and row and the steps of the passes of an interlaced PNG.
+_ADAM7 = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
 class DecodeError(ValueError):
     """A picture that can't be read."""
 
@@ -40,22 +44,44 @@ def _png(data: bytes) -> np.ndarray:
         elif kind == b"IDAT":
             parts.append(body)
         at += 12 + size
-    if not head or head[2] != 8 or head[6]:
-        raise DecodeError("a PNG of another depth than 8, or interlaced")
-    width, height, _, colour = head[:4]
+    width, height, depth, colour, _, _, interlaced = head
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    raw = np.frombuffer(zlib.decompress(b"".join(parts)), dtype=np.uint8).reshape(height, 1 + width * channels)
-    out = np.zeros((height, width * channels), dtype=np.uint8)
-    before = np.zeros(width * channels, dtype=np.uint8)
+    raw = np.frombuffer(zlib.decompress(b"".join(parts)), dtype=np.uint8)
+    pixels, at = np.zeros((height, width, channels), dtype=np.uint8), 0
+    for x, y, dx, dy in _ADAM7 if interlaced else ((0, 0, 1, 1),):
+        w, h = -(-(width - x) // dx), -(-(height - y) // dy)
+        if w <= 0 or h <= 0:
+            continue
+        stride = (w * channels * depth + 7) // 8
+        rows = _unfiltered(raw[at : at + h * (1 + stride)].reshape(h, 1 + stride), max(1, channels * depth // 8))
+        at += h * (1 + stride)
+        if depth == 16:
+            rows = rows[:, ::2]
+        elif depth < 8:
+            rows = np.unpackbits(rows, axis=1).reshape(h, -1, depth) @ (1 << np.arange(depth)[::-1])
+            rows = rows[:, :w] * (1 if colour == 3 else 255 // ((1 << depth) - 1))
+        pixels[y::dy, x::dx] = rows.reshape(h, w, channels)
+    if colour == 3:
+        pixels = palette[pixels[:, :, 0]]
+    elif colour in (4, 6):
+        pixels = pixels[:, :, :-1]
+    return pixels
+
+
+def _unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
+    """Rows of bytes without their filters; ``step`` bytes are a pixel."""
+    height, stride = raw.shape[0], raw.shape[1] - 1
+    out = np.zeros((height, stride), dtype=np.uint8)
+    before = np.zeros(stride, dtype=np.uint8)
     for y in range(height):
         kind, row = raw[y, 0], raw[y, 1:].copy()
         if kind == 2:
             row += before
         elif kind in (1, 3, 4):
-            # These go from pixel to pixel, all channels of a pixel at once.
-            row2, up = row.reshape(width, channels).astype(np.int32), before.reshape(width, channels).astype(np.int32)
-            left, corner = np.zeros(channels, dtype=np.int32), np.zeros(channels, dtype=np.int32)
-            for x in range(width):
+            # These go from pixel to pixel, all bytes of a pixel at once.
+            row2, up = row.reshape(-1, step).astype(np.int32), before.reshape(-1, step).astype(np.int32)
+            left, corner = np.zeros(step, dtype=np.int32), np.zeros(step, dtype=np.int32)
+            for x in range(len(row2)):
                 if kind == 1:
                     guess = left
                 elif kind == 3:
@@ -68,12 +94,7 @@ def _png(data: bytes) -> np.ndarray:
                 left, corner = row2[x], up[x]
             row = row2.reshape(-1).astype(np.uint8)
         out[y] = before = row
-    pixels = out.reshape(height, width, channels)
-    if colour == 3:
-        pixels = palette[pixels[:, :, 0]]
-    elif colour in (4, 6):
-        pixels = pixels[:, :, :-1]
-    return pixels
+    return out
 
 
 def _netpbm(data: bytes) -> np.ndarray:
@@ -110,7 +131,7 @@ def _bmp(data: bytes) -> np.ndarray:
 
 def codec_fingerprint() -> str:
     """16 digits that change when other kinds of pictures can be decoded than before."""
-    kinds = ["png", "netpbm", "bmp"]
+    kinds = ["png of all depths", "netpbm", "bmp"]
     try:
         import PIL
         from PIL import Image, features
@@ -124,22 +145,24 @@ def codec_fingerprint() -> str:
 
 def decode(data: bytes) -> np.ndarray:
     """Pixels (height, width, 1 or 3), 8 bits each."""
-    try:
-        if data.startswith(b"\x89PNG"):
-            return _png(data)
-        if data[:2] in (b"P5", b"P6"):
-            return _netpbm(data)
-        if data[:2] == b"BM":
-            return _bmp(data)
+    own = _png if data.startswith(b"\x89PNG") else _netpbm if data[:2] in (b"P5", b"P6") else _bmp if data[:2] == b"BM" else None
+    failure: Exception = DecodeError("no decoder for this kind of picture")
+    if own:
         try:
-            from PIL import Image
-        except ImportError:
-            raise DecodeError("no decoder for this kind of picture") from None
+            return own(data)
+        except Exception as refused:
+            failure = refused
+    try:
+        from PIL import Image
+
         return np.asarray(Image.open(io.BytesIO(data)).convert("RGB"))
-    except DecodeError:
-        raise
-    except Exception as failure:
-        raise DecodeError(f"could not decode image: {failure}") from failure
+    except ImportError:
+        pass
+    except Exception as refused:
+        failure = refused
+    if isinstance(failure, DecodeError):
+        raise failure
+    raise DecodeError(f"could not decode image: {failure}") from failure
 
 
 def grey(pixels: np.ndarray) -> np.ndarray:
