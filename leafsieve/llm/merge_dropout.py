@@ -413,22 +413,27 @@ def decode_pieces(encoded: DataFrame, model_path: str, ids_col: str = "ids", out
     return encoded.withColumn(out_col, F.arrow_udf(run, "string")(F.col(ids_col)))
 
 
-_DIGEST = pa.struct([("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("lossless", pa.bool_())])
+_CHECKED = pa.struct([("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("lossless", pa.bool_()), ("ids", pa.binary())])
+_CHECKED_DDL = "struct<n_ids: bigint, ids_crc32: bigint, decoded_sha256: string, lossless: boolean, ids: binary>"
 
 
-def digest_pieces(docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: int = 0, variants: int | None = None) -> DataFrame:
-    """doc_id, the number and CRC-32 of the ids of its text, the SHA-256 of what they decode to, and whether that is the text; ids stay in the worker."""
+def encode_checked(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = 0, variants: int | None = None) -> DataFrame:
+    """doc_id, and of the ids of its text: n_ids, ids_crc32, decoded_sha256 (of what they decode to), lossless (whether that is the text), ids.
+
+    The ids are those of :func:`encode_pieces`, and they are decoded where they are made. A null or empty text has
+    no ids and decodes to the empty text; every row gives a row, an empty table none; other columns are not read.
+    """
 
     def run(doc_ids: pa.Array, texts: pa.Array) -> pa.Array:
         code, names, held, out = encoder(model_path, dropout, seed, variants), doc_ids.to_pylist(), texts.to_pylist(), []
         for k in range(0, len(held), 256):
             for text, ids in zip(held[k : k + 256], code.encode(held[k : k + 256], names[k : k + 256]), strict=True):
                 back = code.decode(ids)
-                out.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back).hexdigest(), back == (text or "").encode("utf-8", "surrogatepass")))
+                out.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back).hexdigest(), back == (text or "").encode("utf-8", "surrogatepass"), ids))
         tidy()
-        cols = list(zip(*out, strict=True)) or [[]] * len(_DIGEST)
-        return pa.StructArray.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, _DIGEST, strict=True)], fields=list(_DIGEST))
+        cols = list(zip(*out, strict=True)) or [[]] * len(_CHECKED)
+        return pa.StructArray.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, _CHECKED, strict=True)], fields=list(_CHECKED))
 
     ship(docs.sparkSession)
-    made = F.arrow_udf(run, "struct<n_ids: bigint, ids_crc32: bigint, decoded_sha256: string, lossless: boolean>")
-    return docs.select("doc_id", made("doc_id", "text").alias("made")).select("doc_id", "made.*")
+    made = F.arrow_udf(run, _CHECKED_DDL)(F.col(id_col), F.col(text_col))
+    return docs.select(F.col(id_col).alias("doc_id"), made.alias("made")).select("doc_id", "made.*")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafsieve.llm.chat_format import CONTROLS, CLOSE, LEARN, OPEN, ROLE, STOP, digest_chats, format_chats
 from leafsieve.llm.exact_dedup import exact_dedup
 from leafsieve.llm.language_id import fit, held_out, identify
-from leafsieve.llm.merge_dropout import digest_pieces
+from leafsieve.llm.merge_dropout import encode_checked
 from leafsieve.llm.packing import pack
 from leafsieve.llm.pii import find_pii
 from leafsieve.llm.quality import annotate_quality
@@ -38,9 +38,8 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids under one seed, as digests, and whether they decode to the text."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return digest_pieces(docs, tokenizer_path("piece_bpe_32k.model"))
+    """Ids under one seed, their digest, and whether they decode to the text."""
+    return encode_checked(load(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

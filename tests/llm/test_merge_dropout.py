@@ -1,9 +1,12 @@
 import hashlib
+import re
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tests.llm.fixtures import small, table
@@ -80,6 +83,60 @@ def test_seeds_and_ids_vary_but_repeat(vocabulary, dropping, plain):
     assert len(letters) == 4 * 7
 
 
+def brute(proc, text, doc_id, dropout, seed=0):
+    """Ids by a plain loop: of the neighbours that make a piece and are not skipped, those with the best score merge, the leftmost of equals."""
+    mask = (1 << 64) - 1
+    pieces = {proc.id_to_piece(i): i for i in range(proc.vocab_size()) if not (proc.is_byte(i) or proc.is_control(i) or proc.is_unknown(i))}
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def skipped(key, start, piece):
+        h = key ^ start * 0xC2B2AE3D27D4EB4F & mask ^ piece * 0x165667B19E3779F9 & mask
+        h = (h ^ h >> 33) * 0x9E3779B97F4A7C15 & mask
+        h = (h ^ h >> 29) * 0xC2B2AE3D27D4EB4F & mask
+        return h ^ h >> 32 < int(dropout * 2**64)
+
+    out = []
+    for number, unit in enumerate(re.findall(r" +[^ \n]*|[^ \n]+|\n", f" {text}" if text else "")):
+        key = mixed(xxhash.xxh3_64_intdigest(f"{seed}:{doc_id}") + (number + 1) * 0x9E3779B97F4A7C15 & mask)
+        parts, starts = [c.replace(" ", "▁") if c != "▁" else None for c in unit], list(range(len(unit)))
+        while True:
+            best = None
+            for k in range(len(parts) - 1):
+                piece = pieces.get(parts[k] + parts[k + 1]) if parts[k] and parts[k + 1] else None
+                if piece is not None and (best is None or proc.get_score(piece) > best[0]) and not skipped(key, starts[k], piece):
+                    best = proc.get_score(piece), k
+            if best is None:
+                break
+            k = best[1]
+            parts[k : k + 2], starts[k : k + 2] = [parts[k] + parts[k + 1]], [starts[k]]
+        for part in parts:
+            known = pieces.get(part) if part else None
+            out += [known] if known is not None else [proc.piece_to_id(f"<0x{b:02X}>") for b in (part or "▁").encode()]
+    return out
+
+
+def test_query_equals_brute_force(spark, library):
+    """Whole texts, each occurrence of a word drawn by itself; nothing is shared with the operator."""
+    texts = {r.doc_id: r.text for r in small(spark).collect()}
+    rows = {r.doc_id: r for r in op3_merge_dropout(spark, "/root/testdata/sf0.001").collect()}
+    assert set(rows) == set(texts)
+    for i, text in texts.items():
+        ids = bytes(rows[i].ids)
+        assert rows[i].n_ids == len(ids) // 4 and rows[i].ids_crc32 == zlib.crc32(ids)
+        if len(text) < 3000:
+            assert numbers(ids) == brute(library, text, i, 0.1), i
+
+
+def test_cases_equal_brute_force(vocabulary, library):
+    code = DropoutEncoder(vocabulary, 0.3, 7)
+    for k, text in enumerate([*CASES, "▁ literal a▁b", "the singing thing tests nothing interesting " * 9]):
+        assert numbers(code.encode([text], [k])[0]) == brute(library, text, k, 0.3, 7), repr(text)
+
+
 def test_frames(spark):
     texts = [None, "", "▁ literal", "one two", *CASES]
     docs = table(spark, texts)
