@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,10 @@ DROPOUT = 0.1
 #: Units whose candidates are remembered, and outcomes of a unit and its skipped candidates in a generation.
 KNOWN_UNITS, KNOWN_OUTCOMES = 150_000, 250_000
 #: Units that are drawn at once, how often a unit is among them to be remembered, and the most candidates it may have for that (bits of a mask).
-DRAWN, OFTEN, MASK = 1 << 16, 3, 64
+DRAWN, OFTEN, MASK = 1 << 17, 12, 64
 #: Units with more letters than this get an agenda of their own.
 IN_STEP = 64
-_NONE = np.int64(1 << 40)
+_NONE = np.int32(1 << 30)
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -45,7 +46,7 @@ class Merges:
         self.base = len(vocabulary.scores)
         order = sorted({vocabulary.scores[i] for i in self.pieces.values()}, reverse=True)
         ranks = {s: k for k, s in enumerate(order)}
-        self.rank = np.array([ranks.get(s, 0) for s in vocabulary.scores], dtype=np.int64)
+        self.rank = np.array([ranks.get(s, 0) for s in vocabulary.scores], dtype=np.int32)
         top = max((ord(c) for p in self.pieces for c in p), default=0)
         self.letters = np.arange(self.base, self.base + top + 2, dtype=np.int64)
         for piece, i in self.pieces.items():
@@ -59,8 +60,8 @@ class Merges:
                     pairs[left << 32 | right] = i
         self.pairs = pairs
         # An open hash table with few collisions, looked up for many pairs at once.
-        self.bits = max(4, (16 * len(pairs)).bit_length())
-        self.keys, self.made = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, -1, dtype=np.int64)
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.keys, self.made = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, -1, dtype=np.int32)
         for key, i in pairs.items():
             at = int(self._slot(np.array([key]))[0])
             while self.keys[at] >= 0:
@@ -78,11 +79,11 @@ class Merges:
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that each pair of symbols makes, or -1."""
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = self._slot(keys)
-        out = self.made[at]
-        odd = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] >= 0))
-        out = np.where(self.keys[at] == keys, out, -1)
+        there = self.keys[at]
+        out = np.where(there == keys, self.made[at], np.int32(-1))
+        odd = np.flatnonzero((there != keys) & (there >= 0))
         while len(odd):
             at[odd] = (at[odd] + 1) & ((1 << self.bits) - 1)
             hit = self.keys[at[odd]] == keys[odd]
@@ -166,53 +167,61 @@ class DropoutEncoder:
     def _candidates(self, key, start, left, right):
         """(rank, piece) of candidate merges; skipped ones and ones that make no piece have the rank _NONE."""
         piece = self.merges.merged(left, right)
-        good = piece >= 0
-        good[good] = ~_dropped(key[good], start[good], piece[good], self.limit)
-        return np.where(good, self.merges.rank[piece], _NONE), piece
+        rank = np.full(len(piece), _NONE, dtype=np.int32)
+        good = np.flatnonzero(piece >= 0)
+        made = piece[good]
+        stay = ~_dropped(key[good], start[good], made, self.limit)
+        rank[good[stay]] = self.merges.rank[made[stay]]
+        return rank, piece
 
     def _in_step(self, words: list[str], keys: np.ndarray, width: int) -> list[bytes]:
-        rows = np.arange(len(words))
+        """Ids of words of at most ``width`` letters: in each step every word makes its next merge.
+
+        A symbol stays at the place of its first letter, and links lead to the symbols beside it, so a step writes a
+        few cells a word.
+        """
         sizes = np.array([len(w) for w in words])
-        symbol = np.zeros((len(words), width), dtype=np.int64)
-        inside = np.arange(width) < sizes[:, None]
+        columns = np.arange(width, dtype=np.int32)
+        inside = columns < sizes[:, None]
+        symbol = np.zeros((len(words), width), dtype=np.int32)
         symbol[inside] = self.merges.symbols("".join(words))
-        start = np.broadcast_to(np.arange(width), symbol.shape).copy()
-        rank, piece = np.full(symbol.shape, _NONE), np.zeros(symbol.shape, dtype=np.int64)
+        alive = inside.copy()
+        rank, piece = np.full(symbol.shape, _NONE, dtype=np.int32), np.zeros(symbol.shape, dtype=np.int32)
         r, c = np.nonzero(inside[:, 1:])
         rank[r, c], piece[r, c] = self._candidates(keys[r], c, symbol[r, c], symbol[r, c + 1])
-        final = symbol.copy()
-        ends = sizes.copy()
-        columns = np.arange(width)
+        after, before = (np.tile(columns + np.int32(d), (len(words), 1)) for d in (1, -1))
+        after[np.arange(len(words)), sizes - 1] = width
+        symbol, after, before, alive, piece, flat = (x.reshape(-1) for x in (symbol, after, before, alive, piece, rank))
+        rows = np.arange(len(words))  # of ``rank``, which holds the words that have candidates
         while len(rows):
             at = rank.argmin(axis=1)
-            here = np.arange(len(rows))
-            live = rank[here, at] < _NONE
-            if not live.all():
-                done = ~live
-                final[rows[done]], ends[rows[done]] = symbol[done], sizes[done]
-                rows, symbol, start, rank, piece, sizes, keys, at = (x[live] for x in (rows, symbol, start, rank, piece, sizes, keys, at))
-                if not len(rows):
-                    break
-                here = np.arange(len(rows))
-            # The right symbol goes, and what comes after it moves up.
-            made = piece[here, at]
-            take = np.minimum(columns + (columns > at[:, None]), width - 1)
-            symbol, start, rank, piece = (np.take_along_axis(x, take, axis=1) for x in (symbol, start, rank, piece))
-            symbol[here, at] = made
-            sizes = sizes - 1
-            rank[here, sizes - 1] = _NONE
-            for side in (at - 1, at):
-                k = np.flatnonzero((side >= 0) & (side + 1 < sizes))
-                s = side[k]
-                rank[k, s], piece[k, s] = self._candidates(keys[k], start[k, s], symbol[k, s], symbol[k, s + 1])
-        known = final < self.merges.base
-        inside = columns < ends[:, None]
-        plain = (known | ~inside).all(axis=1)
-        data = final[inside].astype("<u4").tobytes()
-        stops = np.cumsum(ends) * 4
+            go = np.flatnonzero(rank[np.arange(len(rows)), at] < _NONE)
+            if len(go) < 0.7 * len(rows):
+                rows, rank, at = rows[go], rank[go], at[go]
+                flat, go = rank.reshape(-1), np.arange(len(rows))
+            else:
+                at = at[go]
+            row, own = rows[go] * width, go * width
+            i = row + at
+            j = after[i]
+            beyond, ahead = after[row + j], before[i]
+            symbol[i], after[i], alive[row + j], flat[own + j] = piece[i], beyond, False, _NONE
+            flat[own + at] = _NONE
+            right, left = np.flatnonzero(beyond < width), np.flatnonzero(ahead >= 0)
+            before[row[right] + beyond[right]] = at[right]
+            # The merged symbol meets the one after it, and the one before.
+            of = np.concatenate((right, left))
+            start = np.concatenate((at[right], ahead[left]))
+            other = np.concatenate((beyond[right], at[left]))
+            flat[own[of] + start], piece[row[of] + start] = self._candidates(keys[rows[go[of]]], start, symbol[row[of] + start], symbol[row[of] + other])
+        ends = alive.reshape(-1, width).sum(axis=1)
+        final = symbol[alive]
+        stops = np.cumsum(ends)
+        odd = set(np.searchsorted(stops, np.flatnonzero(final >= self.merges.base), side="right").tolist())
+        data = final.astype("<u4").tobytes()
         return [
-            data[stop - 4 * n : stop] if ok else self.merges.ids(final[i, :n])
-            for i, (ok, n, stop) in enumerate(zip(plain.tolist(), ends.tolist(), stops.tolist(), strict=True))
+            self.merges.ids(final[stop - n : stop]) if k in odd else data[4 * (stop - n) : 4 * stop]
+            for k, (n, stop) in enumerate(zip(ends.tolist(), stops.tolist(), strict=True))
         ]
 
     def agenda(self, word: str, key: np.uint64, met: dict | None = None) -> np.ndarray:
@@ -260,7 +269,7 @@ class DropoutEncoder:
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.plain: list[bytes] = []
+        self.plain: list[bytes] = [b""]  # units are counted from 1
         #: By unit: its first candidate in ``drawn``, their number, and the mask of those that are met if none is skipped.
         self.first, self.count = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
         self.met, self.drawn, self.used = np.zeros(1024, dtype=np.uint64), np.zeros(1024, dtype=np.uint64), 0
@@ -315,19 +324,20 @@ class DropoutEncoder:
 
     def _drawn(self, words: list[str], keys: np.ndarray) -> list[bytes]:
         """As encode_keyed, with what is known."""
-        often = [w for w, n in Counter(words).items() if n >= OFTEN]
-        new = [w for w in often if w not in self.index]
-        if new:
-            if len(self.index) + len(new) > KNOWN_UNITS:
-                self._forget()
-                new = often
-            self._learn(new)
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            often = Counter(map(words.__getitem__, unknown.tolist()))
+            new = [w for w, n in often.items() if n >= OFTEN and w not in self.index]
+            if new:
+                if len(self.index) + len(new) > KNOWN_UNITS:
+                    self._forget()
+                    new = [w for w, n in Counter(words).items() if n >= OFTEN]
+                self._learn(new)
+                at = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         if len(self.young) > KNOWN_OUTCOMES:
             self.old, self.young = self.young, {}
-        get = self.index.get
-        at = np.array([get(w, -1) for w in words], dtype=np.int64)
-        plain = self.plain
-        out = [plain[k] if k >= 0 else b"" for k in at.tolist()]
+        out = list(map(self.plain.__getitem__, np.maximum(at, 0).tolist()))
         known = np.flatnonzero(at >= 0)
         masks = self._masks(at[known], keys[known])
         skipped = np.flatnonzero(masks)
