@@ -3,19 +3,23 @@
 A byte goes if a string of LENGTH bytes that covers it also starts earlier. Suffixes are not
 sorted over the whole corpus at once: windows of LENGTH bytes are first dealt by their
 anchor, the q-gram in them with the least hash. Equal windows have equal anchors, so a window
-whose anchor comes once is unique, and only what is left needs sorting:
-
-1. ``_anchors``: each run of windows with one anchor is a row (hash of the anchor, digest of
-   the bytes under the run, place). Rows that repeat within a slice are settled at once.
-2. Rows are dealt by the anchor's hash and streamed in order: runs with equal bytes are
-   settled by their first, anchors with one run are dropped, the first runs of the others go
-   on. Frequent anchors, named by a Misra-Gries sketch, are not dealt at all.
-3. The bytes of the runs that go on are cut out of the texts, whole, or for frequent anchors
-   in slices of a few windows keyed by the bytes that those share, which spreads them.
-4. ``refine`` sorts the suffixes of the runs that meet under a key: initial buckets by the
-   first eight bytes are refined by sorting on the bucket pointers at later offsets, and the
-   refined pointers serve the next, twice as long, comparison. Windows that stay in one
-   bucket up to LENGTH bytes are equal, and all but the first of them are settled.
+whose anchor comes once is unique, and only what is left needs sorting. Hashes and digests
+only say which bytes meet where; what is equal is decided by :func:`repeats`, on the bytes:
+
+1. ``_anchors``: each run of windows with one anchor is a row (hash of the anchor, place).
+   Runs whose anchor comes again within a slice are refined there, and what repeats is settled.
+2. ``_deal``: rows are dealt by the anchor's hash and streamed in order. Anchors with one run
+   are dropped; the runs of the others go on, whole or, of anchors with many runs, in slices of a few
+   windows keyed by the bytes that those share. Anchors that a Misra-Gries sketch names are sliced undealt.
+3. ``_cut``: the bytes of the runs that go on are cut out of the texts; slices are refined in batches
+   first, so an equal one is sent once a batch. Slices whose key is frequent, such as those at the ends of
+   a passage that many texts hold, go one round further: ``_windows`` keys each window by all its bytes.
+4. ``_grouped``: what meets under a key is refined; of a key with more than a batch only the first
+   of what is equal is held.
+
+:func:`refine` and :func:`same_strings` sort by initial buckets of eight bytes, which are refined by sorting
+on the bucket pointers at later offsets; the refined pointers serve the next, twice as long, comparison.
+Strings or windows that stay in one bucket over their whole length are equal, and all but the first are settled.
 
 Settled windows are gathered by document and their bytes removed.
 """
@@ -27,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +43,8 @@ from leafsieve.runtime import materialize, release, ship
 LENGTH, GRAM, FIRST = 100, 32, 8
 #: Most anchors that are named as frequent (bounds the broadcast), and counters of the sketch.
 HEAVY, COUNTERS = 4096, 16384
-#: Rows from which an anchor can count as frequent.
-LEAST = 1024
+#: Rows from which an anchor or a slice's key can count as frequent, and runs of an anchor that go on whole.
+LEAST, GROUP = 1024, 4096
 #: Windows in a slice of a frequent anchor.
 SLICE = 8
 #: Bytes that are sorted together, unless one key has more; bytes that are scanned at once.
@@ -86,18 +89,15 @@ def _runs(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h[anchor[new]].view(np.int64), window[new], count, anchor[new]
 
 
-_ANCHORS = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int16()), ("lead", pa.int16())])
-_ANCHORS_DDL = "h long, c long, doc long, at long, n short, lead short"
+_ANCHORS = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("lead", pa.int16())])
+_ANCHORS_DDL = "h long, doc long, at long, n int, lead short"
 
 
 def _scan(ids: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
-    """Rows of the runs of some texts. A null h marks a run that is settled: its bytes came earlier."""
-    order = np.argsort(ids, kind="stable")
-    texts, ids = [texts[i] for i in order], ids[order]
+    """Rows of the runs of some texts. A null h marks windows that are settled: they came earlier."""
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     begins = np.concatenate(([0], np.cumsum(sizes)))
-    whole = b"".join(texts)
-    data = np.frombuffer(whole, dtype=np.uint8)
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     edge = np.zeros(len(data) + 1, dtype=np.int8)
     long = sizes >= LENGTH
     np.add.at(edge, begins[:-1][long], 1)
@@ -112,26 +112,26 @@ def _scan(ids: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
     if not parts:
         return pa.RecordBatch.from_pylist([], schema=_ANCHORS)
     h, first, count, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
-    view, digest = memoryview(whole), xxhash.xxh3_64_intdigest
-    ends = first + count + (LENGTH - 1)
-    c = np.fromiter((digest(view[s:e]) for s, e in zip(first.tolist(), ends.tolist(), strict=True)), dtype=np.uint64, count=len(h)).view(np.int64)
-    doc = np.searchsorted(begins, first, side="right") - 1
-    # Rows are in the order of (id, place), and a stable sort keeps the first of equals first.
-    order = np.lexsort((c, h))
-    same = (h[order[1:]] == h[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
-    at = first - begins[doc]
+    row = np.searchsorted(begins, first, side="right") - 1
+    doc, at = ids[row], first - begins[row]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
     again = np.zeros(len(h), dtype=bool)
-    again[order[1:][same]] = True
-    # A row of the same id and place is the same string, from a repeated row of the table.
-    if len(np.unique(ids)) < len(ids):
-        head = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(h)), 0))
-        lead_row = order[head]
-        twin = (ids[doc[order]] == ids[doc[lead_row]]) & (at[order] == at[lead_row])
-        again[order[twin]] = False
-    return pa.RecordBatch.from_arrays(
-        [pa.array(h, mask=again), pa.array(c, mask=again), pa.array(ids[doc]), pa.array(at), pa.array(count.astype(np.int16)), pa.array((anchor - first).astype(np.int16))],
-        schema=_ANCHORS,
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    alone, again = np.flatnonzero(~again), np.flatnonzero(again)
+    found = repeats(data, first[again], count[again] + (LENGTH - 1), h[again], doc[again], at[again])
+    rest = left_over(count[again], found)
+    some = again[rest[0]]
+    cols = (
+        (h[alone], h[some], np.zeros(len(found[0]), dtype=np.int64)),
+        (doc[alone], doc[some], doc[again][found[0]]),
+        (at[alone], at[some] + rest[1], at[again][found[0]] + found[1]),
+        (count[alone], rest[2], found[2]),
+        ((anchor - first)[alone], (anchor - first)[some] - rest[1], np.zeros(len(found[0]), dtype=np.int64)),
     )
+    h, doc, at, n, lead = (np.concatenate(c) for c in cols)
+    settled = np.arange(len(h)) >= len(alone) + len(some)
+    return pa.RecordBatch.from_arrays([pa.array(h, mask=settled), pa.array(doc), pa.array(at), pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int16))], schema=_ANCHORS)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,141 +142,220 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
 
 
-#: What becomes of a run: settled, cut out whole, cut out in slices.
-SETTLED, WHOLE, SLICED = 0, 1, 2
-_FATES = pa.schema([("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int16()), ("lead", pa.int16()), ("h", pa.int64()), ("fate", pa.int8())])
-_FATES_DDL = "doc long, at long, n short, lead short, h long, fate byte"
+#: How a run goes on: whole, or in slices.
+WHOLE, SLICED = 0, 1
+_FATES = pa.schema([*_ANCHORS, ("fate", pa.int8())])
+_FATES_DDL = f"{_ANCHORS_DDL}, fate byte"
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of (h, c, doc, at). Between batches only a row is kept, however many share an anchor."""
-    last = None  # h and c of the row before, and doc and at of the first row with both
-    held, known = None, 0  # the anchor's first run while it is the only one, and how many are known (2: or more)
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs, in the order of h, whose anchor comes again. Between batches at most GROUP rows are kept, however many share an anchor."""
+    held, last, large = None, None, False  # rows of the last anchor, its hash, and whether it has more than GROUP
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, c, doc, at = (batch.column(k).to_numpy() for k in range(4))
-        new_h = np.concatenate(([last is None or h[0] != last[0]], h[1:] != h[:-1]))
-        new_c = new_h | np.concatenate(([last is None or c[0] != last[1]], c[1:] != c[:-1]))
-        head = np.maximum.accumulate(np.where(new_c, np.arange(len(h)), -1))
-        first_doc = np.where(head < 0, last[2] if last else 0, doc[head])
-        first_at = np.where(head < 0, last[3] if last else 0, at[head])
-        # The same place again is the same string, from a repeated row of the table.
-        settled = ~new_c & ((doc != first_doc) | (at != first_at))
-        group = np.cumsum(new_h)  # 0 goes on with the anchor of the row before
-        runs = np.bincount(group, weights=new_c, minlength=group[-1] + 1)
-        runs[0] += known
-        if held is not None and runs[0] >= 2:
-            yield held
-        if runs[0] >= 2 or group[-1] > 0:
-            held = None
-        rows = np.flatnonzero(settled | (new_c & (runs[group] >= 2)))
-        yield _fates(batch, rows, np.where(settled[rows], SETTLED, WHOLE))
-        if group[-1] > 0 and runs[-1] == 1:
-            held = _fates(batch, np.flatnonzero(new_h)[-1:], np.array([WHOLE]))
-        last, known = (h[-1], c[-1], first_doc[-1], first_at[-1]), min(int(runs[-1]), 2)
-
-
-def _fates(batch: pa.RecordBatch, rows: np.ndarray, fate: np.ndarray) -> pa.RecordBatch:
-    part = batch.take(pa.array(rows))
-    cols = {f.name: part.column(i) for i, f in enumerate(batch.schema)}
-    return pa.RecordBatch.from_arrays([cols["doc"], cols["at"], cols["n"], cols["lead"], cols["h"], pa.array(fate, type=pa.int8())], schema=_FATES)
-
-
-_PIECES = pa.schema([("key", pa.int64()), ("payload", pa.binary()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int64())])
-_PIECES_DDL = "key long, payload binary, doc long, at long, n long"
-
-
-class _Pieces:
-    """Pieces that a task sends on. Equal slices are sent once; the later ones are settled here."""
-
-    def __init__(self) -> None:
-        self.rows: list[list] = []
-        self.first: dict[tuple[int, bytes], list] = {}
-        self.size = 0
-
-    def add(self, key: int, payload: bytes, doc: int, at: int, n: int, sliced: bool) -> None:
-        row = [key, payload, doc, at, n]
-        if sliced:
-            other = self.first.setdefault((key, payload), row)
-            if other is not row:
-                if (doc, at) == (other[2], other[3]):
-                    return
-                if (doc, at) < (other[2], other[3]):
-                    other[2:4], row[2:4] = row[2:4], other[2:4]
-                # Settled windows need no key; this one spreads them.
-                row[0], row[1] = hash((row[2], row[3])), None
-                self.rows.append(row)
-                return
-        self.size += len(payload)
-        self.rows.append(row)
-
-    def flush(self) -> pa.RecordBatch:
-        cols = list(zip(*self.rows, strict=True)) or [[]] * 5
-        self.__init__()
-        return pa.RecordBatch.from_arrays([pa.array(col, type=f.type) for col, f in zip(cols, _PIECES, strict=True)], schema=_PIECES)
+        table = pa.Table.from_batches([batch]).cast(_ANCHORS)
+        if large:
+            size = int(np.searchsorted(table.column("h").to_numpy(), last, side="right"))
+            yield from _fated(table.slice(0, size), SLICED)
+            table = table.slice(size)
+            if not table.num_rows:
+                continue
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        h = table.column("h").to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        count = np.diff(np.append(starts, len(h)))
+        last, open_ = h[-1], int(count[-1])
+        large = open_ > GROUP
+        held = None if large else table.slice(len(h) - open_).combine_chunks()
+        count[-1] = open_ if large else 0
+        each = np.repeat(count, np.diff(np.append(starts, len(h))))
+        yield from _fated(table.filter(pa.array((each > 1) & (each <= GROUP))), WHOLE)
+        yield from _fated(table.filter(pa.array(each > GROUP)), SLICED)
+    if held is not None and held.num_rows > 1:
+        yield from _fated(held, WHOLE)
+
+
+def _fated(table: pa.Table, fate: int) -> list[pa.RecordBatch]:
+    return table.append_column("fate", pa.array(np.full(table.num_rows, fate, dtype=np.int8))).cast(_FATES).to_batches()
+
+
+_PIECES = pa.schema([("key", pa.int64()), ("payload", pa.binary()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("sliced", pa.bool_())])
+_PIECES_DDL = "key long, payload binary, doc long, at long, n long, sliced boolean"
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(_PIECES)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, _PIECES, strict=True)], schema=_PIECES)
+
+
+def _strings(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of some strings, and where each begins, and its size."""
+    sizes = np.fromiter(map(len, payloads), dtype=np.int64, count=len(payloads))
+    return np.frombuffer(b"".join(payloads), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def _settled(payloads: list[bytes], keys: list[int], docs: list[int], places: list[int]) -> tuple[list[tuple], list[tuple[int, int, int]]]:
+    """Of strings that meet in a task: rows of pieces for their settled windows, and (string, first window, windows) of what goes on."""
+    data, begins, sizes = _strings(payloads)
+    found = repeats(data, begins, sizes, np.array(keys, dtype=np.int64), np.array(docs, dtype=np.int64), np.array(places, dtype=np.int64))
+    # Settled windows need no key; this one spreads them.
+    marks = [(hash((docs[k], places[k] + o)), None, docs[k], places[k] + o, n, False) for k, o, n in zip(*(x.tolist() for x in found), strict=True)]
+    return marks, list(zip(*(x.tolist() for x in left_over(sizes - (LENGTH - 1), found)), strict=True))
+
+
+def _sliced(runs: list[tuple]) -> pa.RecordBatch:
+    """Pieces of runs (payload, key, doc, at, lead) of large anchors, after those that are here are refined."""
+    digest = xxhash.xxh3_64_intdigest
+    rows, rest = _settled(*(list(c) for c in list(zip(*runs, strict=True))[:4]))
+    for k, first, count in rest:
+        # Slices are aligned on the anchor: windows that start s bytes before it go by s div SLICE.
+        # The bytes that all of a slice's windows hold are its key.
+        payload, _, doc, at, lead = runs[k]
+        for j in range((lead - first - count + 1) // SLICE, (lead - first) // SLICE + 1):
+            begin = lead - SLICE * j  # of the bytes that are shared
+            start, stop = max(first, begin - SLICE + 1), min(first + count - 1, begin)
+            core = payload[begin : begin + LENGTH - SLICE + 1]
+            rows.append((digest(core, j & 0xFFFF) - (1 << 63), payload[start : stop + LENGTH], doc, at + start, stop - start + 1, True))
+    return _pieces(rows)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the runs that go on; a null payload marks windows that are settled."""
-    digest, out = xxhash.xxh3_64_intdigest, _Pieces()
+    whole, large, size = [], [], 0
     for batch in batches:
         docs, texts, lists = (batch.column(k) for k in range(3))
         for i in range(batch.num_rows):
             doc, data = docs[i].as_py(), (texts[i].as_py() or "").encode("utf-8", "surrogatepass")
             for run in lists[i].as_py():
-                at, n, lead = run["at"], run["n"], run["lead"]
+                at, n = run["at"], run["n"]
                 if at + n - 1 + LENGTH > len(data):
                     continue  # of another text under the same id
+                payload = data[at : at + n - 1 + LENGTH]
+                size += len(payload)
                 if run["fate"] == WHOLE:
-                    out.add(run["h"], data[at : at + n - 1 + LENGTH], doc, at, n, False)
-                    continue
-                # Slices are aligned on the anchor: windows that start s bytes before it go by s div SLICE.
-                # The bytes that all of a slice's windows hold are its key.
-                anchor = at + lead
-                for k in range((lead - n + 1) // SLICE, lead // SLICE + 1):
-                    start, stop = max(at, anchor - SLICE * k - SLICE + 1), min(at + n - 1, anchor - SLICE * k)
-                    core = data[anchor - SLICE * k : anchor - SLICE * k + LENGTH - SLICE + 1]
-                    out.add(digest(core, k) - (1 << 63), data[start : stop + LENGTH], doc, start, stop - start + 1, True)
-                if out.size > BATCH:
-                    yield out.flush()
-            if out.size > BATCH or len(out.rows) > 200_000:
-                yield out.flush()
+                    whole.append((run["h"], payload, doc, at, n, False))
+                else:
+                    large.append((payload, run["h"], doc, at, run["lead"]))
+                if size > BATCH:
+                    yield _pieces(whole)
+                    if large:
+                        yield _sliced(large)
+                    whole, large, size = [], [], 0
+        tidy()
+    yield _pieces(whole)
+    if large:
+        yield _sliced(large)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of one window each, keyed by all its bytes, of slices whose key is frequent; refined in batches first."""
+    digest, held, size = xxhash.xxh3_64_intdigest, [], 0
+
+    def out() -> pa.RecordBatch:
+        payloads, keys, docs, places = (list(c) for c in zip(*held, strict=True))
+        rows, rest = _settled(payloads, keys, docs, places)
+        for k, first, count in rest:
+            for at in range(first, first + count):
+                window = payloads[k][at : at + LENGTH]
+                rows.append((digest(window) - (1 << 63), window, docs[k], places[k] + at, 1, True))
+        return _pieces(rows)
+
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("payload", "key", "doc", "at")), strict=True):
+            held.append(row)
+            size += len(row[0])
+            if size > BATCH:
+                yield out()
+                held, size = [], 0
         tidy()
-    yield out.flush()
+    if held:
+        yield out()
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Settled windows pass; pieces, in the order of their keys, are sorted in batches of whole keys."""
+    """Pieces, in the order of their keys, are refined in batches of whole keys; of a key with more than a batch, what holds a first window is carried on."""
     held: list[pa.Table] = []
-    size = 0
+    size, limit = 0, BATCH
     for batch in batches:
-        table = pa.Table.from_batches([batch], schema=_PIECES)
+        table = pa.Table.from_batches([batch]).cast(_PIECES)
         held.append(table)
         size += table.column("payload").nbytes
-        if size >= BATCH:
-            table = pa.concat_tables(held)
+        if size >= limit:
+            table = pa.concat_tables(held).combine_chunks()
             keys = table.column("key").to_numpy()
-            held = [table]
             whole = int(np.searchsorted(keys, keys[-1]))
-            if whole:
-                yield from _equal_windows(table.slice(0, whole))
-                held = [table.slice(whole)]
-                tidy()
-                size = held[0].column("payload").nbytes
+            done, _ = _equal_windows(table.slice(0, whole))
+            more, firsts = _equal_windows(table.slice(whole))
+            yield from done
+            yield from more
+            held = [firsts]
+            tidy()
+            size = firsts.column("payload").nbytes
+            limit = max(BATCH, 2 * size)
     if held:
-        yield from _equal_windows(pa.concat_tables(held))
+        yield from _equal_windows(pa.concat_tables(held).combine_chunks())[0]
 
 
 _MARKS = pa.schema([("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int64())])
 _MARKS_DDL = "doc long, at long, n long"
 
 
+def _equal_windows(table: pa.Table) -> tuple[list[pa.RecordBatch], pa.Table]:
+    """Places of the windows that equal one with a smaller (doc, at), and the pieces that hold a first window."""
+    if not table.num_rows:
+        return [], table
+    data, begins, sizes = _strings(table.column("payload").to_pylist())
+    key, doc, at = (table.column(c).to_numpy() for c in ("key", "doc", "at"))
+    found = repeats(data, begins, sizes, key, doc, at)
+    marks = pa.RecordBatch.from_arrays([pa.array(doc[found[0]]), pa.array(at[found[0]] + found[1]), pa.array(found[2])], schema=_MARKS)
+    firsts = np.unique(left_over(sizes - (LENGTH - 1), found)[0])
+    return [marks], table.take(pa.array(firsts))
+
+
 def _starts(new: np.ndarray) -> np.ndarray:
     """For each place, that of the last True at or before it."""
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of some ranges, one range after the other."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _buckets(values: np.ndarray) -> np.ndarray:
+    """Bucket pointers: the place, in the sorted order, of the first that is equal."""
+    pointer, order = np.empty(len(values), dtype=np.int64), np.argsort(values)
+    sorted_ = values[order]
+    pointer[order] = _starts(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))[: len(values)])
+    return pointer
+
+
+def same_strings(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bucket pointers of whole strings of ``data``: equal if and only if the strings are.
+
+    Buckets of FIRST bytes, at every FIRST-th place, are refined by sorting on the pointer of the bucket behind;
+    each round doubles their reach and halves their number, until one is left of each string.
+    """
+    if not len(sizes):
+        return np.zeros(0, dtype=np.int64)
+    count = np.maximum(-(-sizes // FIRST), 1)
+    start = np.cumsum(count) - count
+    padded = np.zeros(int(count.sum()) * FIRST, dtype=np.uint8)
+    padded[_ranges(start * FIRST, sizes)] = data[_ranges(begins, sizes)]
+    pointer = _buckets(padded.view("<u8"))
+    while count.max() > 1:
+        half = (count + 1) // 2
+        number = _ranges(np.zeros(len(half), dtype=np.int64), half)
+        place = np.repeat(start, half) + 2 * number
+        later = np.where(2 * number + 1 < np.repeat(count, half), pointer[np.minimum(place + 1, len(pointer) - 1)] + 1, 0)
+        pointer = _buckets(pointer[place] * (len(pointer) + 1) + later)
+        count, start = half, np.cumsum(half) - half
+    # The padding is told from bytes by the size.
+    return _buckets(pointer * (int(sizes.max()) + 1) + sizes)
+
+
 def refine(data: np.ndarray, room: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Bucket pointers of the suffixes of ``data`` by their first ``length`` bytes.
 
@@ -288,10 +367,7 @@ def refine(data: np.ndarray, room: np.ndarray, length: int = LENGTH) -> np.ndarr
         word, size = (word[:-size] << np.uint64(8 * size)) | word[size:], 2 * size
     pointer = np.full(len(data), -1, dtype=np.int64)
     active = np.flatnonzero(room >= FIRST)
-    order = np.argsort(word[active])
-    sorted_ = word[active[order]]
-    # A bucket's pointer is the place of its first suffix in the order.
-    pointer[active[order]] = _starts(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))[: len(order)])
+    pointer[active] = _buckets(word[active])
     depth = FIRST
     while depth < length:
         offset = min(depth, length - depth)
@@ -314,37 +390,57 @@ def refine(data: np.ndarray, room: np.ndarray, length: int = LENGTH) -> np.ndarr
     return pointer
 
 
-def _equal_windows(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Places of the windows that equal one with a smaller (doc, at), and the settled ones of ``table``."""
-    empty = table.column("payload").is_null()
-    yield from table.filter(empty).select(["doc", "at", "n"]).cast(_MARKS).to_batches()
-    table = table.filter(pa.compute.invert(empty)).combine_chunks()
-    if not table.num_rows:
-        return
-    payloads = table.column("payload").to_pylist()
-    data = np.frombuffer(b"".join(payloads), dtype=np.uint8)
-    sizes = np.fromiter(map(len, payloads), dtype=np.int64, count=len(payloads))
-    begins = np.cumsum(sizes) - sizes
-    room = np.repeat(begins + sizes, sizes) - np.arange(len(data))
-    pointer = refine(data, room)
-    window = np.flatnonzero(pointer >= 0)
-    window = window[np.bincount(pointer[window])[pointer[window]] > 1]
-    if not len(window):
-        return
-    row = np.searchsorted(begins, window, side="right") - 1
-    doc = table.column("doc").to_numpy()[row]
-    at = table.column("at").to_numpy()[row] + window - begins[row]
-    order = np.lexsort((at, doc, pointer[window]))
-    bucket = pointer[window][order]
-    first = order[_starts(np.concatenate(([True], bucket[1:] != bucket[:-1])))]
-    later = np.zeros(len(window), dtype=bool)
-    later[order] = (doc[order] != doc[first]) | (at[order] != at[first])
-    window, row, doc, at = window[later], row[later], doc[later], at[later]
-    if not len(window):
-        return
-    new = np.flatnonzero(np.concatenate(([True], (window[1:] != window[:-1] + 1) | (row[1:] != row[:-1]))))
-    count = np.diff(np.append(new, len(window)))
-    yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(at[new]), pa.array(count)], schema=_MARKS)
+def repeats(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first window, windows) of all windows of LENGTH bytes that equal one with a smaller place.
+
+    Each string of ``data`` has LENGTH bytes or more, a key, without which no windows are equal, and the place (doc, at) of
+    its first window. Whole strings are refined first; of those that are equal the one with the least place goes on to
+    the refinement of all windows, if another string has its key. A string at the same place is the same, from a
+    repeated row of the table, and settles nothing.
+    """
+    none = np.zeros(0, dtype=np.int64)
+    if not len(sizes):
+        return none, none, none
+    bucket = same_strings(data, begins, sizes)
+    order = np.lexsort((at, doc, bucket))
+    head = order[_starts(np.concatenate(([True], bucket[order[1:]] != bucket[order[:-1]])))]
+    first = np.empty(len(sizes), dtype=np.int64)
+    first[order] = head
+    later = np.flatnonzero((doc != doc[first]) | (at != at[first]))
+    found = [(later, np.zeros(len(later), dtype=np.int64), sizes[later] - (LENGTH - 1))]
+    firsts = np.flatnonzero(first == np.arange(len(sizes)))
+    _, which, count = np.unique(key[firsts], return_inverse=True, return_counts=True)
+    firsts = firsts[count[which] > 1]
+    if len(firsts):
+        size = sizes[firsts]
+        begin = np.cumsum(size) - size
+        pointer = refine(data[_ranges(begins[firsts], size)], np.repeat(begin + size, size) - np.arange(size.sum()))
+        window = np.flatnonzero(pointer >= 0)
+        window = window[np.bincount(pointer[window])[pointer[window]] > 1]
+        row = np.searchsorted(begin, window, side="right") - 1
+        offset = window - begin[row]
+        own_doc, own_at = doc[firsts[row]], at[firsts[row]] + offset
+        order = np.lexsort((own_at, own_doc, pointer[window]))
+        bucket = pointer[window][order]
+        least = order[_starts(np.concatenate(([True], bucket[1:] != bucket[:-1]))[: len(bucket)])]
+        later = np.zeros(len(window), dtype=bool)
+        later[order] = (own_doc[order] != own_doc[least]) | (own_at[order] != own_at[least])
+        row, offset = row[later], offset[later]
+        new = np.flatnonzero(np.concatenate(([True], (offset[1:] != offset[:-1] + 1) | (row[1:] != row[:-1])))[: len(row)])
+        found.append((firsts[row[new]], offset[new], np.diff(np.append(new, len(row)))))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def left_over(count: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first window, windows) of the runs that remain of strings with ``count`` windows when those of ``found`` are settled."""
+    begin = np.cumsum(count) - count
+    edge = np.zeros(int(count.sum()) + 1, dtype=np.int32)
+    np.add.at(edge, begin[found[0]] + found[1], 1)
+    np.add.at(edge, begin[found[0]] + found[1] + found[2], -1)
+    window = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
+    row = np.searchsorted(begin, window, side="right") - 1
+    new = np.flatnonzero(np.concatenate(([True], (window[1:] != window[:-1] + 1) | (row[1:] != row[:-1])))[: len(window)])
+    return row[new], window[new] - begin[row[new]], np.diff(np.append(new, len(window)))
 
 
 _RESULT = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -391,15 +487,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     unsettled = anchors.where("h is not null")
     heavy = materialize(heavy_hitters(unsettled, "h", HEAVY, COUNTERS, LEAST), "heavy")
     light = unsettled.join(F.broadcast(heavy), "h", "left_anti").select(*_ANCHORS.names)
-    light = light.repartition("h").sortWithinPartitions("h", "c", "doc", "at").mapInArrow(_settle, _FATES_DDL)
-    sliced = unsettled.join(F.broadcast(heavy), "h").select("doc", "at", "n", "lead", "h", F.lit(SLICED).cast("byte").alias("fate"))
-    early = anchors.where("h is null").select("doc", "at", "n", "lead", "h", F.lit(SETTLED).cast("byte").alias("fate"))
-    fates = materialize(light.unionByName(sliced).unionByName(early), "fates")
-    release(anchors)
-    runs = fates.where(f"fate <> {SETTLED}").groupBy("doc").agg(F.collect_list(F.struct("at", "n", "lead", "h", "fate")).alias("runs"))
-    pieces = source.join(runs.hint("shuffle_hash"), "doc").select("doc", "text", "runs").mapInArrow(_cut, _PIECES_DDL)
-    found = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped, _MARKS_DDL)
-    marks = fates.where(f"fate = {SETTLED}").select("doc", "at", F.col("n").cast("long").alias("n")).unionByName(found)
+    light = light.repartition("h").sortWithinPartitions("h").mapInArrow(_deal, _FATES_DDL)
+    sliced = unsettled.join(F.broadcast(heavy), "h").select(*_ANCHORS.names, F.lit(SLICED).cast("byte").alias("fate"))
+    fates = materialize(light.unionByName(sliced), "fates")
+    runs = fates.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "lead", "h", "fate")).alias("runs"))
+    pieces = materialize(source.join(runs.hint("shuffle_hash"), "doc").select("doc", "text", "runs").mapInArrow(_cut, _PIECES_DDL), "pieces")
+    release(fates)
+    # Of the slices of one key, as of the rows of one anchor, a task gets no more than the sketch can miss.
+    hot = materialize(heavy_hitters(pieces.where("sliced"), "key", HEAVY, COUNTERS, LEAST), "hot")
+    open_ = pieces.where("payload is not null")
+    split = open_.where("sliced").join(F.broadcast(hot), "key").select(*_PIECES.names).mapInArrow(_windows, _PIECES_DDL)
+    split = materialize(split, "split")
+    open_ = open_.join(F.broadcast(hot.withColumn("sliced", F.lit(True))), ["key", "sliced"], "left_anti").select(*_PIECES.names)
+    meet = open_.unionByName(split.where("payload is not null")).repartition("key").sortWithinPartitions("key")
+    marks = meet.mapInArrow(_grouped, _MARKS_DDL)
+    for settled in (anchors.where("h is null"), pieces.where("payload is null"), split.where("payload is null")):
+        marks = marks.unionByName(settled.select("doc", "at", F.col("n").cast("long").alias("n")))
     marks = marks.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("marks"))
     remove = F.arrow_udf(_remove(keep_bytes), _RESULT_DDL)
     joined = source.join(marks.hint("shuffle_hash"), "doc", "left")
