@@ -1,11 +1,11 @@
 """Chat formatting with typed content parts.
 
-A turn's content is a list of parts (text, image, audio, document). A visitor flattens them
-in order: texts are escaped, every other part becomes a placeholder, and its reference and
-the tokens that it stands for are recorded. Turns are visited where they are read; each
-conversation is then one ordered concatenation. Control strings inside texts are broken by
-a backslash, so a text can neither end a turn nor forge one, and the output reads back to
-the same turns.
+A turn's content is a list of parts (text, image, audio, document). A visitor flattens the
+turns of a conversation in order: texts are escaped, every other part becomes a placeholder with
+its number in the conversation, and its reference and the tokens that it stands for are
+recorded under that number. Control strings inside texts are broken by a backslash, so a
+text can neither end a turn nor forge one or a placeholder, and the output reads back to
+the same turns and parts.
 """
 
 from __future__ import annotations
@@ -45,50 +45,101 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text)
 
 
+class PartError(ValueError):
+    """A content part that is not as it should be; it is left out and reported."""
+
+
+def _measure(part: dict, name: str, otherwise: float) -> float:
+    """A positive number of ``part``; one that is missing or null is ``otherwise``."""
+    value = part.get(name)
+    if value is None:
+        return otherwise
+    if isinstance(value, bool) or not isinstance(value, int | float) or not math.isfinite(value) or value <= 0:
+        raise PartError(f"{name} is no positive number")
+    return value
+
+
 class Flatten:
-    """Visits the parts of a turn in order; collects the content and the attachments."""
+    """Visits the parts of a conversation's turns in order; collects the output, the loss spans, the attachments and what is wrong."""
 
     def __init__(self) -> None:
         self.out: list[str] = []
-        self.attachments: list[dict] = []
+        self.at = 0
+        self.spans: list[tuple[int, int]] = []
+        self.attachments: list[tuple[str, str, int]] = []
+        self.errors: list[tuple[int, int, str]] = []
+
+    def write(self, text: str) -> None:
+        self.out.append(text)
+        self.at += len(text)
+
+    def turn(self, number: int, role: str | None, parts: list) -> None:
+        """A turn in the template; a null role counts as an empty one. ``number`` is its place in the conversation."""
+        learned = role == ASSISTANT
+        self.write(f"{LEARN if learned else OPEN}{escape(role or '')}{ROLE}")
+        begin = self.at
+        for k, part in enumerate(parts):
+            try:
+                self.visit(part)
+            except PartError as wrong:
+                self.errors.append((number, k, str(wrong)))
+        if learned:
+            self.spans.append((begin, self.at))
+        self.write(STOP if learned else CLOSE)
 
     def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part.get('type')}", self.visit_unknown)(part)
+        if not isinstance(part, dict):
+            raise PartError("the part is no object")
+        kind = part.get("type")
+        if kind not in ("text", "image", "audio", "document"):
+            raise PartError("no such type")
+        getattr(self, f"visit_{kind}")(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(part.get("text") or ""))
+        text = part.get("text")
+        if text is not None and not isinstance(text, str):
+            raise PartError("text is no string")
+        self.write(escape(text or ""))
 
     def visit_image(self, part: dict) -> None:
-        tiles = math.ceil((part.get("width") or TILE) / TILE) * math.ceil((part.get("height") or TILE) / TILE)
+        tiles = math.ceil(_measure(part, "width", TILE) / TILE) * math.ceil(_measure(part, "height", TILE) / TILE)
         self.placeholder("image", part, tiles * TILE_TOKENS + 1)
 
     def visit_audio(self, part: dict) -> None:
-        self.placeholder("audio", part, math.ceil((part.get("seconds") or 0) * AUDIO_PER_SECOND))
+        self.placeholder("audio", part, math.ceil(_measure(part, "seconds", 0) * AUDIO_PER_SECOND))
 
     def visit_document(self, part: dict) -> None:
-        self.placeholder("document", part, (part.get("pages") or 1) * PAGE_TOKENS)
-
-    def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"no such content part: {part.get('type')!r}")
+        self.placeholder("document", part, math.ceil(_measure(part, "pages", 1)) * PAGE_TOKENS)
 
     def placeholder(self, kind: str, part: dict, tokens: int) -> None:
-        self.out.append(f"{PART}{kind}:{len(self.attachments)}{ENDPART}")
-        self.attachments.append({"kind": kind, "ref": part.get("ref") or "", "tokens": tokens})
-
-
-def flatten(parts: list[dict]) -> tuple[str, list[dict]]:
-    """The content of a turn, and its attachments in order."""
+        ref = part.get("ref")
+        if ref is not None and not isinstance(ref, str):
+            raise PartError("ref is no string")
+        if tokens >> 62:
+            raise PartError("too large")
+        self.write(f"{PART}{kind}:{len(self.attachments)}{ENDPART}")
+        self.attachments.append((kind, ref or "", tokens))
+
+
+def parts_of(content: str | None, typed: bool) -> list:
+    """The parts of a content: one text, or with ``typed`` those of a JSON list. What is no such list is one part that is reported."""
+    if not content:
+        return []
+    if not typed:
+        return [{"type": "text", "text": content}]
+    try:
+        parts = json.loads(content)
+    except (ValueError, RecursionError):
+        return [None]
+    return parts if isinstance(parts, list) else [None]
+
+
+def format_turns(turns: list[tuple[str | None, list]]) -> Flatten:
+    """A conversation of (role, parts), visited."""
     visitor = Flatten()
-    for part in parts:
-        visitor.visit(part)
-    return "".join(visitor.out), visitor.attachments
-
-
-def turn_text(role: str | None, content: str) -> str:
-    """A turn in the template; a null role counts as an empty one."""
-    if role == ASSISTANT:
-        return f"{LEARN}{escape(role)}{ROLE}{content}{STOP}"
-    return f"{OPEN}{escape(role or '')}{ROLE}{content}{CLOSE}"
+    for number, (role, parts) in enumerate(turns):
+        visitor.turn(number, role, parts)
+    return visitor
 
 
 def read_back(formatted: str) -> list[tuple[str, str, bool, int, int]]:
@@ -102,56 +153,62 @@ def read_back(formatted: str) -> list[tuple[str, str, bool, int, int]]:
     ]
 
 
-_ATTACHMENT = pa.struct([("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())])
-_TURN_TYPE = pa.struct([("segment", pa.string()), ("attachments", pa.list_(_ATTACHMENT))])
-_TURN_DDL = "struct<segment: string, attachments: array<struct<kind: string, ref: string, tokens: bigint>>>"
+def read_parts(content: str) -> list[tuple[str, str] | tuple[str, int]]:
+    """The parts of a turn's content as it stands in the output: ("text", text) and (kind, number of the attachment), in order."""
+    out, at = [], 0
+    for m in _PART.finditer(content):
+        out += [("text", unescape(content[at : m.start()]))] if m.start() > at else []
+        out.append((m["kind"], int(m["number"])))
+        at = m.end()
+    return out + ([("text", unescape(content[at:]))] if at < len(content) else [])
 
 
-def _visit_text(roles: pa.Array, texts: pa.Array) -> pa.Array:
-    rows = ((r, *flatten([{"type": "text", "text": t}])) for r, t in zip(roles.to_pylist(), texts.to_pylist(), strict=True))
-    return pa.array([{"segment": turn_text(r, c), "attachments": a} for r, c, a in rows], type=_TURN_TYPE)
+_CHAT = pa.struct([
+    ("formatted", pa.string()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+    ("attachments", pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))), ("attachment_tokens", pa.int64()),
+    ("errors", pa.list_(pa.struct([("turn", pa.int64()), ("part", pa.int64()), ("reason", pa.string())]))),
+])
+_CHAT_DDL = (
+    "struct<formatted: string, loss_spans: array<struct<start: bigint, stop: bigint>>, attachments: array<struct<kind: string, ref: string, tokens: bigint>>,"
+    " attachment_tokens: bigint, errors: array<struct<turn: bigint, part: bigint, reason: string>>>"
+)
+
 
+def _format(typed: bool):
+    def run(conversations: pa.Array) -> pa.Array:
+        out = []
+        for turns in conversations:
+            seen = format_turns([(t["role"], parts_of(t["content"], typed)) for t in turns.as_py()])
+            out.append({
+                "formatted": "".join(seen.out), "loss_spans": [{"start": a, "stop": b} for a, b in seen.spans],
+                "attachments": [{"kind": k, "ref": r, "tokens": n} for k, r, n in seen.attachments], "attachment_tokens": sum(n for _, _, n in seen.attachments),
+                "errors": [{"turn": t, "part": k, "reason": r} for t, k, r in seen.errors],
+            })
+        return pa.array(out, type=_CHAT)
 
-def _visit_parts(roles: pa.Array, texts: pa.Array) -> pa.Array:
-    rows = ((r, *flatten(json.loads(t) if t else [])) for r, t in zip(roles.to_pylist(), texts.to_pylist(), strict=True))
-    return pa.array([{"segment": turn_text(r, c), "attachments": a} for r, c, a in rows], type=_TURN_TYPE)
+    return run
 
 
 def format_chats(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", content_col: str = "text", typed: bool = False,
 ) -> DataFrame:
-    """A row per conversation: conv_id, formatted, loss_spans, attachments, attachment_tokens.
+    """A row per conversation: conv_id, formatted, loss_spans, attachments, attachment_tokens, errors.
 
     The content is plain text, or with ``typed`` a JSON list of parts such as ``{"type": "text",
     "text": …}`` or ``{"type": "image", "ref": …, "width": …, "height": …}``. Null or empty
     content is an empty turn. Turns come by their number; of equal numbers (null first) the
     smaller role, then the smaller content comes first, and repeated rows each make a turn.
-    ``loss_spans`` are the assistant's contents in ``formatted``, in code points. An
+    ``loss_spans`` are the assistant's contents in ``formatted``, in code points. A placeholder's number is its
+    place in ``attachments``, which are the conversation's. A part of an unknown type, or with a value that is no string or no
+    positive number where one belongs, is left out, and so is content that is no JSON list; each is a row of ``errors`` (turn and
+    part by their place), and the rest of the conversation stands. Rows without conv_id are one conversation, without id. An
     empty table gives no row; further columns are ignored.
     """
     ship(turns.sparkSession)
-    visit = F.arrow_udf(_visit_parts if typed else _visit_text, _TURN_DDL)
-    rows = turns.select(
-        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"),
-        F.coalesce(F.col(content_col), F.lit("")).alias("content"), visit(F.col(role_col), F.col(content_col)).alias("made"),
-    )
-    order = F.struct("turn", "role", "content", F.col("made.segment").alias("segment"), F.col("made.attachments").alias("attachments"))
-    listed = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(order)).alias("turns"))
-    # How far the content lies from both ends of its turn.
-    before = len(LEARN) + len(ASSISTANT) + len(ROLE)
-    walked = F.expr(
-        f"""aggregate(turns, named_struct('at', 0L, 'spans', cast(array() as array<struct<start: bigint, stop: bigint>>)),
-            (acc, t) -> named_struct('at', acc.at + char_length(t.segment), 'spans', if(t.role = '{ASSISTANT}',
-                concat(acc.spans, array(named_struct('start', acc.at + {before},
-                    'stop', acc.at + char_length(t.segment) - {len(STOP)}))), acc.spans)), acc -> acc.spans)"""
-    )
-    return listed.select(
-        "conv_id",
-        F.expr("array_join(transform(turns, t -> t.segment), '')").alias("formatted"),
-        walked.alias("loss_spans"),
-        F.expr("flatten(transform(turns, t -> t.attachments))").alias("attachments"),
-        F.expr("aggregate(flatten(transform(turns, t -> t.attachments)), 0L, (n, a) -> n + a.tokens)").alias("attachment_tokens"),
-    )
+    order = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(content_col), F.lit("")).alias("content"))
+    listed = turns.select(F.col(conv_col).alias("conv_id"), order.alias("said")).groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("turns"))
+    made = F.arrow_udf(_format(typed), _CHAT_DDL)
+    return listed.select("conv_id", made("turns").alias("made")).select("conv_id", "made.*")
 
 
 _DIGEST_TYPE = pa.struct([
@@ -174,6 +231,6 @@ def _digest(formatted: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def digest_chats(chats: DataFrame) -> DataFrame:
-    """What the formatted output reads back to, as counts and digests."""
+    """What the formatted output of :func:`format_chats` reads back to, as counts and digests, a row per conversation; an empty table gives none."""
     read = F.arrow_udf(_digest, _DIGEST_DDL)
     return chats.withColumn("read", read(F.col("formatted"), F.col("loss_spans"))).select("conv_id", "read.*")
