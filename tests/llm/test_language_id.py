@@ -9,7 +9,7 @@ from leafsieve.llm.queries import op1_language_id
 
 
 def brute_phrases(text, sample):
-    """Greedy longest matches by substring search."""
+    """Greedy longest matches by substring search over the whole text."""
     count = at = 0
     while at < len(text):
         size = 1
@@ -19,18 +19,75 @@ def brute_phrases(text, sample):
     return count
 
 
-def test_phrases_equal_substring_search():
+def coded(text):
+    return np.frombuffer(text.encode(), dtype=np.uint8).astype(np.int64) - 96
+
+
+def test_phrases_equal_substring_search(monkeypatch):
+    """Also where matches are longer than stretches, and where stretches never fall in with one another."""
     rng = random.Random(2)
-    for _ in range(20):
-        sample = "".join(rng.choice("abc") for _ in range(rng.randint(1, 200)))
-        codes = np.frombuffer(sample.encode(), dtype=np.uint8).astype(np.int64) - 96
-        steps = li.automaton(codes, 8)
-        assert len(steps) <= 2 * len(sample) + 1
-        texts = ["".join(rng.choice("abcd") for _ in range(rng.choice([0, 1, 30, 200, 700]))) for _ in range(9)]
-        rows, owner = li._stretches([np.frombuffer(t.encode(), dtype=np.uint8).astype(np.int16) - 96 for t in texts])
-        got = np.bincount(owner, weights=li.phrases(rows, steps), minlength=len(texts))
-        want = [sum(brute_phrases(t[k : k + li.STRETCH], sample) for k in range(0, len(t), li.STRETCH)) for t in texts]
-        assert got.tolist() == want
+    for stretch, before, rounds in ((512, 48, 4), (16, 4, 4), (16, 4, 0), (7, 2, 1)):
+        for name, value in (("STRETCH", stretch), ("BEFORE", before), ("ROUNDS", rounds)):
+            monkeypatch.setattr(li, name, value)
+        for turn in range(12):
+            sample = "".join(rng.choice("abc") for _ in range(rng.randint(1, 200))) if turn else "a" * 50
+            machine = li.automaton(coded(sample), 8)
+            assert len(machine.base) <= 2 * len(sample) + 1
+            texts = ["".join(rng.choice("abcd") for _ in range(rng.choice([0, 1, 30, 200, 700]))) for _ in range(9)] + [sample * 3, "a" * 1000, "ab" * 300 + "d"]
+            assert li.phrases([coded(t) for t in texts], machine).tolist() == [brute_phrases(t, sample) for t in texts]
+
+
+def test_automaton_has_the_substrings():
+    rng = random.Random(5)
+    for size, alphabet in ((60, 3), (300, 250), (400, 5000)):
+        codes = np.array([rng.randrange(1, alphabet) for _ in range(size)])
+        machine = li.automaton(codes, alphabet)
+        inside = {tuple(codes[i : i + n]) for n in (1, 2, 3) for i in range(size)}
+        for part in [*inside, *((rng.randrange(alphabet), rng.randrange(alphabet)) for _ in range(300))]:
+            state = np.zeros(1, dtype=np.int64)
+            for c in part:
+                state = machine.step(state, np.array([c])) if state[0] >= 0 else state
+            assert (state[0] >= 0) == any(tuple(codes[i : i + len(part)]) == tuple(part) for i in range(size))
+
+
+def test_every_letter_and_label_is_learned(spark):
+    """Scripts of thousands of letters, and more labels than any list of languages had; short texts fill the sample."""
+    rng = random.Random(4)
+    pools = {f"l{k}": [chr(0x4E00 + 40 * k + j) for j in range(40)] for k in range(260)}
+    rows = [(i, "".join(rng.choice(pool) for _ in range(30)), lang) for lang, pool in pools.items() for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.fit(docs)
+    assert model.langs == sorted(pools) and len(set(model.letters.tolist())) > 9000
+    told = {lang: "".join(t for _, t, k in rows if k == lang) for lang in pools}
+    langs, _ = li.predict(model, list(told.values()))
+    assert langs == list(pools)
+    short = spark.range(40_000).selectExpr("id as doc_id", "concat('wort', id % 1000, ' satz') as text", "'de' as lang")
+    assert li.SAMPLE <= sum(len(r.text) for r in li.sample(short, "doc_id", "text", "lang").collect()) <= li.SAMPLE + li.EACH
+
+
+def test_query_equals_brute_force(spark):
+    """Whole texts of the table, phrases by substring search in the samples."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labelled = docs.where(~li.held_out())
+    parts = {}
+    for r in sorted(li.sample(labelled, "doc_id", "text", "lang").collect(), key=lambda r: (r.lang, r.n)):
+        parts.setdefault(r.lang, []).append(r.text)
+    plain = lambda t: " ".join("".join(c if c.isalpha() else " " for c in (t or "").lower()).split())
+    joined = {k: " ".join(map(plain, v))[: li.SAMPLE] for k, v in parts.items()}
+    learned = {k: t[: len(t) * 3 // 4] for k, t in joined.items()}
+    rate = {k: brute_phrases(t[len(t) * 3 // 4 :], learned[k]) / (len(t) - len(t) * 3 // 4) for k, t in joined.items()}
+    norm = {k: (v / np.mean(list(rate.values()))) ** 0.5 for k, v in rate.items()}
+    got = {r.doc_id: r for r in op1_language_id(spark, "/root/testdata/sf0.001").collect()}
+    rows = docs.collect()
+    assert set(got) == {r.doc_id for r in rows}
+    for r in rows:
+        text = plain(r.text)
+        need = sorted((brute_phrases(text, learned[k]) / norm[k], k) for k in learned)
+        if text:
+            assert got[r.doc_id].lang_pred == need[0][1] or abs(need[0][0] - need[1][0]) < 1e-9
+            assert abs(got[r.doc_id].score - (1 - need[0][0] / need[1][0])) < 1e-9
+        else:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
 
 
 def test_cases(spark):
