@@ -10,6 +10,7 @@ padding.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -40,19 +41,32 @@ _ARROW = pa.schema([
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, part int"
 
 
+#: The normal form and the pattern of a tokenizer whose ids can be found word by word. Fixed values.
+_BY_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+
+
 class Encoder:
-    """Ids of a tokenizer as little-endian 32-bit bytes, by words between ASCII blanks.
+    """Ids of a tokenizer as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and no merge, normal form or pattern crosses it, so the
-    ids of a text are those of its words in order.
+    A tokenizer of the form _BY_WORDS lowers the case and drops white space, and no merge, normal form or pattern crosses
+    that, so the ids of a text are those of its words in order, and words are remembered. Any other encodes whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        form = json.loads(self.tokenizer.to_str())
+        marked = any(any(c.isspace() for c in t["content"]) or "<|" not in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in form["added_tokens"])
+        self.by_words = (form["normalizer"], form["pre_tokenizer"]) == _BY_WORDS and not marked and not form["truncation"] and not form["padding"]
         self.cache = WordCache(self._words)
-        self.marks: dict[bytes, bytes] = {m: self._word(m) for m in (b".", b",")}
+        self.marks: dict[bytes, bytes] = {m: self._word(m) for m in (b".", b",")} if self.by_words else {}
 
     def _word(self, word: bytes) -> bytes:
         return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
@@ -73,6 +87,9 @@ class Encoder:
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_words:
+            whole = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [np.array(x.ids, dtype="<u4").tobytes() for x in whole]
         # The tokenizer lowers the case, so ASCII may be lowered here; but its special tokens are told by case.
         split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
         known = self.cache.values(split)
@@ -214,7 +231,7 @@ def pack(
     nor a power of two long need padding, and those lack fewer than ``sliver`` ids. ``ids``
     (little-endian 32-bit) are null without ``keep_ids``. Repeated rows are packed as they
     come, an empty table gives no piece, further columns are ignored, and the ids of
-    documents may be null. Only open windows, at most ``slots`` a partition, are shuffled.
+    documents, which are cast to long, may be null. Any tokenizer file will do; ids are those of whole texts. Only open windows, at most ``slots`` a partition, are shuffled.
     """
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

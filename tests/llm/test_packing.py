@@ -59,6 +59,19 @@ def test_encoder_equals_library():
         assert np.frombuffer(got, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_encode_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), Encoder(path)
+    texts = ["Hello big World, a.b.", "  two  blanks\n\n", *(c for c in CASES if c is not None)]
+    assert not enc.by_words and Encoder(PATH).by_words
+    for text, got in zip(texts, enc.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    ids = {}
+    for r in sorted(pack(table(spark, texts), path).collect(), key=lambda r: r.start):
+        ids[r.doc_id] = ids.get(r.doc_id, b"") + bytes(r.ids)
+    assert {i: np.frombuffer(x, "<u4").tolist() for i, x in ids.items()} == {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
 def test_open_windows_are_bounded_and_padding_small():
     rng, packer, emitted, total = random.Random(1), Packer(window=256, slots=8, sliver=4), [], 0
     for i in range(3000):
