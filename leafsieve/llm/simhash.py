@@ -5,13 +5,15 @@ fingerprints can prune little at radius 4. The trees here are over thirds of the
 fingerprints at most 4 bits apart differ by at most one bit in some third. A third's trees
 split by the Hamming distance to vantage points; with radius 1 only the points on a boundary
 shell (about a sixth) go to both sides. The upper levels use fixed vantage points and name
-the shards that are dealt out; each task then goes on with points of its own and compares
+the shards that are dealt out; each task then goes on with points of its own, where a third no
+longer tells points apart with those of the other thirds, and compares
 whole fingerprints in the leaves, so the pairs found are exact. A task returns links that
 span what it found, and components come from those.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafsieve.llm.rows import keep_rows, row_key
 from leafsieve.llm.textwork import slices, tidy
 from leafsieve.operators.components import connected_components
 from leafsieve.runtime import materialize, ship
@@ -33,7 +36,6 @@ THIRDS = ((0, 22), (22, 21), (43, 21))
 WITHIN = RADIUS // len(THIRDS)
 #: Fingerprints that a shard is meant to hold, and a leaf.
 SHARD, LEAF = 40_000, 256
-MOST_LEVELS = 16
 
 
 def fingerprint(data: bytes, words: int = WORDS) -> int:
@@ -74,7 +76,7 @@ def _vantages(third: int, levels: int) -> list[int]:
 
 
 def deal(points: DataFrame, levels: int) -> DataFrame:
-    """``points`` (fp, rep), once for each third and for each shard that its ball of radius ``WITHIN`` touches."""
+    """``points`` (fp, …), once for each third and for each shard that its ball of radius ``WITHIN`` touches."""
     shards = []
     for k, (offset, width) in enumerate(THIRDS):
         near = f"bit_count(((shiftrightunsigned(fp, {offset}) & {(1 << width) - 1}L)) ^ v)"
@@ -87,7 +89,7 @@ def deal(points: DataFrame, levels: int) -> DataFrame:
                 if({near} >= {middle - WITHIN + 1}, transform(acc, s -> 2 * s + 1), cast(array() as array<bigint>)))),
                 s -> {k} + {len(THIRDS)} * s)"""
         )
-    return points.select("fp", "rep", F.explode(F.expr(f"concat({', '.join(shards)})")).alias("shard"))
+    return points.select("*", F.explode(F.expr(f"concat({', '.join(shards)})")).alias("shard"))
 
 
 def _leaf(fps: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
@@ -111,11 +113,15 @@ def _leaf(fps: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
             pool = pool[~reached]
 
 
-def tree_links(fps: np.ndarray, third: int) -> np.ndarray:
-    """Index pairs that link the points within RADIUS whose ``third`` differs by at most WITHIN bits; components are complete."""
+def _trees(fps: np.ndarray, ids: np.ndarray, third: int, within: int, others: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """Links among points whose ``third`` differs by at most ``within`` bits.
+
+    Points that no vantage point divides lie within few bits of one another there; many of them are divided by the ``others``,
+    in one of which a pair then differs by at most half of RADIUS.
+    """
     offset, width = THIRDS[third]
     part = (fps >> np.uint64(offset)) & np.uint64((1 << width) - 1)
-    rng, found, stack = np.random.default_rng(SEED), [], [np.arange(len(fps))]
+    rng, stack = np.random.default_rng(SEED), [ids]
     while stack:
         ids = stack.pop()
         if len(ids) > LEAF:
@@ -123,51 +129,72 @@ def tree_links(fps: np.ndarray, third: int) -> np.ndarray:
             for vantage in part[rng.choice(ids, 4)]:
                 far = np.bitwise_count(part[ids] ^ vantage)
                 middle = int(np.median(far))
-                for m in (middle - 1, middle):  # pairs within WITHIN lie both in far <= m + WITHIN or both beyond m
-                    larger = max(np.count_nonzero(far <= m + WITHIN), np.count_nonzero(far > m))
+                for m in (middle - within, middle):  # pairs within ``within`` lie both in far <= m + within or both beyond m
+                    larger = max(np.count_nonzero(far <= m + within), np.count_nonzero(far > m))
                     if best is None or larger < best[0]:
                         best = larger, far, m
             larger, far, m = best
             if larger <= 0.9 * len(ids):
-                stack += [ids[far <= m + WITHIN], ids[far > m]]
+                stack += [ids[far <= m + within], ids[far > m]]
                 continue
-        found += _leaf(fps, ids)
+        if others and len(ids) > 16 * LEAF:
+            for other in others:
+                yield from _trees(fps, ids, other, RADIUS // len(others), ())
+        else:
+            yield from _leaf(fps, ids)
+
+
+def tree_links(fps: np.ndarray, third: int) -> np.ndarray:
+    """Index pairs that link the points within RADIUS whose ``third`` differs by at most WITHIN bits; components are complete."""
+    others = tuple(t for t in range(len(THIRDS)) if t != third)
+    found = list(_trees(fps, np.arange(len(fps)), third, WITHIN, others))
     return np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
 
 
 def _shard_links(table: pa.Table) -> pa.Table:
     third = table.column("shard")[0].as_py() % len(THIRDS)
-    fps = table.column("fp").to_numpy().view(np.uint64)
-    reps = table.column("rep").to_numpy()
-    links = np.unique(np.sort(reps[tree_links(fps, third)], axis=1), axis=0)
+    fps = table.column("fp").to_numpy()
+    links = np.unique(np.sort(fps[tree_links(fps.view(np.uint64), third)], axis=1), axis=0)
     return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
 
 def near_components(points: DataFrame) -> DataFrame:
-    """(node, component) of the linked ones among distinct fingerprints ``points`` (fp, rep)."""
-    count = points.count()
-    levels = min(MOST_LEVELS, max(0, (count // SHARD).bit_length()))
+    """(node, component) of the linked ones among distinct fingerprints ``points`` (fp); a component is named by its least fingerprint as a signed number."""
+    # A level halves a shard but for its shell: about a sixth of the points go to both sides.
+    levels = math.ceil(math.log(max(points.count() / SHARD, 1)) / math.log(2 / (1 + 1 / 6)))
     links = deal(points, levels).groupBy("shard").applyInArrow(_shard_links, "a long, b long")
     return connected_components(links)
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, row, fp; named: a row per fp with the component's least id, and the least text of that id there)."""
+    prints = docs.select(F.col(id_col).alias("doc_id"), row_key(text_col).alias("row"), F.col(text_col).alias("text"))
+    prints = materialize(with_fingerprint(prints).select("doc_id", "row", "fp"), "prints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    points = materialize(prints.groupBy("fp").agg(F.min(first).alias("first")), "points")
+    linked = points.join(near_components(points.select("fp")).withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    linked = materialize(linked, "linked")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    return prints, materialize(linked.join(least, "component").select("fp", "least"), "named")
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fp, component_id (the least id that links lead to, itself included).
 
     Null, empty and blank texts share fingerprint 0 and link like any other. Repeated rows
-    each give a row; a row with a null id gets its component, and never names one. An empty
+    each give a row; a row with a null id gets its component, which is null if all its ids are. An empty
     table gives no row; further columns are ignored.
     """
-    prints = with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "fp")
-    prints = materialize(prints, "prints")
-    points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
-    components = near_components(points.where("rep is not null"))
-    named = points.join(components, points["rep"] == components["node"], "left")
-    named = materialize(named.select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    prints, named = _components(docs, id_col, text_col)
+    return prints.join(named, "fp").select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document, the one with the least id, of each component."""
-    dropped = simhash_dedup(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(dropped, id_col, "left_anti")
+    """One row of each component, the one with the least id (a null id comes last), with all columns.
+
+    Rows are told apart by id and text: of a component's rows with the least id the least text by its SHA-256 stays, and a row
+    never goes because another one of its id does. Of rows that repeat an id and its text one stays.
+    """
+    prints, named = _components(docs, id_col, text_col)
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("row") == F.col("least.row"))
+    return keep_rows(docs, prints.join(named, "fp").select("doc_id", "row", kept.alias("kept")), id_col, text_col)

@@ -120,3 +120,27 @@ def test_query_equals_brute_force(spark):
     want = brute_components(sorted(texts), [brute_print(texts[i]) for i in sorted(texts)])
     rows = op7_simhash(spark, "/root/testdata/sf0.001").collect()
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows} == {i: (f"{brute_print(t):016x}", want[i]) for i, t in texts.items()}
+
+
+def test_rows_are_kept_by_row(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve " * 40
+    rows = [(1, long), (2, "quite another text than that"), (2, long + "."), (None, long + "!"), (None, "a text alone without an id"), (None, "a text alone without an id"), (3, "twice the same"), (3, "twice the same")]
+    prints = {t: brute_print(t) for _, t in rows}
+    assert max((prints[long] ^ prints[long + e]).bit_count() for e in ".!") <= 4
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, row string")
+    got = sorted(((r.doc_id, r.text) for r in keep_first(docs).collect()), key=str)
+    assert got == sorted([(1, long), (2, "quite another text than that"), (None, "a text alone without an id"), (3, "twice the same")], key=str)
+    found = {(r.doc_id, r.fp): r.component_id for r in simhash_dedup(docs).collect()}
+    assert found[None, int(np.uint64(prints[long + "!"]).view(np.int64))] == 1
+    assert found[None, int(np.uint64(prints["a text alone without an id"]).view(np.int64))] is None
+
+
+def test_large_leaves_go_on_with_the_other_thirds(monkeypatch):
+    """Points that agree in a third, so that its trees can't divide them."""
+    rng = random.Random(9)
+    prints = sorted({rng.getrandbits(42) << 22 for _ in range(1500)} | {p ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(22, 64) for p in points(2, 100, [8] * 20)})
+    monkeypatch.setattr(simhash, "LEAF", 16)
+    fps = np.array(prints, dtype=np.uint64)
+    near = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1))
+    pairs = {tuple(sorted(x)) for t in range(3) for x in tree_links(fps, t).tolist()}
+    assert len(near) and all(tuple(x) in pairs for x in near.tolist())
