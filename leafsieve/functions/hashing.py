@@ -33,9 +33,18 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+#: 16 characters that are a number to base 16: digits, single low lines between them, and before them blanks, a plus sign or 0x.
+HASH_PATTERN = r"^(?=.{16}$)[ \t\n]*[+]?(0[xX]_?)?[0-9a-fA-F]+(_[0-9a-fA-F]+)*[ \t\n]*$"
+
+
+def hash_value(text: Column) -> Column:
+    """The fingerprint that a text of HASH_PATTERN spells."""
+    return from_hex16(F.lpad(F.regexp_replace(F.regexp_replace(text, r"^[ \t\n]*[+]?(0[xX])?|[ \t\n]+$", ""), "_", ""), 16, "0"))
+
+
 def parse_hash(text: Column) -> Column:
-    """The fingerprint that 16 hex digits spell, else null."""
-    return F.when(text.rlike("^[0-9a-fA-F]{16}$"), from_hex16(text))
+    """The fingerprint that 16 characters spell as a number to base 16, else null."""
+    return F.when(text.rlike(HASH_PATTERN), hash_value(text))
 
 
 def bands(threshold: int) -> list[tuple[int, int]]:

@@ -1,14 +1,15 @@
-"""Lists of known junk and review packs as JSON: strict reading, all or nothing, and writing."""
+"""Lists of known junk and review packs as JSON: rules that a file must meet, all or nothing, and writing."""
 
 from __future__ import annotations
 
-import base64
-import binascii
 import json
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from leafsieve.functions.hashing import HASH_PATTERN, hash_value, hex16, ordered
 from leafsieve.operators.memory import export_known
 
 #: Formats and limits of the files. Fixed values.
@@ -26,97 +27,99 @@ class ListError(ValueError):
     """A file that is not as it should be; nothing of it is taken."""
 
 
-def _hash(raw: Any) -> int:
-    if not isinstance(raw, str) or len(raw) != 16 or any(c not in "0123456789abcdefABCDEF" for c in raw):
-        raise ListError(f"not a fingerprint: {raw!r}")
-    return int(raw, 16)
-
-
-def _hashes(row: Any) -> set[int]:
-    raw = row.get("hashes") if isinstance(row, dict) else None
-    if not isinstance(raw, list) or not 0 < len(raw) <= MOST_HASHES:
-        raise ListError("an entry is no object with 1 to 1000 hashes")
-    return {_hash(h) for h in raw}
-
-
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _picture(raw: Any) -> bytes | None:
-    """A picture that is not usable is left out; the entry stays."""
+def _kind(of: str) -> str:
+    """The kind of a JSON value: NULL, BOOLEAN, a number's, STRING, ARRAY or OBJECT."""
+    return f"coalesce(regexp_extract(schema_of_variant({of}), '^[A-Z]+', 0), 'NULL')"
+
+
+def _items(field: str) -> str:
+    return f"try_variant_get({field}, '$', 'array<variant>')"
+
+
+#: Rules of any file: a condition over ``doc``, and what is wrong where it doesn't hold. A rule is asked only if those before hold.
+_FILE_RULES = (
+    ("doc is not null", "not JSON"),
+    (f"{_kind('doc')} = 'OBJECT'", "not an object"),
+    ("try_variant_get(doc, '$.format', 'string') = '{wanted}'", "not of the format {wanted}"),
+    (f"{_kind('version')} in ('BIGINT', 'DECIMAL', 'DOUBLE') and try_variant_get(version, '$', 'double') = {VERSION}", "of a version that can't be read"),
+)
+#: Rules of a list of entries, and of each entry of it.
+_LIST_RULES = ((f"{_kind('list')} = 'ARRAY'", "the entries are no list"), (f"size({_items('list')}) <= {MOST_ENTRIES}", "too many entries"))
+_ENTRY_RULES = (
+    (f"{_kind('entry')} = 'OBJECT'", "an entry is no object"),
+    (f"{_kind('hashes')} = 'ARRAY'", "an entry without a list of hashes"),
+    (f"size({_items('hashes')}) between 1 and {MOST_HASHES}", f"an entry needs 1 to {MOST_HASHES} hashes"),
+    (f"forall({_items('hashes')}, h -> {_kind('h')} = 'STRING' and rlike(cast(h as string), '{HASH_PATTERN}'))", "an entry has what is no fingerprint"),
+)
+_SETTING_RULES = ((f"{_kind('settings')} in ('NULL', 'OBJECT')", "the settings are no object"), *(
+    (
+        f"try_variant_get(settings, '$.{name}', 'variant') is null or "
+        + (f"{_kind(f'variant_get(settings, {chr(39)}$.{name}{chr(39)})')} = 'BOOLEAN'" if limits is None
+           else f"({_kind(f'variant_get(settings, {chr(39)}$.{name}{chr(39)})')} = 'BIGINT' and variant_get(settings, '$.{name}', 'bigint') between {limits[0]} and {limits[1]})"),
+        f"the setting {name} is out of its range",
+    )
+    for name, limits in SETTINGS.items()
+))
+
+
+def _demand(df: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame:
+    """``df``, or ListError for the first rule that a row breaks."""
+    wrong = F.coalesce(*(F.when(~F.coalesce(F.expr(holds), F.lit(False)), F.lit(why)) for holds, why in rules))
+    broken = df.select(wrong.alias("why")).where("why is not null").first()
+    if broken:
+        raise ListError(broken.why)
+    return df
+
+
+def _document(spark: SparkSession, path: str, wanted: str) -> DataFrame:
+    """One row: the file as ``doc``. A file is one document of bounded size (20,000 entries)."""
     try:
-        data = base64.b64decode(raw, validate=True) if isinstance(raw, str) else None
-    except (binascii.Error, ValueError):
-        return None
-    return data if data and len(data) <= MOST_PICTURE and data.startswith(b"\x89PNG") else None
+        text = spark.read.text(path, wholetext=True).limit(1).collect()
+    except PySparkException as failure:
+        raise ListError(f"{path} can't be read") from failure
+    doc = spark.createDataFrame([(text[0].value if text else "",)], "value string").selectExpr("try_parse_json(value) as doc")
+    doc = doc.selectExpr("doc", "try_variant_get(doc, '$.version', 'variant') as version")
+    return _demand(doc, tuple((holds.format(wanted=wanted), why.format(wanted=wanted)) for holds, why in _FILE_RULES))
 
 
-def _entries(rows: Any) -> list[tuple]:
-    if not isinstance(rows, list) or len(rows) > MOST_ENTRIES:
-        raise ListError("entries are missing or too many")
-    out = []
-    for row in rows:
-        hashes = _hashes(row)
-        texts = [str(row.get(k) or "")[:MOST_TEXT] for k in ("note", "tags")]
-        # The id is made anew: the least fingerprint.
-        out.append((f"{min(hashes):016x}", *texts, "imported", 0.0, _picture(row.get("thumbnail")), [_signed(h) for h in sorted(hashes)]))
-    return out
+def _entries(doc: DataFrame, field: str, needed: bool) -> DataFrame:
+    """(number, entry, hashes: the distinct fingerprints, in unsigned order) of a list of a document; a list that is not needed may be missing or null."""
+    found = doc.selectExpr(f"try_variant_get(doc, '$.{field}', 'variant') as list")
+    if not needed:
+        found = found.where(f"list is not null and {_kind('list')} <> 'NULL'")
+    rows = _demand(found, _LIST_RULES).selectExpr(f"posexplode({_items('list')}) as (number, entry)")
+    rows = _demand(rows.selectExpr("number", "entry", "try_variant_get(entry, '$.hashes', 'variant') as hashes"), _ENTRY_RULES)
+    values = F.transform(F.expr(f"transform({_items('hashes')}, h -> cast(h as string))"), lambda h: ordered(hash_value(h)))
+    return rows.select("number", "entry", F.transform(F.array_sort(F.array_distinct(values)), ordered).alias("hashes"))
 
 
-def _payload(text: str, wanted: str) -> dict:
-    try:
-        payload = json.loads(text)
-    except ValueError as failure:
-        raise ListError("not JSON") from failure
-    if not isinstance(payload, dict) or payload.get("format") != wanted:
-        raise ListError(f"not of the format {wanted}")
-    if payload.get("version") != VERSION or isinstance(payload.get("version"), bool):
-        raise ListError(f"version {payload.get('version')!r} can't be read")
-    return payload
-
-
-def _text_of(spark: SparkSession, path: str) -> str:
-    """A file, which is one document of bounded size (20,000 entries)."""
-    try:
-        rows = spark.read.text(path, wholetext=True).take(2)
-    except Exception as failure:
-        raise ListError(f"{path} can't be read") from failure
-    return rows[0].value if rows else ""
+def _text(field: str):
+    return F.coalesce(F.substring(F.expr(f"try_variant_get(entry, '$.{field}', 'string')"), 1, MOST_TEXT), F.lit(""))
 
 
-def read_known(spark: SparkSession, path: str) -> DataFrame:
-    return spark.createDataFrame(_entries(_payload(_text_of(spark, path), LIST_FORMAT).get("entries")), ENTRY)
+def _known(entries: DataFrame) -> DataFrame:
+    """Rows of ENTRY. The id is the least fingerprint; a picture that is not usable is left out."""
+    picture = F.expr("try_to_binary(try_variant_get(entry, '$.thumbnail', 'string'), 'base64')")
+    usable = (F.octet_length(picture) <= MOST_PICTURE) & F.hex(picture).startswith("89504E47")
+    return entries.orderBy("number").select(
+        hex16(F.get("hashes", F.lit(0))).alias("sid"), _text("note").alias("note"), _text("tags").alias("tags"), F.lit("imported").alias("source"),
+        F.lit(0.0).alias("created_at"), F.when(usable, picture).alias("thumbnail"), "hashes",
+    )
 
 
-def _settings(raw: Any) -> dict[str, Any] | None:
-    if raw is None:
-        return None
-    if not isinstance(raw, dict):
-        raise ListError("settings are no object")
-    out = {}
-    for name, limits in SETTINGS.items():
-        if name in raw:
-            value = raw[name]
-            good = isinstance(value, bool) if limits is None else type(value) is int and limits[0] <= value <= limits[1]
-            if not good:
-                raise ListError(f"setting {name} is {value!r}")
-            out[name] = value
-    return out or None
+def read_known(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a list, as ENTRY says."""
+    return _known(_entries(_document(spark, path, LIST_FORMAT), "entries", needed=True))
 
 
 def read_pack(spark: SparkSession, path: str) -> tuple[dict[str, Any] | None, DataFrame, DataFrame]:
     """(settings, known entries, ignored entries (gid, note, hashes))."""
-    payload = _payload(_text_of(spark, path), PACK_FORMAT)
-    rows = payload.get("ignored")
-    if rows is not None and (not isinstance(rows, list) or len(rows) > MOST_ENTRIES):
-        raise ListError("the ignored entries are no list, or too many")
-    ignored = []
-    for row in rows or []:
-        hashes = _hashes(row)
-        ignored.append((f"{min(hashes):016x}", str(row.get("note") or "")[:MOST_TEXT], [_signed(h) for h in sorted(hashes)]))
-    settings, known = _settings(payload.get("settings")), _entries(payload["known"]) if payload.get("known") else []
-    return settings, spark.createDataFrame(known, ENTRY), spark.createDataFrame(ignored, "gid string, note string, hashes array<bigint>")
+    doc = _document(spark, path, PACK_FORMAT)
+    given = _demand(doc.selectExpr("try_variant_get(doc, '$.settings', 'variant') as settings"), _SETTING_RULES)
+    row = given.selectExpr(*(f"try_variant_get(settings, '$.{n}', '{'boolean' if limits is None else 'int'}') as {n}" for n, limits in SETTINGS.items())).first()
+    settings = {n: v for n, v in row.asDict().items() if v is not None}
+    ignored = _entries(doc, "ignored", needed=False).select(hex16(F.get("hashes", F.lit(0))).alias("gid"), _text("note").alias("note"), "hashes")
+    return settings or None, _known(_entries(doc, "known", needed=False)), ignored
 
 
 def setting_changes(current: dict[str, Any], proposed: dict[str, Any] | None) -> list[tuple[str, Any, Any]]:

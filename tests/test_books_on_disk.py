@@ -48,7 +48,7 @@ def book(path, pages, info=None):
 @pytest.fixture
 def library(tmp_path):
     """Three books of five pages; page 2 is the same in all, in the third with noise."""
-    advert, noisy = picture(99), picture(99, noise=3)
+    advert, noisy = picture(99), picture(99, noise=24)  # 3 bits apart
     for k, ad in enumerate((advert, advert, noisy)):
         pages = [picture(10 * k + i) for i in range(5)]
         pages[1] = ad
@@ -186,6 +186,34 @@ def test_comicinfo_update():
     assert comicinfo.update(b"<broken", {1}, 2) == b"<broken"
 
 
+def test_comicinfo_odd_documents():
+    """Numbers that are none stay as they are; what is not touched stays byte for byte."""
+    out = comicinfo.update(
+        b"""<?xml version='1.0' encoding='utf-16'?><ComicInfo><!-- <Page Image="9"/> --><Pages><Page Image="--5"/><Page Image='+-1'/><Page Image=" 6 " Type='a>b'>x<!--c--></Page>"""
+        b"""<Page	Image = '2' Key="k"/><Bookmark Image="1"/></Pages><PageCount/><Pages><Page Image="2"/></Pages></ComicInfo>""", {2}, 5,
+    )
+    assert out == (
+        b"""<?xml version="1.0" encoding="utf-8"?>\n<ComicInfo><!-- <Page Image="9"/> --><Pages><Page Image="--5"/><Page Image='+-1'/><Page Image="5" Type='a>b'>x<!--c--></Page>"""
+        b"""<Bookmark Image="1"/></Pages><PageCount>5</PageCount><Pages><Page Image="2"/></Pages></ComicInfo>"""
+    )
+    assert comicinfo.update(b"<a><Pages/></a>", set(), 3).endswith(b"<a><Pages/><PageCount>3</PageCount></a>")
+    assert comicinfo.update("\ufeff<a><PageCount>é<b/></PageCount></a>".encode(), {1}, 3).endswith(b"<a><PageCount>3</PageCount></a>")
+    assert comicinfo.update(b"<a/>", {1}, 3).endswith(b"<a/>")
+
+
+def test_filters():
+    """Weights sum to one, a plane of one value stays, and sides of other filters are as computed by hand."""
+    for size, cells in ((60, 9), (9, 9), (5, 9), (400, 32)):
+        for kind in (imaging.BILINEAR, imaging.LANCZOS):
+            assert np.abs(imaging._weights(size, cells, kind).sum(axis=1) - (1 << 22)).max() <= size
+            assert (imaging.shrink(np.full((size, size), 77), cells, cells, kind) == 77).all()
+    # Half the size, triangle of reach two: weights 1/8 3/8 3/8 1/8, cut at the ends to 3/7 3/7 1/7.
+    assert imaging.shrink(np.array([[0, 70, 140, 210]]), 2, 1, imaging.BILINEAR).tolist() == [[50, 160]]
+    ramp = np.arange(0, 256, 4)[None, :].repeat(8, axis=0)
+    assert (np.diff(imaging.shrink(ramp, 9, 8)[0]) > 0).all()
+    assert imaging.grey(np.array([[[255, 0, 0], [0, 255, 0], [0, 0, 255]]], dtype=np.uint8)).tolist() == [[76, 150, 29]]
+
+
 def test_names_agree(spark):
     from leafsieve.functions.text import natural_key
     from leafsieve.operators.pages import is_page_name
@@ -210,7 +238,7 @@ def test_known_lists(spark, tmp_path):
     (row,) = known_list.read_known(spark, file(good)).collect()
     assert row.sid == "0" * 15 + "1" and row.hashes == [1, -1] and row.thumbnail is None and row.source == "imported"
     for bad in ("no json", "[]", good | {"format": "x"}, good | {"version": 2}, good | {"entries": None}, good | {"entries": [entry, {}]},
-                good | {"entries": [entry | {"hashes": ["0x" + "1" * 14]}]}, good | {"entries": [entry | {"hashes": []}]}):
+                good | {"entries": [entry | {"hashes": ["0x" + "1" * 13 + "g"]}]}, good | {"version": True}, good | {"entries": [entry | {"hashes": [5]}]}, good | {"entries": [entry | {"hashes": []}]}):
         with pytest.raises(known_list.ListError):
             known_list.read_known(spark, file(bad))
     known = spark.createDataFrame([("0" * 15 + "1", "n", "", None)], "sid string, note string, tags string, thumbnail binary")
