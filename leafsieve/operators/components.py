@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafsieve.runtime import materialize, release
+from leafsieve.runtime import materialize, release, ship
+
+#: Edges that a task joins at once (16 bytes each).
+AT_ONCE = 1 << 20
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -30,37 +33,47 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return least.select("a", F.col("m").alias("b")).unionByName(rest).distinct()
 
 
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Components of all edges of one task, by hooking and jumping over arrays."""
-    table = pa.Table.from_batches(batches, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-    ends = np.stack([table.column(k).to_numpy() for k in range(2)])
-    nodes, index = np.unique(ends, return_inverse=True)
-    x, y = index.reshape(2, -1)
-    root = np.arange(len(nodes))
-    while len(x):
-        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
-        if (low == high).all():
-            break
-        np.minimum.at(root, high, low)
-        while (root != root[root]).any():
-            root = root[root]
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "component"])
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", in_one_task: int = 0) -> DataFrame:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a task, in batches of AT_ONCE, each node led straight to the least that the batch links it with."""
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        ends = np.stack([np.concatenate(x) for x in zip(*held, strict=True)])
+        nodes, index = np.unique(ends, return_inverse=True)
+        x, y = index.reshape(2, -1)
+        root = np.arange(len(nodes))
+        while True:
+            low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+            if (low == high).all():
+                break
+            np.minimum.at(root, high, low)
+            while (root != root[root]).any():
+                root = root[root]
+        led = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[led]), pa.array(nodes[root[led]])], names=["a", "b"])
+
+    for batch in batches:
+        held.append([batch.column(k).to_numpy() for k in range(2)])
+        size += batch.num_rows
+        if size >= AT_ONCE:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of ``edges`` (two long columns); the component is its least node.
 
-    Up to ``in_one_task`` edges, counted first, are joined in a task (16 bytes each); more go in rounds.
-
-    Rounds grow with the square of the logarithm of the nodes at worst. After each, the edges
+    Tasks first make forests of the edges that they hold. Rounds then grow with the square of the logarithm of the nodes
+    at worst. After each, the edges
     are a table in the shared folder. Hubs are aggregated before they are shuffled, and the
     joins with them can be split by adaptive execution. Loops and null ends are ignored; an
     empty table gives no rows.
     """
-    start = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    table, before = materialize(start, "edges"), None
-    if in_one_task and table.count() <= in_one_task:
-        return table.coalesce(1).mapInArrow(_union, "node long, component long")
+    ship(edges.sparkSession)
+    start = edges.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).where("a <> b")
+    table, before = materialize(start.mapInArrow(_forest, "a long, b long"), "edges"), None
     while True:
         state = table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:

@@ -1,74 +1,87 @@
-"""Joins of fingerprints within a Hamming distance, as equi-joins that Spark can deal out."""
+"""Joins of fingerprints within a Hamming distance, as equi-joins that Spark can deal out.
+
+Of ``threshold + agree`` bands of the bits, fingerprints within the threshold agree in at least ``agree``.
+So they meet under the key of some combination of that many bands. More bands in a combination make more keys and
+fewer fingerprints under each; what is cheapest goes by the number of fingerprints.
+"""
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafsieve.functions.hashing import band_keys, bands, hamming, ordered
+from leafsieve.functions.hashing import bands, hamming, ordered
 from leafsieve.operators.components import connected_components
+from leafsieve.operators.heavy import heavy_hitters
+from leafsieve.options import BITS
 from leafsieve.runtime import materialize, ship
 
-#: Share of all pairs beyond which bands compare too much, and fingerprints in a block instead.
-MOST_CANDIDATES, BLOCK = 0.2, 4096
-#: Parts of the buckets of a band.
-PARTS = 64
-#: Links, after counting, up to which components are found in a task (16 MB).
-FEW_LINKS = 1 << 20
+#: About the cost of dealing out a key, in comparisons, and the most keys of a fingerprint.
+DEAL, MOST_KEYS = 150, 300
+#: Fingerprints that are compared in a group, and in a block of a bucket of more than four blocks.
+PART, BLOCK = 8192, 4096
+#: Most buckets that are named as large, and counters of the sketch that names them.
+LARGE, COUNTERS = 4096, 16384
+
+
+def bands_to_agree(threshold: int, rows: int) -> int:
+    """How many bands make a key, for the least work with so many fingerprints."""
 
+    def work(agree: int) -> float:
+        return comb(threshold + agree, agree) * (DEAL + rows / 2 ** (BITS * agree / (threshold + agree)))
 
-def candidate_share(threshold: int) -> float:
-    """The share of random pairs that agree in a band."""
-    return sum(2.0**-width for _, width in bands(threshold))
+    return min((k for k in range(1, 9) if k == 1 or comb(threshold + k, k) <= MOST_KEYS), key=work)
 
 
-def _keyed(df: DataFrame, threshold: int) -> DataFrame:
-    """A row per band of a frame whose first column is the fingerprint."""
-    return df.select("*", F.explode(band_keys(F.col(df.columns[0]), threshold)).alias("k")).select(*df.columns, "k.band", "k.key")
+def _keys(h: Column, threshold: int, agree: int) -> Column:
+    """array<struct<band, key>>: the number of each combination of bands, and its bits."""
+    cuts = bands(threshold + agree - 1)
 
+    def key(chosen: tuple[int, ...]) -> Column:
+        out = None
+        for k in chosen:
+            offset, width = cuts[k]
+            part = F.shiftrightunsigned(h, offset).bitwiseAND(F.lit((1 << width) - 1 if width < BITS else -1))
+            out = part if out is None else F.shiftleft(out, width).bitwiseOR(part)
+        return out
 
-def _blocks(left: DataFrame, right: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Each row of the left meets each of the right in one of blocks * blocks keys of bounded size."""
-    blocks = max(1, -(-rows // BLOCK))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    own = lambda df: F.pmod(F.xxhash64(df.columns[0]), F.lit(blocks)).cast("int")
-    return (
-        left.select("*", own(left).alias("band"), F.explode(every).alias("key")),
-        right.select("*", F.explode(every).alias("band"), own(right).alias("key")),
-    )
+    return F.array(*(F.struct(F.lit(n).alias("band"), key(chosen).alias("key")) for n, chosen in enumerate(combinations(range(len(cuts)), agree))))
 
 
-def _meet(left: DataFrame, right: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    if candidate_share(threshold) <= MOST_CANDIDATES:
-        return _keyed(left, threshold), _keyed(right, threshold)
-    return _blocks(left, right, max(left.count(), right.count()))
+def _keyed(df: DataFrame, threshold: int, agree: int) -> DataFrame:
+    """A row per key of a frame whose first column is the fingerprint."""
+    return df.select("*", F.explode(_keys(F.col(df.columns[0]), threshold, agree)).alias("k")).select(*df.columns, "k.band", "k.key")
 
 
-def _deal(keyed: DataFrame) -> DataFrame:
-    """``keyed`` with the part that compares a row: some of the buckets of a band, or of a large bucket two blocks."""
-    large = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > 4 * BLOCK)
-    large = materialize(large, "large")
-    plain = keyed.withColumns({"part": F.pmod("key", F.lit(PARTS)), "side": F.lit(-1)})
-    if large.isEmpty():
-        return plain
-    plain = plain.join(large, ["band", "key"], "left_anti")
-    split = keyed.join(large, ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+def _deal(keyed: DataFrame, parts: int) -> DataFrame:
+    """``keyed`` with the part that compares a row: some of the buckets of a combination, or of a large bucket two blocks."""
+    bucket = F.xxhash64("band", "key")
+    named = heavy_hitters(keyed.select(bucket.alias("bucket")), "bucket", LARGE, COUNTERS, 4 * BLOCK)
+    counted = keyed.withColumn("bucket", bucket).join(F.broadcast(named), "bucket").groupBy("bucket").agg(F.count("*").alias("n"))
+    large = F.broadcast(materialize(counted.where(F.col("n") > 4 * BLOCK), "large"))
+    plain = keyed.withColumn("bucket", bucket).join(large, "bucket", "left_anti").drop("bucket")
+    plain = plain.withColumns({"part": F.pmod(F.xxhash64("key"), F.lit(parts)), "side": F.lit(-1)})
+    split = keyed.withColumn("bucket", bucket).join(large, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     split = split.withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
-    # Hashes of blocks are put apart from the parts of small buckets.
-    split = split.withColumns({"part": F.shiftright(pair, 1).bitwiseOR(F.lit(1 << 20)), "side": side})
+    # Pairs of blocks are put apart from the parts of small buckets, which count from 0.
+    split = split.withColumns({"part": -1 - F.shiftrightunsigned(pair, 1), "side": side})
     return plain.unionByName(split.select(*plain.columns))
 
 
-def _compare(threshold: int):
-    """Compares the fingerprints of some buckets of one band, each pair in the first band in which it agrees."""
-    cuts = bands(threshold)
+def _compare(threshold: int, agree: int):
+    """Compares the fingerprints of some buckets of one combination, each pair in the first combination in which it agrees."""
+    cuts = bands(threshold + agree - 1)
+    chosen = list(combinations(range(len(cuts)), agree))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        band = key[0].as_py()
+        last = chosen[key[0].as_py()][-1]
         keys, h = table.column("key").to_numpy(), table.column("a").to_numpy().view(np.uint64)
         side = table.column("side").to_numpy()
         order = np.argsort(keys, kind="stable")
@@ -82,8 +95,11 @@ def _compare(threshold: int):
             other = h[live] ^ h[live + shift]
             # Two blocks of a large bucket are compared with one another only; elsewhere the side is -1.
             near = np.flatnonzero((np.bitwise_count(other) <= threshold) & ((side[live] < 0) | (side[live] != side[live + shift])))
-            for offset, width in cuts[:band]:
-                near = near[((other[near] >> np.uint64(offset)) & np.uint64((1 << width) - 1)) != 0]
+            # The first bands that agree are these if no other does up to the last of them.
+            same = np.zeros(len(near), dtype=np.int64)
+            for offset, width in cuts[: last + 1]:
+                same += ((other[near] >> np.uint64(offset)) & np.uint64((1 << width) - 1)) == 0
+            near = near[same == agree]
             found.append(np.stack((h[live[near]], h[live[near] + shift])))
             shift += 1
         x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.uint64)
@@ -93,22 +109,17 @@ def _compare(threshold: int):
     return run
 
 
-def similar_pairs(hashes: DataFrame, threshold: int, banded: bool | None = None) -> DataFrame:
+def similar_pairs(hashes: DataFrame, threshold: int, agree: int | None = None) -> DataFrame:
     """(a, b, distance) of distinct fingerprints ``hashes`` (one column) within ``threshold``; a < b as unsigned.
 
-    Exact either way: ``banded`` compares fingerprints that share a band, otherwise blocks are
-    compared with one another, each pair of blocks in a task.
+    Exact with any number of bands that ``agree``, which is chosen by the count of fingerprints.
     """
     ship(hashes.sparkSession)
-    if banded is None:
-        banded = candidate_share(threshold) <= MOST_CANDIDATES
-    a = hashes.toDF("a")
-    if banded:
-        return _deal(_keyed(a, threshold)).groupBy("band", "part").applyInArrow(_compare(threshold), "a long, b long, distance int")
-    left, right = _blocks(a, hashes.toDF("b"), hashes.count())
-    near = hamming(F.col("a"), F.col("b")) <= threshold
-    pairs = left.join(right, ["band", "key"]).where(near & (ordered(F.col("a")) < ordered(F.col("b"))))
-    return pairs.select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
+    table = materialize(hashes.toDF("a"), "hashes")
+    rows = table.count()
+    agree = agree or bands_to_agree(threshold, rows)
+    dealt = _deal(_keyed(table, threshold, agree), -(-rows // PART) or 1)
+    return dealt.groupBy("band", "part").applyInArrow(_compare(threshold, agree), "a long, b long, distance int")
 
 
 def near_any(hashes: DataFrame, targets: DataFrame, threshold: int) -> DataFrame:
@@ -116,7 +127,8 @@ def near_any(hashes: DataFrame, targets: DataFrame, threshold: int) -> DataFrame
     left, right = hashes.toDF("dhash").distinct(), targets.toDF("target").distinct()
     if threshold <= 0:
         return left.join(right, F.col("dhash") == F.col("target"), "left_semi")
-    left, right = _meet(left, right, threshold)
+    agree = 2 if comb(threshold + 2, 2) <= 66 else 1
+    left, right = _keyed(left, threshold, agree), _keyed(right, threshold, agree)
     return left.join(right, ["band", "key"]).where(hamming(F.col("dhash"), F.col("target")) <= threshold).select("dhash").distinct()
 
 
@@ -127,6 +139,6 @@ def clusters(hashes: DataFrame, threshold: int) -> DataFrame:
         return hashes.select("dhash", F.col("dhash").alias("root"))
     pairs = similar_pairs(hashes, threshold)
     # Components take the least of signed labels, so labels are shifted into unsigned order.
-    labels = connected_components(pairs.select(ordered(F.col("a")).alias("a"), ordered(F.col("b")).alias("b")), in_one_task=FEW_LINKS)
+    labels = connected_components(pairs.select(ordered(F.col("a")).alias("a"), ordered(F.col("b")).alias("b")))
     labels = labels.select(ordered(F.col("node")).alias("dhash"), ordered(F.col("component")).alias("found"))
     return hashes.join(labels, "dhash", "left").select("dhash", F.coalesce("found", "dhash").alias("root"))

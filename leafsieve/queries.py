@@ -213,7 +213,7 @@ def similar_pairs(spark, sf_dir):
 
 @query("similar_pairs_banded", _pairs_sql(DOCS, 3))
 def similar_pairs_banded(spark, sf_dir):
-    return _hex_pairs(similarity.similar_pairs(materialize(adapters.doc_pages(spark, sf_dir).select("dhash").distinct(), "hashes"), 3, banded=True))
+    return _hex_pairs(similarity.similar_pairs(materialize(adapters.doc_pages(spark, sf_dir).select("dhash").distinct(), "hashes"), 3, agree=1))
 
 
 def _clusters_sql(threshold: int) -> str:

@@ -1,11 +1,12 @@
 import random
+from math import comb
 
 import pytest
 
 from leafsieve.functions.hashing import bands
-from leafsieve.operators import similarity
+from leafsieve.operators import components, similarity
 from leafsieve.operators.components import connected_components
-from leafsieve.operators.similarity import clusters, near_any, similar_pairs
+from leafsieve.operators.similarity import bands_to_agree, clusters, near_any, similar_pairs
 
 
 def clustered(seed=7, n=300, near=150):
@@ -41,13 +42,16 @@ def union(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("threshold", [1, 2, 3, 4, 6, 8, 12, 16])
-@pytest.mark.parametrize("banded", [True, False])
-def test_pairs_equal_brute_force(spark, threshold, banded, monkeypatch):
-    monkeypatch.setattr(similarity, "BLOCK", 64 if banded else 100)
+@pytest.mark.parametrize("threshold", [1, 2, 3, 4, 6, 8, 10, 12, 14, 16])
+@pytest.mark.parametrize("agree", [None, 1, 2, 3])
+def test_pairs_equal_brute_force(spark, threshold, agree, monkeypatch):
+    if agree == 3 and threshold > 8:
+        agree = bands_to_agree(threshold, 10**9)  # of many fingerprints
+    monkeypatch.setattr(similarity, "BLOCK", 64)
+    monkeypatch.setattr(similarity, "PART", 100)
     hashes = clustered()
     want = {(a, b): (a ^ b).bit_count() for i, a in enumerate(hashes) for b in hashes[i + 1 :] if (a ^ b).bit_count() <= threshold}
-    rows = [(r.a % (1 << 64), r.b % (1 << 64), r.distance) for r in similar_pairs(frame(spark, hashes), threshold, banded).collect()]
+    rows = [(r.a % (1 << 64), r.b % (1 << 64), r.distance) for r in similar_pairs(frame(spark, hashes), threshold, agree).collect()]
     assert len(rows) == len(set(rows)) and {(a, b): d for a, b, d in rows} == want
 
 
@@ -55,7 +59,7 @@ def test_large_buckets_are_split(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 10)
     base = random.Random(3).getrandbits(64)
     hashes = sorted({base ^ 1 << i ^ 1 << j for i in range(12) for j in range(12)})
-    rows = [(r.a % (1 << 64), r.b % (1 << 64)) for r in similar_pairs(frame(spark, hashes), 2, True).collect()]
+    rows = [(r.a % (1 << 64), r.b % (1 << 64)) for r in similar_pairs(frame(spark, hashes), 2, 1).collect()]
     want = {(a, b) for i, a in enumerate(hashes) for b in hashes[i + 1 :] if (a ^ b).bit_count() <= 2}
     assert len(rows) == len(set(rows)) and set(rows) == want
 
@@ -68,15 +72,16 @@ def test_clusters(spark, threshold):
     assert got == union(pairs if threshold else [], hashes)
 
 
-@pytest.mark.parametrize("in_one_task", [0, 1 << 20])
-def test_components_of_chains_hubs_and_loops(spark, in_one_task):
+@pytest.mark.parametrize("at_once", [7, 1 << 20])
+def test_components_of_chains_hubs_and_loops(spark, at_once, monkeypatch):
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (300, 299), (None, 5)]
     edges += [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(60)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), in_one_task=in_one_task).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     good = [(a, b) for a, b in edges if a is not None and a != b]
     assert got == union(good, {n for e in good for n in e})
-    assert connected_components(spark.createDataFrame([], "a long, b long"), in_one_task=in_one_task).count() == 0
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 @pytest.mark.parametrize("threshold", [0, 2, 14])
@@ -92,3 +97,12 @@ def test_bands_cover_all_bits():
         cuts = bands(t)
         assert len(cuts) == t + 1 and cuts[0][0] == 0 and sum(w for _, w in cuts) == 64
         assert all(a[0] + a[1] == b[0] and a[1] - b[1] in (0, 1) for a, b in zip(cuts, cuts[1:]))
+
+
+def test_keys_grow_with_the_fingerprints():
+    """Buckets stay small however many fingerprints there are, and keys a fingerprint stay bounded."""
+    assert bands_to_agree(6, 50_000) == 1
+    for threshold in range(1, 9):
+        for rows in (10**6, 10**8, 10**10):
+            agree = bands_to_agree(threshold, rows)
+            assert comb(threshold + agree, agree) <= similarity.MOST_KEYS and rows / 2 ** (64 * agree / (threshold + agree)) < max(20_000, rows / 10**5)
