@@ -10,7 +10,7 @@ from leafsieve.llm.pii import redact
 from leafsieve.llm.quality import keep_good
 from leafsieve.llm.queries import tokenizer_path
 from leafsieve.llm.simhash import keep_first
-from leafsieve.runtime import load, materialize
+from leafsieve.runtime import load, materialize, release, scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +48,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage over the table ``documents``."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:  # what a stage cuts goes when its result is written, and so does its input
+            done = keep(materialize(stage(spark, docs, sf_dir), name))
+        release(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

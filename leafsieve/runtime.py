@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,11 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, is a temporary folder made.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all runs in one
+    process, as in tests, is a temporary folder made; elsewhere RuntimeError asks for the setting.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = f"file://{tempfile.mkdtemp(prefix='leafsieve-')}"
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
@@ -48,23 +53,55 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+#: Whether a query's shuffle files go as soon as it ends. What is written is read from its files, so they are of no more use.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the table read back.
 
-    This cuts lineage durably: a lost executor costs a reread, not a recomputation. The
-    files go when the application ends, or earlier with :func:`release`.
+    This cuts lineage durably: a lost executor costs a reread, not a recomputation. Shuffle files of the
+    write go with its end. The table's files go when the application ends, or earlier with :func:`release`.
     """
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/leafsieve-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     fs, where = _file_system(spark, path)
     fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._leafsieve_path = path
+    for scope in _scopes[-1:]:
+        scope.append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A stretch of work: tables that are cut in it go at its end, but for those that are handed to what it gives."""
+    _scopes.append([])
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for table in _scopes.pop():
+            if not any(table is k for k in kept):
+                release(table)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize`; other frames are left alone."""
     path = getattr(df, "_leafsieve_path", None)

@@ -106,3 +106,14 @@ def test_keys_grow_with_the_fingerprints():
         for rows in (10**6, 10**8, 10**10):
             agree = bands_to_agree(threshold, rows)
             assert comb(threshold + agree, agree) <= similarity.MOST_KEYS and rows / 2 ** (64 * agree / (threshold + agree)) < max(20_000, rows / 10**5)
+
+
+def test_tables_of_a_stretch_of_work_go(spark):
+    from leafsieve.runtime import materialize, scratch
+
+    with scratch() as keep:
+        first = materialize(spark.range(3), "first")
+        second = keep(materialize(first.where("id > 0"), "second"))
+    assert second.count() == 2
+    path = first._leafsieve_path.removeprefix("file://")
+    assert not __import__("os").path.exists(path)
