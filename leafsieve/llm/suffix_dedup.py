@@ -48,7 +48,7 @@ LEAST, GROUP = 1024, 4096
 #: Windows in a slice of a frequent anchor.
 SLICE = 8
 #: Bytes that are sorted together, unless one key has more; bytes that are scanned at once.
-BATCH, SCAN = 4 << 20, 1 << 20
+BATCH, SCAN = 1 << 20, 1 << 20
 #: Stands for a null id inside: it comes after every other.
 NULL_ID = (1 << 63) - 1
 
@@ -489,10 +489,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     light = unsettled.join(F.broadcast(heavy), "h", "left_anti").select(*_ANCHORS.names)
     light = light.repartition("h").sortWithinPartitions("h").mapInArrow(_deal, _FATES_DDL)
     sliced = unsettled.join(F.broadcast(heavy), "h").select(*_ANCHORS.names, F.lit(SLICED).cast("byte").alias("fate"))
-    fates = materialize(light.unionByName(sliced), "fates")
-    runs = fates.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "lead", "h", "fate")).alias("runs"))
+    runs = light.unionByName(sliced).groupBy("doc").agg(F.collect_list(F.struct("at", "n", "lead", "h", "fate")).alias("runs"))
     pieces = materialize(source.join(runs.hint("shuffle_hash"), "doc").select("doc", "text", "runs").mapInArrow(_cut, _PIECES_DDL), "pieces")
-    release(fates)
     # Of the slices of one key, as of the rows of one anchor, a task gets no more than the sketch can miss.
     hot = materialize(heavy_hitters(pieces.where("sliced"), "key", HEAVY, COUNTERS, LEAST), "hot")
     open_ = pieces.where("payload is not null")
@@ -503,7 +501,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = meet.mapInArrow(_grouped, _MARKS_DDL)
     for settled in (anchors.where("h is null"), pieces.where("payload is null"), split.where("payload is null")):
         marks = marks.unionByName(settled.select("doc", "at", F.col("n").cast("long").alias("n")))
-    marks = marks.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("marks"))
+    marks = materialize(marks.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("marks")), "marks")
+    for table in (anchors, heavy, pieces, hot, split):
+        release(table)
     remove = F.arrow_udf(_remove(keep_bytes), _RESULT_DDL)
     joined = source.join(marks.hint("shuffle_hash"), "doc", "left")
     return joined.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), remove("text", "marks").alias("made")).select("doc_id", "made.*")
