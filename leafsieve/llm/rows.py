@@ -24,7 +24,8 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str, text_col: str) -
     cases = decided.groupBy("doc_id", "row").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
     cases = materialize(cases.select(F.col("doc_id").alias(f"{here}_"), F.col("row").alias(f"{at}_"), "kept"), "cases")
     same = F.col(here).eqNullSafe(F.col(f"{here}_")) & (F.col(at) == F.col(f"{at}_"))
-    plain = keyed.join(cases.drop("kept"), same, "left_anti")
+    # Dealt out at any size: how many cases there are grows with the rows.
+    plain = keyed.join(cases.drop("kept").hint("shuffle_hash"), same, "left_anti")
     # Repeated rows that stay, which are few: the first by all columns. Only one of a task's is shuffled.
     some = keyed.join(cases.where("kept").drop("kept"), same, "left_semi")
     first = Window.partitionBy(here, at).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
