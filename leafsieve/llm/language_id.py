@@ -292,7 +292,7 @@ def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
     sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("all"))
     # A hash is spread evenly over 2^64.
     share = (F.col("k") / F.lit(2.0**64) + 0.5) * F.col("all") <= 4 * SAMPLE
-    some = rows.join(sizes, "lang").where(share)
+    some = rows.join(F.broadcast(sizes), "lang").where(share)  # a row per label, MOST_LABELS at most
     so_far = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("k", "text").rowsBetween(Window.unboundedPreceding, -1))
     return some.withColumn("n", F.coalesce(so_far, F.lit(0))).where(F.col("n") < SAMPLE).select("lang", "n", "text")
 
@@ -302,7 +302,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     A column of more than MOST_LABELS labels is refused by ValueError, as none of languages.
     """
-    if labelled.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(MOST_LABELS + 1).count() > MOST_LABELS:
+    labels = labelled.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count()
+    if labels.limit(MOST_LABELS + 1).count() > MOST_LABELS:
         raise ValueError(f"{lang_col} has more than {MOST_LABELS} labels")
     samples: dict[str, list[str]] = {}
     for row in sorted(sample(labelled, id_col, text_col, lang_col).collect(), key=lambda x: (x.lang, x.n)):
