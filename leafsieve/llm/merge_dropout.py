@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafsieve.llm.agendas import NONE, WIDTHS, PairTable, in_step
 from leafsieve.llm.textwork import CACHE_WORDS, WordCache, tidy
 from leafsieve.llm.vocabulary import Vocabulary, load_vocabulary, units
 from leafsieve.runtime import ship
@@ -33,8 +34,7 @@ KNOWN_UNITS, KNOWN_OUTCOMES = 150_000, 250_000
 #: Units that are drawn at once, how often a unit is among them to be remembered, and the most candidates it may have for that (bits of a mask).
 DRAWN, OFTEN, MASK = 1 << 17, 12, 64
 #: Units with more letters than this get an agenda of their own.
-IN_STEP = 64
-_NONE = np.int32(1 << 30)
+IN_STEP = WIDTHS[-1]
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -59,38 +59,13 @@ class Merges:
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = i
         self.pairs = pairs
-        # An open hash table with few collisions, looked up for many pairs at once.
-        self.bits = max(4, (4 * len(pairs)).bit_length())
-        self.keys, self.made = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, -1, dtype=np.int32)
-        for key, i in pairs.items():
-            at = int(self._slot(np.array([key]))[0])
-            while self.keys[at] >= 0:
-                at = (at + 1) & ((1 << self.bits) - 1)
-            self.keys[at], self.made[at] = key, i
+        self.table = PairTable(pairs)
 
     def symbol(self, text: str) -> int | None:
         if len(text) == 1:
             return int(self.letters[ord(text)])
         return self.pieces.get(text)
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((keys.astype(np.uint64) * _K1) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The piece that each pair of symbols makes, or -1."""
-        keys = left.astype(np.int64) << 32 | right
-        at = self._slot(keys)
-        there = self.keys[at]
-        out = np.where(there == keys, self.made[at], np.int32(-1))
-        odd = np.flatnonzero((there != keys) & (there >= 0))
-        while len(odd):
-            at[odd] = (at[odd] + 1) & ((1 << self.bits) - 1)
-            hit = self.keys[at[odd]] == keys[odd]
-            out[odd[hit]] = self.made[at[odd[hit]]]
-            odd = odd[~hit & (self.keys[at[odd]] >= 0)]
-        return out
-
     def symbols(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         return np.where(points < len(self.letters), self.letters[np.minimum(points, len(self.letters) - 1)], self.base + points)
@@ -153,7 +128,7 @@ class DropoutEncoder:
         out: list[bytes] = [b""] * len(words)
         sizes = np.array([len(w) for w in words])
         low = 0
-        for high in (4, 8, 12, 20, 36, IN_STEP):
+        for high in WIDTHS:
             chosen = np.flatnonzero((sizes > low) & (sizes <= high))
             for k in range(0, len(chosen), 1 << 14):
                 part = chosen[k : k + (1 << 14)]
@@ -165,9 +140,9 @@ class DropoutEncoder:
         return out
 
     def _candidates(self, key, start, left, right):
-        """(rank, piece) of candidate merges; skipped ones and ones that make no piece have the rank _NONE."""
-        piece = self.merges.merged(left, right)
-        rank = np.full(len(piece), _NONE, dtype=np.int32)
+        """(rank, piece) of candidate merges; skipped ones and ones that make no piece have the rank NONE."""
+        piece = self.merges.table.find(left, right)
+        rank = np.full(len(piece), NONE, dtype=np.int32)
         good = np.flatnonzero(piece >= 0)
         made = piece[good]
         stay = ~_dropped(key[good], start[good], made, self.limit)
@@ -175,47 +150,11 @@ class DropoutEncoder:
         return rank, piece
 
     def _in_step(self, words: list[str], keys: np.ndarray, width: int) -> list[bytes]:
-        """Ids of words of at most ``width`` letters: in each step every word makes its next merge.
-
-        A symbol stays at the place of its first letter, and links lead to the symbols beside it, so a step writes a
-        few cells a word.
-        """
+        """Ids of words of at most ``width`` letters."""
         sizes = np.array([len(w) for w in words])
-        columns = np.arange(width, dtype=np.int32)
-        inside = columns < sizes[:, None]
         symbol = np.zeros((len(words), width), dtype=np.int32)
-        symbol[inside] = self.merges.symbols("".join(words))
-        alive = inside.copy()
-        rank, piece = np.full(symbol.shape, _NONE, dtype=np.int32), np.zeros(symbol.shape, dtype=np.int32)
-        r, c = np.nonzero(inside[:, 1:])
-        rank[r, c], piece[r, c] = self._candidates(keys[r], c, symbol[r, c], symbol[r, c + 1])
-        after, before = (np.tile(columns + np.int32(d), (len(words), 1)) for d in (1, -1))
-        after[np.arange(len(words)), sizes - 1] = width
-        symbol, after, before, alive, piece, flat = (x.reshape(-1) for x in (symbol, after, before, alive, piece, rank))
-        rows = np.arange(len(words))  # of ``rank``, which holds the words that have candidates
-        while len(rows):
-            at = rank.argmin(axis=1)
-            go = np.flatnonzero(rank[np.arange(len(rows)), at] < _NONE)
-            if len(go) < 0.7 * len(rows):
-                rows, rank, at = rows[go], rank[go], at[go]
-                flat, go = rank.reshape(-1), np.arange(len(rows))
-            else:
-                at = at[go]
-            row, own = rows[go] * width, go * width
-            i = row + at
-            j = after[i]
-            beyond, ahead = after[row + j], before[i]
-            symbol[i], after[i], alive[row + j], flat[own + j] = piece[i], beyond, False, _NONE
-            flat[own + at] = _NONE
-            right, left = np.flatnonzero(beyond < width), np.flatnonzero(ahead >= 0)
-            before[row[right] + beyond[right]] = at[right]
-            # The merged symbol meets the one after it, and the one before.
-            of = np.concatenate((right, left))
-            start = np.concatenate((at[right], ahead[left]))
-            other = np.concatenate((beyond[right], at[left]))
-            flat[own[of] + start], piece[row[of] + start] = self._candidates(keys[rows[go[of]]], start, symbol[row[of] + start], symbol[row[of] + other])
-        ends = alive.reshape(-1, width).sum(axis=1)
-        final = symbol[alive]
+        symbol[np.arange(width) < sizes[:, None]] = self.merges.symbols("".join(words))
+        final, ends = in_step(symbol, sizes, lambda rows, start, left, right: self._candidates(keys[rows], start, left, right))
         stops = np.cumsum(ends)
         odd = set(np.searchsorted(stops, np.flatnonzero(final >= self.merges.base), side="right").tolist())
         data = final.astype("<u4").tobytes()

@@ -18,11 +18,11 @@ BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def slices(texts: Sequence[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+def slices(texts: Sequence[str | bytes | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts as UTF-8 (null: empty), of about ``limit`` bytes each, with the place of the first."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
-        data = b"" if text is None else text.encode("utf-8", "surrogatepass")
+        data = b"" if text is None else text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
         if held and size + len(data) > limit:
             yield first, held
             first, held, size = i, [], 0
@@ -52,24 +52,37 @@ class WordCache:
         self.young: dict = {}
         self.old: dict = {}
 
-    def values(self, lists: Iterable[list]) -> dict:
+    def each(self, words: list) -> list:
+        """The value of each word, in order."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        out = list(map(self.young.get, words))
+        gaps = [i for i, value in enumerate(out) if value is None]
+        if gaps:
+            known = self.values([set(map(words.__getitem__, gaps))])
+            for i in gaps:
+                out[i] = known[words[i]]
+        return out
+
+    def values(self, lists: Iterable[Iterable]) -> dict:
         """A mapping that has every word of ``lists``; good until the next call."""
         need = set().union(*lists)
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        missing = []
-        for word in need.difference(young):
-            if word in old:
-                young[word] = old[word]
-            else:
-                missing.append(word)
+        missing = need.difference(young)
         if not missing:
             return young
-        values = self.compute(missing)
+        again = list(filter(old.__contains__, missing))
+        young.update(zip(again, map(old.__getitem__, again), strict=True))
+        new = list(missing.difference(again))
+        if not new:
+            return young
+        values = self.compute(new)
+        if max(map(len, new)) <= self.longest:
+            young.update(zip(new, values, strict=True))
+            return young
         long = {}
-        for word, value in zip(missing, values, strict=True):
+        for word, value in zip(new, values, strict=True):
             (long if len(word) > self.longest else young)[word] = value
-        if not long:
-            return young
         return {w: long[w] if w in long else young[w] for w in need}

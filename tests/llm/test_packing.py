@@ -72,6 +72,22 @@ def test_other_tokenizers_encode_whole_texts(spark):
     assert {i: np.frombuffer(x, "<u4").tolist() for i, x in ids.items()} == {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
 
 
+def test_words_equal_library():
+    """Words of the table and made-up ones of all code points that are merged in step, one by one."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(3)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    words = sorted({w for t in texts for w in (t or "").encode().split()})[::2]
+    letters = [chr(c) for c in range(0x21, 0x300) if c != 0x7F and not 0x80 <= c <= 0xA0]
+    words += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 130))).encode() for _ in range(2000)] + [c.encode() for c in letters]
+    words += ["".join(rng.choice("etaoinshrdluXQ's.,9-") for _ in range(rng.randint(1, 70))).encode() for _ in range(4000)]
+    words += [w.encode() for w in ("don't", "we'll've", "''" + "'s", "x²y3½", "İx", "ßẞ", "e\u0301a", "a\x1cb", "\x85q", "ŉǅ", "日本語x", "it's.")]
+    tok, enc = Tokenizer.from_file(PATH), Encoder(PATH)
+    for word, got, batch in zip(words, enc._words(words), tok.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == batch.ids, word
+
+
 def test_open_windows_are_bounded_and_padding_small():
     rng, packer, emitted, total = random.Random(1), Packer(window=256, slots=8, sliver=4), [], 0
     for i in range(3000):
