@@ -19,6 +19,8 @@ from leafsieve.plans.scan import BOOKS, PAGES, scan
 from leafsieve.runtime import materialize
 from leafsieve.sources import known_list
 
+#: Of the documents that commands print.
+VERSION = 1
 TABLES = {
     "books": BOOKS, "pages": PAGES,
     "known": "sid string, note string, tags string, source string, created_at double, thumbnail binary", "known_hashes": "sid string, dhash bigint",
@@ -68,7 +70,7 @@ def parser() -> argparse.ArgumentParser:
         clean.add_argument(f"--{name}")
     for name in ("leave-cbr", "no-backup", "dry-run", "yes"):
         clean.add_argument(f"--{name}", action="store_true")
-    for command, kinds in (("known", ("list", "export", "import", "forget")), ("history", ("list", "restore", "export")), ("pack", ("export", "import"))):
+    for command, kinds in (("known", ("list", "export", "import", "forget")), ("history", ("list", "restore", "export", "pin", "unpin", "clean")), ("pack", ("export", "import"))):
         sub = commands.add_parser(command)
         sub.add_argument("action", choices=kinds)
         sub.add_argument("argument", nargs="?")
@@ -98,12 +100,12 @@ def _scan(args: argparse.Namespace, spark: SparkSession, store: Store) -> tuple[
 
 def run_scan(args, spark, store, out) -> int:
     archives, pages, made, _ = _scan(args, spark, store)
-    totals = books.library_totals(archives).first().asDict()
-    shown = {"library": totals, "groups": [], "duplicate_books": []}
+    totals = _library(archives)
+    shown = {"version": VERSION, "library": totals, "groups": [], "duplicate_books": []}
     documents = reports.group_documents(made.groups, made.members)
-    for row in groups.sort_groups(made.groups).select("gid").join(documents, "gid").toLocalIterator():
+    for row in groups.sort_position(made.groups).join(documents, "gid").orderBy("position").toLocalIterator():
         shown["groups"].append(json.loads(row.document))
-    shown["duplicate_books"] = [json.loads(r.document) for r in reports.pair_documents(books.duplicate_books(pages, archives)).toLocalIterator()]
+    shown["duplicate_books"] = [json.loads(r.document) for r in reports.pair_documents(books.pair_order(books.duplicate_books(pages, archives))).toLocalIterator()]
     json.dump(shown, out, indent=2, ensure_ascii=False)
     return int(totals["unreadable"] > 0)
 
@@ -117,7 +119,9 @@ def run_clean(args, spark, store, out) -> int:
     kept = removal.off_edge(made.members, archives, args.edges) if args.edges else None
     gone = materialize(removal.pages_to_remove(made.members, decided, kept), "gone")
     plans = removal.split_by_fraction(removal.build_plans(gone, archives), args.max_fraction)
-    plans = removal.split_protected(removal.split_cbr(plans), args.protect)
+    plans = materialize(plans, "drafts")
+    looked = apply.look_at(plans)
+    plans = removal.split_protected(removal.split_cbr(plans, looked), args.protect)
     reason = (
         F.when(F.col("protected"), removal.PROTECTED).when(F.col("leave") & F.lit(args.leave_cbr), removal.LEFT).when(F.col("over"), removal.OVER_LIMIT)
     )
@@ -131,17 +135,34 @@ def run_clean(args, spark, store, out) -> int:
     policy = apply.Policy(not args.no_backup, args.backup_dir, args.output, args.quarantine, False, args.dry_run)
     run = f"{int(time.time())}-{uuid.uuid4().hex[:6]}"
     root = os.path.commonpath([os.path.abspath(p if os.path.isdir(p) else os.path.dirname(p)) for p in args.paths])
-    results = apply.apply_removals(todo, policy, os.path.join(store.folder, "journal", run), root=root)
-    if not args.dry_run:
-        _remember(store, results, todo, gone, made)
-    report = removal.clean_report(results).first().asDict()
-    report |= {"recovered": len(back), "dry_run": args.dry_run, "skipped": {r.reason: r.n for r in plans.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n")).collect()}}
+    journal = os.path.join(store.folder, "journal", run)
+    short = [r.asDict() for r in apply.shortfall(todo, looked, policy).collect()]  # a row per volume
+    if short:  # a run that can't end is not begun, and a dry run says so too
+        json.dump({"version": VERSION, "dry_run": args.dry_run, "space_shortfall": short, "removed": 0, "bytes_freed": 0, "failed": 0}, out, indent=2)
+        return 1
+    try:
+        results = apply.apply_removals(todo, policy, journal, root=root)
+    except KeyboardInterrupt:
+        apply.cancel(journal)  # tasks end with the book that they are at
+        raise
+    remembered = 0 if args.dry_run else _remember(store, results, todo, gone, made)
+    report = {"version": VERSION, "dry_run": args.dry_run, "recovered": len(back), "library": _library(archives), **removal.clean_report(results).first().asDict()}
+    report |= {"space_shortfall": [], "remembered": remembered, "spared_mid_book": kept.join(decided.select("gid"), "gid", "left_semi").count() if kept is not None else 0}
+    report["skipped"] = {r.reason: r.n for r in plans.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n")).collect()}
+    report["left_unchanged"] = [r.archive for r in books.in_order(plans.where(F.col("reason") == removal.LEFT)).select("archive").toLocalIterator()]
+    report["results"] = [r.asDict() for r in books.in_order(results).toLocalIterator()]
     json.dump(report, out, indent=2)
     return int(report["failed"] > 0)
 
 
-def _remember(store: Store, results: DataFrame, plans: DataFrame, gone: DataFrame, made: groups.Groups) -> None:
-    """Learn the groups of which a page went, and note the run."""
+def _library(archives: DataFrame) -> dict:
+    """Totals, and the books that can't be read, in order."""
+    bad = books.in_order(archives.where(F.coalesce("error", F.lit("")) != ""))
+    return books.library_totals(archives).first().asDict() | {"errors": [{"path": r.archive, "error": r.error} for r in bad.toLocalIterator()]}
+
+
+def _remember(store: Store, results: DataFrame, plans: DataFrame, gone: DataFrame, made: groups.Groups) -> int:
+    """Learn the groups of which a page went, how many they are, and note the run."""
     done = results.where("error is null and not skipped")
     learned = materialize(memory.learn_from_run(gone, made.members, done.select("archive")), "learned")
     now = time.time()
@@ -155,8 +176,9 @@ def _remember(store: Store, results: DataFrame, plans: DataFrame, gone: DataFram
     store.write("known", known.withColumn("created_at", F.coalesce("created_at", F.lit(now))))
     store.write("known_hashes", memory.merge_hashes(store.read("known_hashes"), learned))
     items = history.record_run(results, plans)
+    count = learned.select("sid").distinct().count()
     if items.isEmpty():
-        return
+        return count
     runs = store.read("runs")
     number = (runs.agg(F.max("id")).first()[0] or 0) + 1
     one = store.spark.createDataFrame([(number, now, "cli", False)], TABLES["runs"])
@@ -164,6 +186,7 @@ def _remember(store: Store, results: DataFrame, plans: DataFrame, gone: DataFram
     none = {c: F.lit(None).cast(t) for c, t in (("output_size", "long"), ("output_mtime_ns", "long"), ("restored_at", "double"))}
     fresh = items.withColumn("run_id", F.lit(number).cast("long")).withColumn("id", F.xxhash64("run_id", "archive")).withColumns(none)
     store.write("items", store.read("items").unionByName(fresh.select(*store.read("items").columns)))
+    return count
 
 
 def run_known(args, spark, store, out) -> int:
@@ -218,6 +241,12 @@ def run_history(args, spark, store, out) -> int:
     if args.action == "list":
         for r in history.run_totals(store.read("runs"), items).orderBy(F.desc("id")).toLocalIterator():
             print(r.id, r.removed, r.bytes_freed, r.restorable, sep="\t", file=out)
+    elif args.action in ("pin", "unpin"):
+        store.write("runs", history.pin(store.read("runs"), int(args.argument), args.action == "pin"))
+    elif args.action == "clean":  # backups of one run, but for those that a pinned run needs
+        own = items.where((F.col("run_id") == int(args.argument)) & F.col("backup").isNotNull()).select(F.col("backup").alias("path")).distinct()
+        count, size = apply.delete_backups([r.path for r in history.backups_to_clean(own, items, store.read("runs")).collect()])
+        print(count, size, sep="\t", file=out)
     elif args.action == "export":
         history.history_csv(store.read("runs"), items).write.csv(args.argument, header=True)
     else:

@@ -15,11 +15,6 @@ import zlib
 from importlib import metadata
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from leafsieve.runtime import ship
 
 #: Columns of the grid that is compared, less one, and the deviation below which a picture is flat. Fixed values.
 GRID, FLAT_DEVIATION = 8, 6.0
@@ -247,30 +242,13 @@ def encode_png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-_DIGEST = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("dhash", pa.int64()), ("flat", pa.bool_()), ("error", pa.string())])
-
-
-def _digest(contents: pa.Array) -> pa.Array:
-    out = []
-    for data in contents:
-        try:
-            if not data.is_valid:
-                raise DecodeError("could not be read")
-            pixels = decode(data.as_py())
-            bits, flat = fingerprint(pixels)
-            out.append({"width": pixels.shape[1], "height": pixels.shape[0], "dhash": bits - (1 << 64) if bits >> 63 else bits, "flat": flat, "error": None})
-        except DecodeError as failure:
-            out.append({"width": 0, "height": 0, "dhash": 0, "flat": False, "error": str(failure)})
-    return pa.array(out, type=_DIGEST)
-
-
-def digest_pages(entries: DataFrame) -> DataFrame:
-    """The table of pages of entries (archive, name, index, size, content, error); a page that can't be decoded has an error, no digest and fingerprint 0."""
-    ship(entries.sparkSession)
-    made = F.arrow_udf(_digest, "struct<width: int, height: int, dhash: bigint, flat: boolean, error: string>")
-    out = entries.withColumn("made", made("content"))
-    error = F.coalesce("error", "made.error")
-    return out.select(
-        "archive", "name", F.col("index").cast("int").alias("index"), "size", "made.width", "made.height",
-        F.when(error.isNull(), F.sha2("content", 256)).otherwise("").alias("content_sha"), "made.dhash", "made.flat", error.alias("error"),
-    )
+def digest(data: bytes | None) -> tuple[int, int, int, bool, str | None]:
+    """(width, height, fingerprint as a signed number, flat, error) of a picture; one that can't be decoded has an error and zeros."""
+    try:
+        if data is None:
+            raise DecodeError("could not be read")
+        pixels = decode(data)
+        bits, flat = fingerprint(pixels)
+    except DecodeError as failure:
+        return 0, 0, 0, False, str(failure)
+    return pixels.shape[1], pixels.shape[0], bits - (1 << 64) if bits >> 63 else bits, flat, None

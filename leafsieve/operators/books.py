@@ -37,6 +37,16 @@ def duplicate_books(pages: DataFrame, archives: DataFrame, min_overlap: float =
     return out.withColumn("overlap", F.col("shared") / F.col("smaller_pages")).where(F.col("overlap") >= min_overlap)
 
 
+def pair_order(pairs: DataFrame) -> DataFrame:
+    """Pairs in the order of a report: the largest overlap first, then by the names of the books."""
+    return pairs.orderBy(F.desc("overlap"), F.lower("smaller"), F.lower("larger"))
+
+
+def in_order(archives: DataFrame) -> DataFrame:
+    """Books in the order of a scan's result, by their path in lower case."""
+    return archives.orderBy(F.lower("archive"), "archive")
+
+
 def book_stats(members: DataFrame, to_remove: DataFrame) -> DataFrame:
     """(archive, grouped, marked): pages in any group, and pages that go."""
     keyed = to_remove.select("gid", "archive", "name", F.lit(1).alias("gone"))

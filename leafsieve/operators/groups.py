@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafsieve.functions.hashing import hamming, hex16
 from leafsieve.functions.text import near_edge
+from leafsieve.operators.ranking import with_position
 from leafsieve.operators.similarity import clusters, near_any
 from leafsieve.options import GroupingOptions
 
@@ -19,6 +20,10 @@ WARN_COVER = "Includes a first page, which is usually the cover."
 WARN_MID_BOOK = "Every copy sits mid-book; adverts and credits usually sit near the start or end."
 
 
+#: Ids that are named where a prefix means several groups.
+AMBIGUOUS = 5
+
+
 @dataclass(frozen=True)
 class Groups:
     """``groups`` has a row per gid, ``members`` a row per page and gid."""
@@ -166,9 +171,8 @@ def sort_groups(groups: DataFrame, key: str = "rank") -> DataFrame:
 
 
 def sort_position(groups: DataFrame, key: str = "rank") -> DataFrame:
-    """(gid, position) in the order of :func:`sort_groups`: a range sort, and a count of the ranges before."""
-    ordered_ = sort_groups(groups, key).select("gid")
-    return ordered_.rdd.map(lambda r: r.gid).zipWithIndex().toDF("gid string, position long")
+    """(gid, position) in the order of :func:`sort_groups`."""
+    return with_position(sort_groups(groups, key).select("gid"))
 
 
 FILTERS = ("all", "undecided", "marked", "deferred", "known", "identical", "similar", "warnings", "midbook")
@@ -206,8 +210,11 @@ def select_groups(groups: DataFrame, prefixes: list[str]) -> DataFrame:
     # As many rows as prefixes come back, each with at most two ids.
     hits = F.broadcast(table).join(groups.select("gid"), F.col("gid").startswith(F.col("prefix")), "left").groupBy("prefix").agg(F.count("gid").alias("n"))
     bad = hits.where("n <> 1").orderBy("prefix").first()
+    if bad and not bad.n:
+        raise ValueError(f"{bad.prefix}: no such group")
     if bad:
-        raise ValueError(f"{bad.prefix}: " + ("no such group" if not bad.n else f"{bad.n} groups start so"))
+        some = [r.gid for r in groups.where(F.col("gid").startswith(bad.prefix)).select("gid").orderBy("gid").limit(AMBIGUOUS).collect()]
+        raise ValueError(f"{bad.prefix}: {bad.n} groups start so: {', '.join(some)}" + (" and others" if bad.n > AMBIGUOUS else ""))
     return groups.join(F.broadcast(table), F.col("gid").startswith(F.col("prefix")), "left_semi")
 
 

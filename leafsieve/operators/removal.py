@@ -58,9 +58,16 @@ def takes_last_page() -> Column:
     return (F.col("original_pages") > 0) & F.exists("removed", lambda x: x["index"] == F.col("original_pages") - 1)
 
 
-def plan_flags(plans: DataFrame) -> DataFrame:
+def converts(kind: Column | None = None) -> Column:
+    """Whether a book is written anew as a zip: a rar or 7z archive, by what was found in it (``kind``), else by its name."""
+    named = F.lower(F.col("archive")).rlike(r"\.(cbr|cb7|rar|7z)$")
+    return named if kind is None else F.coalesce(F.when(kind.isin("rar", "7z", "zip"), kind != "zip"), named)
+
+
+def plan_flags(plans: DataFrame, kind: Column | None = None) -> DataFrame:
     return plans.withColumns({
         "remaining": F.col("original_pages") - n_removed(), "fraction": fraction(), "takes_cover": takes_cover(), "takes_last_page": takes_last_page(),
+        "converts": converts(kind),
     })
 
 

@@ -12,19 +12,25 @@ import hashlib
 import json
 import os
 import shutil
+import socket
+import time
 import zipfile
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from functools import partial
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from leafsieve.functions import comicinfo
 from leafsieve.operators.pages import IMAGE_SUFFIXES, NO_PAGES, TEMP_PREFIX
+from leafsieve.operators.removal import space_needed
 from leafsieve.runtime import materialize, ship
 from leafsieve.sources.archives import sniff, unpacked_entries
 
 PENDING = ".pending"
+#: In a journal: the sign that no further book is to be begun. Seconds for which another host's note is taken for that of a running task.
+CANCEL, LEASE = "cancel", 6 * 3600
 _CHUNK = 1 << 20
 _UNSAFE = set('<>:"/|?*\\')
 RESULTS = (
@@ -245,7 +251,7 @@ def carry_out(archive: str, removed: list[dict], policy: Policy, key: str) -> Re
             backup = backup_path(archive, policy.backup_dir)
             marker = temp.removesuffix(".cbz") + PENDING
             with open(marker, "w", encoding="utf-8") as file:
-                json.dump({"original": archive, "output": output, "backup": backup, "temp": temp, "pid": os.getpid()}, file)
+                json.dump({"original": archive, "output": output, "backup": backup, "temp": temp, "pid": os.getpid(), "host": socket.gethostname()}, file)
             _move(archive, backup)
         os.replace(temp, output)
         result.backup = backup
@@ -278,6 +284,9 @@ def _carry_out_batch(batches, policy: Policy, journal: str, root: str | None):
                 with open(note, encoding="utf-8") as file:
                     rows.append(json.load(file))
                 continue
+            if os.path.exists(os.path.join(journal, CANCEL)):
+                rows.append(asdict(Result(archive, skipped=True, error="cancelled before this book")))
+                continue
             own = policy
             if policy.output_dir and root:  # folders are mirrored, so books of one name don't meet
                 own = Policy(**(asdict(policy) | {"output_dir": os.path.join(policy.output_dir, os.path.relpath(os.path.dirname(archive), root))}))
@@ -301,6 +310,56 @@ def apply_removals(plans: DataFrame, policy: Policy, journal: str, tasks: int =
     return materialize(work.mapInPandas(partial(_carry_out_batch, policy=policy, journal=journal, root=root), RESULTS), "results")
 
 
+def cancel(journal: str) -> None:
+    """No further book of the run is begun; those that are being worked on are finished."""
+    with open(os.path.join(journal, CANCEL), "w", encoding="utf-8"):
+        pass
+
+
+def progress(journal: str) -> int:
+    """Books of a run that are done."""
+    return sum(n.endswith(".json") for n in os.listdir(journal)) if os.path.isdir(journal) else 0
+
+
+def _mount(path: str) -> str:
+    """The volume that holds a path, or its nearest folder that exists: where it is mounted."""
+    path = os.path.abspath(path)
+    while not os.path.exists(path) or not os.path.ismount(path):
+        path = os.path.dirname(path)
+    return path
+
+
+def _look(batches):
+    import pandas as pd
+
+    for batch in batches:
+        rows = []
+        for archive in batch["archive"]:
+            try:
+                rows.append((archive, os.path.getsize(archive), _mount(archive), shutil.disk_usage(_mount(archive)).free, sniff(archive)))
+            except OSError:
+                rows.append((archive, 0, _mount(archive), 0, sniff(archive)))
+        yield pd.DataFrame(rows, columns=["archive", "size", "volume", "free", "kind"])
+
+
+def look_at(plans: DataFrame) -> DataFrame:
+    """(archive, size, volume, free, kind) of the books of plans, looked at where they will be worked on."""
+    ship(plans.sparkSession)
+    return materialize(plans.select("archive").mapInPandas(_look, "archive string, size bigint, volume string, free bigint, kind string"), "looked")
+
+
+def shortfall(plans: DataFrame, looked: DataFrame, policy: Policy) -> DataFrame:
+    """(volume, needed, free) of the volumes that can't hold what a run writes; no rows let it begin."""
+    folders = [f for f in (policy.backup_dir, policy.output_dir) if f]
+    own = [(_mount(f), shutil.disk_usage(_mount(f)).free) for f in folders]
+    free = looked.where("size > 0").groupBy("volume").agg(F.min("free").alias("free"))
+    free = free.unionByName(plans.sparkSession.createDataFrame(own, "volume string, free bigint")).groupBy("volume").agg(F.min("free").alias("free"))
+    return space_needed(
+        plans, looked.select("archive", "size", "volume"), free, _mount(policy.backup_dir) if policy.backup_dir else None,
+        _mount(policy.output_dir) if policy.output_dir else None, policy.backups,
+    )
+
+
 def _alive(pid: int) -> bool:
     try:
         os.kill(pid, 0)
@@ -314,9 +373,10 @@ def _alive(pid: int) -> bool:
 def recover(folders: list[str], dry_run: bool = False) -> list[tuple[str, str, bool]]:
     """(original, backup, put back) of runs that ended between moving a book aside and replacing it.
 
-    Only books with a note are touched, and none whose process is still there.
+    Only books with a note are touched, and none whose process is still there. What runs on another host can't be
+    asked: there a note counts as good for LEASE seconds.
     """
-    out = []
+    out, here = [], socket.gethostname()
     for top in folders:
         for folder, _, names in os.walk(top):
             for name in sorted(n for n in names if n.startswith(TEMP_PREFIX) and n.endswith(PENDING)):
@@ -325,7 +385,7 @@ def recover(folders: list[str], dry_run: bool = False) -> list[tuple[str, str, b
                     with open(marker, encoding="utf-8") as file:
                         note = json.load(file)
                     original, output, backup, temp = (str(note[k]) for k in ("original", "output", "backup", "temp"))
-                    running = _alive(int(note["pid"]))
+                    running = _alive(int(note["pid"])) if note.get("host", here) == here else time.time() - os.path.getmtime(marker) < LEASE
                 except (OSError, ValueError, KeyError, TypeError):
                     continue
                 back = not os.path.exists(original) and not os.path.exists(output)

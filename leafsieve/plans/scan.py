@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafsieve.functions.imaging import codec_fingerprint, digest_pages
+from leafsieve.functions.imaging import codec_fingerprint, digest
 from leafsieve.operators.incremental import adopt_moved, cache_misses, stale_errors
 from leafsieve.operators.pages import read_metadata
-from leafsieve.runtime import materialize
-from leafsieve.sources.archives import archive_entries, metadata_entries, page_entries, survey
+from leafsieve.plans.apply import is_page, natural
+from leafsieve.runtime import materialize, ship
+from leafsieve.sources.archives import book_entries, survey
 
 PAGES = (
     "archive string, name string, index int, size bigint, width int, height int, content_sha string, dhash bigint, flat boolean, error string, codecs string"
@@ -17,12 +20,46 @@ PAGES = (
 BOOKS = "archive string, size bigint, mtime_ns bigint, page_count int, error string, series string, number string, title string"
 
 
+#: Bytes of books that a task reads, a larger book by itself.
+TASK_BYTES = 32 << 20
+_READ = "archive string, name string, index int, size bigint, width int, height int, content_sha string, dhash bigint, flat boolean, error string, xml binary"
+
+
+def _digest_book(path: str) -> list[tuple]:
+    """A row per page of a book, in reading order, and one of the book without a name: its error and its metadata. Pictures are looked at one after the other, and none is kept."""
+    pages, info, error = [], None, None
+    try:
+        for name, size, data, failure in book_entries(path):
+            if is_page(name):
+                width, height, dhash, flat, wrong = digest(data)
+                wrong = failure or wrong
+                pages.append((name, size, width, height, "" if wrong else hashlib.sha256(data).hexdigest(), dhash, flat, wrong))
+            elif data is not None and name.replace("\\", "/").rpartition("/")[2].lower() == "comicinfo.xml" and (info is None or name < info[0]):
+                info = name, data
+    except Exception as failure:  # one book never ends a scan
+        error = f"{type(failure).__name__}: {failure}"
+    pages.sort(key=lambda p: (natural(p[0]), p[0]))
+    rows = [(path, p[0], i, *p[1:], None) for i, p in enumerate(pages)]
+    return [*rows, (path, None, None, None, None, None, None, None, None, error, info[1] if info else None)]
+
+
+def _digest_books(batches):
+    import pandas as pd
+
+    for batch in batches:
+        for path in batch["archive"]:
+            rows = pd.DataFrame(_digest_book(path), columns=[c.split()[0] for c in _READ.split(", ")])
+            yield rows.astype({c: "Int64" for c in ("index", "size", "width", "height", "dhash")} | {"flat": "boolean"})
+
+
 def scan(spark: SparkSession, paths: list[str], cached: tuple[DataFrame, DataFrame] | None = None, exclude: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(archives, pages) of the books under some paths.
 
     Of ``cached``, books whose size and time stand are not read again, unless a page of theirs failed with
-    other decoders than the present ones; nor is a book that is exactly one cached book under another path.
+    other decoders than the present ones; nor is a book that is exactly one cached book under another path. A book's pages
+    are numbered and digested in the task that reads it; no picture leaves that.
     """
+    ship(spark)
     codecs = codec_fingerprint()
     files = materialize(survey(spark, paths, exclude=exclude).where("disposition = 'found'").drop("disposition"), "files")
     old_books, old_pages = cached or (spark.createDataFrame([], BOOKS), spark.createDataFrame([], PAGES))
@@ -31,13 +68,12 @@ def scan(spark: SparkSession, paths: list[str], cached: tuple[DataFrame, DataFra
     misses = materialize(cache_misses(files, good), "misses")
     moved = materialize(adopt_moved(misses, good), "moved")
     todo = materialize(misses.join(moved.select("archive"), "archive", "left_anti"), "todo")
-    # Paths are what a source is told to read; they are listed, not their contents.
-    entries = materialize(archive_entries(spark, [r.archive for r in todo.select("archive").orderBy("archive").toLocalIterator()]), "entries")
-    new_pages = materialize(digest_pages(page_entries(entries)).withColumn("codecs", F.lit(codecs)), "pages")
-    meta = read_metadata(metadata_entries(entries), "xml").select("archive", "series", "number", "title")
-    errors = entries.where("name is null").groupBy("archive").agg(F.first("error").alias("error"))
+    tasks = todo.agg(F.coalesce(F.ceil(F.sum("size") / TASK_BYTES), F.lit(0))).first()[0] + 1
+    read = materialize(todo.select("archive").repartition(int(tasks), "archive").mapInPandas(_digest_books, _READ), "read")
+    new_pages = read.where("name is not null").drop("xml").withColumn("codecs", F.lit(codecs))
+    heads = read_metadata(read.where("name is null").select("archive", "error", "xml"), "xml").select("archive", "error", "series", "number", "title")
     counts = new_pages.groupBy("archive").agg(F.count("*").cast("int").alias("page_count"))
-    new_books = todo.join(counts, "archive", "left").join(errors, "archive", "left").join(meta, "archive", "left").select(
+    new_books = todo.join(counts, "archive", "left").join(heads, "archive", "left").select(
         "archive", "size", "mtime_ns", F.coalesce("page_count", F.lit(0)).alias("page_count"), "error",
         *(F.coalesce(c, F.lit("")).alias(c) for c in ("series", "number", "title")),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafsieve.functions import hashing, text
-from leafsieve.operators import books, decisions, groups, history, incremental, memory, pages, removal, similarity
+from leafsieve.operators import books, decisions, groups, history, incremental, memory, pages, ranking, removal, similarity
 from leafsieve.options import GroupingOptions
 from leafsieve.plans import reports
 from leafsieve.runtime import load, materialize
@@ -875,8 +875,7 @@ def reading_order(spark, sf_dir):
 @query("natural_sort", "select p_partkey, row_number() over (order by p_partkey % 7, p_partkey) - 1 as position from part")
 def natural_sort(spark, sf_dir):
     found = load(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Ch"), (F.col("p_partkey") % 7).cast("string"), F.lit("-"), F.col("p_partkey").cast("string")).alias("name"))
-    ordered = found.orderBy(text.natural_key(F.col("name"))).select("p_partkey")
-    return ordered.rdd.map(lambda r: r.p_partkey).zipWithIndex().toDF("p_partkey long, position long")
+    return ranking.with_position(found.orderBy(text.natural_key(F.col("name"))).select("p_partkey"))
 
 
 _NAMES = "case doc_id % 8 when 0 then 'a/b.JPG' when 1 then '__MACOSX/b.jpg' when 2 then 'a/.b.jpg' when 3 then 'dir.jpg/' when 4 then 'Thumbs.db' when 5 then 'x.webp' when 6 then 'ComicInfo.xml' else 'plain' end"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import functools
 import io
 import os
 import shutil
@@ -131,6 +132,8 @@ def survey_counts(files: DataFrame) -> DataFrame:
 #: Kinds by the first bytes, and what listing an archive is done with. Fixed values.
 MAGIC = ((b"PK", "zip"), (b"Rar!", "rar"), (b"7z\xbc\xaf\x27\x1c", "7z"))
 EXTRACTORS = (("7zz", "7z", "7za"), ("unrar",), ("bsdtar",))
+#: Seconds after which unpacking is given up.
+UNPACK_SECONDS = 600
 _BAD_ENTRY = (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, OSError)
 
 
@@ -147,15 +150,30 @@ def sniff(path: str) -> str:
     return {"cbz": "zip", "zip": "zip", "cbr": "rar", "rar": "rar", "cb7": "7z", "7z": "7z"}.get(_suffix(path), "unknown")
 
 
-def extractor(environ: str = "LEAFSIEVE_EXTRACTOR") -> list[str] | None:
-    """The command that unpacks into the present folder: one that the environment names, else the first that is installed."""
+@functools.cache
+def _reads_rar(tool: str) -> bool:
+    """Whether a 7-Zip lists a codec for rar; one that lists nothing is taken to have it."""
+    try:
+        listed = subprocess.run([tool, "i"], capture_output=True, stdin=subprocess.DEVNULL, timeout=60, check=False).stdout.decode(errors="replace")
+    except (OSError, subprocess.SubprocessError):
+        return True
+    _, found, codecs = listed.partition("Codecs:")
+    return not found or "rar" in codecs.lower()
+
+
+def extractor(kind: str = "rar", environ: str = "LEAFSIEVE_EXTRACTOR") -> list[str] | None:
+    """The command that unpacks a rar or 7z archive into the present folder: one that the environment names, else the first installed that can."""
     chosen = os.environ.get(environ)
     for names in ((chosen,),) if chosen else EXTRACTORS:
-        for name in names:
-            tool = shutil.which(name)
-            if tool:
-                base = os.path.basename(tool)
-                return [tool, "-xf"] if base.startswith("bsdtar") else [tool, "x", "-y", "-p-"] if base.startswith("unrar") else [tool, "x", "-y", "-p"]
+        for tool in filter(None, map(shutil.which, names)):
+            base = os.path.basename(tool)
+            if base.startswith("bsdtar"):
+                return [tool, "-xf"]
+            if base.startswith("unrar"):
+                if kind == "rar" or chosen:
+                    return [tool, "x", "-y", "-p-"]
+            elif chosen or kind != "rar" or _reads_rar(tool):
+                return [tool, "x", "-y", "-p"]
     return None
 
 
@@ -172,11 +190,13 @@ def zip_entries(path: str) -> Iterator[tuple[str, int, bytes | None, str | None]
 
 def unpacked_entries(path: str) -> Iterator[tuple[str, int, bytes | None, str | None]]:
     """Entries of a rar or 7z archive, unpacked to a folder of this task that goes at once. Links and ways out are left out."""
-    tool = extractor()
+    tool = extractor(sniff(path))
     if tool is None:
         raise RuntimeError("no tool for rar and 7z archives is installed")
     with tempfile.TemporaryDirectory() as folder:
-        done = subprocess.run([*tool, os.path.abspath(path)], cwd=folder, capture_output=True, stdin=subprocess.DEVNULL, check=False)
+        done = subprocess.run([*tool, os.path.abspath(path)], cwd=folder, capture_output=True, stdin=subprocess.DEVNULL, timeout=UNPACK_SECONDS, check=False)
+        if done.returncode:  # a book that is unpacked in part is not taken for a whole one
+            raise RuntimeError(f"{os.path.basename(tool[0])} ended with {done.returncode}: {done.stderr.decode(errors='replace')[-200:]}")
         root, count = os.path.realpath(folder), 0
         for where, _, names in os.walk(folder):
             for name in sorted(names):
@@ -191,62 +211,9 @@ def unpacked_entries(path: str) -> Iterator[tuple[str, int, bytes | None, str |
             raise RuntimeError(f"nothing could be unpacked: {done.stderr.decode(errors='replace')[-200:]}")
 
 
-class _Books(InputPartition):
-    def __init__(self, number: int, paths: list[str]):
-        super().__init__(number)
-        self.paths = paths
-
-
-class ArchiveSource(DataSource):
-    """Format ``leafsieve-archives``: the entries of the archives that ``paths`` lists, by lines.
-
-    A partition has archives of ``bytes`` (32 MB) together, a larger archive one of its own. An archive that
-    can't be read gives a row without a name, and an entry that can't a row with an error.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "leafsieve-archives"
-
-    def schema(self) -> str:
-        return ENTRIES
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _ArchiveReader(dict(self.options))
-
-
-class _ArchiveReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.paths = [p for p in options["paths"].split("\n") if p]
-        self.most = int(options.get("bytes", 32 << 20))
-
-    def partitions(self) -> list[InputPartition]:
-        parts: list[list[str]] = [[]]
-        size = 0
-        for path in self.paths:
-            own = os.path.getsize(path) if os.path.exists(path) else 0
-            if parts[-1] and size + own > self.most:
-                parts.append([])
-                size = 0
-            parts[-1].append(path)
-            size += own
-        return [_Books(i, p) for i, p in enumerate(parts) if p]
-
-    def read(self, partition: _Books) -> Iterator[tuple]:
-        for path in partition.paths if partition else ():  # no archive at all: one empty partition
-            try:
-                entries = zip_entries(path) if sniff(path) == "zip" else unpacked_entries(path)
-                for name, size, data, error in entries:
-                    yield path, name, size, data, error
-            except Exception as failure:  # one book never ends a scan
-                yield path, None, 0, None, f"{type(failure).__name__}: {failure}"
-
-
-def archive_entries(spark: SparkSession, paths: list[str], batch_bytes: int = 32 << 20) -> DataFrame:
-    """(archive, name, size, content, error) of all entries."""
-    ship(spark)
-    spark.dataSource.register(ArchiveSource)
-    return spark.read.format("leafsieve-archives").option("paths", "\n".join(paths)).option("bytes", batch_bytes).load()
+def book_entries(path: str) -> Iterator[tuple[str, int, bytes | None, str | None]]:
+    """(name, stored size, bytes, error) of each entry of an archive of any kind."""
+    return zip_entries(path) if sniff(path) == "zip" else unpacked_entries(path)
 
 
 def zip_entries_of(files: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ class ListError(ValueError):
 
 def _kind(of: str) -> str:
     """The kind of a JSON value: NULL, BOOLEAN, a number's, STRING, ARRAY or OBJECT."""
-    return f"coalesce(regexp_extract(schema_of_variant({of}), '^[A-Z]+', 0), 'NULL')"
+    return f"coalesce(nullif(regexp_extract(schema_of_variant({of}), '^[A-Z]+', 0), 'VOID'), 'NULL')"
 
 
 def _items(field: str) -> str:

@@ -274,6 +274,59 @@ def test_watch(spark, tmp_path):
     assert sorted(got) == ["a", "c"]
 
 
+def test_other_archives_by_a_tool(spark, tmp_path, monkeypatch):
+    """A stand-in for an unpacking tool: what it unpacks is read, and what it ends badly on is an error."""
+    tool = tmp_path / "7zz"
+    tool.write_text("""#!/bin/sh
+if [ "$1" = i ]; then echo "Codecs:"; echo "  LZMA"; exit 0; fi
+for last; do :; done
+python3 -c "import sys, zipfile; f = open(sys.argv[1], 'rb'); f.seek(8); zipfile.ZipFile(__import__('io').BytesIO(f.read())).extractall('.')" "$last" || exit 2
+case "$last" in *half*) exit 1;; esac
+""")
+    tool.chmod(0o755)
+    book(tmp_path / "inner.zip", [picture(1), picture(2)], INFO)
+    inner = (tmp_path / "inner.zip").read_bytes()
+    shelf = tmp_path / "shelf"
+    shelf.mkdir()
+    for name in ("a.cbr", "half.cbr"):
+        (shelf / name).write_bytes(b"Rar!\x1a\x07\x01\x00" + inner)
+    monkeypatch.setenv("LEAFSIEVE_EXTRACTOR", str(tool))
+    rows = [archives.book_entries(str(shelf / "a.cbr")), archives.book_entries(str(shelf / "half.cbr"))]
+    assert sorted(e[0] for e in rows[0]) == ["ComicInfo.xml", "page1.png", "page2.png"]
+    with pytest.raises(RuntimeError, match="ended with 1"):
+        list(rows[1])
+    monkeypatch.delenv("LEAFSIEVE_EXTRACTOR")
+    monkeypatch.setenv("PATH", str(tmp_path), prepend=os.pathsep)
+    archives._reads_rar.cache_clear()
+    assert archives.extractor("7z")[0] == str(tool) and (archives.extractor("rar") or [""])[0] != str(tool)
+
+
+def test_space_and_cancel(spark, tmp_path):
+    path = book(tmp_path / "a.cbz", [picture(1), picture(2)])
+    plans = spark.createDataFrame([(path, [])], "archive string, removed array<struct<name: string, content_sha: string, index: int>>")
+    looked = apply.look_at(plans)
+    (row,) = looked.collect()
+    assert row.size == os.path.getsize(path) and row.kind == "zip" and os.path.ismount(row.volume)
+    assert apply.shortfall(plans, looked, apply.Policy()).count() == 0
+    (short,) = apply.shortfall(plans, looked.withColumn("free", F.lit(3).cast("long")), apply.Policy()).collect()
+    assert (short.needed, short.free) == (row.size, 3)
+    journal = str(tmp_path / "journal")
+    os.makedirs(journal)
+    apply.cancel(journal)
+    (done,) = apply.apply_removals(plans, apply.Policy(), journal).collect()
+    assert done.skipped and "cancelled" in done.error and apply.progress(journal) == 0
+
+
+def test_recovery_of_another_host(tmp_path):
+    original, backup = tmp_path / "a.cbz", tmp_path / "a.cbz.bak"
+    backup.write_bytes(b"book")
+    marker = tmp_path / f"{apply.TEMP_PREFIX}k{apply.PENDING}"
+    marker.write_text(json.dumps({"original": str(original), "output": str(original), "backup": str(backup), "temp": str(tmp_path / f"{apply.TEMP_PREFIX}k.cbz"), "pid": 2**22 + 5, "host": "elsewhere"}))
+    assert apply.recover([str(tmp_path)]) == []
+    os.utime(marker, (0, 0))
+    assert apply.recover([str(tmp_path)]) == [(str(original), str(backup), True)] and original.read_bytes() == b"book"
+
+
 def test_entries_of_a_store(spark, library):
     files = spark.read.format("binaryFile").load(f"{library}/book*.cbz")
     entries = archives.zip_entries_of(files)

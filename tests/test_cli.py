@@ -29,7 +29,8 @@ def test_scan_clean_known_history_pack(spark, tmp_path):
     code, text = run("clean", shelf, "--group", group["id"][:6], "--dry-run", "--max-fraction", 0.1)
     assert code == 0 and json.loads(text)["removed"] == 0 and sum(json.loads(text)["skipped"].values()) == 3
     code, text = run("clean", shelf, "--all", "--yes", "--protect", shelf / "b2.cbz")
-    assert code == 0 and json.loads(text)["removed"] == 2
+    report = json.loads(text)
+    assert code == 0 and report["removed"] == 2 and report["remembered"] == 1 and len(report["results"]) == 2 and report["library"]["archives"] == 3
     assert sorted(os.listdir(shelf)) == ["b0.cbz", "b0.cbz.bak", "b1.cbz", "b1.cbz.bak", "b2.cbz"]
     # One copy is left: it is known now.
     code, text = run("scan", shelf)
@@ -42,5 +43,6 @@ def test_scan_clean_known_history_pack(spark, tmp_path):
     assert run("pack", "import", tmp_path / "pack.json")[0] == 0
     code, text = run("history", "list")
     assert text.split("\t")[:2] == ["1", "2"] and text.strip().split("\t")[3] == "2"
+    assert run("history", "pin", 1)[0] == 0 and run("history", "clean", 1)[1].split() == ["0", "0"] and run("history", "unpin", 1)[0] == 0
     code, text = run("history", "restore", 1)
     assert code == 0 and text.count("restored") == 2 and sorted(os.listdir(shelf)) == ["b0.cbz", "b1.cbz", "b2.cbz"]
