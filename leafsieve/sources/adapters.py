@@ -6,10 +6,11 @@ and its documents are the pages. VECS: a label is a book and its vectors are the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafsieve.functions.hashing import content_digest, dhash_of_bits, from_hex16
+from leafsieve.operators.ranking import with_position
 from leafsieve.runtime import load
 
 #: A line with fewer letters than this stands for a blank page.
@@ -25,6 +26,13 @@ def _page(archive, index, size, width, sha, dhash, flat):
     ]
 
 
+def _places(df: DataFrame, group: str, key: str) -> DataFrame:
+    """(key, pos): the place of each row in its group, by ``key``. A group may hold most rows: they are sorted by ranges, and no task gets a group."""
+    placed = with_position(df.select(group, key).orderBy(group, key), "all")
+    firsts = placed.groupBy(group).agg(F.min("all").alias("first")).withColumnRenamed(group, "of")
+    return placed.join(firsts, placed[group].eqNullSafe(firsts["of"])).select(key, (F.col("all") - F.col("first")).alias("pos"))
+
+
 def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of LINES; the fingerprint is the first half of the MD5, so it is for threshold 0."""
     # Lines are numbered within their row: nothing is shuffled.
@@ -47,8 +55,7 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     bit = lambda k: F.shiftrightunsigned("h", 63 - k).bitwiseAND(F.lit(1).cast("long"))
     votes = hashed.groupBy("doc_id").agg(*(F.sum(F.col("n") * (2 * bit(k) - 1)).alias(f"v{k}") for k in range(64)))
     prints = votes.select("doc_id", dhash_of_bits(F.array(*(F.col(f"v{k}") > 0 for k in range(64)))).alias("dhash"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return docs.join(prints, "doc_id").withColumn("pos", place).select(*_page(
+    return docs.join(prints, "doc_id").join(_places(docs, "source", "doc_id"), "doc_id").select(*_page(
         F.col("source"), F.col("pos"), F.octet_length("text"), F.length("text"), content_digest(F.col("text")), F.col("dhash"), F.length("text") < FLAT_BELOW,
     ))
 
@@ -56,9 +63,8 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of VECS; a bit says whether a number is smaller than the next, around the end."""
     rising = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("embedding", (i + 1) % 64) > F.get("embedding", i))
-    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    found = load(spark, sf_dir, "embeddings").withColumn("pos", place)
-    return found.select(*_page(
+    found = load(spark, sf_dir, "embeddings")
+    return found.join(_places(found, "label", "vec_id"), "vec_id").select(*_page(
         F.concat(F.lit("label"), F.col("label").cast("string")), F.col("pos"), F.lit(256), F.lit(64), content_digest(F.col("vec_id").cast("string")),
         dhash_of_bits(rising), F.lit(False),
     ))
