@@ -459,9 +459,11 @@ def plan_order(spark, sf_dir):
 
 
 @query("plan_flags", f"""{GROUPS}, {PLANS} select archive, (original_pages - n)::int as remaining, n / original_pages as fraction,
-    list_contains(indices, 0) as takes_cover, list_contains(indices, original_pages - 1) as takes_last_page from plans""")
+    list_contains(indices, 0) as takes_cover, list_contains(indices, original_pages - 1) as takes_last_page, archive like '%3.cbz' as converts from plans""")
 def plan_flags(spark, sf_dir):
-    return removal.plan_flags(_plans(spark, sf_dir)[0]).select("archive", "remaining", "fraction", "takes_cover", "takes_last_page")
+    """Rar archives are found in books that end in 3."""
+    kind = F.when(F.col("archive").endswith("3.cbz"), "rar").otherwise("zip")
+    return removal.plan_flags(_plans(spark, sf_dir)[0], kind).select("archive", "remaining", "fraction", "takes_cover", "takes_last_page", "converts")
 
 
 @query("split_by_fraction", f"{GROUPS}, {PLANS} select archive, n / original_pages > 0.25 as over from plans")
@@ -622,12 +624,17 @@ def learn_from_run(spark, sf_dir):
     return memory.learn_from_run(gone, made.members, cleaned).select("sid", hashing.hex16(F.col("dhash")).alias("dhash"))
 
 
-_HEX_CASES = "case doc_id % 5 when 0 then upper(substr(md5(text), 1, 16)) when 1 then '0x' || substr(md5(text), 1, 14) when 2 then substr(md5(text), 1, 15) else substr(md5(text), 1, 16) end"
+#: Sixteen characters that are a number to base 16, and others that nearly are.
+_HEX_CASES = """case doc_id % 9 when 0 then upper(substr({md5}, 1, 16)) when 1 then concat('0x', substr({md5}, 1, 14)) when 2 then substr({md5}, 1, 15)
+    when 3 then concat(substr({md5}, 1, 7), '_', substr({md5}, 8, 8)) when 4 then concat(substr({md5}, 1, 7), '__', substr({md5}, 8, 7)) when 5 then concat('+', substr({md5}, 1, 15))
+    when 6 then concat(substr({md5}, 1, 15), 'g') when 7 then concat(' 0X_', substr({md5}, 1, 12)) else substr({md5}, 1, 16) end"""
 
 
-@query("parse_hash", f"select doc_id, case when doc_id % 5 in (1, 2) then null else substr(md5(text), 1, 16) end as parsed from documents")
+@query("parse_hash", f"""select doc_id, case when length(raw) = 16 and regexp_full_match(raw, '[ \t\n]*[+]?(0[xX]_?)?[0-9a-fA-F]+(_[0-9a-fA-F]+)*[ \t\n]*')
+        then lpad(lower(replace(regexp_replace(trim(raw), '^[+]?(0[xX])?', ''), '_', '')), 16, '0') end as parsed
+    from (select doc_id, {_HEX_CASES.format(md5="md5(text)")} as raw from documents)""")
 def parse_hash(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.expr(_HEX_CASES.replace("md5(text)", "md5(cast(text as binary))")).alias("raw"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.expr(_HEX_CASES.format(md5="md5(cast(text as binary))")).alias("raw"))
     return docs.select("doc_id", hashing.hex16(hashing.parse_hash(F.col("raw"))).alias("parsed"))
 
 
@@ -838,6 +845,16 @@ def spared_bytes(spark, sf_dir):
     return groups.with_kept(made.groups, made.members, kept).select("gid", "recoverable_bytes")
 
 
+@query("pair_order", f"""select smaller, larger, row_number() over (order by overlap desc, lower(smaller), lower(larger)) - 1 as position from ({ORACLE_SQL["duplicate_books"]})""")
+def pair_order(spark, sf_dir):
+    return ranking.with_position(books.pair_order(books.duplicate_books(*_lines(spark, sf_dir))).select("smaller", "larger"))
+
+
+@query("scan_order", f"with {_TITLED} select archive, row_number() over (order by lower(archive), archive) - 1 as position from titled")
+def scan_order(spark, sf_dir):
+    return ranking.with_position(books.in_order(_titled(spark, sf_dir)).select("archive"))
+
+
 @query("describe_groups", f"{GROUPS} select gid, page_count || ' copies in ' || archive_count || ' book(s)' as described from groups")
 def describe_groups(spark, sf_dir):
     return _line_groups(spark, sf_dir).groups.select("gid", text.describe_group(F.col("page_count"), F.col("archive_count")).alias("described"))
@@ -851,13 +868,18 @@ def describe_pairs(spark, sf_dir):
     return pairs.select(text.describe_pair(F.col("smaller"), F.col("larger"), F.col("overlap")).alias("described"))
 
 
-@query("scan_report")
+@query("scan_report", f"""{GROUPS}, listed as (select gid, string_agg('{{"archive":' || to_json(archive) || ',"name":' || to_json(name) || ',"page":' || index + 1 || ',"bytes":' || size || '}}', ','
+        order by lower(archive), index) as copies from members group by gid)
+    select gid, '{{"id":"' || gid || '","kind":"' || case kind when 'exact' then 'identical' else kind end || '","known":' || known || ',"edge_share":' || round_even(edge_share, 3)
+        || ',"warnings":' || to_json({WARNINGS}) || ',"copies":' || page_count || ',"books":' || archive_count || ',"bytes":' || recoverable_bytes || ',"pages":[' || copies || ']}}' as document
+    from groups join listed using (gid)""")
 def scan_report(spark, sf_dir):
     made = _line_groups(spark, sf_dir)
     return reports.group_documents(made.groups, made.members)
 
 
-@query("duplicate_report")
+@query("duplicate_report", f"""select '{{"smaller":' || to_json(smaller) || ',"larger":' || to_json(larger) || ',"shared_pages":' || shared || ',"smaller_pages":' || smaller_pages
+    || ',"overlap":' || round_even(overlap, 3) || '}}' as document from ({ORACLE_SQL["duplicate_books"]})""")
 def duplicate_report(spark, sf_dir):
     return reports.pair_documents(books.duplicate_books(*_lines(spark, sf_dir)))
 
@@ -878,12 +900,19 @@ def natural_sort(spark, sf_dir):
     return ranking.with_position(found.orderBy(text.natural_key(F.col("name"))).select("p_partkey"))
 
 
-_NAMES = "case doc_id % 8 when 0 then 'a/b.JPG' when 1 then '__MACOSX/b.jpg' when 2 then 'a/.b.jpg' when 3 then 'dir.jpg/' when 4 then 'Thumbs.db' when 5 then 'x.webp' when 6 then 'ComicInfo.xml' else 'plain' end"
+#: Names of entries made of the words of a text, its first line break and its id.
+_NAMES = """concat(case doc_id % 5 when 0 then '' when 1 then '__MACOSX/' when 2 then 'a.jpg/' when 3 then 'dir\\\\' else 'x/y/' end,
+    case doc_id % 7 when 0 then '.' else '' end, case when doc_id % 11 = 0 then '' when doc_id % 13 = 0 then 'Thumbs.db' else substr(regexp_replace(text, '[^A-Za-z.]', ''{all}), 1, 9) end,
+    case doc_id % 6 when 0 then '.JPG' when 1 then '.webp' when 2 then '.xml' when 3 then '/' when 4 then '.tiff' else '' end)"""
 
 
-@query("page_names", f"select doc_id from documents where doc_id % 8 in (0, 5)")
+@query("page_names", f"""select doc_id from (select doc_id, name, regexp_extract(name, '[^/\\\\]*$') as base from (select doc_id, {_NAMES.format(all=", 'g'")} as name from documents))
+    where base <> '' and base[1] <> '.' and not contains(name, '__MACOSX') and lower(base) not in ('comicinfo.xml', 'thumbs.db', '.ds_store')
+        and list_contains(['jpg', 'jpeg', 'png', 'webp', 'gif', 'bmp', 'avif', 'jxl', 'tif', 'tiff'], lower(string_split(base, '.')[-1]))
+        and length(regexp_replace(base, '[.][^.]*$', '')) < length(base) and not regexp_matches(regexp_replace(base, '[.][^.]*$', ''), '[.]$')""")
 def page_names(spark, sf_dir):
-    return load(spark, sf_dir, "documents").withColumn("name", F.expr(_NAMES)).where(pages.is_page_name(F.col("name"))).select("doc_id")
+    docs = load(spark, sf_dir, "documents").withColumn("name", F.expr(_NAMES.format(all="")))
+    return docs.where(pages.is_page_name(F.col("name"))).select("doc_id")
 
 
 @query("exclude_globs", "select url from pages where not (url like '%/1%' or url like '%9')")
@@ -892,10 +921,14 @@ def exclude_globs(spark, sf_dir):
     return found.where(~pages.matches_globs(F.col("url"), ["*/1*", " ", "*9"]))
 
 
-@query("backup_names", "select doc_id from documents where doc_id % 8 in (0, 1, 4)")
+_BACKUPS = """concat(substr(text, 1, doc_id % 4), case doc_id % 5 when 0 then '.cbz' when 1 then '.CB7' when 2 then '.txt' when 3 then '.Zip' else '' end,
+    case doc_id % 3 when 0 then '.bak' when 1 then '.BAK' else '.bak.' end, case doc_id % 7 when 0 then '' when 1 then '.12' when 2 then '.1a' when 3 then '7' else '.cbz' end)"""
+
+
+@query("backup_names", f"""select doc_id from (select doc_id, lower({_BACKUPS}) as name from documents)
+    where regexp_full_match(name, '(?s)[^\\n]+[.](cbz|zip|cbr|rar|cb7|7z)[.]bak([.][0-9]+)?')""")
 def backup_names(spark, sf_dir):
-    names = "case doc_id % 8 when 0 then 'Book 01.cbz.bak' when 1 then 'Book.cb7.bak.12' when 2 then 'Book.bak.cbz' when 3 then 'notes.bak' when 4 then 'Book.CBR.BAK' when 5 then 'x.cbz.bak.' when 6 then 'x.cbz.bak.1a' else 'cbz.bak' end"
-    return load(spark, sf_dir, "documents").where(text.backup_name(F.expr(names))).select("doc_id")
+    return load(spark, sf_dir, "documents").where(text.backup_name(F.expr(_BACKUPS))).select("doc_id")
 
 
 _UNIT = " ".join(f"when v < {1 << 10 * (k + 1)} then printf('%.1f {u}', round_even(v / {1 << 10 * k}, 1))" for k, u in ((1, "KB"), (2, "MB"), (3, "GB")))
@@ -907,9 +940,12 @@ def human_bytes(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", text.human_bytes(v).alias("shown"))
 
 
-@query("safe_part", r"""select doc_id, case when s = '' then 'page' else s end as part from (select doc_id, trim(regexp_replace(regexp_replace(substr(source || '/. a:b' || text[1:20], 1), '^.*/', ''), '[<>:"/|?*\\\x00-\x1f]', '_', 'g'), ' .') as s from documents)""")
+@query("safe_part", r"""select doc_id, case when s = '' then 'page' else s end as part from (
+    select doc_id, trim(regexp_replace(regexp_extract(name, '[^/\\]*$'), '[<>:"|?*\x00-\x1f]', '_', 'g'), ' .') as s
+    from (select doc_id, coalesce(source, '') || case doc_id % 3 when 0 then '/. a:b' when 1 then '\\..' else '' end || coalesce(text, '') as name from documents))""")
 def safe_part(spark, sf_dir):
-    raw = F.concat("source", F.lit("/. a:b"), F.substring("text", 1, 20))
+    """Whole texts as names, behind a source and separators."""
+    raw = F.expr(r"concat(coalesce(source, ''), case doc_id % 3 when 0 then '/. a:b' when 1 then '\\..' else '' end, coalesce(text, ''))")
     return load(spark, sf_dir, "documents").select("doc_id", text.safe_part(raw).alias("part"))
 
 
@@ -937,20 +973,33 @@ def display_path(spark, sf_dir):
     return books_.select("archive", text.relative_path(F.col("archive"), "lib/shelf3/").alias("shown"))
 
 
-@query("survey", """select case when url like '%9' then 'excluded' else case page_id % 5 when 0 then 'found' when 1 then 'pdf' when 2 then 'not_walked' when 3 then 'other' else 'found' end end as disposition,
-    count(*) as files from pages group by 1""")
+#: A file of a library: below the address of a page, a name made of its first letters.
+_FILES_OF_PAGES = """concat(url, '/', case page_id % 9 when 0 then '._' when 1 then '.leafsieve-' else '' end, substr(html, 2, page_id % 4),
+    case page_id % 8 when 0 then '.cbz' when 1 then '.PDF' when 2 then '.rar' when 3 then '.7Z' when 4 then '.CB7' when 5 then '.zip' when 6 then '.txt' else '' end)"""
+
+
+@query("survey", f"""with f as (select url, lower(regexp_extract(path, '[^/]*$')) as base from (select url, {_FILES_OF_PAGES} as path from pages)),
+    j as (select url, base, regexp_full_match(base, '.*[^.][.](cbz|zip|cbr|cb7)') as walked, regexp_full_match(base, '.*[^.][.](cbz|zip|cbr|cb7|rar|7z)') as archive,
+        base[1:2] = '._' or base[1:11] = '.leafsieve-' as passing from f)
+    select case when url like '%9' then 'excluded' when walked and not passing then 'found' when regexp_full_match(base, '.*[^.][.]pdf') then 'pdf'
+        when archive and not passing then 'not_walked' else 'other' end as disposition, count(*) as files from j group by 1""")
 def survey(spark, sf_dir):
     """Names of all kinds, below the addresses of pages."""
-    suffix = F.expr("case page_id % 5 when 0 then 'f.cbz' when 1 then 'f.PDF' when 2 then 'f.rar' when 3 then '/._x.cbz' else 'f.CB7' end")
-    found = load(spark, sf_dir, "pages").select("url", F.concat("url", suffix).alias("path"))
+    found = load(spark, sf_dir, "pages").select("url", F.expr(_FILES_OF_PAGES).alias("path"))
     return found.groupBy(pages.disposition(F.col("path"), pages.matches_globs(F.col("url"), ["*9"])).alias("disposition")).agg(F.count("*").alias("files"))
 
 
-@query("detect_kind", "select doc_id, case doc_id % 6 when 0 then 'zip' when 1 then 'rar' when 2 then '7z' when 3 then 'rar' when 4 then 'unknown' else 'zip' end as kind from documents")
+#: First bytes, in hex, and a name, of the digits of a digest: each kind by its bytes or by its suffix, and neither.
+_HEADS = "concat(case substr({md5}, 1, 1) when '0' then '504B' when '1' then '526172' when '2' then '52617221' when '3' then '377ABCAF271C' when '4' then '377ABCAF' else '' end, upper(substr({md5}, 3, 6)))"
+_KINDS = "concat('n.', substr({md5}, 9, 2), case substr({md5}, 2, 1) when '0' then '.cbz' when '1' then '.RAR' when '2' then '.Cb7' when '3' then '.zip' when '4' then '.7z' when '5' then '.cbr' else '' end)"
+
+
+@query("detect_kind", f"""select doc_id, case when starts_with(head, '504B') then 'zip' when starts_with(head, '52617221') then 'rar' when starts_with(head, '377ABCAF271C') then '7z'
+        when suffix in ('cbz', 'zip') then 'zip' when suffix in ('cbr', 'rar') then 'rar' when suffix in ('cb7', '7z') then '7z' else 'unknown' end as kind
+    from (select doc_id, {_HEADS.format(md5="md5(text)")} as head, lower(string_split({_KINDS.format(md5="md5(text)")}, '.')[-1]) as suffix from documents)""")
 def detect_kind(spark, sf_dir):
-    head = F.expr("case doc_id % 6 when 0 then X'504B0304' when 1 then X'526172211A07' when 2 then X'377ABCAF271C0004' else X'00' end")
-    name = F.expr("case doc_id % 6 when 3 then 'A.CBR' when 4 then 'a.txt' when 5 then 'b.zip' else 'c.cbr' end")
-    return load(spark, sf_dir, "documents").select("doc_id", pages.detect_kind(head, name).alias("kind"))
+    md5 = "md5(cast(text as binary))"
+    return load(spark, sf_dir, "documents").select("doc_id", pages.detect_kind(F.expr(f"unhex({_HEADS.format(md5=md5)})"), F.expr(_KINDS.format(md5=md5))).alias("kind"))
 
 
 @query("read_metadata", "select doc_id, 'Saga ' || doc_id as series, case when doc_id % 2 = 0 then '12' end as number, cast(null as varchar) as title from documents where doc_id % 3 <> 0 union all select doc_id, null, null, null from documents where doc_id % 3 = 0")
