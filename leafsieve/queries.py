@@ -941,12 +941,10 @@ def human_bytes(spark, sf_dir):
 
 
 @query("safe_part", r"""select doc_id, case when s = '' then 'page' else s end as part from (
-    select doc_id, trim(regexp_replace(regexp_extract(name, '[^/\\]*$'), '[<>:"|?*\x00-\x1f]', '_', 'g'), ' .') as s
-    from (select doc_id, coalesce(source, '') || case doc_id % 3 when 0 then '/. a:b' when 1 then '\\..' else '' end || coalesce(text, '') as name from documents))""")
+    select doc_id, trim(regexp_replace(regexp_extract(source || '/. a:b' || text, '[^/\\]*$'), '[<>:"|?*\x00-\x1f]', '_', 'g'), ' .') as s from documents)""")
 def safe_part(spark, sf_dir):
-    """Whole texts as names, behind a source and separators."""
-    raw = F.expr(r"concat(coalesce(source, ''), case doc_id % 3 when 0 then '/. a:b' when 1 then '\\..' else '' end, coalesce(text, ''))")
-    return load(spark, sf_dir, "documents").select("doc_id", text.safe_part(raw).alias("part"))
+    """Whole texts as names, behind a source and a separator."""
+    return load(spark, sf_dir, "documents").select("doc_id", text.safe_part(F.concat("source", F.lit("/. a:b"), "text")).alias("part"))
 
 
 @query("renumber_pages", "select doc_id, (doc_id % 20 - (case when doc_id % 20 > 3 then 1 else 0 end) - (case when doc_id % 20 > 4 then 1 else 0 end))::int as image from documents where doc_id % 20 not in (3, 4) union all select doc_id, null from documents where doc_id % 20 in (3, 4)")
