@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafsieve.runtime import materialize, release, ship
+from leafsieve.runtime import measured, release, ship
 
 #: Edges that a task joins at once (16 bytes each).
 AT_ONCE = 1 << 20
@@ -73,13 +73,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     ship(edges.sparkSession)
     start = edges.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).where("a <> b")
-    table, before = materialize(start.mapInArrow(_forest, "a long, b long"), "edges"), None
+    # The number of edges and a sum of their hashes tell whether a round has changed them.
+    state = F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    table, now = measured(start.mapInArrow(_forest, "a long, b long"), "edges", *state)
+    before = None
     while True:
-        state = table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        if now == before or not now[0]:
             break
-        before, old = state, table
-        table = materialize(_small_star(_large_star(table)), "edges")
+        before, old = now, table
+        table, now = measured(_small_star(_large_star(table)), "edges", *state)
         release(old)
     roots = table.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return table.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -19,7 +19,7 @@ from leafsieve.functions.hashing import bands, hamming, ordered
 from leafsieve.operators.components import connected_components
 from leafsieve.operators.heavy import heavy_hitters
 from leafsieve.options import BITS
-from leafsieve.runtime import materialize, ship
+from leafsieve.runtime import materialize, measured, ship
 
 #: About the cost of dealing out a key, in comparisons, and the most keys of a fingerprint.
 DEAL, MOST_KEYS = 150, 300
@@ -114,9 +114,13 @@ def similar_pairs(hashes: DataFrame, threshold: int, agree: int | None = None) -
 
     Exact with any number of bands that ``agree``, which is chosen by the count of fingerprints.
     """
-    ship(hashes.sparkSession)
-    table = materialize(hashes.toDF("a"), "hashes")
-    rows = table.count()
+    return _pairs(*measured(hashes.toDF("a"), "hashes", F.count("*")), threshold, agree)
+
+
+def _pairs(table: DataFrame, counted: list[int], threshold: int, agree: int | None = None) -> DataFrame:
+    """Pairs of a table of fingerprints (a), so many as were counted."""
+    ship(table.sparkSession)
+    (rows,) = counted
     agree = agree or bands_to_agree(threshold, rows)
     dealt = _deal(_keyed(table, threshold, agree), -(-rows // PART) or 1)
     return dealt.groupBy("band", "part").applyInArrow(_compare(threshold, agree), "a long, b long, distance int")
@@ -137,7 +141,8 @@ def clusters(hashes: DataFrame, threshold: int) -> DataFrame:
     hashes = hashes.toDF("dhash").distinct()
     if threshold <= 0:
         return hashes.select("dhash", F.col("dhash").alias("root"))
-    pairs = similar_pairs(hashes, threshold)
+    table, counted = measured(hashes.toDF("a"), "hashes", F.count("*"))
+    pairs, hashes = _pairs(table, counted, threshold), table.toDF("dhash")
     # Components take the least of signed labels, so labels are shifted into unsigned order.
     labels = connected_components(pairs.select(ordered(F.col("a")).alias("a"), ordered(F.col("b")).alias("b")))
     labels = labels.select(ordered(F.col("node")).alias("dhash"), ordered(F.col("component")).alias("found"))

@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,6 +81,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def measured(df: DataFrame, name: str, *what: Column) -> tuple[DataFrame, list]:
+    """A table of :func:`materialize`, and aggregates of its rows, which are found as it is written."""
+    seen = Observation()
+    names = [f"m{k}" for k in range(len(what))]
+    out = materialize(df.observe(seen, *(c.alias(n) for c, n in zip(what, names, strict=True))), name)
+    return out, [seen.get[n] for n in names]
+
+
 _scopes: list[list[DataFrame]] = []
 
 
