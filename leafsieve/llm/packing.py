@@ -38,7 +38,7 @@ MERGE = 16
 #: The id that ends a document.
 END = 1
 #: Words in a generation of those that a worker remembers, and bytes of words that are merged in step.
-KNOWN_WORDS, LONGEST = 400_000, 128
+KNOWN_WORDS, LONGEST = 200_000, 128
 
 _ARROW = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
