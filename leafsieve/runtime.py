@@ -81,6 +81,15 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder that nothing has; what is put there goes when the application ends."""
+    path = f"{shared_dir(spark)}/leafsieve-{name}-{uuid.uuid4().hex}"
+    fs, where = _file_system(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def measured(df: DataFrame, name: str, *what: Column) -> tuple[DataFrame, list]:
     """A table of :func:`materialize`, and aggregates of its rows, which are found as it is written."""
     seen = Observation()
