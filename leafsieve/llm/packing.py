@@ -10,22 +10,17 @@ padding.
 
 from __future__ import annotations
 
-import json
-import re
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
-from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafsieve.llm.agendas import NONE, WIDTHS, PairTable, in_step
-from leafsieve.llm.textwork import WordCache, slices, tidy
+from leafsieve.llm.textwork import slices, tidy
+from leafsieve.llm.word_ids import encoder
 from leafsieve.runtime import materialize, ship
 
 WINDOW = 2048
@@ -37,8 +32,6 @@ SLIVER = 8
 MERGE = 16
 #: The id that ends a document.
 END = 1
-#: Words in a generation of those that a worker remembers, and bytes of words that are merged in step.
-KNOWN_WORDS, LONGEST = 200_000, 128
 
 _ARROW = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
@@ -47,138 +40,6 @@ _ARROW = pa.schema([
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, part int"
 
 
-#: The normal form and the pattern of a tokenizer whose ids can be found word by word. Fixed values.
-_BY_WORDS = (
-    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
-    {"type": "Sequence", "pretokenizers": [
-        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
-        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
-    ]},
-)
-
-
-#: Words of these code points are in normal form, and nothing in them is white space; the dotted capital I grows in lower case.
-_PLAIN = re.compile(r"[!-~\xa1-\u012f\u0131-\u02ff]+")
-#: What the pattern comes to for ASCII that prints, in lower case.
-_ASCII, _ASCII_TOKENS = re.compile(rb"[!-@\[-~]+"), re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
-
-
-class PlainMerges:
-    """The merges of a tokenizer of the form _BY_WORDS, by bytes: the first merge that the file lists comes first."""
-
-    def __init__(self, form: dict):
-        model = form["model"]
-        ids, pairs, made = model["vocab"], {}, []
-        for pair in model["merges"]:
-            left, right = pair if isinstance(pair, list) else pair.split(" ")
-            pairs.setdefault(ids[left] << 32 | ids[right], len(made))
-            made.append(ids[left + right])
-        self.table, self.made = PairTable(pairs), np.array(made, dtype=np.int32)
-        # Bytes that print are written as themselves, the others, in order, as the letters from U+0100 on.
-        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        others = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
-        #: Ids of bytes inside a token, and, behind them, of those that end one.
-        self.bytes_ = np.array([ids[chr(others.get(b, b)) + end] for end in ("", model["end_of_word_suffix"]) for b in range(256)], dtype=np.int32)
-        self.tokens = regex.compile(form["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-
-    def _candidates(self, rows: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rank = self.table.find(left, right)
-        return np.where(rank < 0, NONE, rank), self.made[rank]
-
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        """Ids of tokens before merging; ASCII in any case."""
-        out: list[bytes] = [b""] * len(words)
-        sizes, low = np.fromiter(map(len, words), dtype=np.int64, count=len(words)), 0
-        for high in (*WIDTHS, int(sizes.max(initial=0))):
-            chosen = np.flatnonzero((sizes > low) & (sizes <= high))
-            low = high
-            for k in range(0, len(chosen), 1 << 14):
-                part = chosen[k : k + (1 << 14)]
-                size = sizes[part]
-                places = np.frombuffer(b"".join(map(words.__getitem__, part.tolist())).lower(), dtype=np.uint8).astype(np.int64)
-                places[np.cumsum(size) - 1] += 256
-                symbol = np.zeros((len(part), high), dtype=np.int32)
-                symbol[np.arange(high) < size[:, None]] = self.bytes_[places]
-                final, ends = in_step(symbol, size, self._candidates)
-                data, stops = final.astype("<u4").tobytes(), (4 * np.cumsum(ends)).tolist()
-                for i, first, stop in zip(part.tolist(), [0, *stops], stops, strict=False):
-                    out[i] = data[first:stop]
-        return out
-
-
-class Encoder:
-    """Ids of a tokenizer as little-endian 32-bit bytes.
-
-    A tokenizer of the form _BY_WORDS lowers the case and drops white space, and no merge, normal form or pattern crosses
-    that, so the ids of a text are those of its words in order, and words are remembered. Any other encodes whole texts.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        form = json.loads(self.tokenizer.to_str())
-        marked = any(any(c.isspace() for c in t["content"]) or "<|" not in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in form["added_tokens"])
-        self.by_words = (form["normalizer"], form["pre_tokenizer"]) == _BY_WORDS and not marked and not form["truncation"] and not form["padding"]
-        plain = form["model"]["type"] == "BPE" and form["model"].get("end_of_word_suffix") and not any(
-            form["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "unk_token", "fuse_unk", "byte_fallback", "ignore_merges")
-        )
-        self.by_words = self.by_words and bool(plain)
-        self.merges = PlainMerges(form) if self.by_words else None
-        # After an ASCII letter or digit a last dot or comma is a token of its own.
-        self.marks = {m: self._word(m) for m in (b".", b",")} if self.by_words else {}
-        self.cache = WordCache(self._words, KNOWN_WORDS)
-
-    def _word(self, word: bytes) -> bytes:
-        return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
-
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words; those of _PLAIN, unless very long, are merged in step."""
-        letters = [w for w in words if w.isalpha() and len(w) <= LONGEST]  # ASCII letters are one token
-        known = dict(zip(letters, self.merges.ids(letters), strict=True))
-        split, tokens, young, marks = {}, set(), self.cache.young, self.marks
-        plain, ascii_, ascii_tokens = _PLAIN.fullmatch, _ASCII.fullmatch, _ASCII_TOKENS.findall
-        for word in words if len(letters) < len(words) else ():
-            if word in known:
-                continue
-            mark = marks.get(word[-1:]) if word[-2:-1].isalnum() else None
-            if mark and (ids := known.get(word[:-1]) or young.get(word[:-1])):
-                known[word] = ids + mark
-            elif len(word) <= LONGEST and b"<|" not in word and ascii_(word):
-                split[word] = parts = ascii_tokens(word)
-                tokens.update(parts)
-            elif len(word) <= LONGEST and b"<|" not in word and (text := word.decode("utf-8", "replace")) and plain(text):
-                split[word] = parts = [t.encode() for t in self.merges.tokens(text.lower())]
-                tokens.update(parts)
-            else:
-                known[word] = self._word(word)
-        listed = list(tokens)
-        ids = dict(zip(listed, self.merges.ids(listed), strict=True))
-        for word, parts in split.items():
-            known[word] = ids[parts[0]] if len(parts) == 1 else b"".join(map(ids.__getitem__, parts))
-        return list(map(known.__getitem__, words))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        if not self.by_words:
-            whole = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-            return [np.array(x.ids, dtype="<u4").tobytes() for x in whole]
-        # The tokenizer lowers the case, so ASCII may be lowered here; but its special tokens are told by case.
-        split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
-        ids = self.cache.each(list(chain.from_iterable(split)))
-        stops = list(accumulate(map(len, split), initial=0))
-        return [b"".join(ids[first:stop]) for first, stop in pairwise(stops)]
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder for a worker, with what it knows of words from earlier tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 class Packer:
     """Open windows of one partition. Pieces are (doc_id, start, bytes of ids, doc_tokens)."""
 

@@ -6,7 +6,8 @@ import public_tokenizers
 from tests.llm.fixtures import small, table
 from tokenizers import Tokenizer
 
-from leafsieve.llm.packing import Encoder, Packer, lay_out, pack
+from leafsieve.llm.packing import Packer, lay_out, pack
+from leafsieve.llm.word_ids import Encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 CASES = [None, "", " ", "Hello  World's\tend", "a\x1cb\x85c d é x ́y", "<|endoftext|>a <|startoftext|>", "ΣΑΣ ΟΔΟΣ İI", "日本語 123 !!??", "w" * 5000, "several words here " * 3000]
@@ -84,7 +85,7 @@ def test_words_equal_library():
     words += ["".join(rng.choice("etaoinshrdluXQ's.,9-") for _ in range(rng.randint(1, 70))).encode() for _ in range(4000)]
     words += [w.encode() for w in ("don't", "we'll've", "''" + "'s", "x²y3½", "İx", "ßẞ", "e\u0301a", "a\x1cb", "\x85q", "ŉǅ", "日本語x", "it's.")]
     tok, enc = Tokenizer.from_file(PATH), Encoder(PATH)
-    for word, got, batch in zip(words, enc._words(words), tok.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
+    for word, got, batch in zip(words, enc.encode(words), tok.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == batch.ids, word
 
 
@@ -101,3 +102,23 @@ def test_open_windows_are_bounded_and_padding_small():
     tail = list(lay_out([p for w in rest for p in w], 256))
     sizes = [sum(len(p[2]) // 4 for p in w) for w in tail]
     assert all(n == 256 or n & (n - 1) == 0 for n in sizes) and sum(sizes) == sum(len(p[2]) // 4 for w in rest for p in w)
+
+
+def test_long_texts_and_full_tables():
+    """Texts of many stretches, more new tokens than the table holds, and apostrophes, signs and marks at every place."""
+    from leafsieve.llm import word_ids
+
+    rng, tok, enc = random.Random(5), Tokenizer.from_file(PATH), Encoder(PATH)
+    parts = ["'s", "''s", "'", "re", "'re", "ll'll", "É", "×", "÷a", "ÿ", "1", "\u0301", "ab", "Ж", " ", "\n", "\x00", "'D", "x" * 30, "\u00a0", "\ud55c"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))).encode() for _ in range(3000)]
+    for text, got, want in zip(texts, enc.encode(texts), tok.encode_batch([t.decode() for t in texts], add_special_tokens=False), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, text
+    whole, before = b" ".join(texts), word_ids.STRETCH
+    try:
+        word_ids.STRETCH = 50
+        enc.table = word_ids.TokenTable(6)
+        assert np.frombuffer(enc.encode([whole])[0], "<u4").tolist() == tok.encode(whole.decode(), add_special_tokens=False).ids
+        assert enc.table.bits > 6
+    finally:
+        word_ids.STRETCH = before
+    assert enc.encode([]) == [] and enc.encode([b"", b" \n"]) == [b"", b""]
