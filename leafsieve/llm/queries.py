@@ -15,7 +15,8 @@ from leafsieve.llm.quality import annotate_quality
 from leafsieve.llm.simhash import simhash_dedup
 from leafsieve.llm.suffix_dedup import remove_repeats
 from leafsieve.llm.token_counts import count_tokens
-from leafsieve.runtime import load
+from leafsieve.llm.token_files import read_tokens, write_tokens
+from leafsieve.runtime import fresh_path, load
 
 
 def tokenizer_path(name: str) -> str:
@@ -86,6 +87,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_chats(format_chats(turns.unionByName(forged)))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all texts, written as files and read back."""
+    folder = write_tokens(load(spark, sf_dir, "documents"), fresh_path(spark, "tokens"), tokenizer_path("word_bpe_49k.json"))
+    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -97,6 +104,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_chat_format": op10_chat_format,
+    "op11_token_files": op11_token_files,
 }
 
 #: Control strings in a text; none lies in another.
