@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafsieve.llm.chat_format import CONTROLS, CLOSE, LEARN, OPEN, ROLE, STOP, digest_chats, format_chats
+from leafsieve.llm.divergence import LEAST_DOCS, MOST_RANKS, ONE, source_divergence
 from leafsieve.llm.exact_dedup import exact_dedup
 from leafsieve.llm.language_id import fit, held_out, identify
 from leafsieve.llm.merge_dropout import encode_checked
@@ -93,6 +94,10 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -105,12 +110,43 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_chat_format": op10_chat_format,
     "op11_token_files": op11_token_files,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 #: Control strings in a text; none lies in another.
 _MARKS = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in CONTROLS)
 
 ORACLE_SQL = {
+    "op12_source_divergence": rf"""
+        with d as (
+            select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                unnest([translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                    for t in regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')]) as term
+            from documents),
+        v as (select lang, term, count(*) as n from d group by lang, term having count(distinct doc_id) >= {LEAST_DOCS}),
+        l as (select lang, count(*) as v, sum(n) as total from v group by lang),
+        g as (select distinct coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+        c as (select lang, source, term, count(*) as n from d semi join v using (lang, term) group by all),
+        t as (
+            select g.lang, g.source, v.term, coalesce(c.n, 0) as n, v.n as all_n,
+                sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) as total
+            from g join v using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = v.term),
+        p as (
+            select t.lang, t.source, term, t.n,
+                1 + ({ONE}::hugeint * (t.n + 2)) // (t.total + 2 * l.v) as p, 1 + ({ONE}::hugeint * (all_n + 2)) // (l.total + 2 * l.v) as q
+            from t join l using (lang)),
+        pairs as (
+            select a.lang, a.source, b.source as item, coalesce(x.value, 0) as value
+            from g a join g b on a.lang = b.lang and a.source <> b.source
+            left join (
+                select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+                from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all) x
+            on x.lang = a.lang and x.source = a.source and x.item = b.source),
+        both_ as (
+            select lang, source, 'pair' as part, item, value from pairs
+            union all select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from p where n > 0 and p > q),
+        r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from both_)
+        select lang, source, part, item, value::bigint as value, rank::int as rank from r where part = 'pair' or rank <= {MOST_RANKS}""",
     "op10_chat_format": rf"""
         with t as (
             select conv_id, turn, role, coalesce(text, '') as text from conversations
