@@ -17,6 +17,7 @@ from leafsieve.llm.simhash import simhash_dedup
 from leafsieve.llm.suffix_dedup import remove_repeats
 from leafsieve.llm.token_counts import count_tokens
 from leafsieve.llm.token_files import read_tokens, write_tokens
+from leafsieve.llm.variants import LEAST_COUNT, LEAST_LETTERS, SLIPS, TIMES, group_variants
 from leafsieve.runtime import fresh_path, load
 
 
@@ -98,6 +99,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(load(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -111,12 +116,53 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_token_files": op11_token_files,
     "op12_source_divergence": op12_source_divergence,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: Control strings in a text; none lies in another.
 _MARKS = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in CONTROLS)
 
 ORACLE_SQL = {
+    # The checksum by its table of 256 numbers, each eight steps of its polynomial.
+    "op13_spelling_variants": rf"""
+        with recursive crc as (
+            select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t
+            from (select unnest(range(256)) as i)),
+        r as (
+            select doc_id, run, count(*) as n from (
+                select doc_id, unnest([translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                    for t in regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')]) as run
+                from documents)
+            where length(run) >= {LEAST_LETTERS} group by all),
+        b as (
+            select *, flatten([case when ord(c) < 128 then [ord(c)::bigint] else [195, ord(c)::bigint - 64] end
+                for c in string_split(coalesce(doc_id::varchar, '') || ':' || run, '')]) as bytes
+            from r),
+        h as (
+            select run, n, xor(list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as h
+            from b, crc),
+        s as (
+            select case when h % {SLIPS} = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n
+            from h),
+        w as (
+            select word, sum(n)::bigint as n from s where length(word) >= {LEAST_LETTERS} group by word having sum(s.n) >= {LEAST_COUNT}),
+        less as (select word, n, i, left(word, i::int - 1) || substr(word, i::int + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from w)),
+        pairs as (
+            select l.word as a, w.word as b from less l join w on w.word = l.rest
+            union select w.word, l.word from less l join w on w.word = l.rest
+            union select x.word, y.word from less x join less y on x.i = y.i and x.rest = y.rest and x.word <> y.word),
+        near as (
+            select a as word, count(*) as n_near, first(b order by w.n desc, b) as form, max(w.n) as form_n
+            from pairs join w on w.word = b group by a),
+        f as (
+            select word, n, coalesce(n_near, 0) as n_near,
+                case when near.form_n >= {TIMES} * n then near.form end as form, case when near.form_n >= {TIMES} * n then near.form_n end as form_n
+            from w left join near using (word)),
+        chain as (
+            select word, word as root from f
+            union all select chain.word, f.form from chain join f on f.word = chain.root where f.form is not null)
+        select f.word, f.form, chain.root, f.n, f.n_near, f.form_n
+        from f join chain using (word) join f as l on l.word = chain.root where l.form is null""",
     "op12_source_divergence": rf"""
         with d as (
             select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
