@@ -180,7 +180,7 @@ def _lanczos(x: np.ndarray) -> np.ndarray:
 #: Filters by their reach: bilinear, and Lanczos of three lobes.
 BILINEAR, LANCZOS = (_triangle, 1.0), (_lanczos, 3.0)
 #: Bits behind the point of a filter's weights.
-_POINT = 22
+POINT = 22
 
 
 def _weights(size: int, cells: int, kind) -> np.ndarray:
@@ -194,14 +194,14 @@ def _weights(size: int, cells: int, kind) -> np.ndarray:
     place = np.arange(size)
     weight = np.where((place >= low) & (place < high), curve((place - centre + 0.5) / stretch), 0.0)
     weight /= weight.sum(axis=1, keepdims=True)
-    return np.trunc(weight * (1 << _POINT) + np.where(weight < 0, -0.5, 0.5)).astype(np.int64)
+    return np.trunc(weight * (1 << POINT) + np.where(weight < 0, -0.5, 0.5)).astype(np.int64)
 
 
 def shrink(values: np.ndarray, width: int, height: int, kind=LANCZOS) -> np.ndarray:
     """A plane of whole numbers from 0 to 255 in another size, first along rows, then along columns."""
     for side in (width, height):
         if values.shape[1] != side:
-            values = np.clip((values @ _weights(values.shape[1], side, kind).T + (1 << _POINT - 1)) >> _POINT, 0, 255)
+            values = np.clip((values @ _weights(values.shape[1], side, kind).T + (1 << POINT - 1)) >> POINT, 0, 255)
         values = values.T
     return values
 
@@ -218,7 +218,7 @@ def fingerprint(pixels: np.ndarray) -> tuple[int, bool]:
 def difference(one: bytes, other: bytes) -> float:
     """The share of pixels that differ by more than CHANGED grey levels; the other picture is brought to the size of the one."""
     a, b = grey(decode(one)), grey(decode(other))
-    return float((np.abs(a - shrink(b, a.shape[1], a.shape[0])) > CHANGED).mean())
+    return float((np.abs(a - shrink(b, a.shape[1], a.shape[0], BILINEAR)) > CHANGED).mean())
 
 
 def thumbnail(data: bytes, side: int = 256) -> bytes:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafsieve.functions import hashing, text
+from leafsieve.functions import hashing, imaging, planes, text
 from leafsieve.operators import books, decisions, groups, history, incremental, memory, pages, ranking, removal, similarity
 from leafsieve.options import GroupingOptions
 from leafsieve.plans import reports
@@ -1008,3 +1008,100 @@ def read_metadata(spark, sf_dir):
         F.when(F.col("doc_id") % 2 == 0, F.lit("<Number>12</Number>")).otherwise(""), F.lit("<Title> </Title>"), F.when(F.col("doc_id") % 3 == 0, "").otherwise("</ComicInfo>"),
     )
     return pages.read_metadata(load(spark, sf_dir, "documents").select("doc_id", xml.alias("xml")), "xml").select("doc_id", "series", "number", "title")
+
+
+# --- Pictures: the letters of a text as a plane that is about square, the last row filled with zeros -------------------
+
+#: Fixed-point weights of the sides in ``sides`` (size, cells) under a curve over x that reaches so far.
+TAPS = """
+    near as (
+        select size, cells, cell, (cell + 0.5::double) * (size::double / cells) as centre, greatest(size::double / cells, 1) as stretch
+        from (select *, unnest(range(cells)) as cell from sides)),
+    bounds as (
+        select *, greatest(trunc(centre - {reach} * stretch + 0.5::double), 0)::bigint as low, least(trunc(centre + {reach} * stretch + 0.5::double), size)::bigint as high from near),
+    places as (select *, (place - centre + 0.5::double) / stretch as x from (select *, unnest(range(low, high)) as place from bounds)),
+    curves as (select *, {curve} as raw from places),
+    shares as (select *, raw / sum(raw) over (partition by size, cells, cell) as share from curves),
+    taps as (
+        select size, cells, cell, place, trunc(share * {one} + case when share < 0 then -0.5::double else 0.5::double end)::bigint as weight
+        from shares where size <> cells
+        union all select size, cells, size_ as cell, size_ as place, {one} from (select *, unnest(range(size)) as size_ from sides where size = cells))"""
+_CURVES = {
+    "lanczos": ("case when abs(x) >= 3 then 0 when x = 0 then 1 else sin(pi() * x) / (pi() * x) * sin(pi() * (x / 3)) / (pi() * (x / 3)) end", 3),
+    "bilinear": ("greatest(1 - abs(x), 0)", 1),
+}
+
+PICTURES = """
+    pictures as (select doc_id, length(text) as n, ceil(sqrt(length(text)))::bigint as w, ceil(length(text) / nullif(ceil(sqrt(length(text))), 0))::bigint as h from documents),
+    points as (
+        select doc_id, w, h, k // w as r, k % w as c, v from (
+            select doc_id, unnest([(ord(x) % 256)::bigint for x in string_split(text, '')]) as v, unnest(range(length(text))) as k from documents where length(text) > 0)
+        join pictures using (doc_id))"""
+
+
+def _taps(kind: str) -> str:
+    curve, reach = _CURVES[kind]
+    return TAPS.format(curve=curve, reach=reach, one=1 << imaging.POINT)
+
+
+def _mix(value: str) -> str:
+    return f"least(greatest(sum({value} * weight) + {1 << imaging.POINT - 1}, 0) // {1 << imaging.POINT}, 255)"
+
+
+def _sized(kind: str, width: int, height: int) -> str:
+    """cells (doc_id, r, c, v) of the pictures in another size; cells without points are missing."""
+    return f"""
+    sides as (select distinct w as size, {width} as cells from pictures where n > 0 union select distinct h, {height} from pictures where n > 0), {_taps(kind)},
+    wide as (select doc_id, h, r, cell as c, {_mix("v")} as v from points join taps on size = w and cells = {width} and place = c group by all),
+    cells as (select doc_id, cell as r, c, {_mix("v")} as v from wide join taps on size = h and cells = {height} and place = r group by doc_id, cell, c)"""
+
+
+def text_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, plane, w, h) of whole texts; each letter is a grey value."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.char_length("text").alias("n"), F.when(F.char_length("text") > 0, F.split("text", "")).alias("letters"))
+    docs = docs.withColumn("w", F.ceil(F.sqrt("n")).cast("int")).withColumn("h", F.ceil(F.col("n") / F.nullif("w", F.lit(0))).cast("int"))
+    values = F.transform("letters", lambda x: F.ascii(x) % 256)
+    return docs.select("doc_id", F.concat(values, F.array_repeat(F.lit(0), F.col("w") * F.col("h") - F.col("n"))).alias("plane"), "w", "h")
+
+
+@query("dhash", f"""
+    with {PICTURES}, {_sized("lanczos", 9, 8)},
+    bits as (
+        select doc_id, sum(case when coalesce(b.v, 0) > coalesce(a.v, 0) then 1::hugeint << (63 - 8 * i - k)::int else 0 end)::ubigint as bits
+        from (select doc_id, i, unnest(range(8)) as k from (select doc_id, unnest(range(8)) as i from pictures where n > 0))
+        left join (select doc_id, r as i, c as k, v from cells) a using (doc_id, i, k)
+        left join (select doc_id, r as i, c - 1 as k, v from cells) b using (doc_id, i, k) group by doc_id)
+    select doc_id, w as width, h as height, printf('%016x', bits) as dhash from pictures left join bits using (doc_id)""")
+def plane_dhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = text_planes(spark, sf_dir)
+    h = planes.dhash(F.col("plane"), F.col("w"), F.col("h"))
+    return given.select("doc_id", F.col("w").cast("long").alias("width"), F.col("h").cast("long").alias("height"), hashing.hex16(h).alias("dhash"))
+
+
+@query("flat", f"""
+    with {PICTURES}, {_sized("bilinear", 32, 32)},
+    sums as (select doc_id, sum(v) as a, sum(v * v) as b from cells group by doc_id)
+    select doc_id, 1024 * b - a * a < {int(imaging.FLAT_DEVIATION ** 2)} * 1024 * 1024 as flat from pictures left join sums using (doc_id)""")
+def plane_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_planes(spark, sf_dir).select("doc_id", planes.flat(F.col("plane"), F.col("w"), F.col("h")).alias("flat"))
+
+
+@query("difference_ratio", f"""
+    with {PICTURES},
+    pairs as (select a.doc_id, b.doc_id as other, a.w, a.h, a.n, b.n as other_n, b.w as from_w, b.h as from_h from pictures a join pictures b on b.doc_id = a.doc_id + 1),
+    sides as (select distinct from_w as size, w as cells from pairs where n > 0 and other_n > 0 union select distinct from_h, h from pairs where n > 0 and other_n > 0), {_taps("bilinear")},
+    wide as (
+        select p.doc_id, p.h, p.from_h, r, cell as c, {_mix("v")} as v
+        from pairs p join points q on q.doc_id = p.other join taps on size = p.from_w and cells = p.w and place = q.c group by all),
+    cells as (select doc_id, cell as r, c, {_mix("v")} as v from wide join taps on size = from_h and cells = h and place = r group by doc_id, cell, c),
+    far as (
+        select doc_id, count(*) as n from (select p.doc_id, r, c, v from points p semi join pairs using (doc_id)) a full join cells b using (doc_id, r, c)
+        where abs(coalesce(a.v, 0) - coalesce(b.v, 0)) > {imaging.CHANGED} group by doc_id)
+    select doc_id, other, case when pairs.n > 0 and other_n > 0 then coalesce(far.n, 0) / (w * h) end as ratio from pairs left join far using (doc_id)""")
+def plane_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's picture and that of the next one, brought to its size."""
+    one = text_planes(spark, sf_dir)
+    other = one.select(F.col("doc_id").alias("other"), F.col("plane").alias("plane_"), F.col("w").alias("w_"), F.col("h").alias("h_"))
+    c = F.col
+    ratio = planes.difference_ratio((c("plane"), c("w"), c("h")), (c("plane_"), c("w_"), c("h_")))
+    return one.join(other, c("other") == c("doc_id") + 1).select("doc_id", "other", ratio.alias("ratio"))
