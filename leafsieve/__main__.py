@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from leafsieve.operators import books, groups, history, memory, removal
 from leafsieve.options import GroupingOptions, check_run
 from leafsieve.plans import apply, reports
-from leafsieve.plans.scan import BOOKS, PAGES, scan
+from leafsieve.plans.scan import BOOKS, PAGES, scan, scan_changes
 from leafsieve.runtime import materialize
 from leafsieve.sources import known_list
+from leafsieve.sources.bucketed import Table
 
 #: Of the documents that commands print.
 VERSION = 1
+#: Versions of a kept table that may still be read.
+KEEP = 3
 TABLES = {
     "books": BOOKS, "pages": PAGES,
     "known": "sid string, note string, tags string, source string, created_at double, thumbnail binary", "known_hashes": "sid string, dhash bigint",
@@ -31,20 +34,47 @@ TABLES = {
 }
 
 
+#: What tells the rows of a table apart, or what they belong to.
+KEYS = {"books": "archive", "pages": "archive", "known": "sid", "known_hashes": "sid", "ignored": "gid", "ignored_hashes": "gid", "runs": "id", "items": "id"}
+#: Buckets of the tables that grow with the pictures; the others have one.
+BUCKETS = {"books": 16, "pages": 256}
+
+
 class Store:
-    """The tables that are kept between runs, as Parquet in a folder."""
+    """The tables that are kept between runs, in a folder that driver and executors share.
+
+    A folder without a scheme is one of this machine, which will do where all runs in one process only.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        if "://" not in folder:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError(f"--store {folder}: executors do not see a folder of this machine; name a shared one, such as hdfs://…, or file:///… if it is mounted everywhere")
+            folder = f"file://{os.path.abspath(folder)}"
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def table(self, name: str) -> Table:
+        return Table(self.spark, f"{self.folder}/{name}", TABLES[name], KEYS[name], BUCKETS.get(name, 1))
 
     def read(self, name: str) -> DataFrame:
-        path = os.path.join(self.folder, name)
-        return self.spark.read.schema(TABLES[name]).parquet(path) if os.path.isdir(path) else self.spark.createDataFrame([], TABLES[name])
+        return self.table(name).read()
 
     def write(self, name: str, df: DataFrame) -> None:
         """In place of what is there, which ``df`` may read."""
-        columns = self.spark.createDataFrame([], TABLES[name]).columns
-        materialize(df.select(*columns), name).write.mode("overwrite").parquet(os.path.join(self.folder, name))
+        self.table(name).overwrite(df)
+        self.table(name).vacuum(keep=KEEP)
+
+    def put(self, name: str, rows: DataFrame, gone: DataFrame | None = None) -> None:
+        """In place of the rows of the same keys; only buckets that have such are written."""
+        self.table(name).put(rows, gone)
+        self.table(name).vacuum(keep=KEEP)
+
+    def journal(self, run: str) -> str:
+        """The folder of a run's journal, which tasks write to by its path."""
+        if not self.folder.startswith("file:"):
+            raise ValueError(f"--store {self.folder}: books are rewritten by tasks that note what they do in files; name a folder that is mounted on all machines as file:///…")
+        return os.path.join(self.folder.removeprefix("file://"), "journal", run)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -84,12 +114,14 @@ def _scan(args: argparse.Namespace, spark: SparkSession, store: Store) -> tuple[
     missing = [p for p in args.paths if not os.path.exists(p)]
     if missing:
         raise ValueError(f"no such path: {missing[0]}")
-    cached = None if args.no_cache else (store.read("books"), store.read("pages"))
-    archives, pages = scan(spark, args.paths, cached, args.exclude)
     ignored = known = None
-    if not args.no_cache:
-        store.write("books", archives)
-        store.write("pages", pages)
+    if args.no_cache:
+        archives, pages = scan(spark, args.paths, None, args.exclude)
+    else:
+        found = scan_changes(spark, args.paths, (store.read("books"), store.read("pages")), args.exclude)
+        store.put("pages", found.pages, found.gone)
+        store.put("books", found.books, found.gone)
+        archives, pages = (store.read(name).join(found.files.select("archive"), "archive", "left_semi") for name in ("books", "pages"))
         ignored = memory.ignored_hash_map(store.read("ignored"), store.read("ignored_hashes")).select("dhash")
         known = store.read("known_hashes").select("dhash")
     made = groups.build_groups(pages, archives, options, ignored, known)
@@ -135,7 +167,7 @@ def run_clean(args, spark, store, out) -> int:
     policy = apply.Policy(not args.no_backup, args.backup_dir, args.output, args.quarantine, False, args.dry_run)
     run = f"{int(time.time())}-{uuid.uuid4().hex[:6]}"
     root = os.path.commonpath([os.path.abspath(p if os.path.isdir(p) else os.path.dirname(p)) for p in args.paths])
-    journal = os.path.join(store.folder, "journal", run)
+    journal = store.journal(run)
     short = [r.asDict() for r in apply.shortfall(todo, looked, policy).collect()]  # a row per volume
     if short:  # a run that can't end is not begun, and a dry run says so too
         json.dump({"version": VERSION, "dry_run": args.dry_run, "space_shortfall": short, "removed": 0, "bytes_freed": 0, "failed": 0}, out, indent=2)

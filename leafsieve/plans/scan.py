@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,12 +55,30 @@ def _digest_books(batches):
             yield rows.astype({c: "Int64" for c in ("index", "size", "width", "height", "dhash")} | {"flat": "boolean"})
 
 
-def scan(spark: SparkSession, paths: list[str], cached: tuple[DataFrame, DataFrame] | None = None, exclude: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(archives, pages) of the books under some paths.
+def _still_there(batches):
+    for batch in batches:
+        paths = batch.column(0)
+        yield pa.RecordBatch.from_arrays([paths, pa.array([os.path.exists(p) for p in paths.to_pylist()])], names=["archive", "there"])
+
+
+@dataclass(frozen=True)
+class Changes:
+    """What a scan has found: all books there are, the rows of those that are new or under another path, and paths that hold a book no more."""
+
+    files: DataFrame
+    books: DataFrame
+    pages: DataFrame
+    gone: DataFrame
+    kept: DataFrame
+
+
+def scan_changes(spark: SparkSession, paths: list[str], cached: tuple[DataFrame, DataFrame] | None = None, exclude: list[str] = ()) -> Changes:
+    """The books under some paths, and the rows by which they differ from ``cached``.
 
     Of ``cached``, books whose size and time stand are not read again, unless a page of theirs failed with
     other decoders than the present ones; nor is a book that is exactly one cached book under another path. A book's pages
-    are numbered and digested in the task that reads it; no picture leaves that.
+    are numbered and digested in the task that reads it; no picture leaves that. ``kept`` (archive) are the books whose
+    cached rows stand.
     """
     ship(spark)
     codecs = codec_fingerprint()
@@ -77,12 +98,24 @@ def scan(spark: SparkSession, paths: list[str], cached: tuple[DataFrame, DataFra
         "archive", "size", "mtime_ns", F.coalesce("page_count", F.lit(0)).alias("page_count"), "error",
         *(F.coalesce(c, F.lit("")).alias(c) for c in ("series", "number", "title")),
     )
-    # What stands as it was, under the path where it is now.
-    same = files.join(misses.select("archive"), "archive", "left_anti").select("archive", F.col("archive").alias("old")).unionByName(moved)
 
-    def known(table: DataFrame) -> DataFrame:
-        return table.withColumnRenamed("archive", "old").join(same, "old").drop("old")
+    def elsewhere(table: DataFrame, like: DataFrame) -> DataFrame:
+        return table.withColumnRenamed("archive", "old").join(moved, "old").drop("old").select(*like.columns)
+
+    # A book that was copied stays under its old path as well.
+    seen = moved.select(F.col("old").alias("archive")).mapInArrow(_still_there, "archive string, there boolean")
+    return Changes(
+        files, materialize(elsewhere(old_books, new_books).unionByName(new_books), "new-books"), materialize(elsewhere(old_pages, new_pages).unionByName(new_pages), "new-pages"),
+        seen.where("not there").select("archive"), files.join(misses.select("archive"), "archive", "left_anti").select("archive"),
+    )
+
+
+def scan(spark: SparkSession, paths: list[str], cached: tuple[DataFrame, DataFrame] | None = None, exclude: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(archives, pages) of the books under some paths, as :func:`scan_changes` finds them and as they are in ``cached``."""
+    new = scan_changes(spark, paths, cached, exclude)
+
+    def whole(fresh: DataFrame, old: DataFrame | None) -> DataFrame:
+        return fresh if old is None else old.join(new.kept, "archive", "left_semi").select(*fresh.columns).unionByName(fresh)
 
-    books = known(old_books).select(*new_books.columns).unionByName(new_books)
-    pages = known(old_pages).select(*new_pages.columns).unionByName(new_pages)
-    return materialize(books, "books"), materialize(pages, "pages")
+    old_books, old_pages = cached or (None, None)
+    return materialize(whole(new.books, old_books), "books"), materialize(whole(new.pages, old_pages), "pages")
