@@ -16,10 +16,12 @@ def with_position(ordered: DataFrame, name: str = "position") -> DataFrame:
 
     The sort is by ranges, as Spark's is; what is counted over is a row per range.
     """
-    table = materialize(ordered.withColumn("__at", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("__at", _WITHIN)
-    sizes = table.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.broadcast(sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before")))  # as many rows as ranges
-    placed = table.withColumn("__part", part).join(starts, "__part")
-    return placed.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << _WITHIN) - 1))).drop("__part", "__at", "__before")
+    taken = {c.lower() for c in (*ordered.columns, name)}
+    at, part, before = (f"{c}{'_' * max(map(len, taken))}" for c in ("at", "part", "before"))  # longer than any name there is
+    table = materialize(ordered.withColumn(at, F.monotonically_increasing_id()), "ordered")
+    number = F.shiftright(at, _WITHIN)
+    sizes = table.groupBy(number.alias(part)).agg(F.count("*").alias("n"))
+    sums = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.broadcast(sizes.select(part, F.coalesce(sums, F.lit(0)).alias(before)))  # as many rows as ranges
+    placed = table.withColumn(part, number).join(starts, part)
+    return placed.withColumn(name, F.col(before) + F.col(at).bitwiseAND(F.lit((1 << _WITHIN) - 1))).drop(part, at, before)
