@@ -281,18 +281,19 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 
 def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, n, text): a bounded sample, of each language as many beginnings of texts as make SAMPLE code points, or all there are, by a hash of the id.
+    """(lang, n, text): a bounded sample, of each language as many beginnings of texts as make SAMPLE code points, or all there are, by a hash of id and text.
 
     These beginnings are what is learned; predictions read whole texts. A language's rows are thinned by their hash, to about
-    four times what is needed, before they are sorted, so no task gets all rows of a language.
+    four times what is needed, before they are sorted, so no task gets all rows of a language. Rows of one id and text count once; ids may be
+    null or shared. The row of the least hash always stays, so every label is learned.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
-        F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, EACH).alias("text"), F.xxhash64(F.col(id_col)).alias("k")
+        F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, EACH).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k")
     )
-    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("all"))
+    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("all"), F.min("k").alias("least"))
     # A hash is spread evenly over 2^64.
     share = (F.col("k") / F.lit(2.0**64) + 0.5) * F.col("all") <= 4 * SAMPLE
-    some = rows.join(F.broadcast(sizes), "lang").where(share)  # a row per label, MOST_LABELS at most
+    some = rows.join(F.broadcast(sizes), "lang").where(share | (F.col("k") == F.col("least"))).dropDuplicates(["lang", "k"])  # a row per label, MOST_LABELS at most
     so_far = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("k", "text").rowsBetween(Window.unboundedPreceding, -1))
     return some.withColumn("n", F.coalesce(so_far, F.lit(0))).where(F.col("n") < SAMPLE).select("lang", "n", "text")
 
