@@ -35,8 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafsieve.llm.rows import row_key
 from leafsieve.llm.textwork import slices, tidy
 from leafsieve.operators.heavy import heavy_hitters
+from leafsieve.operators.ranking import with_position
 from leafsieve.runtime import materialize, release, ship
 
 #: Bytes of the strings that are looked for, of the q-grams that can be anchors, and of initial buckets.
@@ -471,6 +473,21 @@ def _remove(keep_bytes: bool):
     return run
 
 
+def _numbered(source: DataFrame) -> DataFrame:
+    """``source`` (doc_id, text) with doc, a number for each document in their order: the id, where an id has one text.
+
+    Only where some id, or none, has several texts, all are numbered anew, by id and digest.
+    """
+    digest = row_key("text")
+    texts = source.select("doc_id", digest.alias("digest")).groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+    # The number of a null id must be nobody's id.
+    if texts.where("a <> b").unionByName(texts.where(F.col("doc_id") == NULL_ID)).isEmpty():
+        return source.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID)))
+    order = source.select("doc_id", digest.alias("digest")).distinct().orderBy(F.col("doc_id").asc_nulls_last(), "digest")
+    places = with_position(order, "doc").select(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "doc")
+    return source.join(places, F.col("doc_id").eqNullSafe(F.col("id")) & (row_key("text") == F.col("of"))).select("doc_id", "text", "doc")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay).
 
@@ -478,12 +495,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     covered by a string of LENGTH bytes which also starts earlier: in a document with a smaller id, or before
     in the same; strings are judged on the input. ``kept`` is null without ``keep_bytes``; it need not
     be whole UTF-8. A null id comes after all others. Rows that repeat an id and its text are one document, each
-    with the same result; where texts differ under an id, what is found in either is removed from both. An
-    empty table gives no rows; further columns are ignored.
+    with the same result; texts that differ under an id, or without one, are documents of their own, in the order of their
+    SHA-256. An empty table gives no rows; further columns are ignored.
     """
     ship(docs.sparkSession)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
-    anchors = materialize(source.mapInArrow(_anchors, _ANCHORS_DDL), "anchors")
+    source = _numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    anchors = materialize(source.select("doc", "text").mapInArrow(_anchors, _ANCHORS_DDL), "anchors")
     unsettled = anchors.where("h is not null")
     heavy = materialize(heavy_hitters(unsettled, "h", HEAVY, COUNTERS, LEAST), "heavy")
     light = unsettled.join(F.broadcast(heavy), "h", "left_anti").select(*_ANCHORS.names)
@@ -506,4 +523,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         release(table)
     remove = F.arrow_udf(_remove(keep_bytes), _RESULT_DDL)
     joined = source.join(marks.hint("shuffle_hash"), "doc", "left")
-    return joined.select(F.nullif("doc", F.lit(NULL_ID)).alias("doc_id"), remove("text", "marks").alias("made")).select("doc_id", "made.*")
+    return joined.select("doc_id", remove("text", "marks").alias("made")).select("doc_id", "made.*")
