@@ -3,7 +3,8 @@
 A turn's content is a list of parts (text, image, audio, document). A visitor flattens the
 turns of a conversation in order: texts are escaped, every other part becomes a placeholder with
 its number in the conversation, and its reference and the tokens that it stands for are
-recorded under that number. Control strings inside texts are broken by a backslash, so a
+recorded under that number. Control strings inside texts are broken by a backslash, also those that are cut over
+texts with nothing between, so a
 text can neither end a turn nor forge one or a placeholder, and the output reads back to
 the same turns and parts.
 """
@@ -68,11 +69,17 @@ class Flatten:
         self.spans: list[tuple[int, int]] = []
         self.attachments: list[tuple[str, str, int]] = []
         self.errors: list[tuple[int, int, str]] = []
+        self.texts: list[str] = []  # of neighbouring parts, which are escaped as one
 
     def write(self, text: str) -> None:
         self.out.append(text)
         self.at += len(text)
 
+    def flush(self) -> None:
+        if self.texts:
+            self.write(escape("".join(self.texts)))
+            self.texts = []
+
     def turn(self, number: int, role: str | None, parts: list) -> None:
         """A turn in the template; a null role counts as an empty one. ``number`` is its place in the conversation."""
         learned = role == ASSISTANT
@@ -83,6 +90,7 @@ class Flatten:
                 self.visit(part)
             except PartError as wrong:
                 self.errors.append((number, k, str(wrong)))
+        self.flush()
         if learned:
             self.spans.append((begin, self.at))
         self.write(STOP if learned else CLOSE)
@@ -99,7 +107,7 @@ class Flatten:
         text = part.get("text")
         if text is not None and not isinstance(text, str):
             raise PartError("text is no string")
-        self.write(escape(text or ""))
+        self.texts.append(text or "")
 
     def visit_image(self, part: dict) -> None:
         tiles = math.ceil(_measure(part, "width", TILE) / TILE) * math.ceil(_measure(part, "height", TILE) / TILE)
@@ -117,6 +125,7 @@ class Flatten:
             raise PartError("ref is no string")
         if tokens >> 62:
             raise PartError("too large")
+        self.flush()
         self.write(f"{PART}{kind}:{len(self.attachments)}{ENDPART}")
         self.attachments.append((kind, ref or "", tokens))
 
