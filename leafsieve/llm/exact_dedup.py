@@ -66,6 +66,6 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row of each group of equal texts, the one that :func:`exact_dedup` keeps, with all columns.
 
     Rows are told apart by id and text, null ids too: a row never goes because another one of its id does. Of
-    rows that repeat an id and its text one stays, the least by its other columns.
+    rows that repeat an id and its text one stays, the one with the least hash of all its columns.
     """
     return keep_rows(docs, _decided(materialize(digests(docs, id_col, text_col), "digests")), id_col, text_col)

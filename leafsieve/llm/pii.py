@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafsieve.llm.rows import free_name
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -93,31 +95,63 @@ CONTEXT = 48
 #: For kinds that are not of the base: after an earlier hit, this names a number of another sort, and the context begins behind that hit.
 OTHER = "(?i)\\bcode\\b"
 _SPANS = "array<struct<start:bigint,rank:int,stop:bigint,kind:string,score:double>>"
+#: As it is found: first and last are the places in bytes, by which a text is cut.
+_FOUND = "struct<start:bigint,rank:int,stop:bigint,kind:string,score:double,first:bigint,last:bigint>"
+#: Bytes that hold CONTEXT code points, and as many hits of a further kind as may lie in them.
+_BYTES, _HITS = 4 * CONTEXT + 4, CONTEXT // 8
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """``body``, in which a name stands for a value that is found once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _before(items: str, zero: str, add: str, merge: str) -> str:
+    """For each of ``items``, the sum of those before it, by ``add`` of a sum a and an item x, and ``merge`` of sums a and x.
+
+    A list that grows within ``aggregate`` is copied for each entry, so sums are found within blocks, and over blocks. With blocks as long as the cube
+    root of the number of items the work is little more than in proportion to that.
+    """
+    width = f"greatest(1, cast(ceil(pow(size({items}), 1D / 3)) as int))"
+    blocks = f"transform(sequence(0, cast((size({items}) - 1) div w as int)), j -> slice({items}, j * w + 1, w))"
+    sums = f"transform(k, b -> aggregate(b, {zero}, (a, x) -> {add}))"
+    start = f"aggregate(slice(s, 1, j), {zero}, (a, x) -> {merge})"
+    inside = f"transform(b, (y, i) -> aggregate(slice(b, 1, i), t, (a, x) -> {add}))"
+    found = _let("w", width, _let("k", blocks, _let("s", sums, f"flatten(transform(k, (b, j) -> {_let('t', start, inside)}))")))
+    return f"if(size({items}) = 0, array({zero}), {found})"
+
+
 def _spans_sql(text: str, kind: Kind, rank: int) -> str:
     """SQL for the valid hits of one kind, in order; only texts that hold what the kind needs are scanned."""
     pattern = _quoted(kind.pattern)
-    # The context may begin before the piece, in earlier hits and pieces; acc.before carries their end.
-    before = "acc.before" if kind.base else f"if(rlike(x.p, {_quoted(OTHER)}), '', acc.before)"
-    score = f"round({kind.prior}D + if(rlike(right(concat({before}, x.p), {CONTEXT}), {_quoted(kind.words)}), {kind.bonus}D, 0D), 2)"
-    valid = f"element_at(transform(array(x.h), h -> {kind.valid}), 1)" + ("" if kind.base else f" and {score} >= {ACCEPT}D")
-    span = (
-        f"named_struct('start', acc.at + char_length(x.p), 'rank', {rank}, 'stop', acc.at + char_length(x.p) + char_length(x.h),"
-        f" 'kind', '{kind.name}', 'score', {score})"
-    )
-    return f"""if(rlike({text}, {_quoted(kind.needs)}), aggregate(
-        zip_with(regexp_extract_all({text}, {pattern}, 0), split({text}, {pattern}, -1), (h, p) -> named_struct('h', h, 'p', p)),
-        named_struct('at', 0L, 'before', '', 'spans', cast(array() as {_SPANS})),
-        (acc, x) -> if(x.h is null, acc, named_struct(
-            'at', acc.at + char_length(x.p) + char_length(x.h),
-            'before', right(concat({before}, x.p, x.h), {CONTEXT}),
-            'spans', if({valid}, concat(acc.spans, array({span})), acc.spans))),
-        acc -> acc.spans), cast(array() as {_SPANS}))"""
+    # A hit, the piece before it, and how long they are together, in code points and in bytes.
+    hit = f"""named_struct('h', h, 'p', p, 'v', h is not null and {kind.valid}, 'o', {'false' if kind.base else f'rlike(p, {_quoted(OTHER)})'},
+        'c', cast(char_length(p) + char_length(h) as bigint), 'b', cast(octet_length(p) + octet_length(h) as bigint))"""
+    hits = f"filter(zip_with(regexp_extract_all({text}, {pattern}, 0), split({text}, {pattern}, -1), (h, p) -> {hit}), x -> x.h is not null)"
+    sums = _before("q", "named_struct('c', 0L, 'b', 0L)", *["named_struct('c', a.c + x.c, 'b', a.b + x.b)"] * 2)
+    # The context is the text before the hit, for further kinds from the last piece on that names a number of another sort.
+    first = "z[n].b + octet_length(q[n].p)"
+    cut = "0L" if kind.base else f"coalesce(array_max(transform(filter(sequence(greatest(0, n - {_HITS}), n), l -> q[l].o), l -> z[l].b)), 0L)"
+    begin = f"greatest({cut}, {first} - {_BYTES})"
+    context = f"right(cast(substring(u, cast({begin} + 1 as int), cast({first} - {begin} as int)) as string), {CONTEXT})"
+    score = f"round({kind.prior}D + if(rlike({context}, {_quoted(kind.words)}), {kind.bonus}D, 0D), 2)"
+    span = f"""named_struct('start', z[n].c + char_length(q[n].p), 'rank', {rank}, 'stop', z[n].c + q[n].c, 'kind', '{kind.name}', 'score', {score},
+        'first', {first}, 'last', z[n].b + q[n].b)"""
+    good = f"filter(sequence(0, size(q) - 1), n -> q[n].v)"
+    found = f"filter(transform({good}, n -> {span}), x -> {kind.base} or x.score >= {ACCEPT}D)"
+    none = f"cast(array() as array<{_FOUND}>)"
+    every = _let("q", hits, f"if(size(q) = 0, {none}, {_let('z', sums, _let('u', f'cast({text} as binary)', found))})")
+    return f"if(rlike({text}, {_quoted(kind.needs)}), {every}, {none})"
+
+
+def _found_sql(name: str) -> str:
+    every = ", ".join(_spans_sql(f"coalesce({name}, '')", k, i) for i, k in enumerate(KINDS))
+    # Most texts hold neither an at sign nor a digit.
+    return f"if(rlike({name}, '[0-9@]'), array_sort(concat({every})), cast(array() as array<{_FOUND}>))"
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> DataFrame:
@@ -128,25 +162,26 @@ def find_pii(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> D
     named ``out_col`` is replaced. Kinds are looked for apart, so spans of two kinds may overlap.
     """
     name = "`" + text_col.replace("`", "``") + "`"
-    every = ", ".join(_spans_sql(f"coalesce({name}, '')", k, i) for i, k in enumerate(KINDS))
-    # Most texts hold neither an at sign nor a digit.
-    some = f"rlike({name}, '[0-9@]')"
-    return docs.withColumn(out_col, F.expr(f"if({some}, array_sort(concat({every})), cast(array() as {_SPANS}))"))
+    public = "named_struct('start', s.start, 'rank', s.rank, 'stop', s.stop, 'kind', s.kind, 'score', s.score)"
+    return docs.withColumn(out_col, F.expr(f"cast(transform({_found_sql(name)}, s -> {public}) as {_SPANS})"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with each span replaced by its kind, as in ``<EMAIL>``; overlapping spans go as one, named by the first."""
-    name = "`" + text_col.replace("`", "``") + "`"
-    spans = "__pii_spans"
-    # Overlapping spans are merged first; the text between them is then cut out once.
-    whole = f"""aggregate({spans}, cast(array() as array<struct<start:bigint,stop:bigint,kind:string>>), (acc, s) ->
-        if(size(acc) > 0 and s.start < element_at(acc, -1).stop,
-           concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start,
-               'stop', greatest(element_at(acc, -1).stop, s.stop), 'kind', element_at(acc, -1).kind))),
-           concat(acc, array(named_struct('start', s.start, 'stop', s.stop, 'kind', s.kind)))))"""
-    cut = f"""if(size({spans}) = 0, {name}, element_at(transform(array({whole}), m -> concat(
-        array_join(transform(m, (s, i) -> concat(
-            substring({name}, cast(if(i = 0, 0L, m[i - 1].stop) + 1 as int), cast(s.start - if(i = 0, 0L, m[i - 1].stop) as int)),
-            '<', upper(s.kind), '>')), ''),
-        substring({name}, cast(element_at(m, -1).stop + 1 as int)))), 1))"""
-    return find_pii(docs, text_col, spans).withColumn(text_col, F.expr(cut)).drop(spans)
+    """``docs`` with each span replaced by its kind, as in ``<EMAIL>``; overlapping spans go as one, named by the first.
+
+    Null, empty and clean texts stay as they are, as do other columns; repeated rows are treated alike, and an empty table stays empty. The
+    work grows with the length of a text and the number of its spans.
+    """
+    name, spans = "`" + text_col.replace("`", "``") + "`", free_name(docs, "spans")
+    # A span begins another one in the output where all before it have ended; that one ends where the last before the next does.
+    ends = _before("f", "-1L", "greatest(a, x.last)", "greatest(a, x)")
+    heads = "filter(sequence(0, size(f) - 1), n -> f[n].first >= e[n])"
+    last = "if(l + 1 < size(d), e[d[l + 1]], array_max(transform(f, x -> x.last)))"
+    merged = _let("e", ends, _let("d", heads, f"transform(d, (n, l) -> named_struct('first', f[n].first, 'last', {last}, 'kind', f[n].kind))"))
+    # The text between is cut out by its place in bytes.
+    between = "cast(substring(u, cast({0} + 1 as int), cast({1} - {0} as int)) as string)"
+    pieces = f"""concat(
+        array_join(transform(m, (x, i) -> concat({between.format("if(i = 0, 0L, m[i - 1].last)", "x.first")}, '<', upper(x.kind), '>')), ''),
+        {between.format("element_at(m, -1).last", "octet_length(u)")})"""
+    cut = _let("f", f"`{spans}`", f"if(size(f) = 0, {name}, {_let('m', merged, _let('u', f'cast({name} as binary)', pieces))})")
+    return docs.withColumn(spans, F.expr(_found_sql(name))).withColumn(text_col, F.expr(cut)).drop(spans)

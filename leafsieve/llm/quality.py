@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafsieve.llm.rows import free_name
 from leafsieve.llm.textwork import BLANK, slices, tidy
 from leafsieve.runtime import ship
 
@@ -168,4 +169,5 @@ def annotate_quality(docs: DataFrame, text_col: str = "text", out_col: str = "qu
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with their columns."""
-    return annotate_quality(docs, text_col, "__quality").where("__quality.kept").drop("__quality")
+    verdict = free_name(docs, "quality")
+    return annotate_quality(docs, text_col, verdict).where(F.col(verdict)["kept"]).drop(verdict)
