@@ -9,7 +9,23 @@ from xml.parsers import expat
 _HEAD = re.compile(rb"^\s*<\?xml[^>]*\?>\s*")
 #: A tag from its bracket to its end; brackets may stand in quoted values.
 _TAG = re.compile(rb"""<(?:[^<>"']|"[^"]*"|'[^']*')*>""")
-_IMAGE = re.compile(rb"""(\sImage\s*=\s*)("[^"]*"|'[^']*')""")
+#: The name of a start tag, and one attribute after the other.
+_NAME = re.compile(rb"<[^\s/>]+")
+_ATTRIBUTE = re.compile(rb"""\s+(?P<name>[^\s=<>"'/]+)\s*=\s*(?P<value>"[^"]*"|'[^']*')""")
+
+
+class _Elsewhere(ValueError):
+    """An element that does not lie in the text, but comes out of an entity."""
+
+
+def _value_span(text: bytes, at: int, stop: int, name: bytes) -> tuple[int, int]:
+    """Where the value of an attribute of the start tag at a place lies, with its quotes."""
+    at = _NAME.match(text, at).end()
+    while found := _ATTRIBUTE.match(text, at, stop):
+        if found["name"] == name:
+            return found.span("value")
+        at = found.end()
+    raise _Elsewhere(name)
 
 
 class _Element:
@@ -17,7 +33,10 @@ class _Element:
 
     def __init__(self, name: str, values: dict[str, str], text: bytes, at: int):
         self.name, self.values, self.at = name, values, at
-        self.opened = _TAG.match(text, at).end()
+        tag = _TAG.match(text, at)
+        if tag is None:
+            raise _Elsewhere(name)
+        self.opened = tag.end()
         self.closed = self.stop = self.opened
 
     def is_called(self, local: str) -> bool:
@@ -70,13 +89,20 @@ def update(document: bytes, removed: set[int], pages: int) -> bytes:
     """The document without the rows of removed pages, the others renumbered, and with the new number of pages.
 
     Rows without a usable number stay. The number of pages is added only where pages are listed. What is not touched
-    stays byte for byte, so do prefixes of namespaces. A document that is not XML comes back as it is.
+    stays byte for byte, so do prefixes of namespaces. A document that is not XML comes back as it is, and so does one
+    whose pages or their numbers come out of entities.
     """
-    text = _HEAD.sub(b"", document.decode("utf-8-sig", errors="replace").encode("utf-8"))
     try:
-        (root, *_), top, rows = _outline(text)
-    except expat.ExpatError:
+        made = _spliced(document, removed, pages)
+        expat.ParserCreate().Parse(made, True)
+    except (expat.ExpatError, _Elsewhere):
         return document
+    return made
+
+
+def _spliced(document: bytes, removed: set[int], pages: int) -> bytes:
+    text = _HEAD.sub(b"", document.decode("utf-8-sig", errors="replace").encode("utf-8"))
+    (root, *_), top, rows = _outline(text)
     splices: list[tuple[int, int, bytes]] = []
     numbers = {row.at: _number(row.values.get("Image")) for row in rows}
     becomes = _renumbered((n for n in numbers.values() if n is not None), removed)
@@ -87,8 +113,7 @@ def update(document: bytes, removed: set[int], pages: int) -> bytes:
         if becomes[number] is None:
             splices.append((row.at, row.stop, b""))
         else:
-            place = _IMAGE.search(text, row.at, row.opened)
-            splices.append((*place.span(2), b'"%d"' % becomes[number]))
+            splices.append((*_value_span(text, row.at, row.opened, b"Image"), b'"%d"' % becomes[number]))
     total = b"%d" % pages
     count = next((e for e in top if e.is_called("PageCount")), None)
     listed = next((e for e in top if e.is_called("Pages")), None)
