@@ -62,26 +62,28 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller one, or none and only edges from larger ones: then all are at their component."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("down")))).alias("x"))
+    nodes = ends.groupBy("x.node").agg(F.sum("x.down").alias("down"), F.min("x.down").alias("least"))
+    return nodes.where("down > 1 or (down = 1 and least = 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of ``edges`` (two long columns); the component is its least node.
 
     Tasks first make forests of the edges that they hold. Rounds then grow with the square of the logarithm of the nodes
-    at worst. After each, the edges
+    at worst, and end as soon as only stars are left, be it after the tasks' own forests. After each, the edges
     are a table in the shared folder. Hubs are aggregated before they are shuffled, and the
     joins with them can be split by adaptive execution. Loops and null ends are ignored; an
     empty table gives no rows.
     """
     ship(edges.sparkSession)
     start = edges.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).where("a <> b")
-    # The number of edges and a sum of their hashes tell whether a round has changed them.
-    state = F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    table, now = measured(start.mapInArrow(_forest, "a long, b long"), "edges", *state)
-    before = None
-    while True:
-        if now == before or not now[0]:
-            break
-        before, old = now, table
-        table, now = measured(_small_star(_large_star(table)), "edges", *state)
+    table, (count,) = measured(start.mapInArrow(_forest, "a long, b long"), "edges", F.count("*"))
+    while count and not _stars(table):
+        old = table
+        table, (count,) = measured(_small_star(_large_star(table)), "edges", F.count("*"))
         release(old)
     roots = table.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return table.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

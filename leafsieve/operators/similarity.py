@@ -17,23 +17,24 @@ from pyspark.sql import functions as F
 
 from leafsieve.functions.hashing import bands, hamming, ordered
 from leafsieve.operators.components import connected_components
-from leafsieve.operators.heavy import heavy_hitters
 from leafsieve.options import BITS
-from leafsieve.runtime import materialize, measured, ship
+from leafsieve.runtime import measured, ship
 
 #: About the cost of dealing out a key, in comparisons, and the most keys of a fingerprint.
 DEAL, MOST_KEYS = 150, 300
-#: Fingerprints that are compared in a group, and in a block of a bucket of more than four blocks.
+#: Fingerprints that are compared in a part, and in a block of a part of more than four blocks.
 PART, BLOCK = 8192, 4096
-#: Most buckets that are named as large, and counters of the sketch that names them.
-LARGE, COUNTERS = 4096, 16384
+#: Rows of a table of large parts that may be broadcast, and targets that are sent to all tasks (8 bytes each).
+FEW_PARTS, FEW_TARGETS = 10_000, 1 << 14
 
 
-def bands_to_agree(threshold: int, rows: int) -> int:
-    """How many bands make a key, for the least work with so many fingerprints."""
+def bands_to_agree(threshold: int, rows: int, others: int | None = None) -> int:
+    """How many bands make a key, for the least work with so many fingerprints, among themselves or against others."""
 
     def work(agree: int) -> float:
-        return comb(threshold + agree, agree) * (DEAL + rows / 2 ** (BITS * agree / (threshold + agree)))
+        meet = 2 ** (BITS * agree / (threshold + agree))
+        each = rows * (DEAL + rows / meet) if others is None else (rows + others) * DEAL + 2 * rows * others / meet
+        return comb(threshold + agree, agree) * each
 
     return min((k for k in range(1, 9) if k == 1 or comb(threshold + k, k) <= MOST_KEYS), key=work)
 
@@ -59,19 +60,28 @@ def _keyed(df: DataFrame, threshold: int, agree: int) -> DataFrame:
 
 
 def _deal(keyed: DataFrame, parts: int) -> DataFrame:
-    """``keyed`` with the part that compares a row: some of the buckets of a combination, or of a large bucket two blocks."""
-    bucket = F.xxhash64("band", "key")
-    named = heavy_hitters(keyed.select(bucket.alias("bucket")), "bucket", LARGE, COUNTERS, 4 * BLOCK)
-    counted = keyed.withColumn("bucket", bucket).join(F.broadcast(named), "bucket").groupBy("bucket").agg(F.count("*").alias("n"))
-    large = F.broadcast(materialize(counted.where(F.col("n") > 4 * BLOCK), "large"))
-    plain = keyed.withColumn("bucket", bucket).join(large, "bucket", "left_anti").drop("bucket")
-    plain = plain.withColumns({"part": F.pmod(F.xxhash64("key"), F.lit(parts)), "side": F.lit(-1)})
-    split = keyed.withColumn("bucket", bucket).join(large, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    split = split.withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
-    # Pairs of blocks are put apart from the parts of small buckets, which count from 0.
-    split = split.withColumns({"part": -1 - F.shiftrightunsigned(pair, 1), "side": side})
+    """``keyed`` (a, right, band, key) with what compares a row: a part, which has some of the keys of a combination, or of a large part two blocks.
+
+    Parts are counted exactly, by sums that are made before the shuffle. Without ``right`` all rows are compared with one another, else the left ones
+    with the right ones.
+    """
+    dealt = keyed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+    sizes = dealt.groupBy("band", "part").agg(F.count_if(~F.col("right")).alias("l"), F.count_if("right").alias("r"))
+    large, (count,) = measured(sizes.where(F.col("l") + F.col("r") > 4 * BLOCK), "large", F.count("*"))
+    whole = {"block": F.lit(-1).cast("long"), "side": F.lit(-1)}
+    if not count:
+        return dealt.withColumns(whole)
+    large = F.broadcast(large) if count <= FEW_PARTS else large
+    plain = dealt.join(large, ["band", "part"], "left_anti").withColumns(whole)
+    blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
+    split = dealt.join(large, ["band", "part"]).withColumns({"l": blocks("l"), "r": F.when(F.col("r") > 0, blocks("r"))})
+    # Among themselves rows meet in pairs of blocks of one side, else each left block meets each right one.
+    mine, theirs = (F.when(F.col("right"), F.col(x)).otherwise(F.col(y)) for x, y in (("r", "l"), ("l", "r")))
+    split = split.withColumn("own", F.pmod(F.xxhash64("a"), mine).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(theirs, F.col("l")) - 1)))
+    low, high = (F.when(F.col("r").isNull(), f("own", "other")).when(F.col("right"), x).otherwise(y) for f, x, y in ((F.least, F.col("other"), F.col("own")), (F.greatest, F.col("own"), F.col("other"))))
+    side = F.when(F.col("r").isNull() & (F.col("own") != F.col("other")), F.col("own")).otherwise(-1)
+    split = split.withColumns({"block": low.cast("long") * (1 << 31) + high, "side": side})
     return plain.unionByName(split.select(*plain.columns))
 
 
@@ -122,18 +132,101 @@ def _pairs(table: DataFrame, counted: list[int], threshold: int, agree: int | No
     ship(table.sparkSession)
     (rows,) = counted
     agree = agree or bands_to_agree(threshold, rows)
-    dealt = _deal(_keyed(table, threshold, agree), -(-rows // PART) or 1)
-    return dealt.groupBy("band", "part").applyInArrow(_compare(threshold, agree), "a long, b long, distance int")
+    dealt = _deal(_keyed(table, threshold, agree).withColumn("right", F.lit(False)), -(-rows // PART) or 1)
+    return dealt.groupBy("band", "part", "block").applyInArrow(_compare(threshold, agree), "a long, b long, distance int")
+
+
+def _cut(h: np.ndarray, chosen: tuple[int, ...], cuts: list[tuple[int, int]]) -> np.ndarray:
+    """The bits of some bands, as :func:`_keys` puts them together."""
+    out = np.zeros(len(h), dtype=np.uint64)
+    for k in chosen:
+        offset, width = cuts[k]
+        out = (out << np.uint64(width % BITS)) | ((h >> np.uint64(offset)) & np.uint64((1 << width) - 1))
+    return out
+
+
+def _near(h: np.ndarray, keys: np.ndarray, targets: np.ndarray, target_keys: np.ndarray, threshold: int) -> np.ndarray:
+    """Places of those of ``h`` that are near a target of their key; targets are sorted by key."""
+    first, stop = (np.searchsorted(target_keys, keys, side=s) for s in ("left", "right"))
+    live, found, shift = np.flatnonzero(first < stop), [], 0
+    while len(live):
+        near = np.bitwise_count(h[live] ^ targets[first[live] + shift]) <= threshold
+        found.append(live[near])
+        live, shift = live[~near], shift + 1
+        live = live[first[live] + shift < stop[live]]
+    return np.concatenate(found) if found else live
+
+
+def _meet(threshold: int):
+    """The left ones of a part that are near a right one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        right = table.column("right").to_numpy()
+        h, keys = table.column("a").to_numpy().view(np.uint64), table.column("key").to_numpy()
+        order = np.flatnonzero(right)
+        order = order[np.argsort(keys[order], kind="stable")]
+        near = _near(h[~right], keys[~right], h[order], keys[order], threshold)
+        return pa.table({"dhash": h[~right][near].view(np.int64)})
+
+    return run
+
+
+#: Slots of the bit table that most fingerprints end at, as a power of two, and what spreads keys over them.
+_SLOTS, _SPREAD = 16, np.uint64(0x9E3779B97F4A7C15)
+
+
+def _sift(targets: list[int], threshold: int, agree: int):
+    """Those of a task's fingerprints that are near one of few targets; nothing is shuffled."""
+    cuts = bands(threshold + agree - 1)
+    combined = list(combinations(range(len(cuts)), agree))
+    wanted = np.array(targets, dtype=np.int64).view(np.uint64)
+
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return (keys * _SPREAD) >> np.uint64(64 - _SLOTS)
+
+    def run(batches):
+        tables = []
+        for chosen in combined:
+            keys = _cut(wanted, chosen, cuts)
+            order = np.argsort(keys, kind="stable")
+            bits = np.zeros(1 << _SLOTS, dtype=bool)
+            bits[slot(keys)] = True
+            tables.append((chosen, bits, wanted[order], keys[order]))
+        for batch in batches:
+            h = np.unique(batch.column(0).drop_null().to_numpy(zero_copy_only=False)).view(np.uint64)
+            rest, found = h, []
+            for chosen, bits, sorted_, sorted_keys in tables:
+                keys = _cut(rest, chosen, cuts)
+                some = np.flatnonzero(bits[slot(keys)])
+                near = some[_near(rest[some], keys[some], sorted_, sorted_keys, threshold)]
+                found.append(rest[near])
+                rest = np.delete(rest, near)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["dhash"])
+
+    return run
 
 
 def near_any(hashes: DataFrame, targets: DataFrame, threshold: int) -> DataFrame:
-    """The distinct ones of ``hashes`` (one column, dhash) within ``threshold`` of any of ``targets`` (one column)."""
-    left, right = hashes.toDF("dhash").distinct(), targets.toDF("target").distinct()
+    """The distinct ones of ``hashes`` (one column, dhash) within ``threshold`` of any of ``targets`` (one column); nulls are near nothing.
+
+    Few targets are sent to all tasks, and no fingerprint that is not near is shuffled. Many are dealt out with the fingerprints, under as many
+    combinations of bands as are cheapest for both sides; parts that are large, by whichever side, are compared block by block.
+    """
+    left, right = hashes.toDF("dhash"), targets.toDF("target").where("target is not null").distinct()
     if threshold <= 0:
-        return left.join(right, F.col("dhash") == F.col("target"), "left_semi")
-    agree = 2 if comb(threshold + 2, 2) <= 66 else 1
-    left, right = _keyed(left, threshold, agree), _keyed(right, threshold, agree)
-    return left.join(right, ["band", "key"]).where(hamming(F.col("dhash"), F.col("target")) <= threshold).select("dhash").distinct()
+        return left.distinct().join(right, F.col("dhash") == F.col("target"), "left_semi")
+    ship(left.sparkSession)
+    few = [r.target for r in right.limit(FEW_TARGETS + 1).collect()]
+    if len(few) <= FEW_TARGETS:
+        # A look-up costs less than dealing out a key, so few bands make a key.
+        agree = min((k for k in (1, 2) if comb(threshold + k, k) <= 78), key=lambda k: comb(threshold + k, k) * (8 + len(few) / 2 ** (BITS * k / (threshold + k))))
+        return left.mapInArrow(_sift(few, threshold, agree), "dhash long").distinct()
+    table, (n,) = measured(left.where("dhash is not null").distinct().select(F.col("dhash").alias("a")), "left", F.count("*"))
+    other, (m,) = measured(right.select(F.col("target").alias("a")), "right", F.count("*"))
+    agree = bands_to_agree(threshold, n, m)
+    both = _keyed(table, threshold, agree).withColumn("right", F.lit(False)).unionByName(_keyed(other, threshold, agree).withColumn("right", F.lit(True)))
+    dealt = _deal(both, -(-(n + m) // PART) or 1)
+    return dealt.groupBy("band", "part", "block").applyInArrow(_meet(threshold), "dhash long").distinct()
 
 
 def clusters(hashes: DataFrame, threshold: int) -> DataFrame:

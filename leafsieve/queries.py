@@ -1026,6 +1026,33 @@ def read_metadata(spark, sf_dir):
     return pages.read_metadata(load(spark, sf_dir, "documents").select("doc_id", xml.alias("xml")), "xml").select("doc_id", "series", "number", "title")
 
 
+# --- Fingerprints near any of others ------------------------------------------------------------------------------
+
+_SIDES = f"""with {DOCS},
+    named as (select prints.h, doc_id % 7 = 3 as target from prints),
+    wanted as (select distinct h from named where target), others as (select distinct h from named where not target)"""
+
+
+def _two_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of documents, and those of every seventh, as known ones."""
+    found = adapters.doc_prints(spark, sf_dir)
+    target = F.col("doc_id") % 7 == 3
+    return found.where(~target).select("dhash").distinct(), found.where(target).select("dhash")
+
+
+@query("known_semi_t8", f"{_SIDES} select printf('%016x', h) as dhash from others where exists (select 1 from wanted w where bit_count(xor(w.h, others.h)) <= 8)")
+def known_semi_t8(spark, sf_dir):
+    hashes, known = _two_sides(spark, sf_dir)
+    return similarity.near_any(hashes, known, 8).select(hashing.hex16(F.col("dhash")).alias("dhash"))
+
+
+@query("ignored_anti_t12", f"{_SIDES} select printf('%016x', h) as dhash from others where not exists (select 1 from wanted w where bit_count(xor(w.h, others.h)) <= 12)")
+def ignored_anti_t12(spark, sf_dir):
+    hashes, ignored = _two_sides(spark, sf_dir)
+    hashes = materialize(hashes, "hashes")
+    return hashes.join(similarity.near_any(hashes, ignored, 12), "dhash", "left_anti").select(hashing.hex16(F.col("dhash")).alias("dhash"))
+
+
 # --- Pictures: the letters of a text as a plane that is about square, the last row filled with zeros -------------------
 
 #: Fixed-point weights of the sides in ``sides`` (size, cells) under a curve over x that reaches so far.

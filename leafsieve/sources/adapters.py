@@ -46,15 +46,20 @@ def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
-def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of DOCS; the fingerprint has a bit where more than half of the tokens' hashes have it."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+def doc_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, dhash) of the documents; a bit is set where more than half of the tokens' hashes have it."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     tokens = docs.select("doc_id", F.explode(F.split(F.lower("text"), "[ \n\t\r]+")).alias("token"))
     counts = tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
     hashed = counts.select("doc_id", "n", from_hex16(F.substring(F.md5(F.col("token").cast("binary")), 1, 16)).alias("h"))
     bit = lambda k: F.shiftrightunsigned("h", 63 - k).bitwiseAND(F.lit(1).cast("long"))
     votes = hashed.groupBy("doc_id").agg(*(F.sum(F.col("n") * (2 * bit(k) - 1)).alias(f"v{k}") for k in range(64)))
-    prints = votes.select("doc_id", dhash_of_bits(F.array(*(F.col(f"v{k}") > 0 for k in range(64)))).alias("dhash"))
+    return votes.select("doc_id", dhash_of_bits(F.array(*(F.col(f"v{k}") > 0 for k in range(64)))).alias("dhash"))
+
+
+def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of DOCS, with the fingerprints of :func:`doc_prints`."""
+    docs, prints = load(spark, sf_dir, "documents").select("doc_id", "source", "text"), doc_prints(spark, sf_dir)
     return docs.join(prints, "doc_id").join(_places(docs, "source", "doc_id"), "doc_id").select(*_page(
         F.col("source"), F.col("pos"), F.octet_length("text"), F.length("text"), content_digest(F.col("text")), F.col("dhash"), F.length("text") < FLAT_BELOW,
     ))

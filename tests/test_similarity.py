@@ -84,12 +84,34 @@ def test_components_of_chains_hubs_and_loops(spark, at_once, monkeypatch):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("threshold", [0, 2, 14])
-def test_near_any(spark, threshold):
+@pytest.mark.parametrize("few", [0, 1 << 14])
+@pytest.mark.parametrize("threshold", [0, 1, 2, 3, 4, 6, 8, 10, 11, 12, 14, 16])
+def test_near_any(spark, threshold, few, monkeypatch):
+    """Targets that are sent to all tasks, and targets that are dealt out, in parts that must be split."""
+    for name, size in (("FEW_TARGETS", few), ("BLOCK", 32), ("PART", 100)):
+        monkeypatch.setattr(similarity, name, size)
     hashes, targets = clustered(1), clustered(1)[::7] + clustered(2)[:5]
-    got = {r.dhash % (1 << 64) for r in near_any(frame(spark, hashes), frame(spark, targets), threshold).collect()}
-    assert got == {h for h in hashes if any((h ^ t).bit_count() <= threshold for t in targets)}
-    assert near_any(frame(spark, hashes), frame(spark, []), threshold).count() == 0
+    got = [r.dhash % (1 << 64) for r in near_any(frame(spark, [*hashes, *hashes[:9]]), frame(spark, targets * 2), threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == {h for h in hashes if any((h ^ t).bit_count() <= threshold for t in targets)}
+    if threshold in (2, 14):
+        assert near_any(frame(spark, hashes), frame(spark, []), threshold).count() == 0 and near_any(frame(spark, []), frame(spark, targets), threshold).count() == 0
+        nulls = spark.createDataFrame([(None,), (signed(hashes[0]),)], "dhash long")
+        assert near_any(nulls, nulls, threshold).count() == 1
+
+
+@pytest.mark.parametrize("skewed", ["left", "right", "both"])
+def test_near_any_with_half_of_all_rows_in_a_bucket(spark, skewed, monkeypatch):
+    """Fingerprints that agree in all bits but a few: every block is compared, by whichever side is large."""
+    for name, size in (("FEW_TARGETS", 0), ("BLOCK", 40), ("PART", 200)):
+        monkeypatch.setattr(similarity, name, size)
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    dense = sorted({base ^ rng.getrandbits(14) << 50 for _ in range(900)})
+    spread = [rng.getrandbits(64) for _ in range(300)]
+    left, right = ([*dense[::2], *spread] if skewed != "right" else [*dense[:5], *spread]), ([*dense[1::2], *spread[:50]] if skewed != "left" else [*dense[-5:], *spread[:50]])
+    for threshold in (1, 3):
+        got = {r.dhash % (1 << 64) for r in near_any(frame(spark, left), frame(spark, right), threshold).collect()}
+        assert got == {h for h in left if any((h ^ t).bit_count() <= threshold for t in right)}
 
 
 def test_bands_cover_all_bits():
