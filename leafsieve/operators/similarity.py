@@ -171,6 +171,36 @@ def _meet(threshold: int):
     return run
 
 
+def _pair_up(threshold: int, agree: int):
+    """Pairs of a left and a right one of a part, each in the first combination in which it agrees."""
+    cuts = bands(threshold + agree - 1)
+    chosen = list(combinations(range(len(cuts)), agree))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        last = chosen[key[0].as_py()][-1]
+        right, keys = table.column("right").to_numpy(), table.column("key").to_numpy()
+        h = table.column("a").to_numpy().view(np.uint64)
+        order = np.flatnonzero(right)
+        order = order[np.argsort(keys[order], kind="stable")]
+        left, left_keys, targets = h[~right], keys[~right], h[order]
+        first, stop = (np.searchsorted(keys[order], left_keys, side=s) for s in ("left", "right"))
+        live, found, shift = np.flatnonzero(first < stop), [], 0
+        while len(live):
+            other = left[live] ^ targets[first[live] + shift]
+            near = np.flatnonzero(np.bitwise_count(other) <= threshold)
+            same = np.zeros(len(near), dtype=np.int64)
+            for offset, width in cuts[: last + 1]:
+                same += ((other[near] >> np.uint64(offset)) & np.uint64((1 << width) - 1)) == 0
+            near = live[near[same == agree]]
+            found.append(np.stack((left[near], targets[first[near] + shift])))
+            shift += 1
+            live = live[first[live] + shift < stop[live]]
+        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.uint64)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64), "distance": np.bitwise_count(a ^ b).astype(np.int32)})
+
+    return run
+
+
 #: Slots of the bit table that most fingerprints end at, as a power of two, and what spreads keys over them.
 _SLOTS, _SPREAD = 16, np.uint64(0x9E3779B97F4A7C15)
 
@@ -221,12 +251,24 @@ def near_any(hashes: DataFrame, targets: DataFrame, threshold: int) -> DataFrame
         # A look-up costs less than dealing out a key, so few bands make a key.
         agree = min((k for k in (1, 2) if comb(threshold + k, k) <= 78), key=lambda k: comb(threshold + k, k) * (8 + len(few) / 2 ** (BITS * k / (threshold + k))))
         return left.mapInArrow(_sift(few, threshold, agree), "dhash long").distinct()
-    table, (n,) = measured(left.where("dhash is not null").distinct().select(F.col("dhash").alias("a")), "left", F.count("*"))
-    other, (m,) = measured(right.select(F.col("target").alias("a")), "right", F.count("*"))
+    dealt, _ = _both(left.where("dhash is not null").distinct(), right, threshold)
+    return dealt.groupBy("band", "part", "block").applyInArrow(_meet(threshold), "dhash long").distinct()
+
+
+def near_pairs(hashes: DataFrame, others: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, distance) of a fingerprint of ``hashes`` and one of ``others`` (one column each, distinct, without nulls) within ``threshold``; each pair once."""
+    ship(hashes.sparkSession)
+    dealt, agree = _both(hashes, others, threshold)
+    return dealt.groupBy("band", "part", "block").applyInArrow(_pair_up(threshold, agree), "a long, b long, distance int")
+
+
+def _both(left: DataFrame, right: DataFrame, threshold: int) -> tuple[DataFrame, int]:
+    """Two sides dealt out, and how many bands make a key."""
+    table, (n,) = measured(left.toDF("a"), "left", F.count("*"))
+    other, (m,) = measured(right.toDF("a"), "right", F.count("*"))
     agree = bands_to_agree(threshold, n, m)
     both = _keyed(table, threshold, agree).withColumn("right", F.lit(False)).unionByName(_keyed(other, threshold, agree).withColumn("right", F.lit(True)))
-    dealt = _deal(both, -(-(n + m) // PART) or 1)
-    return dealt.groupBy("band", "part", "block").applyInArrow(_meet(threshold), "dhash long").distinct()
+    return _deal(both, -(-(n + m) // PART) or 1), agree
 
 
 def clusters(hashes: DataFrame, threshold: int) -> DataFrame:

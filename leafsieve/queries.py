@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafsieve.functions import hashing, imaging, planes, text
-from leafsieve.operators import books, decisions, groups, history, incremental, memory, pages, ranking, removal, similarity
+from leafsieve.operators import books, decisions, groups, history, incremental, memory, pages, ranking, regroup, removal, similarity
 from leafsieve.options import GroupingOptions
 from leafsieve.plans import reports
 from leafsieve.plans.scan import PAGES
@@ -228,6 +228,19 @@ def clusters(spark, sf_dir):
     return found.select(hashing.hex16(F.col("dhash")).alias("dhash"), hashing.hex16(F.col("root")).alias("root"))
 
 
+@query("clusters_grown", f"""
+    with recursive {DOCS}, collected as (select p.* from page_facts p join prints on prints.h = p.h where doc_id % 5 <> 1), {rooted(6)}
+    select printf('%016x', h) as dhash, gid as root from roots""")
+def clusters_grown(spark, sf_dir):
+    """Clusters of two thirds of the fingerprints, then with the others, and then without those that a fifth of the documents alone have."""
+    found = materialize(adapters.doc_prints(spark, sf_dir), "prints")
+    kept, part = found.where("doc_id % 5 <> 1").select("dhash"), found.where("doc_id % 3 <> 0").select("dhash")
+    made = regroup.start(part, 6)
+    made = regroup.advance(made, found.select("dhash"), part.limit(0), 6).clusters
+    made = regroup.advance(made, part.limit(0), found.select("dhash").join(kept.distinct(), "dhash", "left_anti"), 6).clusters
+    return made.roots().select(hashing.hex16(F.col("dhash")).alias("dhash"), hashing.hex16(F.col("root")).alias("root"))
+
+
 def _doc_groups_sql(threshold: int) -> str:
     return f"""with recursive {DOCS}, {collected()}, {rooted(threshold)},
         rooted_pages as (select c.*, gid as root from collected c join roots using (h)), {grouped("root")}"""
