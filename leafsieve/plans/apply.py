@@ -1,7 +1,7 @@
 """Carrying out removal plans: each book is rebuilt beside itself, verified, and only then replaced.
 
-A plan is one task's work and may be tried again, by a retry or by speculation: its result is
-noted in a journal, and a plan with a note is not carried out twice. Nothing is taken from a
+A plan is one task's work and may be tried again, by a retry or by speculation; the sink
+:mod:`leafsieve.sources.book_sink` sees to it that it is carried out once. Nothing is taken from a
 book that is not exactly as it was scanned.
 """
 
@@ -15,9 +15,8 @@ import shutil
 import socket
 import time
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
-from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -218,8 +217,11 @@ def _discard(*paths: str | None) -> None:
                 os.unlink(path)
 
 
-def carry_out(archive: str, removed: list[dict], policy: Policy, key: str) -> Result:
-    """Rebuild one book without its marked pages. A failure leaves the book as it was."""
+def carry_out(archive: str, removed: list[dict], policy: Policy, key: str, tell: Callable[[dict], None] = lambda last: None) -> Result:
+    """Rebuild one book without its marked pages. A failure leaves the book as it was.
+
+    ``tell`` is told, before anything is moved, what is about to be done, and by which size and time the rebuilt book can be known.
+    """
     result = Result(archive)
     if not removed:
         result.skipped = True
@@ -249,12 +251,15 @@ def carry_out(archive: str, removed: list[dict], policy: Policy, key: str) -> Re
             if policy.backup_dir:
                 os.makedirs(policy.backup_dir, exist_ok=True)
             backup = backup_path(archive, policy.backup_dir)
+        result.backup, stat = backup, os.stat(temp)
+        marked = temp.removesuffix(".cbz") + PENDING if backup else None
+        tell({"archive": archive, "output": output, "backup": backup, "temp": temp, "marker": marked, "stat": [stat.st_size, stat.st_mtime_ns], "result": asdict(result)})
+        if backup:
             marker = temp.removesuffix(".cbz") + PENDING
             with open(marker, "w", encoding="utf-8") as file:
                 json.dump({"original": archive, "output": output, "backup": backup, "temp": temp, "pid": os.getpid(), "host": socket.gethostname()}, file)
             _move(archive, backup)
         os.replace(temp, output)
-        result.backup = backup
         _discard(marker)
         if policy.output_dir is None and not policy.backups and output != archive:
             _discard(archive)
@@ -271,43 +276,22 @@ def plan_key(archive: str, removed: list[dict]) -> str:
     return hashlib.sha256(json.dumps([archive, sorted([r["name"], r["content_sha"]] for r in removed)]).encode()).hexdigest()[:32]
 
 
-def _carry_out_batch(batches, policy: Policy, journal: str, root: str | None):
-    import pandas as pd
-
-    for batch in batches:
-        rows = []
-        for archive, removed in zip(batch["archive"], batch["removed"], strict=True):
-            pages = [r if isinstance(r, dict) else r.asDict() for r in removed]
-            key = plan_key(archive, pages)
-            note = os.path.join(journal, f"{key}.json")
-            if os.path.exists(note):
-                with open(note, encoding="utf-8") as file:
-                    rows.append(json.load(file))
-                continue
-            if os.path.exists(os.path.join(journal, CANCEL)):
-                rows.append(asdict(Result(archive, skipped=True, error="cancelled before this book")))
-                continue
-            own = policy
-            if policy.output_dir and root:  # folders are mirrored, so books of one name don't meet
-                own = Policy(**(asdict(policy) | {"output_dir": os.path.join(policy.output_dir, os.path.relpath(os.path.dirname(archive), root))}))
-            done = asdict(carry_out(archive, pages, own, key))
-            if not policy.dry_run:
-                with open(f"{note}.part", "w", encoding="utf-8") as file:
-                    json.dump(done, file)
-                os.replace(f"{note}.part", note)
-            rows.append(done)
-        yield pd.DataFrame(rows, columns=list(Result.__dataclass_fields__))
-
-
 def apply_removals(plans: DataFrame, policy: Policy, journal: str, tasks: int = 4, root: str | None = None) -> DataFrame:
-    """The results of plans (archive, removed), carried out now. ``journal`` is a shared folder for this run.
+    """The results of plans (archive, removed), carried out now. ``journal`` is a folder for this run that all machines see.
 
-    Few tasks work at once, since disks are the limit. Under an output folder, folders below ``root`` are mirrored.
+    Few tasks work at once, since disks are the limit. Under an output folder, folders below ``root`` are mirrored. A run that ended before its end
+    goes on where it is called again with the same folder.
     """
-    ship(plans.sparkSession)
+    from leafsieve.sources.book_sink import BookSink, committed_results
+
+    spark = plans.sparkSession
+    ship(spark)
+    spark.dataSource.register(BookSink)
     os.makedirs(journal, exist_ok=True)
     work = plans.select("archive", "removed").repartition(tasks, "archive")
-    return materialize(work.mapInPandas(partial(_carry_out_batch, policy=policy, journal=journal, root=root), RESULTS), "results")
+    options = {"journal": journal, "policy": json.dumps(asdict(policy))} | ({"root": root} if root else {})
+    work.write.format(BookSink.name()).options(**options).mode("append").save()
+    return materialize(committed_results(spark, journal), "results")
 
 
 def cancel(journal: str) -> None:
@@ -318,7 +302,7 @@ def cancel(journal: str) -> None:
 
 def progress(journal: str) -> int:
     """Books of a run that are done."""
-    return sum(n.endswith(".json") for n in os.listdir(journal)) if os.path.isdir(journal) else 0
+    return sum(n.endswith(".json") and n != "committed.json" for n in os.listdir(journal)) if os.path.isdir(journal) else 0
 
 
 def _mount(path: str) -> str:
