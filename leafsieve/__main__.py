@@ -1,4 +1,4 @@
-"""Command line: scan, clean, known, history, pack. Exit codes: 0 done, 1 something failed, 2 refused, 130 stopped."""
+"""Command line: scan, clean, known, ignored, history, pack. Exit codes: 0 done, 1 something failed, 2 refused, 130 stopped."""
 
 from __future__ import annotations
 
@@ -8,13 +8,14 @@ import os
 import sys
 import time
 import uuid
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafsieve.operators import books, groups, history, memory, removal
 from leafsieve.options import GroupingOptions, check_run
-from leafsieve.plans import apply, reports
+from leafsieve.plans import apply, reports, undo
 from leafsieve.plans.scan import BOOKS, PAGES, scan, scan_changes
 from leafsieve.runtime import materialize
 from leafsieve.sources import known_list
@@ -31,11 +32,12 @@ TABLES = {
     "runs": "id bigint, started_at double, source string, pinned boolean",
     "items": "id bigint, run_id bigint, archive string, output string, backup string, removed bigint, pages array<string>, bytes_freed bigint, converted boolean,"
     " output_size bigint, output_mtime_ns bigint, restored_at double",
+    "settings": "name string, value string",
 }
 
 
 #: What tells the rows of a table apart, or what they belong to.
-KEYS = {"books": "archive", "pages": "archive", "known": "sid", "known_hashes": "sid", "ignored": "gid", "ignored_hashes": "gid", "runs": "id", "items": "id"}
+KEYS = {"books": "archive", "pages": "archive", "known": "sid", "known_hashes": "sid", "ignored": "gid", "ignored_hashes": "gid", "runs": "id", "items": "id", "settings": "name"}
 #: Buckets of the tables that grow with the pictures; the others have one.
 BUCKETS = {"books": 16, "pages": 256}
 
@@ -70,6 +72,11 @@ class Store:
         self.table(name).put(rows, gone)
         self.table(name).vacuum(keep=KEEP)
 
+    def settings(self) -> dict:
+        """What the last scan was asked for; before any, the defaults."""
+        kept = {r.name: json.loads(r.value) for r in self.read("settings").collect()}  # a row per setting
+        return asdict(GroupingOptions()) | kept
+
     def journal(self, run: str) -> str:
         """The folder of a run's journal, which tasks write to by its path."""
         if not self.folder.startswith("file:"):
@@ -100,7 +107,7 @@ def parser() -> argparse.ArgumentParser:
         clean.add_argument(f"--{name}")
     for name in ("leave-cbr", "no-backup", "dry-run", "yes"):
         clean.add_argument(f"--{name}", action="store_true")
-    for command, kinds in (("known", ("list", "export", "import", "forget")), ("history", ("list", "restore", "export", "pin", "unpin", "clean")), ("pack", ("export", "import"))):
+    for command, kinds in (("known", ("list", "export", "import", "forget", "clear")), ("ignored", ("list", "forget", "clear")), ("history", ("list", "restore", "export", "pin", "unpin", "clean", "sweep")), ("pack", ("export", "import"))):
         sub = commands.add_parser(command)
         sub.add_argument("action", choices=kinds)
         sub.add_argument("argument", nargs="?")
@@ -119,6 +126,7 @@ def _scan(args: argparse.Namespace, spark: SparkSession, store: Store) -> tuple[
         archives, pages = scan(spark, args.paths, None, args.exclude)
     else:
         found = scan_changes(spark, args.paths, (store.read("books"), store.read("pages")), args.exclude)
+        store.put("settings", spark.createDataFrame([(k, json.dumps(v)) for k, v in asdict(options).items()], TABLES["settings"]))
         store.put("pages", found.pages, found.gone)
         store.put("books", found.books, found.gone)
         archives, pages = (store.read(name).join(found.files.select("archive"), "archive", "left_semi") for name in ("books", "pages"))
@@ -227,6 +235,10 @@ def run_known(args, spark, store, out) -> int:
         for r in memory.known_entries(known, hashes).toLocalIterator():
             print(r.sid, r.hashes, r.source, r.note, r.tags, sep="\t", file=out)
         return 0
+    if args.action == "clear":
+        store.write("known", known.limit(0))
+        store.write("known_hashes", hashes.limit(0))
+        return 0
     if not args.argument:
         raise ValueError("a file or an id is asked for")
     if args.action == "export":
@@ -252,44 +264,49 @@ def _import_known(store: Store, entries: DataFrame) -> None:
     store.write("known_hashes", memory.merge_hashes(store.read("known_hashes"), fresh))
 
 
-def _with_status(items: DataFrame) -> DataFrame:
-    """``items`` with status; the files are looked at where the command runs."""
-    rows = []
-    for r in items.toLocalIterator():
-        d = r.asDict()
-        try:
-            stat = os.stat(d["output"])
-            size, mtime = stat.st_size, stat.st_mtime_ns
-        except (OSError, TypeError):
-            size = mtime = None
-        rows.append((d["id"], os.path.exists(d["archive"]), bool(d["backup"]) and os.path.exists(d["backup"]), size is not None, size, mtime))
-    seen = items.sparkSession.createDataFrame(rows, "id bigint, archive_exists boolean, backup_exists boolean, output_exists boolean, size bigint, mtime_ns bigint")
-    out = items.join(seen, "id").withColumn("unchanged", history.output_unchanged(F.col("size"), F.col("mtime_ns")))
-    return out.withColumn("status", history.run_status())
-
-
 def run_history(args, spark, store, out) -> int:
-    items = materialize(_with_status(store.read("items")), "items")
+    items = undo.with_status(store.read("items"))
     if args.action == "list":
         for r in history.run_totals(store.read("runs"), items).orderBy(F.desc("id")).toLocalIterator():
             print(r.id, r.removed, r.bytes_freed, r.restorable, sep="\t", file=out)
     elif args.action in ("pin", "unpin"):
         store.write("runs", history.pin(store.read("runs"), int(args.argument), args.action == "pin"))
-    elif args.action == "clean":  # backups of one run, but for those that a pinned run needs
-        own = items.where((F.col("run_id") == int(args.argument)) & F.col("backup").isNotNull()).select(F.col("backup").alias("path")).distinct()
-        count, size = apply.delete_backups([r.path for r in history.backups_to_clean(own, items, store.read("runs")).collect()])
-        print(count, size, sep="\t", file=out)
+    elif args.action in ("clean", "sweep"):  # backups of one run, or all that are found, but for those that a pinned run needs
+        if args.action == "clean":
+            found = items.where((F.col("run_id") == int(args.argument)) & F.col("backup").isNotNull()).select(F.col("backup").alias("path")).distinct()
+        else:
+            folders = undo.backup_folders(items)
+            if args.argument:
+                folders = folders.unionByName(spark.createDataFrame([(os.path.abspath(args.argument),)], "folder string"))
+            found = undo.find_backups(spark, folders).select("path")
+        print(*undo.delete_files(history.backups_to_clean(found, items, store.read("runs"))), sep="\t", file=out)
     elif args.action == "export":
         history.history_csv(store.read("runs"), items).write.csv(args.argument, header=True)
     else:
-        failed = 0
-        for r in items.where(F.col("run_id") == int(args.argument)).toLocalIterator():
-            why = apply.restore(r.asDict(), r.status)
-            failed += why is not None
-            print(r.archive, why or "restored", sep="\t", file=out)
-            if why is None:
-                store.write("items", history.mark_restored(store.read("items"), r.id, time.time()))
-        return int(failed > 0)
+        own = items.where(F.col("run_id") == int(args.argument))
+        done = undo.restore_items(own, store.journal(f"restore-{args.argument}"))
+        store.put("items", undo.mark_all_restored(store.read("items").join(done.select("id"), "id", "left_semi"), done))
+        for r in done.orderBy("archive").toLocalIterator():
+            print(r.archive, r.why or "restored", sep="\t", file=out)
+        return int(not done.where("why is not null").isEmpty())
+    return 0
+
+
+def run_ignored(args, spark, store, out) -> int:
+    entries, hashes = store.read("ignored"), store.read("ignored_hashes")
+    if args.action == "list":
+        counted = entries.join(hashes.groupBy("gid").agg(F.count("*").alias("n")), "gid", "left").orderBy(F.desc("created_at"), "gid")
+        for r in counted.toLocalIterator():
+            print(r.gid, r.n or 0, r.note, sep="\t", file=out)
+        return 0
+    gone = entries.select("gid")
+    if args.action == "forget":
+        gone = entries.where(F.col("gid") == (args.argument or "").strip().lower()).select("gid")
+        if gone.isEmpty():
+            raise ValueError(f"{args.argument} is not ignored")
+    gone = materialize(gone, "gone")
+    store.put("ignored_hashes", hashes.limit(0), gone)
+    store.put("ignored", entries.limit(0), gone)
     return 0
 
 
@@ -299,7 +316,7 @@ def run_pack(args, spark, store, out) -> int:
     if args.action == "export":
         listed = memory.ignored_hash_map(store.read("ignored"), store.read("ignored_hashes"))
         hexed = listed.groupBy("gid").agg(F.collect_set(F.lower(F.lpad(F.hex("dhash"), 16, "0"))).alias("hashes"))
-        known_list.write_pack(store.read("known"), store.read("known_hashes"), hexed.join(store.read("ignored"), "gid"), None, args.argument)
+        known_list.write_pack(store.read("known"), store.read("known_hashes"), hexed.join(store.read("ignored"), "gid"), store.settings(), args.argument)
         return 0
     settings, known, ignored = known_list.read_pack(spark, args.argument)
     _import_known(store, known)
@@ -309,11 +326,11 @@ def run_pack(args, spark, store, out) -> int:
     entries, hashes = materialize(entries, "ignored"), materialize(hashes, "hashes")
     store.write("ignored", entries.withColumn("created_at", F.lit(time.time())))
     store.write("ignored_hashes", hashes)
-    json.dump(known_list.setting_changes({}, settings), out)
+    json.dump(known_list.setting_changes(store.settings(), settings), out)
     return 0
 
 
-RUN = {"scan": run_scan, "clean": run_clean, "known": run_known, "history": run_history, "pack": run_pack}
+RUN = {"scan": run_scan, "clean": run_clean, "known": run_known, "ignored": run_ignored, "history": run_history, "pack": run_pack}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:

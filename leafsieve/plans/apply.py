@@ -30,6 +30,8 @@ from leafsieve.sources.archives import sniff, unpacked_entries
 PENDING = ".pending"
 #: In a journal: the sign that no further book is to be begun. Seconds for which another host's note is taken for that of a running task.
 CANCEL, LEASE = "cancel", 6 * 3600
+#: Seconds after which a claim on a restore, which is one move, is void.
+RESTORE_LEASE = 3600
 _CHUNK = 1 << 20
 _UNSAFE = set('<>:"/|?*\\')
 RESULTS = (

@@ -11,15 +11,17 @@ import subprocess
 import tempfile
 import zipfile
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from leafsieve.operators.pages import ARCHIVE_SUFFIXES, TEMP_PREFIX, WALKED_SUFFIXES, is_page_name, reading_order
-from leafsieve.runtime import ship
+from leafsieve.runtime import measured, ship
 
 FILES = "archive string, size bigint, mtime_ns bigint, disposition string"
 ENTRIES = "archive string, name string, size bigint, content binary, error string"
@@ -38,6 +40,17 @@ def _excluded(name: str, relative: str, globs: list[str]) -> bool:
     return any(fnmatch.fnmatchcase(name, g) or fnmatch.fnmatchcase(relative, g) for g in globs)
 
 
+def _judge(path: str, relative: str, suffixes: tuple[str, ...], globs: list[str]) -> str:
+    """The disposition of a file."""
+    if _excluded(os.path.basename(path), relative, globs):
+        return "excluded" if _is_archive(path, suffixes) else "other"
+    if _is_archive(path, suffixes):
+        return "found"
+    if _suffix(path) == "pdf":
+        return "pdf"
+    return "not_walked" if _is_archive(path, ARCHIVE_SUFFIXES) else "other"
+
+
 def walk(paths: list[str], recursive: bool = True, exclude: list[str] = ()) -> Iterator[tuple[str, int, int, str]]:
     """(path, size, mtime in ns, disposition) of the files under some paths, each real file once.
 
@@ -54,18 +67,9 @@ def walk(paths: list[str], recursive: bool = True, exclude: list[str] = ()) -> I
         stat = os.stat(path)
         return real, stat.st_size, stat.st_mtime_ns, what
 
-    def judge(path: str, relative: str, suffixes: tuple[str, ...]) -> str:
-        if _excluded(os.path.basename(path), relative, globs):
-            return "excluded" if _is_archive(path, suffixes) else "other"
-        if _is_archive(path, suffixes):
-            return "found"
-        if _suffix(path) == "pdf":
-            return "pdf"
-        return "not_walked" if _is_archive(path, ARCHIVE_SUFFIXES) else "other"
-
     for top in paths:
         if os.path.isfile(top):
-            found = [(top, judge(top, os.path.basename(top), ARCHIVE_SUFFIXES))]
+            found = [(top, _judge(top, os.path.basename(top), ARCHIVE_SUFFIXES, globs))]
         else:
             found = []
             for folder, folders, files in os.walk(top, followlinks=False):
@@ -73,7 +77,7 @@ def walk(paths: list[str], recursive: bool = True, exclude: list[str] = ()) -> I
                 for name in sorted(files):
                     path = os.path.join(folder, name)
                     if not os.path.islink(path) or os.path.isfile(path):
-                        found.append((path, judge(path, os.path.relpath(path, top).replace(os.sep, "/"), WALKED_SUFFIXES)))
+                        found.append((path, _judge(path, os.path.relpath(path, top).replace(os.sep, "/"), WALKED_SUFFIXES, globs)))
         for path, what in found:
             out = row(path, what)
             if out:
@@ -112,12 +116,74 @@ class _SurveyReader(DataSourceReader):
         yield from walk(partition.paths if partition else [], recursive, self.options.get("exclude", "").split("\n"))
 
 
+#: Folders that a task lists below one that it is given, once there are enough for all tasks; the others go to the next round.
+_LISTED = "top string, path string, size bigint, mtime_ns bigint, disposition string, task int"
+BELOW, ENOUGH = 512, 4
+
+
+def _list(recursive: bool, exclude: list[str], below: int):
+    """Rows of the files in some folders, and, without a disposition, of folders that are still to be listed."""
+    globs = [g.strip() for g in exclude if g.strip()]
+
+    def files(top: str, folder: str, names: list[str]) -> Iterator[tuple]:
+        for name in sorted(names):
+            path = os.path.join(folder, name)
+            try:
+                if not os.path.islink(path) or os.path.isfile(path):
+                    stat = os.stat(path)
+                    yield top, os.path.realpath(path), stat.st_size, stat.st_mtime_ns, _judge(path, os.path.relpath(path, top).replace(os.sep, "/"), WALKED_SUFFIXES, globs)
+            except OSError:  # gone since it was listed
+                continue
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        for batch in batches:
+            rows = []
+            for top, given in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if os.path.isfile(given):  # one that is named itself
+                    stat = os.stat(given)
+                    rows.append((top, os.path.realpath(given), stat.st_size, stat.st_mtime_ns, _judge(given, os.path.basename(given), ARCHIVE_SUFFIXES, globs)))
+                    continue
+                todo, listed = deque([given]), 0
+                while todo and listed < below:
+                    folder, listed = todo.popleft(), listed + 1
+                    _, folders, names = next(os.walk(folder, followlinks=False), (folder, [], []))
+                    rows += files(top, folder, names)
+                    todo.extend(p for f in sorted(folders) if recursive and not os.path.islink(p := os.path.join(folder, f)))
+                rows += ((top, folder, None, None, None) for folder in todo)
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            arrays = [pa.array(c, type=t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([task] * len(rows), type=pa.int32())], names=[c.split()[0] for c in _LISTED.split(", ")])
+
+    return run
+
+
+def survey_rounds(spark: SparkSession, paths: list[str], recursive: bool = True, exclude: list[str] = ()) -> list[DataFrame]:
+    """What each round of listing has found (top, path, size, mtime_ns, disposition, task), in tables; folders without a disposition were listed in the next.
+
+    A round lists the folders that the last one found, dealt out evenly, so one large tree uses all tasks. Until there are some for each task,
+    a round goes down one level; then each folder's task lists what is below it, up to BELOW folders.
+    """
+    ship(spark)
+    tasks, rounds = spark.sparkContext.defaultParallelism, []
+    frontier, count = spark.createDataFrame([(p, p) for p in dict.fromkeys(paths)], "top string, path string"), len(paths)
+    while count:
+        below = BELOW if count >= ENOUGH * tasks else 1
+        found = frontier.repartition(min(tasks, count)).mapInArrow(_list(recursive, list(exclude), below), _LISTED)
+        table, (count,) = measured(found, "survey", F.count_if(F.col("disposition").isNull()))
+        rounds.append(table)
+        frontier = table.where("disposition is null").select("top", "path")
+    return rounds
+
+
 def survey(spark: SparkSession, paths: list[str], recursive: bool = True, exclude: list[str] = ()) -> DataFrame:
     """(archive, size, mtime_ns, disposition) of the files under some paths, each once, in order."""
-    ship(spark)
-    spark.dataSource.register(SurveySource)
-    reader = spark.read.format("leafsieve-survey").option("recursive", str(recursive)).option("exclude", "\n".join(exclude))
-    found = reader.option("path", "\n".join(paths)).load()
+    found = spark.createDataFrame([], FILES)
+    for table in survey_rounds(spark, paths, recursive, exclude):
+        found = found.unionByName(table.where("disposition is not null").select(F.col("path").alias("archive"), "size", "mtime_ns", "disposition"))
     # A file reached by two paths counts once, as found if it is by either.
     rank = F.when(F.col("disposition") == "found", 0).otherwise(1)
     return found.groupBy("archive").agg(
@@ -134,6 +200,8 @@ MAGIC = ((b"PK", "zip"), (b"Rar!", "rar"), (b"7z\xbc\xaf\x27\x1c", "7z"))
 EXTRACTORS = (("7zz", "7z", "7za"), ("unrar",), ("bsdtar",))
 #: Seconds after which unpacking is given up.
 UNPACK_SECONDS = 600
+#: Bytes of an entry that is read; a larger one is a page with an error.
+MOST_BYTES = 1 << 29
 _BAD_ENTRY = (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, OSError)
 
 
@@ -183,7 +251,13 @@ def zip_entries(path: str) -> Iterator[tuple[str, int, bytes | None, str | None]
         last = {info.filename: info for info in book.infolist() if not info.is_dir()}
         for name, info in last.items():
             try:
-                yield name, info.compress_size, book.read(info), None
+                if info.file_size > MOST_BYTES:
+                    raise zipfile.BadZipFile(f"{info.file_size} bytes unpacked are more than {MOST_BYTES}")
+                with book.open(info) as file:
+                    data = file.read(MOST_BYTES + 1)
+                if len(data) > MOST_BYTES:
+                    raise zipfile.BadZipFile(f"more than {MOST_BYTES} bytes unpacked")
+                yield name, info.compress_size, data, None
             except _BAD_ENTRY as failure:
                 yield name, 0, None, f"{type(failure).__name__}: {failure}"
 

@@ -15,6 +15,8 @@ from leafsieve.operators.memory import export_known
 #: Formats and limits of the files. Fixed values.
 LIST_FORMAT, PACK_FORMAT, VERSION = "leafsieve-known", "leafsieve-pack", 1
 MOST_ENTRIES, MOST_HASHES, MOST_PICTURE, MOST_TEXT = 20_000, 1_000, 512 * 1024, 200
+#: Bytes of a file that is read.
+MOST_BYTES = 1 << 28
 #: Settings that a pack may carry, with their range.
 SETTINGS: dict[str, tuple[int, int] | None] = {
     "threshold": (0, 16), "min_pages": (2, 999), "min_archives": (1, 999), "edge_pages": (1, 10),
@@ -72,8 +74,11 @@ def _demand(df: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame:
 
 
 def _document(spark: SparkSession, path: str, wanted: str) -> DataFrame:
-    """One row: the file as ``doc``. A file is one document of bounded size (20,000 entries)."""
+    """One row: the file as ``doc``. A file is one document of bounded size; a larger one is refused before it is read."""
     try:
+        length = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+        if length and length > MOST_BYTES:
+            raise ListError(f"{path} has {length} bytes, and {MOST_BYTES} at most are read")
         text = spark.read.text(path, wholetext=True).limit(1).collect()
     except PySparkException as failure:
         raise ListError(f"{path} can't be read") from failure
