@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from leafsieve.operators import books, groups, history, memory, removal
 from leafsieve.options import GroupingOptions, check_run
 from leafsieve.plans import apply, reports, undo
+from leafsieve.plans.progress import Watch, ticking
 from leafsieve.plans.scan import BOOKS, PAGES, scan, scan_changes
 from leafsieve.runtime import materialize
 from leafsieve.sources import known_list
@@ -23,8 +24,8 @@ from leafsieve.sources.bucketed import Table
 
 #: Of the documents that commands print.
 VERSION = 1
-#: Versions of a kept table that may still be read.
-KEEP = 3
+#: Versions of a kept table that may still be read, and seconds between lines of progress.
+KEEP, TELL = 3, 2.0
 TABLES = {
     "books": BOOKS, "pages": PAGES,
     "known": "sid string, note string, tags string, source string, created_at double, thumbnail binary", "known_hashes": "sid string, dhash bigint",
@@ -114,6 +115,11 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _tell_scan(seen: dict) -> None:
+    left = "" if seen["eta"] is None else f", {seen['eta']:.0f} s left"
+    print(f"{seen['books']} of {seen['of']} books, {seen['bytes']} of {seen['of_bytes']} bytes read{left}", file=sys.stderr)
+
+
 def _scan(args: argparse.Namespace, spark: SparkSession, store: Store) -> tuple[DataFrame, DataFrame, groups.Groups, GroupingOptions]:
     options = GroupingOptions(
         args.threshold, args.min_pages, args.min_archives, args.include_flat, not args.include_first, args.skip_last, args.edge_window
@@ -122,10 +128,11 @@ def _scan(args: argparse.Namespace, spark: SparkSession, store: Store) -> tuple[
     if missing:
         raise ValueError(f"no such path: {missing[0]}")
     ignored = known = None
+    watch = Watch(spark, _tell_scan, TELL)
     if args.no_cache:
-        archives, pages = scan(spark, args.paths, None, args.exclude)
+        archives, pages = scan(spark, args.paths, None, args.exclude, watch)
     else:
-        found = scan_changes(spark, args.paths, (store.read("books"), store.read("pages")), args.exclude)
+        found = scan_changes(spark, args.paths, (store.read("books"), store.read("pages")), args.exclude, watch)
         store.put("settings", spark.createDataFrame([(k, json.dumps(v)) for k, v in asdict(options).items()], TABLES["settings"]))
         store.put("pages", found.pages, found.gone)
         store.put("books", found.books, found.gone)
@@ -141,12 +148,13 @@ def _scan(args: argparse.Namespace, spark: SparkSession, store: Store) -> tuple[
 def run_scan(args, spark, store, out) -> int:
     archives, pages, made, _ = _scan(args, spark, store)
     totals = _library(archives)
-    shown = {"version": VERSION, "library": totals, "groups": [], "duplicate_books": []}
-    documents = reports.group_documents(made.groups, made.members)
-    for row in groups.sort_position(made.groups).join(documents, "gid").orderBy("position").toLocalIterator():
-        shown["groups"].append(json.loads(row.document))
-    shown["duplicate_books"] = [json.loads(r.document) for r in reports.pair_documents(books.pair_order(books.duplicate_books(pages, archives))).toLocalIterator()]
-    json.dump(shown, out, indent=2, ensure_ascii=False)
+    out.write(f'{{"version": {VERSION}, "library": {json.dumps(totals, ensure_ascii=False)}, "groups": [')
+    for row in reports.group_rows(made.groups, made.members).orderBy("position", "rank").toLocalIterator():
+        out.write(("," if row.position and not row.rank else "") + row.text)
+    out.write('], "duplicate_books": [')
+    for k, row in enumerate(reports.pair_documents(books.pair_order(books.duplicate_books(pages, archives))).toLocalIterator()):
+        out.write(("," if k else "") + row.document)
+    out.write("]}\n")
     return int(totals["unreadable"] > 0)
 
 
@@ -180,8 +188,10 @@ def run_clean(args, spark, store, out) -> int:
     if short:  # a run that can't end is not begun, and a dry run says so too
         json.dump({"version": VERSION, "dry_run": args.dry_run, "space_shortfall": short, "removed": 0, "bytes_freed": 0, "failed": 0}, out, indent=2)
         return 1
+    count = todo.count()
     try:
-        results = apply.apply_removals(todo, policy, journal, root=root)
+        with ticking(lambda: {"done": apply.progress(journal)}, lambda seen: print(f"{seen['done']} of {count} books cleaned", file=sys.stderr), TELL):
+            results = apply.apply_removals(todo, policy, journal, root=root)
     except KeyboardInterrupt:
         apply.cancel(journal)  # tasks end with the book that they are at
         raise

@@ -114,10 +114,11 @@ def with_kept(groups: DataFrame, members: DataFrame, kept: DataFrame) -> DataFra
 
 
 def member_order(members: DataFrame) -> DataFrame:
-    """``members`` with their rank in the group: by book, then position."""
-    from pyspark.sql import Window
-
-    return members.withColumn("rank", F.row_number().over(Window.partitionBy("gid").orderBy(F.lower("archive"), "index")) - 1)
+    """``members`` with their rank in the group: by book, then position. They are sorted by ranges, so no task gets a group."""
+    order = members.withColumn("order of books", F.lower("archive")).orderBy("gid", "order of books", "index", "archive", "name").drop("order of books")
+    placed = with_position(order, "place of all")
+    firsts = placed.groupBy("gid").agg(F.min("place of all").alias("first of all"))
+    return placed.join(firsts, "gid").withColumn("rank", F.col("place of all") - F.col("first of all")).select(*members.columns, "rank")
 
 
 def review_warnings() -> Column:

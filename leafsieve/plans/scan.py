@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from leafsieve.functions.imaging import codec_fingerprint, digest
 from leafsieve.operators.incremental import adopt_moved, cache_misses, stale_errors
 from leafsieve.operators.pages import read_metadata
 from leafsieve.plans.apply import is_page, natural
+from leafsieve.plans.progress import Watch
 from leafsieve.runtime import materialize, ship
 from leafsieve.sources.archives import book_entries, survey
 
@@ -46,13 +48,17 @@ def _digest_book(path: str) -> list[tuple]:
     return [*rows, (path, None, None, None, None, None, None, None, None, error, info[1] if info else None)]
 
 
-def _digest_books(batches):
-    import pandas as pd
+def _digest_books(count: Callable[[int], None]):
+    def run(batches):
+        import pandas as pd
 
-    for batch in batches:
-        for path in batch["archive"]:
-            rows = pd.DataFrame(_digest_book(path), columns=[c.split()[0] for c in _READ.split(", ")])
-            yield rows.astype({c: "Int64" for c in ("index", "size", "width", "height", "dhash")} | {"flat": "boolean"})
+        for batch in batches:
+            for path, size in zip(batch["archive"], batch["size"], strict=True):
+                rows = pd.DataFrame(_digest_book(path), columns=[c.split()[0] for c in _READ.split(", ")])
+                count(int(size))
+                yield rows.astype({c: "Int64" for c in ("index", "size", "width", "height", "dhash")} | {"flat": "boolean"})
+
+    return run
 
 
 def _still_there(batches):
@@ -72,15 +78,16 @@ class Changes:
     kept: DataFrame
 
 
-def scan_changes(spark: SparkSession, paths: list[str], cached: tuple[DataFrame, DataFrame] | None = None, exclude: list[str] = ()) -> Changes:
+def scan_changes(spark: SparkSession, paths: list[str], cached: tuple[DataFrame, DataFrame] | None = None, exclude: list[str] = (), watch: Watch | None = None) -> Changes:
     """The books under some paths, and the rows by which they differ from ``cached``.
 
     Of ``cached``, books whose size and time stand are not read again, unless a page of theirs failed with
     other decoders than the present ones; nor is a book that is exactly one cached book under another path. A book's pages
     are numbered and digested in the task that reads it; no picture leaves that. ``kept`` (archive) are the books whose
-    cached rows stand.
+    cached rows stand. A ``watch`` is told of the progress, and can stop the reading, which raises Cancelled.
     """
     ship(spark)
+    watch = watch or Watch(spark)
     codecs = codec_fingerprint()
     files = materialize(survey(spark, paths, exclude=exclude).where("disposition = 'found'").drop("disposition"), "files")
     old_books, old_pages = cached or (spark.createDataFrame([], BOOKS), spark.createDataFrame([], PAGES))
@@ -89,8 +96,10 @@ def scan_changes(spark: SparkSession, paths: list[str], cached: tuple[DataFrame,
     misses = materialize(cache_misses(files, good), "misses")
     moved = materialize(adopt_moved(misses, good), "moved")
     todo = materialize(misses.join(moved.select("archive"), "archive", "left_anti"), "todo")
-    tasks = todo.agg(F.coalesce(F.ceil(F.sum("size") / TASK_BYTES), F.lit(0))).first()[0] + 1
-    read = materialize(todo.select("archive").repartition(int(tasks), "archive").mapInPandas(_digest_books, _READ), "read")
+    count, size = todo.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    dealt = todo.select("archive", "size").repartition(-(-size // TASK_BYTES) + 1, "archive")
+    with watch.reading(count, size):
+        read = materialize(dealt.mapInPandas(_digest_books(watch.counter()), _READ), "read")
     new_pages = read.where("name is not null").drop("xml").withColumn("codecs", F.lit(codecs))
     heads = read_metadata(read.where("name is null").select("archive", "error", "xml"), "xml").select("archive", "error", "series", "number", "title")
     counts = new_pages.groupBy("archive").agg(F.count("*").cast("int").alias("page_count"))
@@ -110,9 +119,11 @@ def scan_changes(spark: SparkSession, paths: list[str], cached: tuple[DataFrame,
     )
 
 
-def scan(spark: SparkSession, paths: list[str], cached: tuple[DataFrame, DataFrame] | None = None, exclude: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+def scan(
+    spark: SparkSession, paths: list[str], cached: tuple[DataFrame, DataFrame] | None = None, exclude: list[str] = (), watch: Watch | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(archives, pages) of the books under some paths, as :func:`scan_changes` finds them and as they are in ``cached``."""
-    new = scan_changes(spark, paths, cached, exclude)
+    new = scan_changes(spark, paths, cached, exclude, watch)
 
     def whole(fresh: DataFrame, old: DataFrame | None) -> DataFrame:
         return fresh if old is None else old.join(new.kept, "archive", "left_semi").select(*fresh.columns).unionByName(fresh)
