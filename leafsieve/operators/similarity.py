@@ -67,10 +67,11 @@ def _deal(keyed: DataFrame, parts: int) -> DataFrame:
     """
     dealt = keyed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
     sizes = dealt.groupBy("band", "part").agg(F.count_if(~F.col("right")).alias("l"), F.count_if("right").alias("r"))
-    large, (count,) = measured(sizes.where(F.col("l") + F.col("r") > 4 * BLOCK), "large", F.count("*"))
+    sizes = sizes.where(F.col("l") + F.col("r") > 4 * BLOCK)
     whole = {"block": F.lit(-1).cast("long"), "side": F.lit(-1)}
-    if not count:
+    if sizes.isEmpty():  # nearly always; then nothing is written
         return dealt.withColumns(whole)
+    large, (count,) = measured(sizes, "large", F.count("*"))
     large = F.broadcast(large) if count <= FEW_PARTS else large
     plain = dealt.join(large, ["band", "part"], "left_anti").withColumns(whole)
     blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")

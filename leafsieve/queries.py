@@ -988,6 +988,43 @@ def version_cmp(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", text.is_newer(own, F.lit("3.10-beta.2")).alias("newer"))
 
 
+@query("renumber_lines", """
+    with l as (select doc_id, string_split(text, chr(10)) as lines from documents),
+    gone as (select doc_id, lines, list_filter(range(len(lines)), lambda k: length(lines[k + 1]) % 3 = 0) as removed from l),
+    each as (select doc_id, removed, unnest(range(len(lines))) as place from gone)
+    select doc_id, place::int as place, case when not list_contains(removed, place) then (place - len(list_filter(removed, lambda r: r < place)))::int end as image from each""")
+def renumber_lines(spark, sf_dir):
+    """Lines of a text as pages, of which those with a length that 3 divides go."""
+    lines = load(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    removed = F.filter(F.transform("lines", lambda line, k: F.when(F.char_length(line) % 3 == 0, k)), lambda k: k.isNotNull())
+    each = lines.select("doc_id", removed.alias("removed"), F.posexplode("lines").alias("place", "line"))
+    return each.select("doc_id", "place", text.renumber(F.col("place"), F.col("removed")).alias("image"))
+
+
+_VERSION = r"regexp_matches(trim({0}), '^v?[0-9]')"
+_NUMBERS = r"[x::bigint for x in string_split(regexp_extract(trim({0}), '^v?([0-9]+(?:\.[0-9]+)*)', 1), '.') if x <> '']"
+
+
+@query("version_order", f"""
+    with v as (
+        select p_partkey, case when p_partkey % 11 = 0 then 'none' else case when p_partkey % 4 = 0 then ' v' else '' end || p_partkey % 7 || '.' || p_size % 13 || '.0' || case when p_size % 2 = 0 then '-beta.9' else '' end end as a,
+            case when p_size % 17 = 0 then '' else p_size % 7 || '.' || p_partkey % 12 || case when p_partkey % 3 = 0 then '.0.1' else '' end end as b
+        from part),
+    n as (select *, {_NUMBERS.format("a")} as x, {_NUMBERS.format("b")} as y from v),
+    k as (
+        select *, x[1:coalesce(list_max([i for i in range(1, len(x) + 1) if x[i] <> 0]), 0)] as kx, y[1:coalesce(list_max([i for i in range(1, len(y) + 1) if y[i] <> 0]), 0)] as ky from n)
+    select p_partkey, {_VERSION.format("a")} and {_VERSION.format("b")} and kx > ky as newer from k""")
+def version_order(spark, sf_dir):
+    """Versions of parts against others; some have a v, a suffix, zeros at the end, or no number."""
+    c = F.col
+    own = F.when(c("p_partkey") % 11 == 0, "none").otherwise(F.concat(
+        F.when(c("p_partkey") % 4 == 0, " v").otherwise(""), (c("p_partkey") % 7).cast("string"), F.lit("."), (c("p_size") % 13).cast("string"), F.lit(".0"),
+        F.when(c("p_size") % 2 == 0, "-beta.9").otherwise("")))
+    other = F.when(c("p_size") % 17 == 0, "").otherwise(F.concat(
+        (c("p_size") % 7).cast("string"), F.lit("."), (c("p_partkey") % 12).cast("string"), F.when(c("p_partkey") % 3 == 0, ".0.1").otherwise("")))
+    return load(spark, sf_dir, "part").select("p_partkey", text.is_newer(own, other).alias("newer"))
+
+
 @query("duration", """select p_partkey, case when v < 60 then greatest(1, round_even(v, 0)::int) || ' s' when v < 3600 then round_even(v / 60, 0)::int || ' min' else printf('%.1f h', round_even(v / 3600, 1)) end as shown
     from (select p_partkey, p_partkey * p_size * 0.5::double as v from part)""")
 def duration(spark, sf_dir):
