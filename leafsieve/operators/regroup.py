@@ -34,9 +34,11 @@ class Clusters:
 
 @dataclass(frozen=True)
 class Change:
-    """The clusters after a batch, the rows of labels that are new or others, the nodes that are in no component any more, and their numbers."""
+    """The clusters after a batch, its new fingerprints and edges, the rows of labels that are new or others, the nodes that are in no component any more, and their numbers."""
 
     clusters: Clusters
+    new: DataFrame
+    fresh: DataFrame
     changed: DataFrame
     left: DataFrame
     rows_changed: int
@@ -98,4 +100,4 @@ def advance(before: Clusters, added: DataFrame, gone: DataFrame, threshold: int)
     changed, (rows_changed,) = measured(moved.unionByName(again), "changed", F.count("*"))
     left, (rows_left,) = measured(apart.select("node").join(found.select("node"), "node", "left_anti"), "left", F.count("*"))
     labels = before.labels.join(changed.select("node").unionByName(left), "node", "left_anti").select("node", "component").unionByName(changed)
-    return Change(Clusters(hashes, edges, materialize(labels, "labels")), changed, left, rows_changed, rows_left)
+    return Change(Clusters(hashes, edges, materialize(labels, "labels")), new, fresh, changed, left, rows_changed, rows_left)

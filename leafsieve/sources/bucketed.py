@@ -2,7 +2,7 @@
 
 A table is a folder on any file system that Hadoop knows::
 
-    data/bucket=12/version=3-5f0c…/part-*.parquet    rows of a bucket, as a version has written them
+    data/kept_bucket=12/kept_version=3-5f0c…/part-*.parquet    rows of a bucket, as a version has written them
     manifest/000000003.json                          which version of each bucket is live
 
 A change writes the buckets that it touches, and no others, and then a manifest with the next number. The manifest is put
@@ -48,6 +48,8 @@ class Table:
     def __init__(self, spark: SparkSession, path: str, ddl: str, key: str, buckets: int = BUCKETS):
         self.spark, self.path, self.key, self.new_buckets = spark, path.rstrip("/"), key, buckets
         self.schema = spark.createDataFrame([], ddl).schema
+        if clash := {"kept_bucket", "kept_version", "other key"} & {n.lower() for n in self.schema.names}:
+            raise ValueError(f"a kept table has no columns called {', '.join(sorted(clash))}")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -112,7 +114,7 @@ class Table:
         return self._rows(manifest, manifest.live)
 
     def _rows(self, manifest: Manifest, buckets) -> DataFrame:
-        paths = [f"{self.path}/data/bucket={b}/version={manifest.live[b]}" for b in sorted(buckets) if b in manifest.live]
+        paths = [f"{self.path}/data/kept_bucket={b}/kept_version={manifest.live[b]}" for b in sorted(buckets) if b in manifest.live]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def put(self, rows: DataFrame, gone: DataFrame | None = None) -> Manifest:
@@ -169,10 +171,10 @@ class Table:
     def _write(self, rows: DataFrame, version: str, buckets: int) -> list[int]:
         """Write rows as a version of their buckets; the buckets that have any."""
         # Rebalancing splits a bucket that one task could not write, and joins small ones.
-        dealt = rows.withColumns({"bucket": self.bucket(buckets), "version": F.lit(version)}).hint("rebalance", "bucket")
+        dealt = rows.withColumns({"kept_bucket": self.bucket(buckets), "kept_version": F.lit(version)}).hint("rebalance", "kept_bucket")
         # Dynamic, so that a write that is begun again replaces its own folders and no others.
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(f"{self.path}/data")
-        return [b for b in range(buckets) if self._fs.exists(self._path(f"{self.path}/data/bucket={b}/version={version}"))]
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kept_bucket", "kept_version").parquet(f"{self.path}/data")
+        return [b for b in range(buckets) if self._fs.exists(self._path(f"{self.path}/data/kept_bucket={b}/kept_version={version}"))]
 
     def vacuum(self, keep: int = 1) -> int:
         """Forget all but the newest ``keep`` versions, and delete what none of them names; how many folders went.
@@ -188,9 +190,9 @@ class Table:
         top = self._path(f"{self.path}/data")
         for folder in self._fs.listStatus(top) if self._fs.exists(top) else ():
             name = folder.getPath().getName()
-            if not name.startswith("bucket="):
+            if not name.startswith("kept_bucket="):
                 continue
             for version in self._fs.listStatus(folder.getPath()):
-                if (int(name[7:]), version.getPath().getName().removeprefix("version=")) not in named:
+                if (int(name.removeprefix("kept_bucket=")), version.getPath().getName().removeprefix("kept_version=")) not in named:
                     went += self._fs.delete(version.getPath(), True)
         return went

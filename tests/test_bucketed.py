@@ -102,4 +102,12 @@ def test_runs_that_died(spark, table, tmp_path):
     os.utime(claim, (1, 1))
     table.put(spark.createDataFrame([("b1", "late", 7)], DDL))
     assert table.read().where("archive = 'b1'").count() == 1 and table.manifest().number == 2
-    assert table.vacuum() > 0 and not list((tmp_path / "t" / "data").glob("*/version=2-dead"))
+    assert table.vacuum() > 0 and not list((tmp_path / "t" / "data").glob("*/kept_version=2-dead"))
+
+
+def test_columns_of_any_other_name(spark, tmp_path):
+    table = Table(spark, f"file://{tmp_path}/n", "archive string, version string, bucket bigint", "archive")
+    table.put(spark.createDataFrame([("a", "v1", 7)], "archive string, version string, bucket bigint"))
+    assert [tuple(r) for r in table.read().collect()] == [("a", "v1", 7)]
+    with pytest.raises(ValueError):
+        Table(spark, f"file://{tmp_path}/n", "archive string, kept_version string", "archive")
