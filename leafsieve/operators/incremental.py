@@ -52,11 +52,12 @@ def find_relocated(missing: DataFrame, listing: DataFrame) -> DataFrame:
     return one.select("archive", status.alias("status"), F.when(F.col("n") == 1, F.col("path")).alias("found"))
 
 
-def scan_eta(scans: DataFrame, total: int, total_bytes: int, elapsed: float) -> DataFrame:
+def scan_eta(scans: DataFrame, total: int, total_bytes: int, elapsed: float, overdue: bool = False) -> DataFrame:
     """One row of counters of the books scanned (size, page_count, cached), and the seconds left.
 
     Only books that were read count towards the pace. It goes by bytes if the sizes are known, else by books;
-    without a book that was read it is null, without a book left 0.
+    without a book that was read it is null, without a book left 0. With ``overdue`` a scan that has passed its totals has
+    less than 0 seconds left, by as much as it went beyond them at its pace.
     """
     fresh = ~F.col("cached")
     sums = scans.agg(
@@ -65,11 +66,12 @@ def scan_eta(scans: DataFrame, total: int, total_bytes: int, elapsed: float) ->
         F.coalesce(F.sum(F.when(fresh, F.col("page_count"))), F.lit(0)).alias("pages_hashed"),
         F.coalesce(F.sum(F.when(~fresh, F.col("page_count"))), F.lit(0)).alias("pages_cached"),
     )
-    left = F.greatest(F.lit(total_bytes) - F.col("bytes_done"), F.lit(0))
+    left = F.lit(total_bytes) - F.col("bytes_done")
+    left = left if overdue else F.greatest(left, F.lit(0))
     by_bytes = F.lit(elapsed) * left / F.greatest(F.col("bytes_done"), F.lit(1))
     by_books = F.lit(elapsed) * (F.lit(total) - F.col("done")) / F.col("done")
     eta = (
-        F.when(F.col("done") >= total, 0.0).when(F.col("books") == 0, None)
+        F.when((F.col("done") >= total) & ~F.lit(overdue), 0.0).when(F.col("books") == 0, None)
         .when((F.lit(total_bytes) > 0) & (F.col("bytes_read") > 0), by_bytes).otherwise(by_books)
     )
     return sums.withColumn("eta", eta)
