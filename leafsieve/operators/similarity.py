@@ -24,19 +24,22 @@ from leafsieve.runtime import measured, ship
 DEAL, MOST_KEYS = 150, 300
 #: Fingerprints that are compared in a part, and in a block of a part of more than four blocks.
 PART, BLOCK = 8192, 4096
+#: Comparisons of all with all that take as long as one under a key, the fingerprints of a side that are so compared in a task, and those at once.
+EASE, SQUARE, AT_ONCE = 4, 1 << 15, (64, 1024)
 #: Rows of a table of large parts that may be broadcast, and targets that are sent to all tasks (8 bytes each).
 FEW_PARTS, FEW_TARGETS = 10_000, 1 << 14
 
 
-def bands_to_agree(threshold: int, rows: int, others: int | None = None) -> int:
-    """How many bands make a key, for the least work with so many fingerprints, among themselves or against others."""
+def _work(threshold: int, agree: int, rows: int, others: int | None = None) -> float:
+    """About how many comparisons fingerprints cost under keys of so many bands."""
+    meet = 2 ** (BITS * agree / (threshold + agree))
+    each = rows * (DEAL + rows / meet) if others is None else (rows + others) * DEAL + 2 * rows * others / meet
+    return comb(threshold + agree, agree) * each
 
-    def work(agree: int) -> float:
-        meet = 2 ** (BITS * agree / (threshold + agree))
-        each = rows * (DEAL + rows / meet) if others is None else (rows + others) * DEAL + 2 * rows * others / meet
-        return comb(threshold + agree, agree) * each
 
-    return min((k for k in range(1, 9) if k == 1 or comb(threshold + k, k) <= MOST_KEYS), key=work)
+def bands_to_agree(threshold: int, rows: int, others: int | None = None) -> int:
+    """How many bands make a key, for the least work with so many fingerprints, among themselves or against others."""
+    return min((k for k in range(1, 9) if k == 1 or comb(threshold + k, k) <= MOST_KEYS), key=lambda k: _work(threshold, k, rows, others))
 
 
 def _keys(h: Column, threshold: int, agree: int) -> Column:
@@ -172,6 +175,33 @@ def _meet(threshold: int):
     return run
 
 
+def _meet_all(threshold: int):
+    """The left ones of two blocks that are near a right one, all compared with all; who has met one is compared no more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        right, h = table.column("right").to_numpy(), table.column("a").to_numpy().view(np.uint64)
+        live, targets, found = h[~right], h[right], []
+        for at in range(0, len(targets), AT_ONCE[1]):
+            some = targets[at : at + AT_ONCE[1]]
+            near = np.zeros(len(live), dtype=bool)
+            for low in range(0, len(live), AT_ONCE[0]):
+                near[low : low + AT_ONCE[0]] = (np.bitwise_count(live[low : low + AT_ONCE[0], None] ^ some) <= threshold).any(axis=1)
+            found.append(live[near])
+            live = live[~near]
+        return pa.table({"dhash": (np.concatenate(found) if found else live[:0]).view(np.int64)})
+
+    return run
+
+
+def _squares(left: DataFrame, right: DataFrame, n: int, m: int) -> DataFrame:
+    """Two sides (a), so many as were counted, dealt out in blocks, each left one with each right one: (a, right, x, y)."""
+    x, y = (max(1, -(-k // SQUARE)) for k in (n, m))
+    own = lambda k: F.pmod(F.xxhash64("a"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    ours = left.select("a", F.lit(False).alias("right"), own(x).alias("x"), every(y).alias("y"))
+    return ours.unionByName(right.select("a", F.lit(True).alias("right"), own(y).alias("y"), every(x).alias("x")))
+
+
 def _pair_up(threshold: int, agree: int):
     """Pairs of a left and a right one of a part, each in the first combination in which it agrees."""
     cuts = bands(threshold + agree - 1)
@@ -241,7 +271,8 @@ def near_any(hashes: DataFrame, targets: DataFrame, threshold: int) -> DataFrame
     """The distinct ones of ``hashes`` (one column, dhash) within ``threshold`` of any of ``targets`` (one column); nulls are near nothing.
 
     Few targets are sent to all tasks, and no fingerprint that is not near is shuffled. Many are dealt out with the fingerprints, under as many
-    combinations of bands as are cheapest for both sides; parts that are large, by whichever side, are compared block by block.
+    combinations of bands as are cheapest for both sides; parts that are large, by whichever side, are compared block by block. Where keys
+    tell so little that comparing all with all costs less, blocks of both sides are compared so.
     """
     left, right = hashes.toDF("dhash"), targets.toDF("target").where("target is not null").distinct()
     if threshold <= 0:
@@ -252,23 +283,27 @@ def near_any(hashes: DataFrame, targets: DataFrame, threshold: int) -> DataFrame
         # A look-up costs less than dealing out a key, so few bands make a key.
         agree = min((k for k in (1, 2) if comb(threshold + k, k) <= 78), key=lambda k: comb(threshold + k, k) * (8 + len(few) / 2 ** (BITS * k / (threshold + k))))
         return left.mapInArrow(_sift(few, threshold, agree), "dhash long").distinct()
-    dealt, _ = _both(left.where("dhash is not null").distinct(), right, threshold)
+    table, (n,) = measured(left.where("dhash is not null").distinct().toDF("a"), "left", F.count("*"))
+    other, (m,) = measured(right.toDF("a"), "right", F.count("*"))
+    if n * m <= EASE * _work(threshold, bands_to_agree(threshold, n, m), n, m):
+        return _squares(table, other, n, m).groupBy("x", "y").applyInArrow(_meet_all(threshold), "dhash long").distinct()
+    dealt, _ = _both(table, other, threshold, n, m)
     return dealt.groupBy("band", "part", "block").applyInArrow(_meet(threshold), "dhash long").distinct()
 
 
 def near_pairs(hashes: DataFrame, others: DataFrame, threshold: int) -> DataFrame:
     """(a, b, distance) of a fingerprint of ``hashes`` and one of ``others`` (one column each, distinct, without nulls) within ``threshold``; each pair once."""
     ship(hashes.sparkSession)
-    dealt, agree = _both(hashes, others, threshold)
+    table, (n,) = measured(hashes.toDF("a"), "left", F.count("*"))
+    other, (m,) = measured(others.toDF("a"), "right", F.count("*"))
+    dealt, agree = _both(table, other, threshold, n, m)
     return dealt.groupBy("band", "part", "block").applyInArrow(_pair_up(threshold, agree), "a long, b long, distance int")
 
 
-def _both(left: DataFrame, right: DataFrame, threshold: int) -> tuple[DataFrame, int]:
-    """Two sides dealt out, and how many bands make a key."""
-    table, (n,) = measured(left.toDF("a"), "left", F.count("*"))
-    other, (m,) = measured(right.toDF("a"), "right", F.count("*"))
+def _both(left: DataFrame, right: DataFrame, threshold: int, n: int, m: int) -> tuple[DataFrame, int]:
+    """Two sides (a), so many as were counted, dealt out, and how many bands make a key."""
     agree = bands_to_agree(threshold, n, m)
-    both = _keyed(table, threshold, agree).withColumn("right", F.lit(False)).unionByName(_keyed(other, threshold, agree).withColumn("right", F.lit(True)))
+    both = _keyed(left, threshold, agree).withColumn("right", F.lit(False)).unionByName(_keyed(right, threshold, agree).withColumn("right", F.lit(True)))
     return _deal(both, -(-(n + m) // PART) or 1), agree
 
 
