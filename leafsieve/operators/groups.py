@@ -12,6 +12,7 @@ from leafsieve.functions.text import near_edge
 from leafsieve.operators.ranking import with_position
 from leafsieve.operators.similarity import clusters, near_any
 from leafsieve.options import GroupingOptions
+from leafsieve.runtime import materialize, scratch
 
 #: Reasons to look twice at a group, in the order in which they are given. Fixed values.
 WARN_BLANK = "Contains blank or solid-colour pages."
@@ -67,22 +68,29 @@ def build_groups(
     if ignored is not None:
         found = drop_ignored(found, ignored, options.threshold)
     if options.threshold > 0:
-        found = found.join(clusters(found.select("dhash"), options.threshold), "dhash")
+        # Costly to find, and read by each that needs pages or groups: so they are kept, and what they were made of goes.
+        with scratch() as keep:
+            found = keep(materialize(_with_hits(found.join(clusters(found.select("dhash"), options.threshold), "dhash"), known, options.threshold), "rooted"))
     else:
-        found = found.withColumn("root", F.col("dhash"))
-    if known is not None:
-        near = near_any(found.select("dhash"), known, options.threshold).withColumn("hit", F.lit(True))
-        found = found.join(near, "dhash", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    else:
-        found = found.withColumn("hit", F.lit(False))
+        found = _with_hits(found.withColumn("root", F.col("dhash")), known, options.threshold)
     members = found.withColumn("gid", hex16(F.col("root"))).withColumn("near_edge", near_edge(F.col("index"), F.col("page_count"), options.edge_pages))
     groups = _summary(members).where(
         F.col("known") | ((F.col("page_count") >= options.min_pages) & (F.col("archive_count") >= options.min_archives))
     )
+    if options.threshold > 0:
+        groups = materialize(groups, "groups")
     kept = members.join(groups.select("gid", "known"), "gid").drop("root", "hit", "page_count")
     return Groups(groups, kept)
 
 
+def _with_hits(pages: DataFrame, known: DataFrame | None, threshold: int) -> DataFrame:
+    """``pages`` with hit: whether the fingerprint is near one of ``known``."""
+    if known is None:
+        return pages.withColumn("hit", F.lit(False))
+    near = near_any(pages.select("dhash"), known, threshold).withColumn("hit", F.lit(True))
+    return pages.join(near, "dhash", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
 def _summary(members: DataFrame) -> DataFrame:
     """A row per gid. One distinct count only, so no row is multiplied; equal digests show in their least and greatest."""
     # The largest picture stands for a group; of equals the first in the order of members.

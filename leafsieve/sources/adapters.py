@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from leafsieve.functions.hashing import content_digest, dhash_of_bits, from_hex16
 from leafsieve.operators.ranking import with_position
-from leafsieve.runtime import load, materialize
+from leafsieve.runtime import load, materialize, release
 
 #: A line with fewer letters than this stands for a blank page.
 FLAT_BELOW = 12
@@ -87,11 +87,16 @@ def _counted(docs: DataFrame, *columns: Column) -> DataFrame:
     return given.mapInArrow(_count_bits, T.StructType(fields))
 
 
+def _majority() -> Column:
+    """The fingerprint of a counted row."""
+    ones = [F.col(f"v{k}").bitwiseAND(F.lit((1 << 32) - 1)) for k in range(32)] + [F.shiftrightunsigned(f"v{k}", 32) for k in range(32)]
+    return dhash_of_bits(F.array(*(2 * x > F.col("n") for x in ones)))
+
+
 def _prints(counted: DataFrame) -> DataFrame:
     """(doc_id, dhash) of counted documents; rows that share an id are one document."""
     sums = counted.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.sum("n").alias("n"), *(F.sum(f"v{k}").alias(f"v{k}") for k in range(32)))
-    ones = [F.col(f"v{k}").bitwiseAND(F.lit((1 << 32) - 1)) for k in range(32)] + [F.shiftrightunsigned(f"v{k}", 32) for k in range(32)]
-    return sums.select("doc_id", dhash_of_bits(F.array(*(2 * x > F.col("n") for x in ones))).alias("dhash"))
+    return sums.select("doc_id", _majority().alias("dhash"))
 
 
 def doc_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,12 +105,21 @@ def doc_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of DOCS, with the fingerprints of :func:`doc_prints`. Texts are read once, and what is shuffled is what was found of them."""
+    """Pages of DOCS, with the fingerprints of :func:`doc_prints`. Texts are read once, and what is shuffled is what was found of them.
+
+    Counts of words are kept and shuffled only where rows share an id. Else a row's own are all, and its fingerprint goes with it.
+    """
     docs = load(spark, sf_dir, "documents")
     facts = (F.octet_length("text").alias("size"), F.length("text").alias("width"), content_digest(F.col("text")).alias("sha"))
-    found = materialize(_counted(docs, F.col("source"), *facts), "facts")
-    placed = _places(found.select("doc_id", "source", "size", "width", "sha"), "source", "doc_id")
-    return placed.join(_prints(found), "doc_id").select(*_page(
+    counted, columns = _counted(docs, F.col("source"), *facts), ["doc_id", "source", "size", "width", "sha"]
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = materialize(counted.select(*columns, F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), _majority()).alias("dhash")), "facts")
+        placed = _places(found, "source", "doc_id").where("dhash is not null")
+        release(found)
+    else:
+        found = materialize(counted, "facts")
+        placed = _places(found.select(*columns), "source", "doc_id").join(_prints(found), "doc_id")
+    return placed.select(*_page(
         F.col("source"), F.col("pos"), F.col("size"), F.col("width"), F.col("sha"), F.col("dhash"), F.col("width") < FLAT_BELOW,
     ))
 

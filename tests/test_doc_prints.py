@@ -48,3 +48,22 @@ def test_no_words_are_shuffled(spark, tmp_path):
     """What is dealt out is a row per document, not per word."""
     plan = adapters.doc_prints(spark, _write(spark, tmp_path, [(1, "a", "b c")]))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" in plan and "Generate" not in plan
+
+
+def test_unshared_ids_equal_sql(spark, tmp_path):
+    """Where no two rows share an id, a row without words is a place but no page, and so is one without an id."""
+    rows = [(1, "a", "one two  two"), (2, "a", ""), (3, "a", None), (4, "a", "Four\n four\tFOUR"), (5, "b", "x"), (6, None, "w"), (7, "b", None), (8, "b", "y z"), (None, "d", "u"), (None, "e", "t")]
+    found = adapters.doc_pages(spark, _write(spark, tmp_path, rows))
+    got = sorted((str(r.archive), r["index"], r["size"], r.width, r.content_sha, r.dhash % (1 << 64), r.flat) for r in found.collect())
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute(f"with {DOCS} select archive, index, size, width, content_sha, h, flat from page_facts").fetchall()
+    assert got == sorted((str(r[0]), *r[1:]) for r in want)
+
+
+def test_counts_are_shuffled_only_for_shared_ids(spark, tmp_path):
+    """Else a fingerprint goes with its row, and the counts are neither kept nor dealt out."""
+    for ids, counts in (((1, 2, None, None), False), ((1, 2, 2, None), True)):
+        where = tmp_path / str(counts)
+        found = adapters.doc_pages(spark, _write(spark, where, [(i, "a", f"w{k}") for k, i in enumerate(ids)]))
+        assert ("hashpartitioning(doc_id" in found._jdf.queryExecution().executedPlan().toString()) == counts
