@@ -33,24 +33,29 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return least.select("a", F.col("m").alias("b")).unionByName(rest).distinct()
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node that it is linked with) of edges, without the least ones."""
+    nodes, index = np.unique(np.stack((a, b)), return_inverse=True)
+    x, y = index.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+    led = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[led], nodes[root[led]]
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of a task, in batches of AT_ONCE, each node led straight to the least that the batch links it with."""
     held, size = [], 0
 
     def out() -> pa.RecordBatch:
-        ends = np.stack([np.concatenate(x) for x in zip(*held, strict=True)])
-        nodes, index = np.unique(ends, return_inverse=True)
-        x, y = index.reshape(2, -1)
-        root = np.arange(len(nodes))
-        while True:
-            low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
-            if (low == high).all():
-                break
-            np.minimum.at(root, high, low)
-            while (root != root[root]).any():
-                root = root[root]
-        led = np.flatnonzero(root != np.arange(len(nodes)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[led]), pa.array(nodes[root[led]])], names=["a", "b"])
+        led = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in led], names=["a", "b"])
 
     for batch in batches:
         held.append([batch.column(k).to_numpy() for k in range(2)])

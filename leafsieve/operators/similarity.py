@@ -17,13 +17,16 @@ from pyspark.sql import functions as F
 
 from leafsieve.functions.hashing import bands, hamming, ordered
 from leafsieve.operators.components import connected_components
+from leafsieve.operators.linkage import cut, link_part
 from leafsieve.options import BITS
-from leafsieve.runtime import measured, ship
+from leafsieve.runtime import materialize, measured, ship
 
 #: About the cost of dealing out a key, in comparisons, and the most keys of a fingerprint.
 DEAL, MOST_KEYS = 150, 300
 #: Fingerprints that are compared in a part, and in a block of a part of more than four blocks.
 PART, BLOCK = 8192, 4096
+#: The same where clusters are linked, and fingerprints that are linked in one round; of more a first one finds most links under the few keys of half the threshold.
+LINK_BLOCK, ONE_ROUND = 1 << 14, 1 << 16
 #: Comparisons of all with all that take as long as one under a key, the fingerprints of a side that are so compared in a task, and those at once.
 EASE, SQUARE, AT_ONCE = 4, 1 << 15, (64, 1024)
 #: Rows of a table of large parts that may be broadcast, and targets that are sent to all tasks (8 bytes each).
@@ -62,22 +65,23 @@ def _keyed(df: DataFrame, threshold: int, agree: int) -> DataFrame:
     return df.select("*", F.explode(_keys(F.col(df.columns[0]), threshold, agree)).alias("k")).select(*df.columns, "k.band", "k.key")
 
 
-def _deal(keyed: DataFrame, parts: int) -> DataFrame:
+def _deal(keyed: DataFrame, parts: int, size: int | None = None) -> DataFrame:
     """``keyed`` (a, right, band, key) with what compares a row: a part, which has some of the keys of a combination, or of a large part two blocks.
 
-    Parts are counted exactly, by sums that are made before the shuffle. Without ``right`` all rows are compared with one another, else the left ones
-    with the right ones.
+    Parts are counted exactly, by sums that are made before the shuffle; those of over four blocks of ``size`` rows are large. Without ``right`` all rows
+    are compared with one another, else the left ones with the right ones.
     """
+    size = size or BLOCK
     dealt = keyed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
     sizes = dealt.groupBy("band", "part").agg(F.count_if(~F.col("right")).alias("l"), F.count_if("right").alias("r"))
-    sizes = sizes.where(F.col("l") + F.col("r") > 4 * BLOCK)
+    sizes = sizes.where(F.col("l") + F.col("r") > 4 * size)
     whole = {"block": F.lit(-1).cast("long"), "side": F.lit(-1)}
     if sizes.isEmpty():  # nearly always; then nothing is written
         return dealt.withColumns(whole)
     large, (count,) = measured(sizes, "large", F.count("*"))
     large = F.broadcast(large) if count <= FEW_PARTS else large
     plain = dealt.join(large, ["band", "part"], "left_anti").withColumns(whole)
-    blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
+    blocks = lambda n: F.greatest(F.ceil(F.col(n) / size), F.lit(1)).cast("int")
     split = dealt.join(large, ["band", "part"]).withColumns({"l": blocks("l"), "r": F.when(F.col("r") > 0, blocks("r"))})
     # Among themselves rows meet in pairs of blocks of one side, else each left block meets each right one.
     mine, theirs = (F.when(F.col("right"), F.col(x)).otherwise(F.col(y)) for x, y in (("r", "l"), ("l", "r")))
@@ -140,15 +144,6 @@ def _pairs(table: DataFrame, counted: list[int], threshold: int, agree: int | No
     return dealt.groupBy("band", "part", "block").applyInArrow(_compare(threshold, agree), "a long, b long, distance int")
 
 
-def _cut(h: np.ndarray, chosen: tuple[int, ...], cuts: list[tuple[int, int]]) -> np.ndarray:
-    """The bits of some bands, as :func:`_keys` puts them together."""
-    out = np.zeros(len(h), dtype=np.uint64)
-    for k in chosen:
-        offset, width = cuts[k]
-        out = (out << np.uint64(width % BITS)) | ((h >> np.uint64(offset)) & np.uint64((1 << width) - 1))
-    return out
-
-
 def _near(h: np.ndarray, keys: np.ndarray, targets: np.ndarray, target_keys: np.ndarray, threshold: int) -> np.ndarray:
     """Places of those of ``h`` that are near a target of their key; targets are sorted by key."""
     first, stop = (np.searchsorted(target_keys, keys, side=s) for s in ("left", "right"))
@@ -248,7 +243,7 @@ def _sift(targets: list[int], threshold: int, agree: int):
     def run(batches):
         tables = []
         for chosen in combined:
-            keys = _cut(wanted, chosen, cuts)
+            keys = cut(wanted, chosen, cuts)
             order = np.argsort(keys, kind="stable")
             bits = np.zeros(1 << _SLOTS, dtype=bool)
             bits[slot(keys)] = True
@@ -257,7 +252,7 @@ def _sift(targets: list[int], threshold: int, agree: int):
             h = np.unique(batch.column(0).drop_null().to_numpy(zero_copy_only=False)).view(np.uint64)
             rest, found = h, []
             for chosen, bits, sorted_, sorted_keys in tables:
-                keys = _cut(rest, chosen, cuts)
+                keys = cut(rest, chosen, cuts)
                 some = np.flatnonzero(bits[slot(keys)])
                 near = some[_near(rest[some], keys[some], sorted_, sorted_keys, threshold)]
                 found.append(rest[near])
@@ -307,14 +302,30 @@ def _both(left: DataFrame, right: DataFrame, threshold: int, n: int, m: int) ->
     return _deal(both, -(-(n + m) // PART) or 1), agree
 
 
+def linked(points: DataFrame, rows: int, threshold: int) -> DataFrame:
+    """(a, label) of distinct fingerprints after all within ``threshold`` are linked; given are (a, label, old), so many as were counted.
+
+    Those that share a label are linked already, and old ones near each other too. A label is left as it is, or led to the least that it is linked with.
+    """
+    ship(points.sparkSession)
+    for reach in [threshold // 2, threshold] if rows > ONE_ROUND and threshold > 1 else [threshold]:
+        # Keys for a shorter reach find all links up to it and most up to the threshold.
+        agree = bands_to_agree(reach, rows)
+        keyed = _keyed(points.where("a is not null").select("a", "label", "old"), reach, agree).withColumn("right", F.lit(False))
+        dealt = _deal(keyed, -(-rows // PART) or 1, LINK_BLOCK).select("a", "label", "old", "side", "band", "part", "block")
+        edges = dealt.groupBy("band", "part", "block").applyInArrow(link_part(threshold, reach, agree), "x long, y long")
+        found = connected_components(edges, "x", "y").toDF("label", "found")
+        points = points.join(found, "label", "left").select("a", F.coalesce("found", "label").alias("label"), "old")
+        if reach < threshold:
+            points = materialize(points, "linked")
+    return points.select("a", "label")
+
+
 def clusters(hashes: DataFrame, threshold: int) -> DataFrame:
     """(dhash, root) by single linkage; the root is the least (unsigned) fingerprint of the cluster."""
     hashes = hashes.toDF("dhash").distinct()
     if threshold <= 0:
         return hashes.select("dhash", F.col("dhash").alias("root"))
-    table, counted = measured(hashes.toDF("a"), "hashes", F.count("*"))
-    pairs, hashes = _pairs(table, counted, threshold), table.toDF("dhash")
-    # Components take the least of signed labels, so labels are shifted into unsigned order.
-    labels = connected_components(pairs.select(ordered(F.col("a")).alias("a"), ordered(F.col("b")).alias("b")))
-    labels = labels.select(ordered(F.col("node")).alias("dhash"), ordered(F.col("component")).alias("found"))
-    return hashes.join(labels, "dhash", "left").select("dhash", F.coalesce("found", "dhash").alias("root"))
+    # Labels are shifted into unsigned order. A fingerprint that is null is near nothing.
+    table, (rows,) = measured(hashes.select(F.col("dhash").alias("a"), ordered(F.col("dhash")).alias("label"), F.lit(False).alias("old")), "hashes", F.count("a"))
+    return linked(table, rows, threshold).select(F.col("a").alias("dhash"), ordered(F.col("label")).alias("root"))
